@@ -8,13 +8,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A worker forgets its word hashes beyond this many distinct words.
-MAX_CACHED_WORDS = 400_000
-
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -41,35 +37,11 @@ def remainder(column: str, by: int) -> Column:
 # --- words -----------------------------------------------------------------------------------------------------------
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed once for each distinct word that a worker meets."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = WordHashes()
-
-
 def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def split_words(text: bytes | None, lower: bool = False) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ (bytes.split() parts at exactly those six characters); lower: only A-Z changes."""
-    if not text:
-        return []
-    return (text.lower() if lower else text).split()
-
-
-def hash_words(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > MAX_CACHED_WORDS:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=U64, count=len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = (h ^ (h >> U64(33))) * U64(0xFF51AFD7ED558CCD)
@@ -77,6 +49,85 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+#: Bytes that are turned into arrays at once.
+PIECE = 1 << 17
+_IS_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
+_BYTE_LOWER = _BYTE.copy()
+_BYTE_LOWER[65:91] = _BYTE[97:123]
+
+
+class Words:
+    """The words [^\\x20\\x09-\\x0D]+ of a string column: 64-bit hashes and byte positions of all rows one after the other.
+
+    Row r has words bounds[r] .. bounds[r + 1]; a null row has none. With lower, A-Z count as a-z.
+    """
+
+    def __init__(self, column: pa.Array, lower: bool = False):
+        column = column.cast(pa.large_binary())
+        n = len(column)
+        _, offsets, data = column.buffers()
+        self.offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
+        self.data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+        table = _BYTE_LOWER if lower else _BYTE
+        hashes, starts, ends = [], [], []
+        lo, end = int(self.offsets[0]), int(self.offsets[-1])
+        breaks = self.offsets[(self.offsets > lo) & (self.offsets < end)]
+        while lo < end:
+            hi = self._cut(lo, min(lo + PIECE, end), end, breaks)
+            part = self.data[lo:hi]
+            space = _IS_SPACE[part]
+            word = np.concatenate([[False], ~space, [False]])
+            first, last = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
+            inner = breaks[np.searchsorted(breaks, lo, side="right") : np.searchsorted(breaks, hi)] - lo
+            first[inner] = ~space[inner]
+            last[inner - 1] = ~space[inner - 1]
+            a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+            powers, inverses = _power_tables(len(part))
+            sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(table[part] * powers, dtype=U64)])
+            hashes.append(mix((sums[b] - sums[a]) * inverses[a] + (b - a).astype(U64)))
+            starts.append(a + lo)
+            ends.append(b + lo)
+            lo = hi
+        self.hashes = np.concatenate([np.zeros(0, dtype=U64), *hashes])
+        self.starts = np.concatenate([np.zeros(0, dtype=np.int64), *starts])
+        self.ends = np.concatenate([np.zeros(0, dtype=np.int64), *ends])
+        self.bounds = np.searchsorted(self.starts, self.offsets)
+
+    def _cut(self, lo: int, hi: int, end: int, breaks: np.ndarray) -> int:
+        """Where a piece may end: no word is cut in two."""
+        if hi >= end:
+            return end
+        near = breaks[np.searchsorted(breaks, hi, side="right") - 1] if len(breaks) and breaks[0] <= hi else lo
+        if near > lo:
+            return int(near)
+        while hi < end:
+            gap = np.flatnonzero(_IS_SPACE[self.data[hi : hi + PIECE]])
+            following = breaks[np.searchsorted(breaks, hi) :][:1]
+            at = min([hi + int(g) for g in gap[:1]] + [int(x) for x in following if x <= hi + PIECE] or [end + 1])
+            if at <= end:
+                return max(at, lo + 1)
+            hi += PIECE
+        return end
+
+    def row(self, r: int) -> np.ndarray:
+        return self.hashes[self.bounds[r] : self.bounds[r + 1]]
+
+    def grams(self, k: int) -> Callable[[int], np.ndarray]:
+        """A function that gives the hashes of a row's runs of k words."""
+        made, bounds = rolling(self.hashes, k), self.bounds
+        return lambda r: made[bounds[r] : max(bounds[r], bounds[r + 1] - k + 1)]
+
+    def text(self, start: int, end: int) -> bytes:
+        """The bytes from word start up to word end."""
+        return self.data[self.starts[start] : self.ends[end - 1]].tobytes() if end > start else b""
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1]])]
+
+
 _powers = np.ones(1, dtype=U64)
 _inverses = np.ones(1, dtype=U64)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirewarden.llm.common import (
-    U64, binary, checkpoint, hash_words, id_filter, mix, per_batch, rolling, signed, split_words,
+    U64, Words, checkpoint, distinct, id_filter, mix, per_batch, rolling, signed,
 )
 from wirewarden.llm.components import connected_components
 
@@ -37,12 +37,11 @@ FREQUENT_IN_BATCH, MAX_FREQUENT = 4, 1 << 19
 MAX_SMALL = 12
 
 
-def shingle_set(text: bytes | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; a shorter text is one shingle, one without words none."""
-    words = hash_words(split_words(text, lower=True))
-    if not len(words):
-        return words
-    return np.unique(rolling(words, min(k, len(words))))
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles; a shorter text is one shingle, one without words none."""
+    words = Words(texts, lower=True)
+    grams = words.grams(k)
+    return [distinct(grams(r)) if n >= k else rolling(words.row(r), int(n)) if n else words.hashes[:0] for r, n in enumerate(np.diff(words.bounds))]
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -99,13 +98,15 @@ def _profile(k: int):
     """One row a document (kind 0), and the shingles that are frequent in the batch (kind 1: id holds the shingle)."""
     def make():
         def step(b):
-            ids, sets, out = b.column("_id"), [shingle_set(t, k) for t in binary(b.column("_text"))], ([], [], [])
+            ids, sets, out = b.column("_id"), shingle_sets(b.column("_text"), k), ([], [], [])
             for s in sets:
                 out[0].append(len(s))
                 h = mix(s + U64(len(s)))
                 out[1].append(int(np.bitwise_xor.reduce(h)) if len(s) else 0)
                 out[2].append(int(np.add.reduce(mix(h ^ U64(0x5851F42D4C957F2D)))) if len(s) else 0)
-            values, counts = np.unique(np.concatenate(sets), return_counts=True)
+            every = np.sort(np.concatenate(sets))
+            at = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), dtype=bool), every[1:] != every[:-1]]))
+            values, counts = every[at], np.diff(np.append(at, len(every)))
             hot = counts >= FREQUENT_IN_BATCH
             n, m = len(sets), int(hot.sum())
             yield pa.RecordBatch.from_arrays([
@@ -143,8 +144,7 @@ def _entries(k: int, num: int, den: int, boundary: int, frequent):
 
         def step(b):
             keys, ids, kinds, often = [], [], [], []
-            for i, text in zip(b.column("_id").to_pylist(), binary(b.column("_text")), strict=True):
-                s = shingle_set(text, k)
+            for i, s in zip(b.column("_id").to_pylist(), shingle_sets(b.column("_text"), k), strict=True):
                 n = len(s)
                 if not n or i is None:
                     continue
@@ -182,8 +182,8 @@ def _sets(k: int, wanted):
             ids = b.column("_id").to_numpy(zero_copy_only=False)
             ids = np.where(np.equal(ids, ids), ids, -1).astype(np.int64)  # a null id is NaN
             keep = np.flatnonzero(wanted.value.contains(ids.view(U64)))
-            texts = binary(b.column("_text").take(pa.array(keep)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary())], ["id", "shingles"])
+            sets = shingle_sets(b.column("_text").take(pa.array(keep)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
         return step
     return per_batch(make)
 

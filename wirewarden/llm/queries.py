@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wirewarden.llm.common import read
 from wirewarden.llm.jaccard_join import jaccard_components
+from wirewarden.llm.substring_dedup import remove_duplicates
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_duplicates(read(spark, sf_dir, "documents"), with_text=False).drop("text")
+
+
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_substring_dedup": op5_substring_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}
