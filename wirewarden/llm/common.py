@@ -181,12 +181,24 @@ class SegmentedFilter:
         self.segments = max(1, len(bits) * 8 // SEGMENT_BITS)
 
     def contains(self, keys: np.ndarray, level: int = 1) -> np.ndarray:
-        start = segment_of(keys, self.segments) * U64(SEGMENT_BITS)
-        found = np.ones(len(keys), dtype=bool)
-        for r in range(self.probes):
-            at = start + offset_of(keys, level, r)
-            found &= (self.bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
-        return found
+        found = np.arange(len(keys))
+        for r in range(self.probes):  # what a probe rules out needs no further one
+            own = keys[found]
+            at = segment_of(own, self.segments) * U64(SEGMENT_BITS) + offset_of(own, level, r)
+            found = found[(self.bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1]
+        out = np.zeros(len(keys), dtype=bool)
+        out[found] = True
+        return out
+
+    def levels(self, keys: np.ndarray, most: int) -> np.ndarray:
+        """The highest level up to which each key is held (0: not at all)."""
+        out, alive = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
+        for level in range(1, most + 1):
+            alive = alive[self.contains(keys[alive], level)]
+            if not len(alive):
+                break
+            out[alive] = level
+        return out
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:

@@ -16,7 +16,7 @@ partial sums. Exact copies leave one set in each task of the scan.
 
 from __future__ import annotations
 
-import math
+from itertools import combinations
 from math import comb
 
 import numpy as np
@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirewarden.llm.common import (
-    U64, Words, checkpoint, distinct, id_filter, mix, per_batch, rolling, signed,
+    U64, Words, build_filter, checkpoint, distinct, id_filter, mix, per_batch, rolling, signed,
 )
 from wirewarden.llm.components import connected_components
 
 #: Most documents in each of the two blocks that one verification task compares.
 BLOCK = 512
-#: A shingle that so many documents of one batch hold is counted as frequent; at most so many of the most frequent are broadcast.
-FREQUENT_IN_BATCH, MAX_FREQUENT = 4, 1 << 19
+#: Shingles that one task counts, and the bound of the broadcast levels.
+COUNTED_AT_ONCE, LEVEL_BYTES = 1 << 22, 64 << 20
+#: Documents that hold a shingle at each level, from 1 on; beyond level LONG its list is aggregated with partial sums.
+LEVELS, LONG = (2, 4, 16, 128, 1024, 1 << 14, 1 << 20), 3
 #: Largest set size for which enumerating subsets is considered at all.
 MAX_SMALL = 12
 
@@ -80,8 +82,6 @@ def choose_boundary(sizes: dict[int, int], num: int, den: int) -> int:
 
 def _subsets(hashes: np.ndarray, boundary: int, num: int, den: int):
     """(key, kind) of a small set: kind 2 its side is the smaller one, 3 the larger one, 4 equal sizes."""
-    from itertools import combinations
-
     s = len(hashes)
     for p in partners(s, num, den):
         if p <= boundary:
@@ -94,83 +94,121 @@ def _subsets(hashes: np.ndarray, boundary: int, num: int, den: int):
             yield key, 4 if p == s else 2 if s < p else 3
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    h = mix(s + U64(len(s)))
+    return int(np.bitwise_xor.reduce(h)), int(np.add.reduce(mix(h ^ U64(0x5851F42D4C957F2D))))
+
+
 def _profile(k: int):
-    """One row a document (kind 0), and the shingles that are frequent in the batch (kind 1: id holds the shingle)."""
+    """The size and digest of each document's set."""
+    def make():
+        def step(b):
+            sets = shingle_sets(b.column("_text"), k)
+            digests = [np.array(x, dtype=U64) for x in zip(*map(_digest, sets), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(s) for s in sets], pa.int64()), *map(signed, digests)], ["id", "n", "k1", "k2"])
+        return step
+    return per_batch(make)
+
+
+def _counted(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """By what a shingle is counted: the part it falls into and 32 more bits of its hash."""
+    return (hashes % U64(parts)) << U64(32) | hashes >> U64(32)
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values starts in a sorted array."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1]]))
+
+
+def _count_in_batch(k: int, parts: int):
+    """(part, packed shingles, packed counts)."""
     def make():
         def step(b):
-            ids, sets, out = b.column("_id"), shingle_sets(b.column("_text"), k), ([], [], [])
-            for s in sets:
-                out[0].append(len(s))
-                h = mix(s + U64(len(s)))
-                out[1].append(int(np.bitwise_xor.reduce(h)) if len(s) else 0)
-                out[2].append(int(np.add.reduce(mix(h ^ U64(0x5851F42D4C957F2D)))) if len(s) else 0)
-            every = np.sort(np.concatenate(sets))
-            at = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), dtype=bool), every[1:] != every[:-1]]))
-            values, counts = every[at], np.diff(np.append(at, len(every)))
-            hot = counts >= FREQUENT_IN_BATCH
-            n, m = len(sets), int(hot.sum())
+            keys = np.sort(_counted(np.concatenate(shingle_sets(b.column("_text"), k)), parts))
+            at = _runs(keys)
+            counts = np.minimum(np.diff(np.append(at, len(keys))), 255).astype(np.uint8)
+            keys = keys[at]
+            part = (keys >> U64(32)).astype(np.int32)
+            short = keys.astype(np.uint32)
+            starts = _runs(part)
+            ends = np.append(starts[1:], len(part))[: len(starts)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)),
-                pa.concat_arrays([ids.cast(pa.int64()), signed(values[hot])]),
-                pa.array(np.concatenate([np.array(out[0], dtype=np.int64), counts[hot].astype(np.int64)])),
-                pa.concat_arrays([pa.array(np.array(out[1], dtype=U64).view(np.int64)), pa.nulls(m, pa.int64())]),
-                pa.concat_arrays([pa.array(np.array(out[2], dtype=U64).view(np.int64)), pa.nulls(m, pa.int64())]),
-            ], ["kind", "id", "n", "k1", "k2"])
+                pa.array(part[starts]), pa.array([short[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary()),
+                pa.array([counts[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary()),
+            ], ["part", "shingles", "counts"])
         return step
     return per_batch(make)
 
 
-def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (sorted) and their counts: at most MAX_FREQUENT, by a least count that admits no more."""
-    counts = checkpoint(profile.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")))
-    levels = {r.level: r.c for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("c")).collect()}
-    total, least = 0, 64
-    for level in sorted(levels, reverse=True):
-        if (total := total + levels[level]) > MAX_FREQUENT:
+def _sum_counts(batches):
+    """Shingles that several documents hold, and their level; a task has the rows of a few parts."""
+    held: dict[int, tuple[list, list]] = {}
+    for b in batches:
+        for part, x, c in zip(*(column.to_pylist() for column in b.columns), strict=True):
+            own = held.setdefault(part, ([], []))
+            own[0].append(np.frombuffer(x, dtype=np.uint32)), own[1].append(np.frombuffer(c, dtype=np.uint8))
+    for part, (shingles, counts) in held.items():
+        values, n = np.concatenate(shingles), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(values, kind="stable")
+        values, n = values[order], n[order]
+        at = _runs(values)
+        n = np.add.reduceat(n, at)
+        keep = n >= LEVELS[0]
+        level = np.searchsorted(LEVELS, n[keep], side="right")
+        yield pa.RecordBatch.from_arrays([signed(U64(part) << U64(32) | values[at][keep].astype(U64)), pa.array(level.astype(np.int32))], ["key", "level"])
+
+
+def _levels(source: DataFrame, k: int, parts: int):
+    """A filter of the shingles that several documents hold: all of them, or the most frequent if they don't fit."""
+    held = source.mapInArrow(_count_in_batch(k, parts), "part int, shingles binary, counts binary")
+    rows = checkpoint(held.repartition(min(parts, 4096), "part").mapInArrow(_sum_counts, "key long, level int"))
+    room, least, events = LEVEL_BYTES * 8 // 12, len(LEVELS) + 1, 0
+    for r in sorted(rows.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level):
+        if events + r.n * r.level > room:
             break
-        least = level
-    rows = counts.filter(F.col("n") >= F.lit(2.0**least)).toPandas()
-    h = rows["id"].to_numpy(dtype=np.int64).view(U64)
-    order = np.argsort(h)
-    return h[order], rows["n"].to_numpy(dtype=np.int64)[order]
+        least, events = r.level, events + r.n * r.level
+    return build_filter(rows.filter(F.col("level") >= least), events, bits_per_event=12, probes=4, max_bytes=LEVEL_BYTES), least
 
 
-def _entries(k: int, num: int, den: int, boundary: int, frequent):
-    """Rows (key, id, kind, frequent) of the inverted lists and the subsets. Kind 0 and 1: list entries; of two sets
-    that link, the smaller one has its first shared entry among its entries of kind 1."""
+def _entries(k: int, num: int, den: int, boundary: int, parts: int, levels):
+    """Rows (key, id, kind, long) of the inverted lists and the subsets. Kind 0 and 1: list entries; of two sets that
+    link, the smaller one has its first shared entry among its entries of kind 1."""
     def make():
-        seen: set[tuple[int, bytes]] = set()
-        values, counts = frequent.value
+        seen: set[tuple[int, ...]] = set()
 
         def step(b):
-            keys, ids, kinds, often = [], [], [], []
-            for i, s in zip(b.column("_id").to_pylist(), shingle_sets(b.column("_text"), k), strict=True):
+            keys, ids, kinds, long = [], [], [], []
+            sets = shingle_sets(b.column("_text"), k)
+            every = np.concatenate(sets)
+            known, least = levels.value
+            level = known.levels(_counted(every, parts), len(LEVELS))
+            if least > 1:
+                level[level < least] = 0
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            for r, (i, s) in enumerate(zip(b.column("_id").to_pylist(), sets, strict=True)):
                 n = len(s)
                 if not n or i is None:
                     continue
-                digest = (n, int(np.bitwise_xor.reduce(mix(s))), int(np.add.reduce(mix(s ^ U64(77)))))
+                digest = (n, *_digest(s))
                 if digest in seen:
                     continue
-                if len(seen) < 2_000_000:
+                if len(seen) < 1_000_000:
                     seen.add(digest)
                 if n <= boundary:
                     for key, kind in _subsets(s, boundary, num, den):
-                        keys.append(key), ids.append(np.full(len(key), i)), kinds.append(np.full(len(key), kind)), often.append(np.zeros(len(key), dtype=bool))
+                        keys.append(key), ids.append(np.full(len(key), i)), kinds.append(np.full(len(key), kind)), long.append(np.zeros(len(key), dtype=bool))
                 if partners(n, num, den)[-1] <= boundary:
                     continue
-                count = np.zeros(n, dtype=np.int64)
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    count = np.where(values[at] == s, counts[at], 0)
+                own = level[ends[r] : ends[r + 1]]
                 p = prefix_length(n, num, den)
-                first = np.lexsort((s, count))[:p]
-                keys.append(s[first]), ids.append(np.full(p, i)), often.append(count[first] > 0)
+                first = np.argsort(own, kind="stable")[:p]  # the set is sorted by hash
+                keys.append(s[first]), ids.append(np.full(p, i)), long.append(own[first] > LONG)
                 kinds.append((n - np.arange(p) >= least_overlap(n, n, num, den)).astype(np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([
                     signed(np.concatenate(keys)), pa.array(np.concatenate(ids).astype(np.int64)),
-                    pa.array(np.concatenate(kinds).astype(np.int8)), pa.array(np.concatenate(often)),
-                ], ["key", "id", "kind", "frequent"])
+                    pa.array(np.concatenate(kinds).astype(np.int8)), pa.array(np.concatenate(long)),
+                ], ["key", "id", "kind", "long"])
         return step
     return per_batch(make)
 
@@ -233,23 +271,22 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    profile = checkpoint(source.mapInArrow(_profile(k), "kind int, id long, n long, k1 long, k2 long"))
-    rows = profile.filter("kind = 0").select("id", "n", "k1", "k2")
-
+    rows = checkpoint(source.mapInArrow(_profile(k), "id long, n long, k1 long, k2 long"))
     small = {r.n: r.c for r in rows.filter(F.col("n").between(1, 2 * MAX_SMALL)).groupBy("n").agg(F.count("*").alias("c")).collect()}
     boundary = choose_boundary(small, num, den)
-    frequent = spark.sparkContext.broadcast(_frequent(profile))
-    entries = source.mapInArrow(_entries(k, num, den, boundary, frequent), "key long, id long, kind byte, frequent boolean")
+    parts = max(16, (rows.agg(F.sum("n")).first()[0] or 0) // COUNTED_AT_ONCE)
+    levels = spark.sparkContext.broadcast(_levels(source, k, parts))
+    entries = source.mapInArrow(_entries(k, num, den, boundary, parts, levels), "key long, id long, kind byte, long boolean")
 
     # What meets in a list: its smallest id, if it has two members and one of kind 1; for subsets each side's smallest id.
     facts = lambda over: [
         over(F.min("id")).alias("m"), over(F.min(F.when(F.col("kind") == 2, F.col("id")))).alias("m2"),
         over(F.min(F.when(F.col("kind") == 3, F.col("id")))).alias("m3"), over(F.max("id")).alias("top"), over(F.max("kind")).alias("most")]
     by_key = Window.partitionBy("key")
-    rare = entries.filter(~F.col("frequent")).select("*", *facts(lambda c: c.over(by_key)))
-    often = entries.filter("frequent").drop("frequent")
-    often = often.join(F.broadcast(often.groupBy("key").agg(*facts(lambda c: c))), "key")  # at most MAX_FREQUENT rows
-    met = checkpoint(rare.drop("frequent").unionByName(often).filter("m < top and most > 0"))
+    short = entries.filter("not long").drop("long").select("*", *facts(lambda c: c.over(by_key)))
+    long = entries.filter("long").drop("long")
+    long = long.join(long.groupBy("key").agg(*facts(lambda c: c)), "key")
+    met = checkpoint(short.unionByName(long).filter("m < top and most > 0").select("key", "id", "kind", "m", "m2", "m3"))
 
     direct = met.filter("kind > 1").select(
         F.col("id").alias("u"), F.expr("case kind when 4 then m when 2 then m3 else m2 end").alias("v")).filter("v is not null and u <> v")
