@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from wirewarden.llm.bpe import encode_decode
 from wirewarden.llm.common import read
 from wirewarden.llm.jaccard_join import jaccard_components
 from wirewarden.llm.substring_dedup import remove_duplicates
@@ -17,8 +19,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicates(read(spark, sf_dir, "documents"), with_text=False).drop("text")
 
 
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    out = encode_decode(read(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_bpe_encode_decode": op6_bpe_encode_decode,
 }
 ORACLE_SQL: dict[str, str] = {}
