@@ -52,31 +52,36 @@ def mix(h: np.ndarray) -> np.ndarray:
 #: Bytes that are turned into arrays at once.
 PIECE = 1 << 17
 _IS_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+_IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
+_BYTE_BARE = _BYTE_LOWER.copy()
+_BYTE_BARE[0x80:0x9F] = _BYTE[0xA0:0xBF]  # the second byte of accented Latin letters, upper and lower case
 
 
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a string column: 64-bit hashes and byte positions of all rows one after the other.
 
-    Row r has words bounds[r] .. bounds[r + 1]; a null row has none. With lower, A-Z count as a-z.
+    Row r has words bounds[r] .. bounds[r + 1]; a null row has none. With lower, A-Z count as a-z; with bare
+    accented Latin letters do not differ by case either, and ASCII punctuation parts words too.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, bare: bool = False):
         column = column.cast(pa.large_binary())
         n = len(column)
         _, offsets, data = column.buffers()
         self.offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
         self.data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
-        table = _BYTE_LOWER if lower else _BYTE
+        table = _BYTE_BARE if bare else _BYTE_LOWER if lower else _BYTE
+        self.parts = _IS_SPACE | _IS_MARK if bare else _IS_SPACE
         hashes, starts, ends = [], [], []
         lo, end = int(self.offsets[0]), int(self.offsets[-1])
         breaks = self.offsets[(self.offsets > lo) & (self.offsets < end)]
         while lo < end:
             hi = self._cut(lo, min(lo + PIECE, end), end, breaks)
             part = self.data[lo:hi]
-            space = _IS_SPACE[part]
+            space = self.parts[part]
             word = np.concatenate([[False], ~space, [False]])
             first, last = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
             inner = breaks[np.searchsorted(breaks, lo, side="right") : np.searchsorted(breaks, hi)] - lo
@@ -102,7 +107,7 @@ class Words:
         if near > lo:
             return int(near)
         while hi < end:
-            gap = np.flatnonzero(_IS_SPACE[self.data[hi : hi + PIECE]])
+            gap = np.flatnonzero(self.parts[self.data[hi : hi + PIECE]])
             following = breaks[np.searchsorted(breaks, hi) :][:1]
             at = min([hi + int(g) for g in gap[:1]] + [int(x) for x in following if x <= hi + PIECE] or [end + 1])
             if at <= end:
@@ -155,14 +160,14 @@ def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def per_batch(make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]]):
-    """A mapInArrow function whose state lives as long as the task."""
+def per_batch(make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], rows: int = 10_000):
+    """A mapInArrow function whose state lives as long as the task and that sees at most so many rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield from step(batch)
+            for lo in range(0, batch.num_rows, rows):
+                yield from step(batch.slice(lo, rows))
 
     return run
 
@@ -253,3 +258,20 @@ def id_filter(ids: DataFrame, column: str, max_bytes: int = 32 << 20) -> Segment
     """A filter of integer ids, to thin a table before an exact join with them."""
     keys = ids.select(F.col(column).cast("long").alias("key"))
     return build_filter(keys, ids.count(), bits_per_event=12, probes=4, max_bytes=max_bytes)
+
+
+def exclude(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of docs whose id is not among ids (a null id is not). Rows that a filter of the ids rules out are kept as they
+    are; only the others, the ids' own rows and a few more, are shuffled to an exact join."""
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(ids, column))
+
+    def part(among: bool):
+        def run(batches):
+            for b in batches:
+                own = b.column(column)
+                hit = held.value.contains(own.fill_null(0).to_numpy().astype(np.int64).view(U64)) & own.is_valid().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit == among))
+        return run
+
+    kept = docs.mapInArrow(part(False), docs.schema)
+    return kept.union(docs.mapInArrow(part(True), docs.schema).join(ids.select(column), column, "left_anti").select(docs.columns))

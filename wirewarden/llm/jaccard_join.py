@@ -107,7 +107,7 @@ def _profile(k: int):
             digests = [np.array(x, dtype=U64) for x in zip(*map(_digest, sets), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(s) for s in sets], pa.int64()), *map(signed, digests)], ["id", "n", "k1", "k2"])
         return step
-    return per_batch(make)
+    return per_batch(make, 2000)
 
 
 def _counted(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -137,7 +137,7 @@ def _count_in_batch(k: int, parts: int):
                 pa.array([counts[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary()),
             ], ["part", "shingles", "counts"])
         return step
-    return per_batch(make)
+    return per_batch(make, 4000)
 
 
 def _sum_counts(batches):
@@ -210,7 +210,7 @@ def _entries(k: int, num: int, den: int, boundary: int, parts: int, levels):
                     pa.array(np.concatenate(kinds).astype(np.int8)), pa.array(np.concatenate(long)),
                 ], ["key", "id", "kind", "long"])
         return step
-    return per_batch(make)
+    return per_batch(make, 1000)
 
 
 def _sets(k: int, wanted):
@@ -223,7 +223,7 @@ def _sets(k: int, wanted):
             sets = shingle_sets(b.column("_text").take(pa.array(keep)), k)
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
         return step
-    return per_batch(make)
+    return per_batch(make, 1000)
 
 
 def _verify(num: int, den: int):
