@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from wirewarden.llm.bloom_lm import score, split
 from wirewarden.llm.bpe import encode_decode
 from wirewarden.llm.common import read
+from wirewarden.llm.decontaminate import find_leaks
 from wirewarden.llm.jaccard_join import jaccard_components
 from wirewarden.llm.substring_dedup import remove_duplicates
 
@@ -24,9 +26,19 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str, path: str | None = N
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read(spark, sf_dir, "documents"), split("doc_id", 7, 2))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op9_bloom_lm": op9_bloom_lm,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
