@@ -38,8 +38,10 @@ def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.repeat(starts, n), owner
 
 
-def _shingles(hashes: np.ndarray) -> np.ndarray:
-    return distinct(rolling(hashes, min(SHINGLE, len(hashes)))) if len(hashes) else hashes
+def _shingles(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """Words of a shingle (all words, if there are fewer than SHINGLE) and the distinct shingles."""
+    k = min(SHINGLE, len(hashes))
+    return k, distinct(rolling(hashes, k)) if k else hashes
 
 
 class Index:
@@ -101,7 +103,6 @@ class Index:
         sums = np.concatenate([[0.0], np.cumsum(self.upper[term[essential]])])
         a, b = np.searchsorted(essential, first), np.searchsorted(essential, last)
         passed = np.flatnonzero(sums[b] - sums[a] >= THRESHOLD - self.slack.max() - 1e-9)
-        grams = rolling(words.hashes, SHINGLE)
         for lo in range(0, len(passed), _AT_ONCE):
             some = passed[lo : lo + _AT_ONCE]
             at, owner = _expand(a[some], b[some])
@@ -118,18 +119,17 @@ class Index:
                 at = at[open_[w][self.item[at] // BLOCK]]
                 found, index = np.unique(self.item[at], return_inverse=True)
                 score = np.bincount(index, self.impact[at])
-                inside = distinct(grams[first[passage] : max(first[passage], last[passage] - SHINGLE + 1)])
+                text = words.hashes[first[passage] : last[passage]]
+                inside = {SHINGLE: distinct(rolling(text, SHINGLE))}
                 for item, s in zip(found[score >= THRESHOLD], score[score >= THRESHOLD], strict=True):
-                    parts = [float(np.isin(x, inside).mean()) if len(x) else 0.0 for x in self.shingles[item]]
-                    if len(self.shingles[item][0]) == 1:  # an item no longer than a shingle: its words in order
-                        parts = self._short(item, words.hashes[first[passage] : last[passage]])
+                    parts = []
+                    for k, own in self.shingles[item]:
+                        if k and k not in inside:
+                            inside[k] = distinct(rolling(text, k))
+                        parts.append(float(np.isin(own, inside[k]).mean()) if k else 0.0)
                     if parts[0] >= OVERLAP or (parts[1] >= OVERLAP and parts[2] >= ANSWER):
                         yield int(row[passage]), int(item), int(offset[passage]), float(s), *parts
 
-    def _short(self, item: int, hashes: np.ndarray) -> list[float]:
-        whole = self.shingles[item][0]
-        return [1.0 if any(np.isin(whole, rolling(hashes, k)).all() for k in range(1, SHINGLE + 1)) else 0.0] * 3
-
 
 def _groups(items: DataFrame, id_col: str, text_col: str):
     """The items in groups that are small enough to broadcast."""

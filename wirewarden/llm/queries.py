@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wirewarden.llm import language_id, quality
 from wirewarden.llm.bloom_lm import score, split
 from wirewarden.llm.bpe import encode_decode
-from wirewarden.llm.common import read
+from wirewarden.llm.common import read, remainder
 from wirewarden.llm.decontaminate import find_leaks
 from wirewarden.llm.jaccard_join import jaccard_components
 from wirewarden.llm.substring_dedup import remove_duplicates
@@ -34,10 +36,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(True))
+    network = language_id.train(docs.filter(~held_out))
+    return language_id.predict(docs, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_language_id": op3_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
