@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirewarden.llm import language_id, quality
+from wirewarden.llm import language_id, license_scan, quality, url_filter
+from wirewarden.llm.ann_forest import nearest
 from wirewarden.llm.bloom_lm import score, split
 from wirewarden.llm.bpe import encode_decode
 from wirewarden.llm.common import read, remainder
@@ -47,13 +48,33 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
 
 
+#: The rules of the registered query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.rules_frame(spark, URL_RULES)).drop("bad_mean", "bad_lower")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_hash_prefix_forest": op8_hash_prefix_forest,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle(URL_RULES), "op4_license_scan": license_scan.oracle()}
