@@ -42,7 +42,7 @@ class Forest:
     def candidates(self, queries: np.ndarray):
         """For each query the rows that the synchronous ascent reaches."""
         keys = hash_strings(queries)
-        n, wanted = keys.shape[1], min(QUOTA * self.rows, TREES * self.rows)
+        n, wanted = keys.shape[1], QUOTA * self.rows + TREES  # a query meets its own row in every tree
         low, high = np.zeros((TREES, n), dtype=np.int64), np.full((TREES, n), self.rows)
         open_ = np.ones(n, dtype=bool)
         for depth in range(BITS, 0, -1):
@@ -77,6 +77,8 @@ def _search(k: int):
             norms, asked_norms = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((asked * asked).sum(axis=1))
             for q, found in enumerate(Forest(vectors / norms[:, None]).candidates(asked / asked_norms[:, None])):
                 found = found[ids[found] != query_ids[q]]
+                if len(found) < k:  # too few others shared a prefix: the root holds every row
+                    found = np.flatnonzero(ids != query_ids[q])
                 near = vectors[found] @ asked[q] / (norms[found] * asked_norms[q])
                 if len(found) > 4 * k:  # then exactly, in an order of additions that depends on the vector alone
                     near_enough = near >= np.partition(near, len(near) - 4 * k)[len(near) - 4 * k] - 1e-9

@@ -321,4 +321,4 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = links.union(reps.filter("r <> r2").select(F.col("r"), F.col("r2"))).union(copies.join(reps.filter("r <> r2").select("u"), "u", "left_semi"))
     components = connected_components(links)
     return (placed.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
+            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id")))

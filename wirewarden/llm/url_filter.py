@@ -2,7 +2,7 @@
 
 Labelled page outcomes (bad or not) are summed for each host, registered domain and suffix. Each level is a beta-binomial
 prior for the one below it: its mean is the shrunken mean of the level above, its strength comes from the spread of
-the groups (method of moments). A host is blocked if the lower bound of its posterior exceeds a limit. All of it is Spark SQL; only sums by host, a
+the groups (method of moments), but it never weighs more than the labelled pages that it is made from. A host is blocked if the lower bound of its posterior exceeds a limit. All of it is Spark SQL; only sums by host, a
 much smaller table than the pages, are joined back to them.
 """
 
@@ -54,7 +54,7 @@ def _strength(groups: DataFrame, name: str) -> DataFrame:
 def host_reputation(hosts: DataFrame) -> DataFrame:
     """hosts (host, n, bad: labelled pages and bad ones; 0 without labels) -> host, mean and lower bound of the bad share."""
     hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"))
+    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m0"), F.coalesce(F.sum("n"), F.lit(0)).alias("n0"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     seen = lambda t, n, b: t.filter(F.col(n) > 0).select(F.col(n).alias("n"), F.col(b).alias("bad"))
@@ -62,6 +62,7 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     for part in (_strength(seen(suffixes, "sn", "sb"), "k0"), _strength(seen(domains, "dn", "db"), "k1"), _strength(seen(hosts, "n", "bad"), "k2")):
         prior = prior.join(F.broadcast(part))  # one row each
     joined = hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix").join(F.broadcast(prior))
+    joined = joined.withColumn("k0", F.least("k0", F.col("n0") + 1)).withColumn("k1", F.least("k1", F.col("sn") + F.col("k0"))).withColumn("k2", F.least("k2", F.col("dn") + F.col("k1")))
     m1 = (F.col("sb") + F.col("k0") * F.col("m0")) / (F.col("sn") + F.col("k0"))
     m2 = (F.col("db") + F.col("k1") * F.col("m1")) / (F.col("dn") + F.col("k1"))
     joined = joined.withColumn("m1", m1).withColumn("m2", m2)
@@ -125,8 +126,9 @@ hosts AS (SELECT host, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(
   count(fit.action) AS n, count(*) FILTER (WHERE fit.action = 'block') AS bad FROM fitted GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) dn, sum(bad) db FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(dn) sn, sum(db) sb FROM domains GROUP BY suffix),
-prior AS (SELECT (SELECT (sum(bad) + 1)::DOUBLE / (sum(n) + 2) FROM hosts) m0, {strength('suffixes', 'sn', 'sb')} k0, {strength('domains', 'dn', 'db')} k1, {strength('hosts', 'n', 'bad')} k2),
-one AS (SELECT host, n, bad, dn, db, k1, k2, (sb + k0 * m0) / (sn + k0) AS m1 FROM hosts JOIN domains USING (domain, suffix) JOIN suffixes USING (suffix), prior),
+prior AS (SELECT (SELECT (sum(bad) + 1)::DOUBLE / (sum(n) + 2) FROM hosts) m0, (SELECT sum(n) FROM hosts) n0, {strength('suffixes', 'sn', 'sb')} k0, {strength('domains', 'dn', 'db')} k1, {strength('hosts', 'n', 'bad')} k2),
+caps AS (SELECT host, n, bad, dn, db, sn, sb, m0, least(k0, n0 + 1) AS c0, least(k1, sn + least(k0, n0 + 1)) AS c1, k2 FROM hosts JOIN domains USING (domain, suffix) JOIN suffixes USING (suffix), prior),
+one AS (SELECT host, n, bad, dn, db, c1 AS k1, least(k2, dn + c1) AS k2, (sb + c0 * m0) / (sn + c0) AS m1 FROM caps),
 two AS (SELECT host, bad + k2 * ((db + k1 * m1) / (dn + k1)) AS a, n - bad + k2 * (1 - (db + k1 * m1) / (dn + k1)) AS b FROM one),
 three AS (SELECT host, a / (a + b) AS mean, a + b AS size FROM two)
 SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.action, CASE WHEN mean - {Z} * sqrt(mean * (1 - mean) / (size + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
