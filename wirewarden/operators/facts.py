@@ -97,9 +97,9 @@ def rolling_window(calls: DataFrame, max_rows: int, max_bytes: int) -> DataFrame
     return kept.select(calls.columns).union(calls.filter("pinned"))
 
 
-def new_rows(incoming: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
+def new_rows(incoming: DataFrame, stored: DataFrame, *key: str, order: str = "seq") -> DataFrame:
     """SNK1: rows whose key is not stored yet, one for each key, for an append that can be repeated."""
-    return first_arrival(incoming, *key).join(stored.select(*key), list(key), "left_anti").select(incoming.columns)
+    return first_arrival(incoming, *key, order=order).join(stored.select(*key), list(key), "left_anti").select(incoming.columns)
 
 
 def imported(target: DataFrame, source: DataFrame, *key: str, only_pinned: bool = False) -> DataFrame:
