@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Freed batches go back to the system at once: a worker that is kept for the next task holds no memory of the last one.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

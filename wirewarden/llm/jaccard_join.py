@@ -32,7 +32,7 @@ from wirewarden.llm.components import connected_components
 #: Most documents in each of the two blocks that one verification task compares.
 BLOCK = 512
 #: Shingles that one task counts, and the bound of the broadcast levels.
-COUNTED_AT_ONCE, LEVEL_BYTES = 1 << 22, 64 << 20
+COUNTED_AT_ONCE, LEVEL_BYTES = 1 << 20, 64 << 20
 #: Documents that hold a shingle at each level, from 1 on; beyond level LONG its list is aggregated with partial sums.
 LEVELS, LONG = (2, 4, 16, 128, 1024, 1 << 14, 1 << 20), 3
 #: Largest set size for which enumerating subsets is considered at all.
@@ -107,7 +107,7 @@ def _profile(k: int):
             digests = [np.array(x, dtype=U64) for x in zip(*map(_digest, sets), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(s) for s in sets], pa.int64()), *map(signed, digests)], ["id", "n", "k1", "k2"])
         return step
-    return per_batch(make, 2000)
+    return per_batch(make, 1000)
 
 
 def _counted(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -137,7 +137,7 @@ def _count_in_batch(k: int, parts: int):
                 pa.array([counts[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary()),
             ], ["part", "shingles", "counts"])
         return step
-    return per_batch(make, 4000)
+    return per_batch(make, 1500)
 
 
 def _sum_counts(batches):
