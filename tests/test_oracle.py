@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from wirewarden.plans.queries import ORACLE_SQL, QUERIES
+from wirewarden.plans import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no benchmark tables")

@@ -298,3 +298,110 @@ def pan_digits(column: Column) -> Column:
         return F.aggregate(digits, F.lit(0), lambda a, d: a + d - F.when(d > 9, 9).otherwise(0)) % 10 == 0
 
     return F.filter(runs, check)
+
+
+def redact_record(df: DataFrame, *columns: str, existing: str | None = None, patterns: str = "patterns", recognizers: Iterable[Recognizer] = RECOGNIZERS, ip: bool = False) -> DataFrame:
+    """RED17: all text columns of a record in one pass over Python; the fired ids of all columns, with those in `existing`, as a
+    sorted set. Rows without an anchor in any column stay in the JVM."""
+    chosen = (*recognizers, IP_RECOGNIZER) if ip else tuple(recognizers)
+    result = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))] + [T.StructField("p", T.ArrayType(T.StringType()))])
+
+    @F.pandas_udf(result)
+    def run(*texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in zip(*texts, strict=True):
+            done = [(None, []) if t is None else redact_text(t, chosen) for t in row]
+            out.append([*[t for t, _ in done], sorted({x for _, fired in done for x in fired})])
+        return pd.DataFrame(out, columns=[f.name for f in result])
+
+    anchored = F.lit(False)
+    for c in columns:
+        anchored = anchored | needs_redaction(F.col(c), ip)
+    none = F.array().cast("array<string>")
+    before = F.coalesce(F.col(existing), none) if existing else none
+    told = df.filter(anchored).withColumn("_r", run(*columns)).withColumn("_all", F.array_sort(F.array_union(before, F.col("_r.p"))))
+    told = told.withColumns({c: F.col(f"_r.c{i}") for i, c in enumerate(columns)}).withColumn(patterns, F.col("_all")).drop("_r", "_all")
+    return told.unionByName(df.filter(~anchored).withColumn(patterns, F.array_sort(before)))
+
+
+def redact_elements(df: DataFrame, column: str, recognizers: Iterable[Recognizer] = RECOGNIZERS) -> DataFrame:
+    """RED18: each element of an array of strings on its own, in place."""
+    chosen = tuple(recognizers)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: None if a is None else [None if t is None else redact_text(t, chosen)[0] for t in a])
+
+    return df.withColumn(column, run(column))
+
+
+def escape_pointer(name: str) -> str:
+    return name.replace("~", "~0").replace("/", "~1")
+
+
+def value_properties(text: str) -> dict:
+    """RED14: what is kept of a value that a token has replaced: its length and the kinds of characters in it."""
+    return {
+        "type": "string", "length": len(text), "containsLowerCase": any(c.islower() for c in text), "containsUpperCase": any(c.isupper() for c in text), "containsDigits": any(c in "0123456789" for c in text),
+        "containsASCIIControlChars": any(ord(c) < 32 or ord(c) == 127 for c in text), "containsASCIIPrintableChars": any(32 <= ord(c) < 127 for c in text), "containsASCIIExtendedChars": any(128 <= ord(c) < 256 for c in text),
+    }
+
+
+FIELD = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("pattern", T.StringType()), T.StructField("type", T.StringType()), T.StructField("length", T.IntegerType())]
+                                 + [T.StructField(x, T.BooleanType()) for x in list(value_properties(""))[2:]]))
+
+
+@F.pandas_udf(FIELD)
+def redacted_fields(before: pd.Series, after: pd.Series) -> pd.Series:
+    """Records of the JSON scalars that redaction has replaced as a whole: RFC 6901 path, pattern id, properties of the original."""
+    def walk(old, new, path, out):
+        if isinstance(old, dict) and isinstance(new, dict):
+            for key, value in old.items():
+                if key in new:
+                    walk(value, new[key], f"{path}/{escape_pointer(key)}", out)
+        elif isinstance(old, list) and isinstance(new, list):
+            for k, (a, b) in enumerate(zip(old, new, strict=False)):
+                walk(a, b, f"{path}/{k}", out)
+        elif isinstance(new, str) and new != old and (m := re.fullmatch("⟦REDACTED:([A-Z0-9_]+)⟧", new)):
+            own = value_properties(old if isinstance(old, str) else str(old))
+            out.append({"path": path, "pattern": m.group(1)} | own | ({"type": "integer"} if isinstance(old, int) else {}))
+        return out
+
+    def one(old, new):
+        try:
+            return walk(json.loads(old), json.loads(new), "", [])
+        except (TypeError, ValueError):
+            return []
+
+    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
+
+
+def enhance(df: DataFrame, column: str, sensitive: list[tuple[str, str]]) -> DataFrame:
+    """RED16: string and number leaves at the given (path, id) become tokens; `[]` after a name stands for every element. A leaf that holds a token
+    stays. Text that is no JSON stays."""
+    wanted = [(p.replace("[]", ".[]").split("."), i) for p, i in sensitive]
+
+    def put(node, steps, i):
+        if not steps:
+            fits = isinstance(node, (str, int, float)) and not isinstance(node, bool) and not (isinstance(node, str) and TOKEN.search(node))
+            return f"⟦REDACTED:{i}⟧" if fits else node
+        if steps[0] == "[]":
+            return [put(x, steps[1:], i) for x in node] if isinstance(node, list) else node
+        if isinstance(node, dict) and steps[0] in node:
+            return node | {steps[0]: put(node[steps[0]], steps[1:], i)}
+        return node
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                value = json.loads(text)
+            except (TypeError, ValueError):
+                return text
+            out = value
+            for steps, i in wanted:
+                out = put(out, steps, i)
+            return text if out == value else json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return df.withColumn(column, run(column))

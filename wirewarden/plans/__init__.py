@@ -1 +1,4 @@
-"""Spark jobs for redacting and contract-checking captured API traffic."""
+"""Registered queries: `QUERIES` and, where SQL can express them, `ORACLE_SQL`."""
+
+from wirewarden.plans import contract_queries  # noqa: F401  registers its queries
+from wirewarden.plans.queries import ORACLE_SQL, QUERIES  # noqa: F401
