@@ -15,10 +15,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirewarden.llm.common import binary, per_batch
+from wirewarden.llm.common import binary, checkpoint, per_batch
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 12, 8
 SAMPLE_PER_LANGUAGE, MAX_SAMPLE, WINDOWS_PER_TEXT = 600, 20_000, 3
+#: Up to so many languages their counts are broadcast; more are joined by a shuffle of the labelled rows.
+MAX_BROADCAST_LANGUAGES = 10_000
 STEPS, BATCH, RATE = 500, 96, 5e-3
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -98,7 +100,8 @@ def cut(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network of the languages of docs, or None if there is none. Rows without a language or without a letter are skipped."""
     rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
-    rows = rows.join(rows.groupBy("_lang").agg(F.count("*").alias("_n")), "_lang")
+    counts = checkpoint(rows.groupBy("_lang").agg(F.count("*").alias("_n")))
+    rows = rows.join(F.broadcast(counts) if counts.count() <= MAX_BROADCAST_LANGUAGES else counts, "_lang")
     share = F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) / 1e6
     rows = rows.filter(share * F.col("_n") <= 2 * SAMPLE_PER_LANGUAGE).select("_text", "_lang")
 
