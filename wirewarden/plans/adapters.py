@@ -59,22 +59,22 @@ SIGNATURES = """signatures AS (SELECT signature, count(*) AS occurrence_count, m
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A contract for each supplier of the first nations: bound to the host of that number."""
+    """Contracts of the suppliers in good standing, bound to a host by their number; several of one host: the greatest number."""
     s = table(spark, sf_dir, "supplier")
-    return s.filter("s_suppkey % 3 = 0").groupBy((F.col("s_suppkey") % 20).alias("h")).agg(F.max("s_suppkey").alias("version"), F.max("s_name").alias("title")).select(
+    return s.filter("s_acctbal > 2000").groupBy((F.col("s_suppkey") % 20).alias("h")).agg(F.max("s_suppkey").alias("version"), F.max("s_name").alias("title")).select(
         F.concat(F.lit("u"), F.col("h").cast("string"), F.lit(".Example.com")).alias("peer_host"), "version", "title")
 
 
-CONTRACTS = "contracts AS (SELECT 'u' || (s_suppkey % 20) || '.Example.com' AS peer_host, max(s_suppkey) AS version, max(s_name) AS title FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY s_suppkey % 20)"
+CONTRACTS = "contracts AS (SELECT 'u' || (s_suppkey % 20) || '.Example.com' AS peer_host, max(s_suppkey) AS version, max(s_name) AS title FROM supplier WHERE s_acctbal > 2000 GROUP BY s_suppkey % 20)"
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool listings of an edge: one for each hour-like run of events of a host, the content changing now and then."""
-    c = calls(spark, sf_dir).filter("is_mcp and id % 7 = 0")
+    """Tool listings of an edge: one for each view of a tool server, the content changing now and then."""
+    c = calls(spark, sf_dir).filter("is_mcp and route = '/view'")
     return c.select("peer_host", "direction", "at", "seq", F.concat(F.lit("v"), F.floor(F.col("value") / 40).cast("string")).alias("hash"))
 
 
-SNAPSHOTS = "snapshots AS (SELECT peer_host, direction, at, seq, 'v' || CAST(floor(value / 40) AS BIGINT) AS hash FROM calls WHERE is_mcp AND id % 7 = 0)"
+SNAPSHOTS = "snapshots AS (SELECT peer_host, direction, at, seq, 'v' || CAST(floor(value / 40) AS BIGINT) AS hash FROM calls WHERE is_mcp AND route = '/view')"
 
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,14 +101,14 @@ def agg_validated_since_bound(spark, sf):
     return j.filter("seq >= version").groupBy("peer_host").agg(F.count("*").alias("validated"))
 
 
-_ACKS = "acks AS (SELECT signature, last_seen % 3 AS evidence FROM signatures WHERE kind = 'definition_change' AND occurrence_count % 2 = 1)"
+_ACKS = "acks AS (SELECT signature, last_seen % 3 AS evidence FROM signatures WHERE kind = 'definition_change' AND occurrence_count > 1)"
 
 
 @query("jn_acknowledged", "SELECT s.signature, a.signature IS NOT NULL AS acked FROM signatures s LEFT JOIN acks a ON a.signature = s.signature AND a.evidence = first_seen % 3 AND s.kind = 'definition_change' AND s.severity = 'info'", A.CALLS, A.FINDINGS, A.SIGNATURES, _ACKS)
 def jn_acknowledged(spark, sf):
     """JN10, FLT6: an acknowledgement counts for equal evidence and where it is allowed."""
     s = facts.findings_by_signature(A.findings(spark, sf))
-    acks = s.filter("kind = 'definition_change' and occurrence_count % 2 = 1").select(F.col("signature").alias("ack"), (F.col("last_seen") % 3).alias("evidence"))
+    acks = s.filter("kind = 'definition_change' and occurrence_count > 1").select(F.col("signature").alias("ack"), (F.col("last_seen") % 3).alias("evidence"))
     on = (F.col("ack") == F.col("signature")) & F.col("evidence").eqNullSafe(F.col("first_seen") % 3) & (F.col("kind") == "definition_change") & (F.col("severity") == "info")
     return s.join(acks, on, "left").select("signature", F.col("ack").isNotNull().alias("acked"))
 

@@ -218,18 +218,18 @@ def win_rolling_window(spark, sf):
     return facts.rolling_window(marked, marked.count() // 2, 100_000_000).select("id", "pinned")
 
 
-@query("snk_new_rows", "SELECT id FROM calls WHERE id NOT IN (SELECT id FROM calls WHERE id % 3 = 0)", A.CALLS)
+@query("snk_new_rows", "SELECT id FROM calls WHERE route <> '/click'", A.CALLS)
 def snk_new_rows(spark, sf):
     """SNK1: what an idempotent append would add."""
     c = A.calls(spark, sf)
-    return facts.new_rows(c.unionByName(c.filter("id % 2 = 0")), c.filter("id % 3 = 0"), "id").select("id")
+    return facts.new_rows(c.unionByName(c.filter("is_error")), c.filter("route = '/click'"), "id").select("id")
 
 
-@query("snk_import", "SELECT id, bytes FROM calls WHERE id % 3 = 0 OR id IN (SELECT source_call_id FROM findings)", A.CALLS, A.FINDINGS)
+@query("snk_import", "SELECT id, bytes FROM calls WHERE direction = 'server' OR id IN (SELECT source_call_id FROM findings)", A.CALLS, A.FINDINGS)
 def snk_import(spark, sf):
     """SNK2: pinned calls of another store, existing keys win."""
     marked = facts.marked_calls(A.calls(spark, sf), A.findings(spark, sf))
-    return facts.imported(marked.filter("id % 3 = 0"), marked, "id", only_pinned=True).select("id", "bytes")
+    return facts.imported(marked.filter("direction = 'server'"), marked, "id", only_pinned=True).select("id", "bytes")
 
 
 # --- read models -----------------------------------------------------------------------------------------------------
