@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from wirewarden.llm.common import per_batch
 
 #: A worker forgets its words beyond this many.
-MAX_CACHED_WORDS = 500_000
+MAX_CACHED_WORDS = 250_000
 #: The pre-tokenizer's pattern, with the white space that its regular-expression engine means by \\s.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"
@@ -182,8 +182,8 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
         encoder = Encoder(vocabulary.value)
 
         def step(b):
-            for lo in range(0, b.num_rows, 3000):
-                part = b.slice(lo, 3000)
+            for lo in range(0, b.num_rows, 1500):
+                part = b.slice(lo, 1500)
                 texts = [encoder.pieces(t) if t else [] for t in part.column("_text").to_pylist()]
                 encoder.learn(set().union(*texts))
                 ids = [b"".join([encoder.ids[w] for w in words]) for words in texts]

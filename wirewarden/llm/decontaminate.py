@@ -28,7 +28,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, SLACK = 0.6, 0.2
 #: Words of a shingle, and the parts of an item's shingles that make a leak.
 SHINGLE, OVERLAP, ANSWER = 5, 0.75, 0.5
-_AT_ONCE = 4096
+#: Passages, and rows, that are judged at once.
+_AT_ONCE, _ROWS = 4096, 1000
 
 
 def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +151,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     found = docs.sparkSession.createDataFrame([], schema)
     for index in _groups(items, item_col, item_text_col):
         def search(batches, index=index):
-            for b in batches:
+            for b in (whole.slice(lo, _ROWS) for whole in batches for lo in range(0, whole.num_rows, _ROWS)):
                 rows = list(index.value.leaks(b.column("_text")))
                 if rows:
                     row, item, _, *figures = zip(*rows, strict=True)
@@ -164,7 +165,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     """The rows of docs, all columns, that hold no copy of a test item (see `find_leaks`)."""
     for index in _groups(items, item_col, item_text_col):
         def keep(batches, index=index):
-            for b in batches:
+            for b in (whole.slice(lo, _ROWS) for whole in batches for lo in range(0, whole.num_rows, _ROWS)):
                 clean = np.ones(b.num_rows, dtype=bool)
                 clean[[r for r, *_ in index.value.leaks(b.column(text_col))]] = False
                 yield b.filter(pa.array(clean))

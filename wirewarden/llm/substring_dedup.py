@@ -30,6 +30,8 @@ from wirewarden.llm.common import (
 
 #: Words of a gram by which windows are represented.
 SEED = 10
+#: Rows whose words are held as arrays at once.
+AT_ONCE = 1000
 
 
 def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
@@ -63,7 +65,7 @@ def _grams(span: int):
             last = np.append(first[1:], len(key))[: len(first)] - 1
             yield pa.RecordBatch.from_arrays([signed(key[first]), pa.array(owner[first]), pa.array(owner[last])], ["key", "low", "high"])
         return step
-    return per_batch(make)
+    return per_batch(make, AT_ONCE)
 
 
 _WINDOW = ["key", "id", "pos", "ref_id", "ref_pos"]
@@ -74,16 +76,18 @@ def _windows(span: int, shared):
     def make():
         def step(b):
             keys, ids, at = [np.empty(0, dtype=U64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-            words = Words(b.column("_text"))
-            grams, whole = words.grams(SEED), words.grams(span)
-            for r, i in enumerate(b.column("_id").to_pylist()):
-                if i is None or not len(least := least_grams(grams(r), span)):
-                    continue
-                hits = np.flatnonzero(shared.value.contains(least))
-                if len(hits):
-                    keys.append(whole(r)[hits])
-                    ids.append(np.full(len(hits), i))
-                    at.append(hits)
+            for lo in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(lo, AT_ONCE)
+                words = Words(part.column("_text"))
+                grams, whole = words.grams(SEED), words.grams(span)
+                for r, i in enumerate(part.column("_id").to_pylist()):
+                    if i is None or not len(least := least_grams(grams(r), span)):
+                        continue
+                    hits = np.flatnonzero(shared.value.contains(least))
+                    if len(hits):
+                        keys.append(whole(r)[hits])
+                        ids.append(np.full(len(hits), i))
+                        at.append(hits)
             key, owner, pos = np.concatenate(keys), np.concatenate(ids), np.concatenate(at)
             if not len(key):
                 return
@@ -193,7 +197,9 @@ def remove_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def without(batches):
         for b in batches:
-            yield cut(b.filter(pa.array(~may_have(b).to_numpy(zero_copy_only=False))))
+            for lo in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(lo, AT_ONCE)
+                yield cut(part.filter(pa.array(~may_have(part).to_numpy(zero_copy_only=False))))
 
     def within(batches):
         for b in batches:
@@ -201,6 +207,6 @@ def remove_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     plain = source.mapInArrow(without, T.StructType(fields))
     found = source.mapInArrow(within, source.schema).join(spans, "_id", "left")
-    cleaned = found.mapInArrow(lambda batches: map(cut, batches), T.StructType(fields))
+    cleaned = found.mapInArrow(per_batch(lambda: lambda b: [cut(b)], AT_ONCE), T.StructType(fields))
     out = plain.union(cleaned)
     return out.select(F.col("_id").alias(id_col), *[F.col("_carried")[c].alias(c) for c in keep], "text", "n_words", "n_removed", "kept_sha256")
