@@ -50,3 +50,15 @@ def test_token_predicates(spark):
     df = spark.createDataFrame([("⟦REDACTED:PAN⟧", "PAN"), ("x ⟦REDACTED:PAN⟧", None), ("x", None)], "t string, id string")
     assert df.filter(~R.whole_token_id(F.col("t")).eqNullSafe(F.col("id"))).count() == 0
     assert df.filter(R.contains_token(F.col("t"))).count() == 2
+
+
+def test_escaped_values_reach_the_redactor(spark):
+    cases = [
+        (r'{"tel":"\u002B14155552671"}', '{"tel":"⟦REDACTED:PHONE⟧"}', ["PHONE"]), (r'{"mail":"jane\u0040example.com"}', '{"mail":"⟦REDACTED:EMAIL⟧"}', ["EMAIL"]),
+        (r'{"k":"YUBiYy5kZSA\/eEB5ei5pbw=="}', '{"k":"⟦REDACTED:EMAIL⟧"}', ["EMAIL"]), (r'{"a":"tab\tonly"}', None, []), (r'{"\u0063\u0076v":"123"}', r'{"\u0063\u0076v":"⟦REDACTED:CVV⟧"}', ["CVV"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string")
+    want = {i: (t if e is None else e, p) for i, (t, e, p) in enumerate(cases)}
+    assert {r.i: (r.t, r.patterns) for r in R.redact(df, "t").collect()} == want
+    assert {r.i: (r.t, r.patterns) for r in R.redact_record(df, "t").collect()} == want
+    assert R.redact(spark.createDataFrame([(r'{"from":"10\u002e1\u002e2\u002e3"}',)], "t string"), "t", ip=True).first().t == '{"from":"⟦REDACTED:IP⟧"}'

@@ -32,10 +32,12 @@ IBAN_LENGTHS = dict(pair.split() for pair in (
 _CVV_NAME = r"(?:card[_-]?)?(?:cvv2?|cvc2?|csc|security[_-]?code)"
 _CVV_KEY = re.compile(rf"{_CVV_NAME}", re.I | re.A)
 _SPACE = r"[\s ﻿]"
+#: A JSON escape that may stand for a character of a pattern: strings are decoded before they are scanned.
+_ESCAPE = r"\\(?:u[0-9a-fA-F]{4}|/)"
 #: The union of what every pattern needs, for the JVM (also valid for RE2).
-ANCHOR = (r"[0-9][0-9 -]{11,}[0-9]|@|[A-Za-z]{2}[0-9]{2}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\+[0-9]|(?i:cvv|cvc|csc|security)|_live_|_test_|eyJ|(?i:bearer)|[A-Za-z0-9+/_-]{20}")
+ANCHOR = (r"[0-9][0-9 -]{11,}[0-9]|@|[A-Za-z]{2}[0-9]{2}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\+[0-9]|(?i:cvv|cvc|csc|security)|_live_|_test_|eyJ|(?i:bearer)|[A-Za-z0-9+/_-]{20}|" + _ESCAPE)
 #: Same for addresses, which are not looked for unless asked.
-IP_ANCHOR = r"[0-9]+\.[0-9]+\.|[0-9a-fA-F]*:[0-9a-fA-F]*:"
+IP_ANCHOR = r"[0-9]+\.[0-9]+\.|[0-9a-fA-F]*:[0-9a-fA-F]*:|" + _ESCAPE
 
 
 @dataclass(frozen=True)
