@@ -64,3 +64,15 @@ def test_quality_without_labels_or_rows(spark):
     assert {r.score for r in quality.score(frame(spark, texts()), none, F.lit(True)).collect()} == {0.5}
     assert {r.score for r in quality.score(frame(spark, [(1, "a")]), spark.createDataFrame([(1, 1)], "doc_id long, quality int"), F.lit(True)).collect()} == {1.0}
     assert quality.score(frame(spark, []), none, F.lit(True)).collect() == []
+
+
+def test_every_language_is_learned_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 2)
+    monkeypatch.setattr(language_id, "MAX_SAMPLE", 60)
+    names = [f"l{j}" for j in range(8)]
+    rows = [(f"word {lang} {k}", lang) for lang in names for k in range(30)] + [("the hot text", "l0")] * 500
+    docs = spark.createDataFrame(sorted(rows, key=lambda r: r[1]), "text string, lang string").coalesce(1)
+    seen = []
+    monkeypatch.setattr(language_id.Network, "fit", lambda self, windows, labels: seen.append([len(windows), *[int((labels == j).sum()) for j in range(len(self.languages))]]))
+    assert language_id.train(docs).languages == names
+    assert seen == [[48, *[6] * 8]]  # 60 // (3 * 8) = 2 distinct texts of each, 3 windows a text

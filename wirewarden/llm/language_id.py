@@ -1,7 +1,8 @@
 """Language identification with a byte convolutional network, trained here in numpy.
 
 Bytes are embedded; filters of several widths, ReLU, the maximum over the window and a softmax follow. The network
-is fitted on a bounded sample of labelled rows: at most SAMPLE_PER_LANGUAGE texts of each language, chosen by hash, of each
+is fitted on a bounded sample of labelled rows: the same number of distinct texts of each language (SAMPLE_PER_LANGUAGE, or an even
+share of MAX_SAMPLE windows where there are too many languages for that, one text at least), those with the least hashes, of each
 WINDOWS_PER_TEXT windows. Prediction cuts every whole text into windows of WINDOW bytes that overlap by the widest filter
 less one, so that no byte sequence a filter could see is missed, and averages the windows' log probabilities by
 their bytes. Weights are a few kilobytes; texts are never shuffled.
@@ -12,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirewarden.llm.common import binary, checkpoint, per_batch
@@ -100,10 +101,16 @@ def cut(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network of the languages of docs, or None if there is none. Rows without a language or without a letter are skipped."""
     rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
-    counts = checkpoint(rows.groupBy("_lang").agg(F.count("*").alias("_n")))
-    rows = rows.join(F.broadcast(counts) if counts.count() <= MAX_BROADCAST_LANGUAGES else counts, "_lang")
-    share = F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) / 1e6
-    rows = rows.filter(share * F.col("_n") <= 2 * SAMPLE_PER_LANGUAGE).select("_text", "_lang")
+    rows = rows.withColumn("_hash", F.xxhash64("_text"))
+    counts = checkpoint(rows.groupBy("_lang").agg(F.approx_count_distinct("_hash").alias("_n")))
+    n_languages = counts.count()
+    quota = max(1, min(SAMPLE_PER_LANGUAGE, MAX_SAMPLE // (WINDOWS_PER_TEXT * max(1, n_languages))))
+    rows = rows.join(F.broadcast(counts) if n_languages <= MAX_BROADCAST_LANGUAGES else counts, "_lang")
+    # About twice as many distinct texts as are needed; copies of one text are one row of the rank.
+    share = F.shiftrightunsigned("_hash", 11) / float(1 << 53)
+    rows = rows.filter(share * F.col("_n") <= 2 * SAMPLE_PER_LANGUAGE).groupBy("_lang", "_hash").agg(F.min("_text").alias("_text"))
+    order = Window.partitionBy("_lang").orderBy("_hash")
+    rows = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= quota).select("_text", "_lang")
 
     def windows(batches):
         for b in batches:
@@ -116,7 +123,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
                     lang.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(lang, pa.string())], ["window", "lang"])
 
-    sample = rows.mapInArrow(windows, "window binary, lang string").limit(MAX_SAMPLE).collect()
+    sample = rows.mapInArrow(windows, "window binary, lang string").collect()
     if not sample:
         return None
     languages = sorted({r.lang for r in sample})
