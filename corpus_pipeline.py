@@ -26,8 +26,10 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and those without a letter."""
+    """Drops documents without a language: null texts and those without a letter, also where no row has a label to learn from."""
     network = language_id.train(docs)
+    if network is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     kept = language_id.predict(docs, network, keep=COLUMNS[1:])
     return kept.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
