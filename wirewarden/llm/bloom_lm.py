@@ -1,14 +1,18 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training documents are counted by Spark: words, then pairs of a context and a word. A context is a word with at least
-CONTEXT_SHARE of all tokens; the second word of a pair has at least WORD_SHARE of them. A count c is quantised to level
-1 + floor(log_BASE(c)), and a filter holds every (n-gram, j) for j up to the n-gram's level: a count is read back by probing
-j = 1, 2, ... until a probe fails. The filter is broadcast and never larger than a documented number of bytes; n-grams
-are kept from the least count up with which the filter fits, what falls below is scored by the shorter n-gram.
+Training documents are counted by Spark: words, then all pairs of a word and the one that follows it. A count c is quantised to
+level 1 + floor(log_BASE(c)). The filter holds (pair, j) for j up to the pair's level: a count is read back by probing
+j = 1, 2, ... until a probe fails. It is broadcast and never larger than a documented number of bytes, and holds the pairs from the
+least level up with which it fits. Nothing is left out of the model for that: a pair below that level, and every pair whose second word's
+count is not broadcast, is read from the table of counts by a join on its hash, as is every such word.
 
-Score of a word w after h: (c(h w) + k p(w)) / (c(h) + k) if h is a context, else p(w), with p(w) = (c(w) + 1) / (N + V + 1), counts
-as the filter has them. k, the weight of the shorter n-gram, is the candidate with the greatest likelihood of the
-training texts, each of a pair's own occurrences left out.
+Score of a word w after h: (c(h w) + k p(w)) / (c(h) + k), at a text's start p(w), with p(w) = (c(w) + 1) / (N + V + 1), counts
+quantised. k, the weight of the shorter n-gram, is the candidate with the greatest likelihood of the training texts,
+each of a pair's own occurrences left out. The log of a text's score is a sum over its words and over its counted pairs,
+
+    log p(w)    log(k / (c(h) + k))    log(1 + c(h w) / (k p(w)))
+
+so that each part is known where its count is, and no n-gram has to meet another one's count in a join.
 
 The exact base score needs exact counts of all words. The most frequent ones, a bounded number, are broadcast; a
 document's occurrences of the others are joined with the counts, so that no table that grows with the vocabulary is
@@ -17,17 +21,18 @@ broadcast.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirewarden.llm.common import U64, Words, build_filter, checkpoint, mix, per_batch, remainder, signed
+from wirewarden.llm.common import U64, Words, build_filter, mix, per_batch, remainder, signed
 
-#: Least share of the tokens that a context and a pair's second word have.
-CONTEXT_SHARE, WORD_SHARE = 1e-4, 1e-6
 #: Quantisation base, bits for each event, probes for each, and the bound of the filter.
 BASE, BITS, PROBES, FILTER_BYTES = 1.5, 9.0, 5, 64 << 20
 #: Words whose exact counts are broadcast: at most so many, 16 bytes each.
@@ -61,23 +66,39 @@ def _look_up(sorted_keys: np.ndarray, values: np.ndarray, keys: np.ndarray, othe
     return np.where(sorted_keys[at] == keys, values[at], other)
 
 
-def _pairs(tokens: np.ndarray, bounds: np.ndarray, code: np.ndarray, values: np.ndarray, contexts: np.ndarray, frequent: np.ndarray):
-    """((indices of the tokens that follow a context in their row, which of them are frequent words), hashes of the latter's pairs)."""
-    is_context, is_frequent = np.isin(values, contexts)[code], np.isin(values, frequent)[code]
-    is_context[bounds[1:] - 1] = False  # a row's end is no context of the next row
-    at = np.flatnonzero(is_context[:-1]) + 1
-    often = is_frequent[at]
-    return (at, often), mix(tokens[at[often] - 1] * _PAIR + tokens[at[often]])
+def _pairs(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the tokens that follow another one in their row, and the hashes of the pairs."""
+    follows = np.ones(len(tokens), dtype=bool)
+    follows[bounds[:-1]] = False
+    at = np.flatnonzero(follows)
+    return at, mix(tokens[at - 1] * _PAIR + tokens[at])
+
+
+def _per_row(owner: np.ndarray, keys: np.ndarray):
+    """(row, key, times) of each distinct key of a row."""
+    order = np.lexsort((keys, owner))
+    key, own = keys[order], owner[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
+    return own[at], key[at], np.diff(np.append(at, len(key)))
 
 
 def quantise(counts):
     return 1 + F.floor(F.log(F.greatest(counts, F.lit(1))) / float(np.log(BASE)) + 1e-9).cast("int")
 
 
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """`quantise` for arrays; 0 for a count of 0."""
+    return np.where(counts > 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9), 0).astype(np.int64)
+
+
 #: The count that a level stands for: the middle of those that have it.
 LEVEL_COUNT = np.array([0.0] + [max(1.0, (BASE ** (j - 1) + BASE**j - 1) / 2) for j in range(1, MAX_LEVEL + 1)])
 
 
+def level_count(level):
+    return F.when(level > 0, F.greatest(F.lit(1.0), (F.pow(F.lit(BASE), level - 1) + F.pow(F.lit(BASE), level) - 1) / 2)).otherwise(0.0)
+
+
 def _sums(counts: DataFrame) -> dict[int, int]:
     return {r.level: r.n for r in counts.groupBy(quantise(F.col("n")).alias("level")).agg(F.count("*").alias("n")).collect()}
 
@@ -89,40 +110,53 @@ def _rows(keys: str):
     return batch
 
 
-class Model:
-    """What the workers get: the filter, the counts that are exact, and the totals."""
+def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df from Parquet files in the cluster's shared folder: columns take a fifth of the space of a checkpoint's rows."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    path = f"{context.getCheckpointDir()}/bloom-lm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
 
-    def __init__(self, tokens, vocabulary, words, counts, exact_from, contexts, frequent, bits, weight=None):
-        self.tokens, self.vocabulary = tokens, vocabulary
-        self.words, self.counts, self.exact_from = words, counts, exact_from
-        self.contexts, self.frequent, self.bits, self.weight = contexts, frequent, bits, weight
+class Model:
+    """What the workers get: the filter, the counts that are exact, and the totals. `least` is the least level that the filter holds; `whole`
+    says that it holds all pairs whose second word has an exact count here."""
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        return LEVEL_COUNT[self.bits.levels(keys, MAX_LEVEL)]
+    def __init__(self, tokens, vocabulary, words, counts, bits, least, whole, weight):
+        self.tokens, self.vocabulary, self.words, self.counts = tokens, vocabulary, words, counts
+        self.bits, self.least, self.whole, self.weight = bits, least, whole, weight
 
     def parts(self, tokens: np.ndarray, bounds: np.ndarray):
-        """p(w) of each token; for tokens after a context: index, c(h w), c(h). Each distinct n-gram is probed once."""
+        """(exact count of each token or 0, what is known here of each token's log10 score, indices of the tokens whose pair is to be joined, those
+        pairs). Each distinct n-gram is probed once."""
         code, values = pd.factorize(tokens)
-        counts = self.count(values)
-        p = ((counts + 1) / (self.tokens + self.vocabulary + 1))[code]
-        at, pair = _pairs(tokens, bounds, code, values, self.contexts, self.frequent)
-        kept, frequent = at
-        both = np.zeros(len(kept))
-        if len(pair):
-            pair_code, pairs = pd.factorize(pair)
-            both[frequent] = self.count(pairs)[pair_code]
-        before = counts[code[kept - 1]]
-        return p, kept, np.minimum(both, before), before
-
-    def log10(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        p, at, both, before = self.parts(tokens, bounds)
-        out = np.log10(p)
-        out[at] = np.log10((both + self.weight * p[at]) / (before + self.weight))
-        return out
-
-
-def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame]:
-    """The model and the exact counts (key, n) of the words of docs, a document's end counted as a word."""
+        exact = _look_up(self.words, self.counts, values, 0)
+        count = LEVEL_COUNT[level_of(exact)]
+        p = (count + 1) / (self.tokens + self.vocabulary + 1)
+        context = np.log10(self.weight / (count + self.weight))
+        known = exact > 0
+        out = np.where(known, np.log10(p), 0.0)[code]
+        at, pair = _pairs(tokens, bounds)
+        before, after = code[at - 1], code[at]
+        out[at] += np.where(known, context, 0.0)[before]
+        here = known[after]
+        pair_code, pairs = pd.factorize(pair)
+        probed = np.zeros(len(pairs), dtype=bool)
+        probed[pair_code[here]] = True
+        levels = np.zeros(len(pairs), dtype=np.int64)
+        levels[probed] = self.bits.levels(pairs[probed], MAX_LEVEL)
+        held = (levels >= self.least)[pair_code] & here
+        both = LEVEL_COUNT[levels[pair_code[held]]]
+        out[at[held]] += np.log10(1 + both / (self.weight * p[after[held]]))
+        rest = ~held & ~here if self.whole else ~held
+        return exact[code], out, at[rest], pair[rest]
+
+
+def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the counts (key, n) of the words of docs that it does not have, a document's end counted as a word, and the pairs that
+    the filter does not hold (key, 256 * the pair's level + its second word's)."""
     spark = docs.sparkSession
     source = docs.select(F.col(text_col).alias("_text"))
 
@@ -130,7 +164,7 @@ def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BY
         for b in batches:
             yield _rows("key")(*_count(_tokens(b.column("_text"))[0]))
 
-    counts = checkpoint(source.mapInArrow(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    counts = _stored(spark, source.mapInArrow(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = totals.n or 0, totals.v
     levels = _sums(counts)
@@ -143,42 +177,53 @@ def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BY
     keys, c = exact.column("key").to_numpy().view(U64), exact.column("n").to_numpy()
     order = np.argsort(keys)
     keys, c = keys[order], c[order]
-    contexts = keys[c >= max(2, CONTEXT_SHARE * n)]  # at most 1 / CONTEXT_SHARE, and all of them exact
-    frequent = keys[c >= max(2, WORD_SHARE * n)]
-    sent = spark.sparkContext.broadcast((contexts, frequent))
+    sent = spark.sparkContext.broadcast((keys, level_of(c).astype(np.int32)))
 
     def pairs(batches):
-        contexts, frequent = sent.value
+        """The level of a pair's second word, or the word where it is not known here."""
+        words, known = sent.value
         for b in batches:
-            tokens, bounds = _tokens(b.column("_text"))
-            yield _rows("key")(*_count(_pairs(tokens, bounds, *pd.factorize(tokens), contexts, frequent)[1]))
-
-    both = checkpoint(source.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"))
-    sums = {(kind, level): k for kind, table in ((1, counts), (2, both)) for level, k in _sums(table).items()}
-    room, events, least = filter_bytes * 8 / BITS, 0, MAX_LEVEL
-    for level in sorted({j for _, j in sums}, reverse=True):
-        more = level * sum(k for (_, j), k in sums.items() if j == level)
-        if events + more > room:
+            for lo in range(0, b.num_rows, 5000):
+                tokens, bounds = _tokens(b.column("_text").slice(lo, 5000))
+                at, pair = _pairs(tokens, bounds)
+                code, distinct = pd.factorize(pair)
+                first = np.zeros(len(distinct), dtype=np.int64)
+                first[code[::-1]] = at[::-1]
+                columns = [signed(distinct), pa.array(np.bincount(code, minlength=len(distinct)))]
+                own = tokens[first]
+                level = _look_up(words, known, own, 0).astype(np.int32)
+                columns += [pa.array(level), pa.array(own.view(np.int64), mask=level > 0)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "lw", "w"])
+
+    both = source.mapInArrow(pairs, "key long, n long, lw int, w long").groupBy("key").agg(F.sum("n").alias("n"), F.max("lw").alias("lw"), F.max("w").alias("w"))
+    both = _stored(spark, both)
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of what is stored are deleted
+    level = quantise(F.col("n")).alias("level")
+    known, rare = both.filter(F.col("w").isNull()).select("key", "n", level, "lw"), None
+    if held > MAX_EXACT:
+        found = counts.filter(quantise(F.col("n")) < exact_level).select(F.col("key").alias("w"), quantise(F.col("n")).alias("lw"))
+        rare = _stored(spark, both.filter(F.col("w").isNotNull()).select("key", "n", level, "w").join(found, "w").select("key", "n", "level", "lw"))
+        spark.sparkContext._jvm.System.gc()
+    shapes = []
+    for table in [known] if rare is None else [known, rare]:
+        shapes.append(table.groupBy("level", "lw").agg(F.sum("n").alias("n"), F.count("*").alias("k")).toPandas())
+    room, events, least, whole = filter_bytes * 8 / BITS, 0, MAX_LEVEL + 1, True
+    sums = shapes[0].groupby("level")["k"].sum()
+    for level in sorted(sums.index, reverse=True):
+        if events + level * sums[level] > room:
+            whole = False
             break
-        events, least = events + more, level
-    grams = counts.union(both).withColumn("level", quantise(F.col("n"))).filter(F.col("level") >= least).select("key", "level")
-    bits = build_filter(grams, events, bits_per_event=BITS, probes=PROBES, max_bytes=filter_bytes)
-    model = Model(n, v, keys, c, exact_level, contexts, frequent, bits)
-    known = spark.sparkContext.broadcast(model)
-
-    def likelihoods(batches):
-        total = np.zeros(len(WEIGHTS))
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                p, at, both, before = known.value.parts(*_tokens(b.column("_text").slice(lo, 2000)))
-                own, less = np.maximum(both - 1, 0), np.maximum(before - 1, 0)
-                total += [np.log10((own + k * p[at]) / (less + k)).sum() for k in WEIGHTS]
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.tolist()], [f"w{j}" for j in range(len(WEIGHTS))])
-
-    names = [f"w{j}" for j in range(len(WEIGHTS))]
-    best = source.mapInArrow(likelihoods, ", ".join(f"{x} double" for x in names)).agg(*[F.sum(x).alias(x) for x in names]).first()
-    model.weight = WEIGHTS[int(np.argmax([x if x is not None else 0.0 for x in best]))]
-    return model, counts
+        events, least = events + level * sums[level], level
+    bits = build_filter(known.filter(F.col("level") >= int(least)).select("key", "level"), int(events), bits_per_event=BITS, probes=PROBES, max_bytes=filter_bytes)
+    every = pd.concat(shapes)
+    own, p = np.maximum(LEVEL_COUNT[every["level"].to_numpy(int)] - 1, 0), (LEVEL_COUNT[every["lw"].to_numpy(int)] + 1) / (n + v + 1)
+    first = counts.filter(F.col("key") != int(_END.view(np.int64))).groupBy(quantise(F.col("n")).alias("level")).agg(F.sum("n").alias("n")).toPandas()  # each is followed by a token
+    less = np.maximum(LEVEL_COUNT[first["level"].to_numpy(int)] - 1, 0)
+    best = [float((every["n"].to_numpy(float) * np.log10(own + k * p)).sum() - (first["n"].to_numpy(float) * np.log10(less + k)).sum()) for k in WEIGHTS]
+    model = Model(n, v, keys, c, bits, 1 if whole else int(least), whole, WEIGHTS[int(np.argmax(best))])
+    rest = known.filter(F.lit(not whole) & (F.col("level") < int(least)))
+    spark.sparkContext._jvm.System.gc()
+    return model, counts.filter(quantise(F.col("n")) < exact_level), (rest if rare is None else rest.union(rare)).select("key", (F.col("level") * 256 + F.col("lw")).cast("long").alias("levels"))
 
 
 def score(docs: DataFrame, train_on, *, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -191,11 +236,11 @@ def score(docs: DataFrame, train_on, *, id_col: str = "doc_id", text_col: str =
     without an id. Columns not named are not read.
     """
     spark = docs.sparkSession
-    model, counts = train(docs.filter(train_on), text_col, filter_bytes)
+    model, counts, pairs = train(docs.filter(train_on), text_col, filter_bytes)
     known = spark.sparkContext.broadcast(model)
     denominator = float(np.log10(model.tokens + model.vocabulary + 1))
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.coalesce(~train_on, F.lit(True)).alias("held_out"))
-    names = ["row", "_id", "held_out", "n_tokens", "n_known", "base", "score", "key", "times"]
+    names = ["row", "_id", "held_out", "n_tokens", "n_known", "base", "score", "key", "times", "pair_times"]
 
     def make():
         made = [TaskContext.get().partitionId() << 36]
@@ -207,33 +252,37 @@ def score(docs: DataFrame, train_on, *, id_col: str = "doc_id", text_col: str =
             row = made[0] + np.arange(n)
             made[0] += n
             owner = np.repeat(np.arange(n), np.diff(bounds))
-            c = _look_up(m.words, m.counts, tokens, 0)
+            c, scores, at, pair = m.parts(tokens, bounds)
             total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every row has its end token
             exact = c > 0
             base = total(np.where(exact, np.log10(c + 1.0) - denominator, 0.0))
-            scores = total(m.log10(tokens, bounds))
             rest = np.flatnonzero(~exact)
-            order = np.lexsort((tokens[rest], owner[rest]))
-            key, own = tokens[rest][order], owner[rest][order]
-            at = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
-            times = np.diff(np.append(at, len(key)))
-            k = len(at)
-            pad = lambda a: pa.concat_arrays([a, pa.nulls(k, a.type)])
+            own, key, times = _per_row(owner[rest], tokens[rest])
+            own_pair, key_pair, times_pair = _per_row(owner[at], pair)
+            k, k_pair = len(key), len(key_pair)
+            pad = lambda a: pa.concat_arrays([a, pa.nulls(k + k_pair, a.type)])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([row, row[own[at]]])), pad(b.column("_id")), pad(b.column("held_out")), pad(pa.array(np.diff(bounds))),
-                pad(pa.array(total(exact.astype(np.int64)))), pad(pa.array(base)), pad(pa.array(scores)),
-                pa.concat_arrays([signed(mix(row.astype(U64) + U64(1))), signed(key[at])]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))]),
+                pa.array(np.concatenate([row, row[own], row[own_pair]])), pad(b.column("_id")), pad(b.column("held_out")), pad(pa.array(np.diff(bounds))),
+                pad(pa.array(total(exact.astype(np.int64)))), pad(pa.array(base)), pad(pa.array(total(scores))),
+                pa.concat_arrays([signed(mix(row.astype(U64) + U64(1))), signed(key), signed(key_pair)]),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64)), pa.nulls(k_pair, pa.int64())]),
+                pa.concat_arrays([pa.nulls(n + k, pa.int64()), pa.array(times_pair.astype(np.int64))]),
             ], names)
 
         return step
 
-    made = source.mapInArrow(per_batch(make, 2000), "row long, _id long, held_out boolean, n_tokens long, n_known long, base double, score double, key long, times long")
-    joined = made.join(counts, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    made = source.mapInArrow(per_batch(make, 2000), "row long, _id long, held_out boolean, n_tokens long, n_known long, base double, score double, key long, times long, pair_times long")
+    joined = made.join(counts.union(pairs), "key", "left").withColumn("c", F.when(F.col("times").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0))
+    own, after = level_count(F.shiftright("n", 8)), level_count(F.col("n").bitwiseAND(255))
+    gain = F.log10(1 + own * float(model.tokens + model.vocabulary + 1) / (F.lit(model.weight) * (after + 1)))
+    level = F.when(F.col("c") > 0, quantise(F.col("c"))).otherwise(0)
+    context = F.when(F.col("key") == int(_END.view(np.int64)), 0.0).otherwise(F.log10(F.lit(model.weight) / (level_count(level) + F.lit(model.weight))))
+    word = F.log10(level_count(level) + 1) - F.lit(denominator) + context
     whole = joined.groupBy("row").agg(
         F.max("_id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("times"))), F.lit(0))).alias("n_known"),
         (F.max("base") + F.coalesce(F.sum(F.col("times") * (F.log10(F.col("c") + 1.0) - F.lit(denominator))), F.lit(0.0))).alias("base_score"),
-        F.max("score").alias("score"))
+        (F.max("score") + F.coalesce(F.sum(F.col("times") * word), F.lit(0.0)) + F.coalesce(F.sum(F.when(F.col("pair_times").isNotNull() & F.col("n").isNotNull(), F.col("pair_times") * gain)), F.lit(0.0))).alias("score"))
     return whole.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
