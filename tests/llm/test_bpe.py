@@ -1,4 +1,5 @@
 import hashlib
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -80,3 +81,22 @@ def test_a_rank_that_comes_back_lower_is_applied_first():
             symbols = symbols[:i] + [merges[r][2]] + symbols[i + 2 :]
     for word in (b"abab", b"ababb", b"aabb", b"ab", b"bababb"):
         assert bpe.encode_words([word], v)[0].tolist() == slow([0 if c == 97 else 1 for c in word[:-1]] + [0 if word[-1] == 97 else 2])
+
+
+def test_every_code_point(encoder, library):
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    texts = [f"a{c}b" for c in points] + [f"x{d}y" for c in points if len(d := unicodedata.normalize("NFD", c)) > 1]
+    expected = library.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, expected, strict=True) if both(encoder, t)[0] != e.ids] == []
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=12))
+def test_equals_the_library_on_any_text(encoder, library, text):
+    assert both(encoder, text)[0] == library.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=[chr(p) for a, b in bpe.NEW_MARKS for p in range(a, b + 1)] + list("aẹ́́̈́ͅ가"), max_size=12))
+def test_marks_of_newer_versions(encoder, library, text):
+    assert both(encoder, text)[0] == library.encode(text, add_special_tokens=False).ids

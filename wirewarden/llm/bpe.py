@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -23,9 +25,63 @@ from wirewarden.llm.common import per_batch
 
 #: A worker forgets its words beyond this many.
 MAX_CACHED_WORDS = 250_000
-#: The pre-tokenizer's pattern, with the white space that its regular-expression engine means by \\s.
-_SPACE = r"\t-\r\x20\x85\xa0  -     　"
-_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"
+#: What the pre-tokenizer's regular-expression engine means by \\s.
+_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The letters and numbers that Unicode 16.0 has beyond 15.1, and the capitals that Unicode 16.0 and 17.0 have beyond it with their
+#: distance to the small letter. The tokenizer's classes are those of 16.0; its lower case is that of 17.0.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+
+
+#: Combining marks that Unicode has since 10.0, and one letter that composes since 13.0. The tokenizer normalises by 9.0: none of them is
+#: put in order or composed.
+NEW_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE),
+    (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070),
+    (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34),
+    (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1),
+    (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+_NEW_MARK = re.compile("([" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in NEW_MARKS) + "])")
+_SMALL = {p: p + distance for a, b, distance in CAPITALS for p in range(a, b + 1)}
+
+
+def _pattern(letter: str, number: str) -> str:
+    """The pre-tokenizer's pattern over two character classes."""
+    return rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+"
+
+
+def _ranges(points: np.ndarray) -> str:
+    """Sorted code points as the inside of a character class."""
+    cuts = np.flatnonzero(np.diff(points) != 1) + 1
+    return "".join(rf"\U{own[0]:08x}-\U{own[-1]:08x}" for own in np.split(points, cuts)) if len(points) else ""
+
+
+def character_classes() -> tuple[str, str, str]:
+    """Letters and numbers of Unicode 16.0 as character classes, and the code points that `regex` puts into another class."""
+    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, sys.maxunicode + 1)))
+    first = np.array([unicodedata.category(c)[0] for c in every])
+    other = np.zeros(len(every), dtype=bool)
+    held = []
+    for kind, added in (("L", LETTERS_16), ("N", NUMBERS_16)):
+        own, regexes = first == kind, np.zeros(len(every), dtype=bool)
+        for a, b in added:
+            own[a : b + 1] = True
+        for run in regex.finditer(rf"\p{{{kind}}}+", every):
+            regexes[run.start() : run.end()] = True
+        other |= own != regexes
+        own[:128] = False
+        held.append(own)
+    letter, number = held
+    return r"A-Za-z" + _ranges(np.flatnonzero(letter)), "0-9" + _ranges(np.flatnonzero(number)), _ranges(np.flatnonzero(other))
 
 
 def byte_symbols() -> list[str]:
@@ -44,6 +100,7 @@ class Vocabulary:
         model = file["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.letter, self.number, self.other = character_classes()
         self.token = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], dtype=np.int64)
@@ -128,7 +185,10 @@ class Encoder:
         self.vocabulary = vocabulary
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
-        self.pattern = regex.compile(_PATTERN)
+        self.pattern = regex.compile(_pattern(r"\p{L}", r"\p{N}"))
+        #: Code points about which `regex` and the tokenizer disagree: texts that hold one go by a slower pattern.
+        self.other = re.compile(f"[{vocabulary.other}]") if vocabulary.other else None
+        self.exact = re.compile(_pattern(vocabulary.letter, vocabulary.number))
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self._remember_special()
 
@@ -150,9 +210,12 @@ class Encoder:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter
-        return self.pattern.findall(text.lower())
+        if text.isascii():
+            return self.pattern.findall(text.lower())
+        text = "".join(unicodedata.normalize("NFC", part) for part in _NEW_MARK.split(text)) if _NEW_MARK.search(text) else unicodedata.normalize("NFC", text)
+        text = text.replace("Σ", "σ").lower().translate(_SMALL)  # lower case letter by letter
+        rare = self.other is not None and self.other.search(text)
+        return (self.exact if rare else self.pattern).findall(text)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.ids]
