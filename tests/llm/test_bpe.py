@@ -1,6 +1,7 @@
 import hashlib
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,17 +87,20 @@ def test_a_rank_that_comes_back_lower_is_applied_first():
 def test_every_code_point(encoder, library):
     points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
     texts = [f"a{c}b" for c in points] + [f"x{d}y" for c in points if len(d := unicodedata.normalize("NFD", c)) > 1]
-    expected = library.encode_batch(texts, add_special_tokens=False)
-    assert [t for t, e in zip(texts, expected, strict=True) if both(encoder, t)[0] != e.ids] == []
+    for lo in range(0, len(texts), 50_000):
+        some = texts[lo : lo + 50_000]
+        expected, own = library.encode_batch(some, add_special_tokens=False), [encoder.pieces(t) for t in some]
+        encoder.learn(set().union(*own))
+        assert [t for t, w, e in zip(some, own, expected, strict=True) if b"".join(encoder.ids[x] for x in w) != np.array(e.ids, dtype="<u4").tobytes()] == []
 
 
-@settings(max_examples=1000, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=12))
 def test_equals_the_library_on_any_text(encoder, library, text):
     assert both(encoder, text)[0] == library.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=500, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=[chr(p) for a, b in bpe.NEW_MARKS for p in range(a, b + 1)] + list("aẹ́́̈́ͅ가"), max_size=12))
 def test_marks_of_newer_versions(encoder, library, text):
     assert both(encoder, text)[0] == library.encode(text, add_special_tokens=False).ids
