@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -21,21 +22,53 @@ def brute(rows):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= 75 * len(a | b)
+    rows = [(i, shingles(t)) for i, t in rows if i is not None]
+    return {i: (len(s), find(i), sum(linked(s, t) for _, t in rows) - bool(s)) for i, s in rows}
 
 
-@pytest.mark.parametrize("block", [3, 512])
-def test_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,shingles,long", [(3, 1 << 18, 3), (512, 600, 0), (512, 1 << 18, 3)])
+def test_equals_brute_force(spark, monkeypatch, block, shingles, long):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(J, "LONG", long)
     rows = texts()
     got = J.jaccard_components(frame(spark, rows)).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
     expected = brute(rows)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == expected
-    assert len({c for _, c in expected.values()}) < len(expected) - 20
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got if r.doc_id is not None} == expected
+    assert len({c for _, c, _ in expected.values()}) < len(expected) - 20
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_small_sets_in_many_sizes(spark):
+    """Sets on both sides of the boundary, of which many link across sizes."""
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(16)]
+    rows = []
+    for i in range(150):
+        own = base[: rng.randint(6, 16)]
+        if rng.random() < 0.6:
+            own[rng.choice([0, -1])] = f"v{rng.randint(0, 3)}"
+        rows.append((i, " ".join(own)))
+    got = J.jaccard_components(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == brute(rows)
+
+
+def test_large_ids_beside_a_null_one(spark):
+    own = [f"w{i}" for i in range(61)]
+    rows = [(2**60 + 1, " ".join(own[:60])), (2**60 + 3, " ".join(own)), (None, " ".join(own)), (-5, "x")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in J.jaccard_components(frame(spark, rows, 1)).collect()}
+    assert got == {2**60 + 1: (56, 2**60 + 1, 1), 2**60 + 3: (57, 2**60 + 1, 1), None: (57, None, None), -5: (1, -5, 0)}
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, b), (2, c), (3, c), (4, a), (5, "")]
+    got = sorted((r.doc_id, r.component_id, r.n_links) for r in J.jaccard_components(frame(spark, rows)).collect())
+    assert got == [(1, 1, 1), (2, 2, 0), (2, 2, 1), (3, 2, 1), (4, 1, 1), (5, 5, 0)]
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(frame(spark, [])).collect() == []
 

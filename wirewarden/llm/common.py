@@ -37,6 +37,22 @@ def remainder(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
+    """left with the columns of right (one row a key; null where there is none). right's `_rows`, which is dropped, says how many rows of left have
+    the key, `total` how many there are in all. Keys with more than a 10,000th of the rows, of which there can't be 10,000, are broadcast;
+    only the rows of the others are shuffled."""
+    hot = F.col("_rows") > max(1, total // 10_000)
+    columns = [c for c in right.columns if c not in (on, "_rows")]
+    known = left.join(F.broadcast(right.filter(hot).withColumn("_hot", F.lit(True)).drop("_rows")), on, "left")
+    rest = known.filter(F.col("_hot").isNull()).select(*left.columns).join(right.filter(~hot).drop("_rows"), on, "left")
+    return known.filter(F.col("_hot")).select(*left.columns, *columns).union(rest.select(*left.columns, *columns))
+
+
+def key_array(ids: pa.Array) -> np.ndarray:
+    """Integer ids as 64-bit keys; nulls are 0."""
+    return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+
+
 # --- words -----------------------------------------------------------------------------------------------------------
 
 
@@ -272,7 +288,7 @@ def exclude(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
         def run(batches):
             for b in batches:
                 own = b.column(column)
-                hit = held.value.contains(own.fill_null(0).to_numpy().astype(np.int64).view(U64)) & own.is_valid().to_numpy(zero_copy_only=False)
+                hit = held.value.contains(key_array(own)) & own.is_valid().to_numpy(zero_copy_only=False)
                 yield b.filter(pa.array(hit == among))
         return run
 

@@ -1,17 +1,18 @@
-"""N-gram Jaccard join: a size-aware heavy-light set join, exact, with connected components.
+"""N-gram Jaccard join: a size-aware heavy-light set join, exact, with links counted and connected components.
 
 Small sets enumerate fixed-size subsets: two sets that can only link with an intersection of o elements link exactly if
-they share an o-element subset, so a shared subset is a link and nothing has to be verified. Large sets scan inverted
-lists of their rarest shingles, and what meets in a list is verified on whole sets. The boundary between small and large
-is the size at which the summed cost of the two ways is least.
-
-Scale. No pairs are made within an inverted list. Each list only says which *cells* meet in it: a document's cell is
-the smallest document id within two steps over shared lists. Cells that meet are dealt out in blocks of at most
-BLOCK documents, one task for two blocks, which scans the inverted lists of its own documents' whole sets and returns a
-spanning forest of the links it finds, at most one row a document. The shuffled data is a quarter of the shingles (hashes
-and ids), the sets of documents that share a list entry, and small tables. Frequent shingles come last in the order by which
-a set's rarest shingles are chosen, so the lists that matter are short; those that stay long are aggregated with
-partial sums. Exact copies leave one set in each task of the scan.
+they share an o-element subset, so a shared subset is a link and nothing has to be verified; how many sets of a size a set
+links with follows from the subsets' counts by inclusion and exclusion. Large sets scan inverted lists of their rarest
+shingles, and what meets in a list is verified on whole sets. The boundary between small and large is the size at which
+the summed cost of the two ways is least.
+
+Scale. Exact copies are one class, named by a 64-bit digest of its set, from the first shuffle on. No pairs are made within an
+inverted list. Each list only says which *cells* meet in it: a class's cell is the smallest class within two steps over
+shared lists. Cells that meet are dealt out in blocks, bounded by sets and by shingles, one task for two blocks, which scans
+the inverted lists of its own sets and returns a spanning forest and the number of links of each set. The shuffled data is a
+quarter of the shingles (hashes and classes), the sets of classes that share a list entry, and small tables. Frequent shingles
+come last in the order by which a set's rarest shingles are chosen, so the lists that matter are short; those that stay long
+are salted and aggregated with partial sums. What hangs on a hot class or component is joined by `hot_join`.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirewarden.llm.common import (
-    U64, Words, build_filter, checkpoint, distinct, id_filter, mix, per_batch, rolling, signed,
+    U64, Words, build_filter, checkpoint, distinct, hot_join, id_filter, key_array, mix, per_batch, rolling, signed,
 )
 from wirewarden.llm.components import connected_components
 
-#: Most documents in each of the two blocks that one verification task compares.
-BLOCK = 512
+#: Sets, and shingles, in each of the two blocks that one verification task compares (a longer set is a block of its own).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+#: Parts into which the entries of a long list are dealt, and slots of a task's table of the sets it has seen.
+SALTS, SEEN = 64, 1 << 18
 #: Shingles that one task counts, and the bound of the broadcast levels.
 COUNTED_AT_ONCE, LEVEL_BYTES = 1 << 20, 64 << 20
 #: Documents that hold a shingle at each level, from 1 on; beyond level LONG its list is aggregated with partial sums.
@@ -80,36 +83,61 @@ def choose_boundary(sizes: dict[int, int], num: int, den: int) -> int:
     return min(range(MAX_SMALL + 1), key=cost)
 
 
-def _subsets(hashes: np.ndarray, boundary: int, num: int, den: int):
-    """(key, kind) of a small set: kind 2 its side is the smaller one, 3 the larger one, 4 equal sizes."""
-    s = len(hashes)
-    for p in partners(s, num, den):
-        if p <= boundary:
-            o = least_overlap(s, p, num, den)
-            salt = U64((min(s, p) * 64 + max(s, p)) * 0x9E3779B97F4A7C15 % (1 << 64))
-            chosen = np.array(list(combinations(hashes.tolist(), o)), dtype=U64)
-            key = np.full(len(chosen), salt)
-            for j in range(o):
-                key = mix(key * U64(0xA0761D6478BD642F) + chosen[:, j])
-            yield key, 4 if p == s else 2 if s < p else 3
-
-
-def _digest(s: np.ndarray) -> tuple[int, int]:
+def _class_of(s: np.ndarray) -> int:
+    """The 64-bit name of a set."""
     h = mix(s + U64(len(s)))
-    return int(np.bitwise_xor.reduce(h)), int(np.add.reduce(mix(h ^ U64(0x5851F42D4C957F2D))))
+    return int(mix(np.bitwise_xor.reduce(h, keepdims=True) + np.add.reduce(mix(h ^ U64(0x5851F42D4C957F2D)), keepdims=True))[0])
 
 
 def _profile(k: int):
-    """The size and digest of each document's set."""
+    """The size and class of each document's set, and the set itself where it may be small."""
     def make():
         def step(b):
             sets = shingle_sets(b.column("_text"), k)
-            digests = [np.array(x, dtype=U64) for x in zip(*map(_digest, sets), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(s) for s in sets], pa.int64()), *map(signed, digests)], ["id", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([
+                b.column("_id"), pa.array([len(s) for s in sets], pa.int64()), signed(np.array([_class_of(s) for s in sets], dtype=U64)),
+                pa.array([s.tobytes() if 0 < len(s) <= MAX_SMALL else None for s in sets], pa.binary())], ["id", "n", "class", "small"])
         return step
     return per_batch(make, 1000)
 
 
+def _subset_keys(hashes: np.ndarray, size: int, j: int) -> np.ndarray:
+    """Keys of the j-element subsets of a set, as looked for among the sets of a size."""
+    chosen = np.array(list(combinations(hashes.tolist(), j)), dtype=U64)
+    key = np.full(len(chosen), U64((size * 64 + j) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    for c in range(j):
+        key = mix(key * U64(0xA0761D6478BD642F) + chosen[:, c])
+    return key
+
+
+def _subsets(boundary: int, num: int, den: int):
+    """Rows (key, class, n, factor, link) of the small sets. factor null: the set is one of those that the key counts; else it asks, and the sum of
+    factor * count over its keys is the number of sets that it links with. link: sets with this key of its own size and of the asker's do link."""
+    def run(batches):
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+
+            def add(key, i, n, factor, link, out=out):
+                for column, x in zip(out, (key, np.full(len(key), i), np.full(len(key), n), np.full(len(key), factor), np.full(len(key), link)), strict=True):
+                    column.append(x)
+
+            for i, raw, n in zip(key_array(b.column("class")), b.column("small").to_pylist(), b.column("c").to_pylist(), strict=True):
+                s = np.frombuffer(raw, dtype=U64)
+                size, shared = len(s), set()
+                for p in partners(size, num, den):
+                    if p <= boundary:
+                        o = least_overlap(size, p, num, den)
+                        for j in range(o, min(size, p) + 1):
+                            shared.add(j)
+                            add(_subset_keys(s, p, j), i, n, (-1) ** (j - o) * comb(j - 1, o - 1), j == o)
+                for j in shared:
+                    add(_subset_keys(s, size, j), i, n, 0, False)
+            if out[0]:
+                key, i, n, factor, link = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays([signed(key), signed(i.astype(U64)), pa.array(n), pa.array(factor.astype(np.int64), mask=factor == 0), pa.array(link)], ["key", "class", "c", "factor", "link"])
+    return run
+
+
 def _counted(hashes: np.ndarray, parts: int) -> np.ndarray:
     """By what a shingle is counted: the part it falls into and 32 more bits of its hash."""
     return (hashes % U64(parts)) << U64(32) | hashes >> U64(32)
@@ -171,66 +199,62 @@ def _levels(source: DataFrame, k: int, parts: int):
 
 
 def _entries(k: int, num: int, den: int, boundary: int, parts: int, levels):
-    """Rows (key, id, kind, long) of the inverted lists and the subsets. Kind 0 and 1: list entries; of two sets that
-    link, the smaller one has its first shared entry among its entries of kind 1."""
+    """Rows (key, class, first, long) of the inverted lists: of two sets that link, the smaller one has its first shared entry
+    among its entries for which `first` holds."""
     def make():
-        seen: set[tuple[int, ...]] = set()
+        seen = np.zeros(SEEN, dtype=U64)  # a copy of what the task had in this slot last is left out
 
         def step(b):
-            keys, ids, kinds, long = [], [], [], []
+            keys, classes, firsts, long = [], [], [], []
             sets = shingle_sets(b.column("_text"), k)
-            every = np.concatenate(sets)
+            every = np.concatenate([np.empty(0, dtype=U64), *sets])
             known, least = levels.value
             level = known.levels(_counted(every, parts), len(LEVELS))
             if least > 1:
                 level[level < least] = 0
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            for r, (i, s) in enumerate(zip(b.column("_id").to_pylist(), sets, strict=True)):
+            for r, (has_id, s) in enumerate(zip(b.column("_id").is_valid().to_pylist(), sets, strict=True)):
                 n = len(s)
-                if not n or i is None:
+                if not n or not has_id or partners(n, num, den)[-1] <= boundary:
                     continue
-                digest = (n, *_digest(s))
-                if digest in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(digest)
-                if n <= boundary:
-                    for key, kind in _subsets(s, boundary, num, den):
-                        keys.append(key), ids.append(np.full(len(key), i)), kinds.append(np.full(len(key), kind)), long.append(np.zeros(len(key), dtype=bool))
-                if partners(n, num, den)[-1] <= boundary:
+                own_class = _class_of(s)
+                if seen[own_class % SEEN] == own_class:
                     continue
+                seen[own_class % SEEN] = own_class
                 own = level[ends[r] : ends[r + 1]]
                 p = prefix_length(n, num, den)
                 first = np.argsort(own, kind="stable")[:p]  # the set is sorted by hash
-                keys.append(s[first]), ids.append(np.full(p, i)), long.append(own[first] > LONG)
-                kinds.append((n - np.arange(p) >= least_overlap(n, n, num, den)).astype(np.int64))
+                keys.append(s[first]), classes.append(np.full(p, own_class, dtype=U64)), long.append(own[first] > LONG)
+                firsts.append(n - np.arange(p) >= least_overlap(n, n, num, den))
             if keys:
-                yield pa.RecordBatch.from_arrays([
-                    signed(np.concatenate(keys)), pa.array(np.concatenate(ids).astype(np.int64)),
-                    pa.array(np.concatenate(kinds).astype(np.int8)), pa.array(np.concatenate(long)),
-                ], ["key", "id", "kind", "long"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(np.concatenate(classes)), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(long))],
+                                                 ["key", "class", "first", "long"])
         return step
     return per_batch(make, 1000)
 
 
 def _sets(k: int, wanted):
-    """(id, set) of the documents that may be wanted."""
+    """(class, set) of the documents that may be wanted."""
     def make():
         def step(b):
-            ids = b.column("_id").to_numpy(zero_copy_only=False)
-            ids = np.where(np.equal(ids, ids), ids, -1).astype(np.int64)  # a null id is NaN
-            keep = np.flatnonzero(wanted.value.contains(ids.view(U64)))
-            sets = shingle_sets(b.column("_text").take(pa.array(keep)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+            held = b.column("_id").is_valid().to_numpy(zero_copy_only=False)
+            keep = pa.array(np.flatnonzero(held & wanted.value.contains(key_array(b.column("_id")))))
+            sets = shingle_sets(b.column("_text").take(keep), k)
+            yield pa.RecordBatch.from_arrays([signed(np.array([_class_of(s) for s in sets], dtype=U64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"])
         return step
     return per_batch(make, 1000)
 
 
-def _verify(num: int, den: int):
-    """Links among the documents of one task, as a spanning forest: each set scans the lists of all sets of the task."""
+def _verify(num: int, den: int, boundary: int):
+    """Links among the sets of one task, those between its two sides if it has two: rows (u, v, links), a spanning forest and, for each set,
+    how many documents it links with. Each set of one side scans the lists of all sets of the task. Two small sets are left to their subsets."""
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        sets = [np.frombuffer(x, dtype=U64) for x in table.column("shingles").to_pylist()]
+        order = np.argsort(table.column("class").to_numpy(), kind="stable")
+        ids = table.column("class").to_numpy()[order]
+        order, ids = order[_runs(ids)], ids[_runs(ids)]
+        sets = [np.frombuffer(x, dtype=U64) for x in table.column("shingles").take(pa.array(order)).to_pylist()]
+        copies, side = table.column("c").to_numpy()[order], table.column("side").to_numpy()[order]
+        two = bool(side.any())  # 1 and 2, of which one may be empty; 0: all in one block
         sizes = np.array([len(x) for x in sets])
         m = len(ids)
         _, entry = np.unique(np.concatenate(sets), return_inverse=True)
@@ -238,8 +262,8 @@ def _verify(num: int, den: int):
         by_entry = np.argsort(entry, kind="stable")
         lists, starts = owner[by_entry], np.concatenate([[0], np.cumsum(np.bincount(entry))])
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        label = np.arange(m)
-        for x in range(m - 1):
+        label, links = np.arange(m), np.zeros(m, dtype=np.int64)
+        for x in np.flatnonzero(side < 2):
             own = entry[ends[x] : ends[x + 1]]
             a, n = starts[own], starts[own + 1] - starts[own]
             more = n > 1
@@ -248,77 +272,99 @@ def _verify(num: int, den: int):
                 continue
             at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             shared = np.bincount(lists[at], minlength=m)
-            near = den * shared >= num * (sizes + sizes[x] - shared)
-            near[: x + 1] = False
+            near = (den * shared >= num * (sizes + sizes[x] - shared)) & (side == 2 if two else np.arange(m) > x)
+            if sizes[x] <= boundary:
+                near &= sizes > boundary
             if near.any():
+                links[x] += copies[near].sum()
+                links[near] += copies[x]
                 labels = np.unique(np.append(label[near], label[x]))
                 if len(labels) > 1:
                     label[np.isin(label, labels)] = labels[0]
-        moved = np.flatnonzero(ids != ids[label])
-        return pa.table({"u": ids[moved], "v": ids[label[moved]]})
+        some = np.flatnonzero(links)
+        return pa.table({"u": ids[some], "v": ids[label[some]], "links": links[some]})
 
     return run
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs; two documents link if den * |A and B| >= num * |A or B|.
+    """(id, n_shingles, component_id, n_links) for each row of docs; two documents link if den * |A and B| >= num * |A or B|.
 
     The text's A-Z are lower-cased and it is cut into words [^\\x20\\x09-\\x0D]+; a document's set has its distinct k-word
     shingles, or the whole word sequence if it is shorter. A null or empty text, or one of white space only, has an
-    empty set and is linked with nothing. Rows with one id count as one document that holds the links of each of
-    them; each row is returned. A row with a null id is returned with its n_shingles and a null component. An
-    empty table gives an empty result. Other columns of docs, whatever their names, are not read.
+    empty set and is linked with nothing. n_links is the number of other rows with an id that the row's set links with, its copies
+    included. Rows with one id count as one document that holds the links of each of them; each row is returned with the links of
+    its own text. A row with a null id is returned with its n_shingles and a null component and n_links. An empty table gives an
+    empty result. Other columns of docs, whatever their names, are not read.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = checkpoint(source.mapInArrow(_profile(k), "id long, n long, k1 long, k2 long"))
-    small = {r.n: r.c for r in rows.filter(F.col("n").between(1, 2 * MAX_SMALL)).groupBy("n").agg(F.count("*").alias("c")).collect()}
+    rows = checkpoint(source.mapInArrow(_profile(k), "id long, n long, class long, small binary"))
+    held = rows.filter("n > 0 and id is not null")
+    classes = checkpoint(held.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("small").alias("small")))
+    total = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.sum("n").alias("shingles")).first()
+    small = {r.n: r.c for r in classes.filter(F.col("n") <= 2 * MAX_SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
     boundary = choose_boundary(small, num, den)
     parts = max(16, (rows.agg(F.sum("n")).first()[0] or 0) // COUNTED_AT_ONCE)
+
+    # Small sets: what they link with is known from the counts of their subsets.
+    subsets = checkpoint(classes.filter(F.col("n") <= boundary).select("class", "small", "c").mapInArrow(_subsets(boundary, num, den), "key long, class long, c long, factor long, link boolean"))
+    counted = subsets.filter("factor is null").groupBy("key").agg(F.min("class").alias("m"), F.sum("c").alias("w"))
+    asked = subsets.filter("factor is not null")
+    sizes = asked.groupBy("key").agg(F.count("*").alias("_rows")).join(counted, "key")
+    asked = hot_join(asked.select("key", "class", "factor", "link"), sizes, "key", asked.count())
+    direct = asked.filter(F.col("m").isNotNull()).groupBy("class").agg(F.sum(F.col("factor") * F.col("w")).alias("links"))
+    of_own = classes.filter(F.col("n") <= boundary).select("class", F.col("c").alias("own"))
+    direct = direct.join(of_own, "class").select("class", (F.col("links") - F.col("own")).alias("links"))  # a set is among those of its size
+    small_edges = asked.filter("link and m <> class").select(F.col("class").alias("u"), F.col("m").alias("v")).distinct()
+
+    # Large sets. What meets in a list: its smallest class, if it has two members and one entry is a first one.
     levels = spark.sparkContext.broadcast(_levels(source, k, parts))
-    entries = source.mapInArrow(_entries(k, num, den, boundary, parts, levels), "key long, id long, kind byte, long boolean")
-
-    # What meets in a list: its smallest id, if it has two members and one of kind 1; for subsets each side's smallest id.
-    facts = lambda over: [
-        over(F.min("id")).alias("m"), over(F.min(F.when(F.col("kind") == 2, F.col("id")))).alias("m2"),
-        over(F.min(F.when(F.col("kind") == 3, F.col("id")))).alias("m3"), over(F.max("id")).alias("top"), over(F.max("kind")).alias("most")]
-    by_key = Window.partitionBy("key")
-    short = entries.filter("not long").drop("long").select("*", *facts(lambda c: c.over(by_key)))
-    long = entries.filter("long").drop("long")
-    long = long.join(long.groupBy("key").agg(*facts(lambda c: c)), "key")
-    met = checkpoint(short.unionByName(long).filter("m < top and most > 0").select("key", "id", "kind", "m", "m2", "m3"))
-
-    direct = met.filter("kind > 1").select(
-        F.col("id").alias("u"), F.expr("case kind when 4 then m when 2 then m3 else m2 end").alias("v")).filter("v is not null and u <> v")
-    lists = met.filter("kind < 2").select("key", "id", "m")
-
-    first = lists.groupBy("id").agg(F.min("m").alias("c"))
-    lists = lists.join(first, "id")
-    second = lists.groupBy("key").agg(F.min("c").alias("c2"))
-    cells = checkpoint(lists.join(second, "key").groupBy("id").agg(F.min("c2").alias("cell")))
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members"))
-    met_cells = lists.select("key", "id").join(cells, "id").select("key", "cell").distinct()
+    entries = source.mapInArrow(_entries(k, num, den, boundary, parts, levels), "key long, class long, first boolean, long boolean")
+    facts = [("m", F.min, "class"), ("top", F.max, "class"), ("most", F.max, "first")]
+    part = Window.partitionBy("key", "salt")
+    entries = entries.withColumn("salt", F.when(F.col("long"), F.pmod(F.xxhash64("class"), F.lit(SALTS))).otherwise(0))
+    entries = entries.select("key", "class", "long", *[f(c).over(part).alias(name) for name, f, c in facts])
+    entries = checkpoint(entries.filter("long or (m < top and most)"))
+    long = entries.filter("long")
+    whole = long.groupBy("key").agg(F.min("m").alias("m"), F.max("top").alias("top"), F.max("most").alias("most"), F.count("*").alias("_rows")).filter("m < top and most")
+    n_long = long.count()
+    long = hot_join(long.select("key", "class"), whole.select("key", "m", "_rows"), "key", n_long).filter("m is not null")
+    lists = checkpoint(entries.filter("not long").select("key", "class", "m").union(long.select("key", "class", "m")).distinct())
+    n_lists = lists.count()
+    lengths = lists.groupBy("key").agg(F.count("*").alias("_rows"))
+
+    first = lists.groupBy("class").agg(F.min("m").alias("c1"))
+    stepped = lists.select("key", "class").join(first, "class")
+    second = stepped.groupBy("key").agg(F.min("c1").alias("c2"), F.count("*").alias("_rows"))
+    cells = hot_join(lists.select("key", "class"), second, "key", n_lists).groupBy("class").agg(F.min("c2").alias("cell"))
+    cells = checkpoint(cells.join(classes.select("class", "rep", "c", "n"), "class"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    sizes = cells.groupBy("cell").agg(blocks, F.count("*").alias("members"))
+    met_cells = lists.select("key", "class").join(cells.select("class", "cell"), "class").select("key", "cell").distinct()
     pairs = (met_cells.join(met_cells.select("key", F.col("cell").alias("other")), "key").filter("cell < other").select("cell", "other").distinct()
              .union(sizes.filter("members > 1").select("cell", F.col("cell").alias("other"))))
-    tasks = (pairs.join(sizes.select("cell", F.col("blocks").alias("b1")), "cell").join(sizes.select(F.col("cell").alias("other"), F.col("blocks").alias("b2")), "other")
-             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b1") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b2") - 1)))
-             .filter("cell <> other or i <= j").select(F.xxhash64("cell", "other", "i", "j").alias("task"), "cell", "other", "i", "j"))
-    block = cells.join(sizes, "cell").select("id", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("i"))
-    sends = tasks.select("task", "cell", "i").union(tasks.select("task", F.col("other"), F.col("j"))).distinct().join(block, ["cell", "i"]).select("task", "id")
-    wanted = spark.sparkContext.broadcast(id_filter(cells, "id"))
-    sets = source.mapInArrow(_sets(k, wanted), "id long, shingles binary")
-    found = sends.join(sets, "id").groupBy("task").applyInArrow(_verify(num, den), "u long, v long")
-
-    # From here on a class of copies is its smallest document.
-    classes = rows.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
-    placed = rows.join(classes, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    copies = placed.filter("rep <> id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    reps = copies.groupBy("u").agg(F.min("v").alias("r"), F.max("v").alias("r2"))
-    links = direct.distinct().union(found)
-    links = links.join(reps, "u", "left").select(F.coalesce("r", "u").alias("u"), "v")
-    links = links.join(reps.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("r", "v").alias("v"))
-    # an id whose rows hold different texts ties their classes together
-    links = links.union(reps.filter("r <> r2").select(F.col("r"), F.col("r2"))).union(copies.join(reps.filter("r <> r2").select("u"), "u", "left_semi"))
-    components = connected_components(links)
-    return (placed.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id")))
+    tasks = checkpoint(
+        pairs.join(sizes.select("cell", F.col("blocks").alias("b1")), "cell").join(sizes.select(F.col("cell").alias("other"), F.col("blocks").alias("b2")), "other")
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b1") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b2") - 1)))
+        .filter("cell <> other or i <= j").select(F.xxhash64("cell", "other", "i", "j").alias("task"), "cell", "other", "i", "j"))
+    block = cells.join(sizes, "cell").select("class", "c", "cell", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("i"))
+    two = F.expr("cell <> other or i <> j")
+    sides = tasks.select("task", "cell", "i", two.cast("int").alias("side")).union(tasks.filter(two).select("task", F.col("other"), F.col("j"), F.lit(2)))
+    sends = sides.join(block, ["cell", "i"]).select("task", "side", "class", "c")
+    wanted = spark.sparkContext.broadcast(id_filter(cells, "rep"))
+    sets = source.mapInArrow(_sets(k, wanted), "class long, shingles binary")
+    found = checkpoint(sends.join(sets, "class").groupBy("task").applyInArrow(_verify(num, den, boundary), "u long, v long, links long"))
+
+    # Texts of one id belong together; then components of classes, and what each row gets.
+    both = held.groupBy("id").agg(F.min("class").alias("v"), F.max("class").alias("u")).filter("v < u")
+    tied = held.join(both.select("id", "v"), "id").select(F.col("class").alias("u"), "v")
+    components = checkpoint(connected_components(small_edges.union(found.select("u", "v")).union(tied)))
+    roots = components.join(classes.select(F.col("class").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_rows"))
+    placed = hot_join(components, roots, "component", total.classes).select(F.col("id").alias("class"), "component_id")
+    links = found.select(F.col("u").alias("class"), "links").union(direct).groupBy("class").agg(F.sum("links").alias("links"))
+    result = classes.join(placed, "class", "left").join(links, "class", "left").select(
+        "class", F.col("c").alias("_rows"), F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"))
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links"]
+    alone = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"), F.when(F.col("id").isNotNull(), F.lit(0)).cast("long").alias("n_links"))
+    return alone.select(columns).union(hot_join(held.select("id", "n", "class"), result, "class", total.rows).select(columns))
