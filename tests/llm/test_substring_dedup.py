@@ -1,8 +1,11 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+
 from tests.llm.helpers import frame, texts, words
-from wirewarden.llm.substring_dedup import duplicate_factors, remove_duplicates
+from wirewarden.llm import substring_dedup
+from wirewarden.llm.substring_dedup import duplicate_factors, greedy_factors, remove_duplicates
 
 
 def brute(rows, span=50):
@@ -36,6 +39,29 @@ def test_equals_brute_force(spark):
     assert sum(x[1] for x in expected.values()) > 1000
 
 
+def test_colliding_hashes_remove_nothing_else(spark, monkeypatch):
+    """With 3 hashes for all windows in the first turn nearly every window meets another one's words."""
+    good = substring_dedup.window_keys
+
+    def coarse(words, span, turn):
+        keys = good(words, span, turn)
+        return keys % np.uint64(3) if turn == 0 else keys % np.uint64(1000) if turn == 1 else keys
+
+    monkeypatch.setattr(substring_dedup, "window_keys", coarse)
+    rows = texts()
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_duplicates(frame(spark, rows)).collect() if r.doc_id is not None}
+    assert got == {i: (n, removed) for i, (n, removed, _) in brute(rows).items()}
+
+
+def test_factors_are_greedy():
+    words = [b"%d" % k for k in range(20)]
+    assert greedy_factors(words, [(2, 8, words[2:10])], 5) == ([(2, 8, 0)], [])
+    # the second run's windows across the boundary of the first are judged again; what the first covers is not
+    assert greedy_factors(words, [(2, 8, words[2:10]), (6, 9, words[6:15])], 5) == ([(2, 8, 0), (6, 9, 1)], [])
+    assert greedy_factors(words, [(2, 8, words[2:10]), (3, 6, words[3:9])], 5) == ([(2, 8, 0)], [])
+    assert greedy_factors(words, [(0, 6, [b"x", *words[1:6]])], 5) == ([(1, 5, 0)], [0])
+
+
 def test_factors_are_copies(spark):
     rows = texts()
     own = {i: words(t) for i, t in rows if i is not None}
