@@ -75,8 +75,6 @@ _IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
-_BYTE_BARE = _BYTE_LOWER.copy()
-_BYTE_BARE[0x80:0x9F] = _BYTE[0xA0:0xBF]  # the second byte of accented Latin letters, upper and lower case
 
 
 class Words:
@@ -92,7 +90,7 @@ class Words:
         _, offsets, data = column.buffers()
         self.offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
         self.data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
-        table = _BYTE_BARE if bare else _BYTE_LOWER if lower else _BYTE
+        table = _BYTE_LOWER if lower or bare else _BYTE
         self.parts = _IS_SPACE | _IS_MARK if bare else _IS_SPACE
         hashes, starts, ends = [], [], []
         lo, end = int(self.offsets[0]), int(self.offsets[-1])
@@ -108,7 +106,11 @@ class Words:
             last[inner - 1] = ~space[inner - 1]
             a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
             powers, inverses = _power_tables(len(part))
-            sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(table[part] * powers, dtype=U64)])
+            codes = table[part]
+            if bare:  # U+00C0 to U+00DE but U+00D7: C3 80 to C3 9E, the small letters 32 further
+                capital = np.flatnonzero((part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] < 0x9F) & (part[1:] != 0x97)) + 1
+                codes[capital] = _BYTE[part[capital] + 0x20]
+            sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(codes * powers, dtype=U64)])
             hashes.append(mix((sums[b] - sums[a]) * inverses[a] + (b - a).astype(U64)))
             starts.append(a + lo)
             ends.append(b + lo)

@@ -1,14 +1,14 @@
-"""Benchmark decontamination: a BM25 inverted index of the test items, searched with block-max WAND bounds.
+"""Benchmark decontamination: a BM25 inverted index of the test items, searched with block-max WAND.
 
-Every document is cut into passages of twice the longest item's words, each half over the next one, so that whatever
-is copied from an item lies whole in one passage. Each passage is a query. An item's score is its BM25 sum divided by its
-score for its own text, so one threshold serves all items. The passages of a batch are judged together, in the order of
-block-max WAND: (1) the passage's summed upper bounds of its essential terms against the threshold less what the other
-terms can add; (2) the same with the maximum impacts of each block of items; (3) for a passage and block that pass, the
-exact scores of the block's items. What is above the threshold is verified on word shingles of the item's question and answer.
+Items stand on shelves by length, and every document is cut into passages of twice the words that an item of a shelf may have, each half over the
+next one, so that whatever is copied from an item lies whole in one passage. Each passage is a query. An item's score is its BM25 sum divided by its
+score for its own text, so one threshold serves all items and all that reach it are retrieved. Passages whose summed upper bounds cannot reach it
+are ruled out for a whole batch at once; the others run block-max WAND: the terms' cursors in the order of their items, the pivot where the summed upper
+bounds reach the threshold, the blocks' maxima there, then either the item's full score or a skip to the end of the nearest block. What is above
+the threshold is verified on word shingles of the item's question and answer.
 
-The items are broadcast in groups of at most MAX_ITEMS; each further group is another pass over the documents. The
-documents are never shuffled.
+The items are broadcast in groups of at most MAX_ITEMS, which bounds a worker's memory; each further group is another pass over the documents. The number
+of items, the terms' item counts and the mean length are those of all items, so results do not depend on the groups. The documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirewarden.llm.common import U64, Words, distinct, rolling
+from wirewarden.llm.common import U64, Words, checkpoint, distinct, rolling, signed
 
 MAX_ITEMS, BLOCK = 50_000, 4
 K1, B = 1.2, 0.75
@@ -28,15 +28,11 @@ K1, B = 1.2, 0.75
 THRESHOLD, SLACK = 0.6, 0.2
 #: Words of a shingle, and the parts of an item's shingles that make a leak.
 SHINGLE, OVERLAP, ANSWER = 5, 0.75, 0.5
-#: Passages, and rows, that are judged at once.
-_AT_ONCE, _ROWS = 4096, 1000
-
-
-def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All indices of the ranges, and the range that each is of."""
-    n = ends - starts
-    owner = np.repeat(np.arange(len(n)), n)
-    return np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.repeat(starts, n), owner
+#: Most words of an item on the first shelf, and by how much more each further one takes; there are as many as the longest item needs.
+SHELF, WIDER = 32, 4
+#: Rows that are judged at once.
+_ROWS = 1000
+_DONE = np.iinfo(np.int64).max
 
 
 def _shingles(hashes: np.ndarray) -> tuple[int, np.ndarray]:
@@ -45,53 +41,128 @@ def _shingles(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     return k, distinct(rolling(hashes, k)) if k else hashes
 
 
-class Index:
-    def __init__(self, items: list[tuple[int, str]]):
-        items = sorted((i, t) for i, t in items if i is not None and t)
-        parts = [re.split(r"(?<=[.?!])\s+(?=[^.?!]*[.?!]*\s*$)", t.strip(), maxsplit=1) for _, t in items]  # the last sentence is the answer
-        hashed = lambda texts: [w.row(r) for w in [Words(pa.array(texts, pa.string()), lower=True, bare=True)] for r in range(len(texts))]
-        words, question, answer = hashed([t for _, t in items]), hashed([p[0] for p in parts]), hashed([p[1] if len(p) > 1 else "" for p in parts])
-        have = [k for k, w in enumerate(words) if len(w)]
-        self.ids = np.array([items[k][0] for k in have], dtype=np.int64)
-        words = [words[k] for k in have]
-        self.shingles = [(_shingles(words[j]), _shingles(question[k]), _shingles(answer[k])) for j, k in enumerate(have)]
-        lengths = np.array([len(w) for w in words])
-        self.longest = int(lengths.max()) if len(lengths) else 0
-        n = len(words)
-        owner = np.repeat(np.arange(n), lengths)
-        self.terms, term = np.unique(np.concatenate([*words, np.zeros(0, dtype=U64)]), return_inverse=True)
-        cells, tf = np.unique(term * max(n, 1) + owner, return_counts=True)
-        term, self.item = cells // max(n, 1), cells % max(n, 1)
-        df = np.bincount(term, minlength=len(self.terms))
-        impact = np.log1p((n - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.item] / max(lengths.mean(), 1) if n else tf))
+def _hashed(texts: list[str]) -> list[np.ndarray]:
+    words = Words(pa.array(texts, pa.string()), lower=True, bare=True)
+    return [words.row(r) for r in range(len(texts))]
+
+
+def _parts(text: str) -> list[str]:
+    """An item's question and answer: the last sentence is the answer."""
+    return re.split(r"(?<=[.?!])\s+(?=[^.?!]*[.?!]*\s*$)", text.strip(), maxsplit=1)
+
+
+def _shelf(n: int) -> int:
+    """Most words of an item on the shelf of an item of n words."""
+    words = SHELF
+    while words < n:
+        words *= WIDER
+    return words
+
+
+class Statistics:
+    """How many items there are in all, their mean length, and in how many of them each term (sorted) is."""
+
+    def __init__(self, items: int, mean_length: float, terms: np.ndarray, counts: np.ndarray):
+        self.items, self.mean_length, self.terms, self.counts = items, mean_length, terms, counts
+
+    @classmethod
+    def of(cls, words: list[np.ndarray]) -> Statistics:
+        terms, counts = np.unique(np.concatenate([np.zeros(0, dtype=U64), *map(distinct, words)]), return_counts=True)
+        return cls(len(words), float(np.mean([len(w) for w in words])) if words else 0.0, terms, counts)
+
+
+class Shelf:
+    """The inverted index of items of about one length."""
+
+    def __init__(self, longest: int, ids: list[int], words: list[np.ndarray], texts: list[str], statistics: Statistics):
+        self.longest = longest
+        self.ids = np.array(ids, dtype=np.int64)
+        parts = [_parts(t) for t in texts]
+        question, answer = _hashed([p[0] for p in parts]), _hashed([p[1] if len(p) > 1 else "" for p in parts])
+        self.shingles = [tuple(map(_shingles, own)) for own in zip(words, question, answer, strict=True)]
+        lengths, n = np.array([len(w) for w in words]), len(words)
+        self.terms, term = np.unique(np.concatenate(words), return_inverse=True)
+        cells, tf = np.unique(term * n + np.repeat(np.arange(n), lengths), return_counts=True)
+        term, self.item = cells // n, cells % n
+        df = statistics.counts[np.searchsorted(statistics.terms, self.terms)]
+        impact = np.log1p((statistics.items - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.item] / statistics.mean_length))
         self.impact = impact / np.bincount(self.item, impact, minlength=n)[self.item]
-        self.starts = np.concatenate([[0], np.cumsum(df)])
-        # Terms of many items add little to any: the most frequent are left to the last step as long as they add at most SLACK.
+        own_df = np.bincount(term, minlength=len(self.terms))
+        self.starts = np.concatenate([[0], np.cumsum(own_df)])
+        # Terms of many items add little to any: the most frequent are left to the search itself as long as they add at most SLACK.
         self.essential, added = np.ones(len(self.terms), dtype=bool), np.zeros(n)
-        for t in np.argsort(-df, kind="stable"):
+        for t in np.argsort(-own_df, kind="stable"):
             own = slice(self.starts[t], self.starts[t + 1])
             if (added[self.item[own]] + self.impact[own]).max() > SLACK:
                 break
             added[self.item[own]] += self.impact[own]
             self.essential[t] = False
-        blocks = -(-n // BLOCK)
-        self.slack = np.array([added[j * BLOCK : (j + 1) * BLOCK].max() for j in range(blocks)])
-        cells, at = np.unique(term * max(blocks, 1) + self.item // BLOCK, return_index=True)
-        self.block, self.block_max = cells % max(blocks, 1), np.maximum.reduceat(self.impact, at) if n else self.impact
-        self.block_starts = np.searchsorted(cells // max(blocks, 1), np.arange(len(self.terms) + 1))
+        self.slack = float(added.max())
         self.upper = np.zeros(len(self.terms))
         np.maximum.at(self.upper, term, self.impact)
-        self.blocks = blocks
+        # A block is BLOCK postings of one term, one after the other.
+        at = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)])
+        self.block_max = np.maximum.reduceat(self.impact, at)
+        self.block_starts = np.concatenate([[0], np.cumsum(-(-own_df // BLOCK))])
+        self.block_last = self.item[np.append(at[1:], len(self.item)) - 1]
 
     def term_of(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
-    def leaks(self, texts: pa.Array):
-        """(row, item index, first word of the passage, score, overlap, question overlap, answer overlap) of verified items."""
-        if not len(self.ids):
-            return
-        words = Words(texts, lower=True, bare=True)
+    def wand(self, terms: np.ndarray) -> list[tuple[int, float]]:
+        """The items, in order, whose score for a passage with these distinct terms reaches THRESHOLD, and the scores."""
+        least = THRESHOLD - 1e-9
+        cursor, end = self.starts[terms].tolist(), self.starts[terms + 1].tolist()
+        now = [int(self.item[c]) for c in cursor]
+        upper = self.upper[terms].tolist()
+        block, last_block = self.block_starts[terms].tolist(), self.block_starts[terms + 1].tolist()
+        lists, out = list(range(len(terms))), []
+
+        def seek(t: int, item: int) -> None:
+            """Moves a cursor to its first posting of at least this item."""
+            c = cursor[t]
+            if c < end[t] and now[t] < item:
+                c += int(np.searchsorted(self.item[c : end[t]], item))
+                cursor[t] = c
+            now[t] = int(self.item[c]) if c < end[t] else _DONE
+
+        while True:
+            lists = [t for t in lists if now[t] != _DONE]
+            lists.sort(key=now.__getitem__)
+            total, pivot = 0.0, -1
+            for k, t in enumerate(lists):
+                total += upper[t]
+                if total >= least:
+                    pivot = k
+                    break
+            if pivot < 0:
+                return out
+            item = now[lists[pivot]]
+            while pivot + 1 < len(lists) and now[lists[pivot + 1]] == item:
+                pivot += 1
+            bound, nearest = 0.0, now[lists[pivot + 1]] if pivot + 1 < len(lists) else _DONE
+            for t in lists[: pivot + 1]:
+                while block[t] < last_block[t] and self.block_last[block[t]] < item:
+                    block[t] += 1
+                if block[t] < last_block[t]:
+                    bound += self.block_max[block[t]]
+                    nearest = min(nearest, int(self.block_last[block[t]]) + 1)
+            if bound < least:  # no item before the end of the nearest block can reach the threshold
+                for t in lists[: pivot + 1]:
+                    seek(t, nearest)
+            elif now[lists[0]] == item:
+                score = float(sum(self.impact[cursor[t]] for t in lists[: pivot + 1]))
+                if score >= least:
+                    out.append((item, score))
+                for t in lists[: pivot + 1]:
+                    seek(t, item + 1)
+            else:
+                for t in lists[:pivot]:
+                    seek(t, item)
+
+    def leaks(self, words: Words):
+        """(row, item id, first word of the passage, score, overlap, question overlap, answer overlap) of verified items."""
         sizes = np.diff(words.bounds)
         many = np.maximum(1, -(-sizes // self.longest) - 1) * (sizes > 0)
         row = np.repeat(np.arange(len(sizes)), many)
@@ -103,41 +174,70 @@ class Index:
         essential = known[self.essential[term[known]]]
         sums = np.concatenate([[0.0], np.cumsum(self.upper[term[essential]])])
         a, b = np.searchsorted(essential, first), np.searchsorted(essential, last)
-        passed = np.flatnonzero(sums[b] - sums[a] >= THRESHOLD - self.slack.max() - 1e-9)
-        for lo in range(0, len(passed), _AT_ONCE):
-            some = passed[lo : lo + _AT_ONCE]
-            at, owner = _expand(a[some], b[some])
-            cell = distinct((owner * len(self.terms) + term[essential[at]]).astype(U64)).astype(np.int64)  # a term counts once
-            owner, t = cell // len(self.terms), cell % len(self.terms)
-            at, pair = _expand(self.block_starts[t], self.block_starts[t + 1])
-            bound = np.bincount(owner[pair] * self.blocks + self.block[at], self.block_max[at], minlength=len(some) * self.blocks).reshape(len(some), self.blocks)
-            open_ = bound >= THRESHOLD - self.slack - 1e-9
-            for w in np.flatnonzero(open_.any(axis=1)):
-                passage = some[w]
-                own = distinct(term[first[passage] : last[passage]].astype(U64)).astype(np.int64)
-                own = own[own >= 0]
-                at, _ = _expand(self.starts[own], self.starts[own + 1])
-                at = at[open_[w][self.item[at] // BLOCK]]
-                found, index = np.unique(self.item[at], return_inverse=True)
-                score = np.bincount(index, self.impact[at])
-                text = words.hashes[first[passage] : last[passage]]
-                inside = {SHINGLE: distinct(rolling(text, SHINGLE))}
-                for item, s in zip(found[score >= THRESHOLD], score[score >= THRESHOLD], strict=True):
-                    parts = []
-                    for k, own in self.shingles[item]:
-                        if k and k not in inside:
-                            inside[k] = distinct(rolling(text, k))
-                        parts.append(float(np.isin(own, inside[k]).mean()) if k else 0.0)
-                    if parts[0] >= OVERLAP or (parts[1] >= OVERLAP and parts[2] >= ANSWER):
-                        yield int(row[passage]), int(item), int(offset[passage]), float(s), *parts
+        for w in np.flatnonzero(sums[b] - sums[a] >= THRESHOLD - self.slack - 1e-9):
+            own = distinct(term[essential[a[w] : b[w]]].astype(U64)).astype(np.int64)  # a term counts once
+            if self.upper[own].sum() < THRESHOLD - self.slack - 1e-9:
+                continue
+            own = distinct(term[first[w] : last[w]].astype(np.int64).astype(U64)).view(np.int64)
+            text, inside = words.hashes[first[w] : last[w]], {}
+            for item, score in self.wand(own[own >= 0]):
+                parts = []
+                for k, shingles in self.shingles[item]:
+                    if k and k not in inside:
+                        inside[k] = distinct(rolling(text, k))
+                    parts.append(float(np.isin(shingles, inside[k]).mean()) if k else 0.0)
+                if parts[0] >= OVERLAP or (parts[1] >= OVERLAP and parts[2] >= ANSWER):
+                    yield int(row[w]), int(self.ids[item]), int(offset[w]), score, *parts
+
+
+class Index:
+    """Test items on shelves by length. statistics: those of all items, if these are not all."""
+
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
+        items = sorted((i, t) for i, t in items if i is not None and t)
+        held = [(i, t, w) for (i, t), w in zip(items, _hashed([t for _, t in items]), strict=True) if len(w)]
+        statistics = statistics or Statistics.of([w for _, _, w in held])
+        shelf = [_shelf(len(w)) for _, _, w in held]
+        self.shelves = []
+        for s in sorted(set(shelf)):
+            ids, texts, words = zip(*(x for x, own in zip(held, shelf, strict=True) if own == s), strict=True)
+            self.shelves.append(Shelf(s, list(ids), list(words), list(texts), statistics))
+
+    def leaks(self, texts: pa.Array):
+        """See `Shelf.leaks`; rows in no order."""
+        if self.shelves:
+            words = Words(texts, lower=True, bare=True)
+            for shelf in self.shelves:
+                yield from shelf.leaks(words)
+
+
+def _terms(batches):
+    """(length, term) of the distinct terms of each item; the length goes with one of them."""
+    for b in batches:
+        words = Words(b.column("t"), lower=True, bare=True)
+        for r, n in enumerate(np.diff(words.bounds)):
+            if n:
+                own = distinct(words.row(r))
+                yield pa.RecordBatch.from_arrays([signed(own), pa.array([int(n)] + [None] * (len(own) - 1), pa.int64())], ["term", "length"])
 
 
 def _groups(items: DataFrame, id_col: str, text_col: str):
     """The items in groups that are small enough to broadcast."""
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
     many = -(-rows.count() // MAX_ITEMS)
+    group = F.pmod(F.xxhash64("i", "t"), F.lit(many))
+    if many > 1:
+        terms = rows.mapInArrow(_terms, "term long, length long")
+        counts = checkpoint(terms.groupBy("term").agg(F.count("*").alias("n"), F.sum("length").alias("words"), F.count("length").alias("items")))
+        whole = counts.agg(F.sum("items").alias("items"), F.sum("words").alias("words")).first()
     for g in range(many):
-        yield items.sparkSession.sparkContext.broadcast(Index([(r.i, r.t) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(many)) == g).collect()]))
+        own, statistics = rows.filter(group == g), None
+        if many > 1:  # the counts of the group's own terms only
+            held = counts.join(own.mapInArrow(_terms, "term long, length long").select("term").distinct(), "term").select("term", "n").toArrow()
+            term, n = held.column("term").to_numpy().view(U64), held.column("n").to_numpy()
+            order = np.argsort(term)
+            statistics = Statistics(whole["items"], whole["words"] / max(1, whole["items"]), term[order], n[order])
+        yield items.sparkSession.sparkContext.broadcast(Index([(r.i, r.t) for r in own.collect()], statistics))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -155,7 +255,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
                 rows = list(index.value.leaks(b.column("_text")))
                 if rows:
                     row, item, _, *figures = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(row)), pa.array(index.value.ids[list(item)]), *map(pa.array, figures)], ["id", "item", "score", "overlap", "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(row)), pa.array(item, pa.int64()), *map(pa.array, figures)], ["id", "item", "score", "overlap", "question_overlap", "answer_overlap"])
         found = found.union(source.mapInArrow(search, schema))
     best = [F.max(c).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")]
     return found.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(*best)
