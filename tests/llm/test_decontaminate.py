@@ -68,13 +68,15 @@ def _brute(items, docs):
         tf, size = words[i].count(w), len(words[i])
         return math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (D.K1 + 1) / (tf + D.K1 * (1 - D.B + D.B * size / mean))
     grams = lambda own, k: {tuple(own[j : j + k]) for j in range(len(own) - k + 1)}
+    shelf = lambda i: D._shelf(len(words[i]))
+    longest = {s: max(len(w) for i, w in words.items() if shelf(i) == s) for s in {shelf(i) for i in words}}
     parts = {i: [words[i], *(cut(p) for p in (*D._parts(t), "")[:2])] for i, t in items}
     own_impacts = {i: {w: impact(i, w) for w in set(words[i])} for i in words}
     found = {}
     for d, text in docs:
         own = cut(text)
         for i in words:
-            step = D._shelf(len(words[i]))
+            step = longest[shelf(i)]
             for at in range(0, max(1, len(own) - step), step):
                 passage = own[at : at + 2 * step]
                 score = sum(x for w, x in own_impacts[i].items() if w in passage) / sum(own_impacts[i].values())

@@ -2,10 +2,10 @@
 
 Items stand on shelves by length, and every document is cut into passages of twice the words that an item of a shelf may have, each half over the
 next one, so that whatever is copied from an item lies whole in one passage. Each passage is a query. An item's score is its BM25 sum divided by its
-score for its own text, so one threshold serves all items and all that reach it are retrieved. Passages whose summed upper bounds cannot reach it
-are ruled out for a whole batch at once; the others run block-max WAND: the terms' cursors in the order of their items, the pivot where the summed upper
-bounds reach the threshold, the blocks' maxima there, then either the item's full score or a skip to the end of the nearest block. What is above
-the threshold is verified on word shingles of the item's question and answer.
+score for its own text, so one threshold serves all items and all that reach it are retrieved. Passages whose upper bounds, summed over their terms and then
+over each block of items, cannot reach it are ruled out for a whole batch at once; the others run block-max WAND: the terms' cursors in the order of
+their items, the pivot where the summed upper bounds reach the threshold, the block's maxima there, then either the item's full score or a skip to the
+next block. What is above the threshold is verified on word shingles of the item's question and answer.
 
 The items are broadcast in groups of at most MAX_ITEMS, which bounds a worker's memory; each further group is another pass over the documents. The number
 of items, the terms' item counts and the mean length are those of all items, so results do not depend on the groups. The documents are never shuffled.
@@ -29,12 +29,19 @@ THRESHOLD, SLACK = 0.6, 0.2
 #: Words of a shingle, and the parts of an item's shingles that make a leak.
 SHINGLE, OVERLAP, ANSWER = 5, 0.75, 0.5
 #: Most words of an item on the first shelf, and by how much more each further one takes; there are as many as the longest item needs.
-SHELF, WIDER = 32, 4
-#: Rows that are judged at once.
-_ROWS = 1000
+SHELF, WIDER = 32, 2
+#: Rows that are judged at once, and numbers in a table of bounds.
+_ROWS, _CELLS = 1000, 1 << 21
 _DONE = np.iinfo(np.int64).max
 
 
+def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All indices of the ranges, and the range that each is of."""
+    n = ends - starts
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n), owner
+
+
 def _shingles(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     """Words of a shingle (all words, if there are fewer than SHINGLE) and the distinct shingles."""
     k = min(SHINGLE, len(hashes))
@@ -60,15 +67,16 @@ def _shelf(n: int) -> int:
 
 
 class Statistics:
-    """How many items there are in all, their mean length, and in how many of them each term (sorted) is."""
+    """How many items there are in all, their mean length, in how many of them each term (sorted) is, and the longest of each shelf."""
 
-    def __init__(self, items: int, mean_length: float, terms: np.ndarray, counts: np.ndarray):
-        self.items, self.mean_length, self.terms, self.counts = items, mean_length, terms, counts
+    def __init__(self, items: int, mean_length: float, terms: np.ndarray, counts: np.ndarray, longest: dict[int, int]):
+        self.items, self.mean_length, self.terms, self.counts, self.longest = items, mean_length, terms, counts, longest
 
     @classmethod
     def of(cls, words: list[np.ndarray]) -> Statistics:
         terms, counts = np.unique(np.concatenate([np.zeros(0, dtype=U64), *map(distinct, words)]), return_counts=True)
-        return cls(len(words), float(np.mean([len(w) for w in words])) if words else 0.0, terms, counts)
+        lengths = sorted(len(w) for w in words)
+        return cls(len(words), float(np.mean(lengths)) if words else 0.0, terms, counts, {_shelf(n): n for n in lengths})
 
 
 class Shelf:
@@ -97,18 +105,14 @@ class Shelf:
                 break
             added[self.item[own]] += self.impact[own]
             self.essential[t] = False
-        self.slack = float(added.max())
         self.upper = np.zeros(len(self.terms))
         np.maximum.at(self.upper, term, self.impact)
-        # A block is BLOCK postings of one term, one after the other.
-        at = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)])
-        self.block_max = np.maximum.reduceat(self.impact, at)
-        self.block_starts = np.concatenate([[0], np.cumsum(-(-own_df // BLOCK))])
-        self.block_last = self.item[np.append(at[1:], len(self.item)) - 1]
-
-    def term_of(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, at, -1)
+        # A block is BLOCK items; each term has the blocks that it occurs in and its greatest impact there.
+        self.blocks = -(-n // BLOCK)
+        self.slack = np.array([added[j * BLOCK : (j + 1) * BLOCK].max() for j in range(self.blocks)])
+        cells, at = np.unique(term * self.blocks + self.item // BLOCK, return_index=True)
+        self.block, self.block_max = cells % self.blocks, np.maximum.reduceat(self.impact, at)
+        self.block_starts = np.searchsorted(cells // self.blocks, np.arange(len(self.terms) + 1))
 
     def wand(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """The items, in order, whose score for a passage with these distinct terms reaches THRESHOLD, and the scores."""
@@ -141,14 +145,14 @@ class Shelf:
             item = now[lists[pivot]]
             while pivot + 1 < len(lists) and now[lists[pivot + 1]] == item:
                 pivot += 1
-            bound, nearest = 0.0, now[lists[pivot + 1]] if pivot + 1 < len(lists) else _DONE
+            here = item // BLOCK
+            bound, nearest = 0.0, min((here + 1) * BLOCK, now[lists[pivot + 1]] if pivot + 1 < len(lists) else _DONE)
             for t in lists[: pivot + 1]:
-                while block[t] < last_block[t] and self.block_last[block[t]] < item:
+                while block[t] < last_block[t] and self.block[block[t]] < here:
                     block[t] += 1
-                if block[t] < last_block[t]:
+                if block[t] < last_block[t] and self.block[block[t]] == here:
                     bound += self.block_max[block[t]]
-                    nearest = min(nearest, int(self.block_last[block[t]]) + 1)
-            if bound < least:  # no item before the end of the nearest block can reach the threshold
+            if bound < least:  # none of the block's items from here up to the next list's can reach the threshold
                 for t in lists[: pivot + 1]:
                     seek(t, nearest)
             elif now[lists[0]] == item:
@@ -161,33 +165,44 @@ class Shelf:
                 for t in lists[:pivot]:
                     seek(t, item)
 
-    def leaks(self, words: Words):
-        """(row, item id, first word of the passage, score, overlap, question overlap, answer overlap) of verified items."""
+    def leaks(self, words: Words, known: np.ndarray, term: np.ndarray):
+        """(row, item id, first word of the passage, score, overlap, question overlap, answer overlap) of verified items. known: the words that are
+        terms of this shelf, and which."""
         sizes = np.diff(words.bounds)
         many = np.maximum(1, -(-sizes // self.longest) - 1) * (sizes > 0)
         row = np.repeat(np.arange(len(sizes)), many)
         offset = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * self.longest
         first = words.bounds[row] + offset
         last = np.minimum(first + 2 * self.longest, words.bounds[row + 1])
-        term = self.term_of(words.hashes)
-        known = np.flatnonzero(term >= 0)
-        essential = known[self.essential[term[known]]]
-        sums = np.concatenate([[0.0], np.cumsum(self.upper[term[essential]])])
+        main = self.essential[term]
+        essential, main_term = known[main], term[main]
+        sums = np.concatenate([[0.0], np.cumsum(self.upper[main_term])])
         a, b = np.searchsorted(essential, first), np.searchsorted(essential, last)
-        for w in np.flatnonzero(sums[b] - sums[a] >= THRESHOLD - self.slack - 1e-9):
-            own = distinct(term[essential[a[w] : b[w]]].astype(U64)).astype(np.int64)  # a term counts once
-            if self.upper[own].sum() < THRESHOLD - self.slack - 1e-9:
-                continue
-            own = distinct(term[first[w] : last[w]].astype(np.int64).astype(U64)).view(np.int64)
-            text, inside = words.hashes[first[w] : last[w]], {}
-            for item, score in self.wand(own[own >= 0]):
-                parts = []
-                for k, shingles in self.shingles[item]:
-                    if k and k not in inside:
-                        inside[k] = distinct(rolling(text, k))
-                    parts.append(float(np.isin(shingles, inside[k]).mean()) if k else 0.0)
-                if parts[0] >= OVERLAP or (parts[1] >= OVERLAP and parts[2] >= ANSWER):
-                    yield int(row[w]), int(self.ids[item]), int(offset[w]), score, *parts
+        least = THRESHOLD - self.slack - 1e-9
+        passed = np.flatnonzero(sums[b] - sums[a] >= least.min())
+        at_once = max(1, _CELLS // max(self.blocks, 2 * self.longest))
+        for lo in range(0, len(passed), at_once):
+            some = passed[lo : lo + at_once]
+            at, owner = _expand(a[some], b[some])
+            cell = distinct((owner * len(self.terms) + main_term[at]).astype(U64)).astype(np.int64)  # a term counts once
+            owner, t = cell // len(self.terms), cell % len(self.terms)
+            may = np.bincount(owner, self.upper[t], minlength=len(some))[owner] >= least.min()
+            owner, t = owner[may], t[may]
+            at, pair = _expand(self.block_starts[t], self.block_starts[t + 1])
+            bound = np.bincount(owner[pair] * self.blocks + self.block[at], self.block_max[at], minlength=len(some) * self.blocks)
+            for w in some[(bound.reshape(len(some), self.blocks) >= least).any(axis=1)]:
+                yield from self._verified(int(row[w]), int(offset[w]), words.hashes[first[w] : last[w]], term[slice(*np.searchsorted(known, [first[w], last[w]]))])
+
+    def _verified(self, row: int, offset: int, text: np.ndarray, terms: np.ndarray):
+        inside: dict[int, np.ndarray] = {}
+        for item, score in self.wand(distinct(terms)):
+            parts = []
+            for k, shingles in self.shingles[item]:
+                if k and k not in inside:
+                    inside[k] = distinct(rolling(text, k))
+                parts.append(float(np.isin(shingles, inside[k]).mean()) if k else 0.0)
+            if parts[0] >= OVERLAP or (parts[1] >= OVERLAP and parts[2] >= ANSWER):
+                yield row, int(self.ids[item]), offset, score, *parts
 
 
 class Index:
@@ -201,14 +216,22 @@ class Index:
         self.shelves = []
         for s in sorted(set(shelf)):
             ids, texts, words = zip(*(x for x, own in zip(held, shelf, strict=True) if own == s), strict=True)
-            self.shelves.append(Shelf(s, list(ids), list(words), list(texts), statistics))
+            self.shelves.append(Shelf(statistics.longest[s], list(ids), list(words), list(texts), statistics))
+        self.terms = np.unique(np.concatenate([np.zeros(0, dtype=U64), *(s.terms for s in self.shelves)]))
+        self.own = [np.full(len(self.terms), -1) for _ in self.shelves]
+        for own, s in zip(self.own, self.shelves, strict=True):
+            own[np.searchsorted(self.terms, s.terms)] = np.arange(len(s.terms))
 
     def leaks(self, texts: pa.Array):
         """See `Shelf.leaks`; rows in no order."""
         if self.shelves:
             words = Words(texts, lower=True, bare=True)
-            for shelf in self.shelves:
-                yield from shelf.leaks(words)
+            at = np.minimum(np.searchsorted(self.terms, words.hashes), len(self.terms) - 1)
+            known = np.flatnonzero(self.terms[at] == words.hashes)
+            at = at[known]
+            for shelf, own in zip(self.shelves, self.own, strict=True):
+                term = own[at]
+                yield from shelf.leaks(words, known[term >= 0], term[term >= 0])
 
 
 def _terms(batches):
@@ -227,7 +250,8 @@ def _groups(items: DataFrame, id_col: str, text_col: str):
     many = -(-rows.count() // MAX_ITEMS)
     group = F.pmod(F.xxhash64("i", "t"), F.lit(many))
     if many > 1:
-        terms = rows.mapInArrow(_terms, "term long, length long")
+        terms = checkpoint(rows.mapInArrow(_terms, "term long, length long"))
+        lengths = [r.length for r in terms.select("length").filter("length is not null").distinct().sort("length").collect()]  # not more than the longest one
         counts = checkpoint(terms.groupBy("term").agg(F.count("*").alias("n"), F.sum("length").alias("words"), F.count("length").alias("items")))
         whole = counts.agg(F.sum("items").alias("items"), F.sum("words").alias("words")).first()
     for g in range(many):
@@ -236,7 +260,7 @@ def _groups(items: DataFrame, id_col: str, text_col: str):
             held = counts.join(own.mapInArrow(_terms, "term long, length long").select("term").distinct(), "term").select("term", "n").toArrow()
             term, n = held.column("term").to_numpy().view(U64), held.column("n").to_numpy()
             order = np.argsort(term)
-            statistics = Statistics(whole["items"], whole["words"] / max(1, whole["items"]), term[order], n[order])
+            statistics = Statistics(whole["items"], whole["words"] / max(1, whole["items"]), term[order], n[order], {_shelf(x): x for x in lengths})
         yield items.sparkSession.sparkContext.broadcast(Index([(r.i, r.t) for r in own.collect()], statistics))
 
 
