@@ -35,6 +35,8 @@ from wirewarden.llm.common import U64, Words, build_filter, mix, per_batch, rema
 
 #: Quantisation base, bits for each event, probes for each, and the bound of the filter.
 BASE, BITS, PROBES, FILTER_BYTES = 1.5, 9.0, 5, 64 << 20
+#: Rows whose tokens are held as arrays at once.
+AT_ONCE = 1500
 #: Words whose exact counts are broadcast: at most so many, 16 bytes each.
 MAX_EXACT = 1 << 20
 WEIGHTS = (1.0, 10.0, 100.0, 1e3, 1e4, 1e6)
@@ -162,7 +164,8 @@ def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BY
 
     def words(batches):
         for b in batches:
-            yield _rows("key")(*_count(_tokens(b.column("_text"))[0]))
+            for lo in range(0, b.num_rows, AT_ONCE):
+                yield _rows("key")(*_count(_tokens(b.column("_text").slice(lo, AT_ONCE))[0]))
 
     counts = _stored(spark, source.mapInArrow(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -183,8 +186,8 @@ def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BY
         """The level of a pair's second word, or the word where it is not known here."""
         words, known = sent.value
         for b in batches:
-            for lo in range(0, b.num_rows, 5000):
-                tokens, bounds = _tokens(b.column("_text").slice(lo, 5000))
+            for lo in range(0, b.num_rows, AT_ONCE):
+                tokens, bounds = _tokens(b.column("_text").slice(lo, AT_ONCE))
                 at, pair = _pairs(tokens, bounds)
                 code, distinct = pd.factorize(pair)
                 first = np.zeros(len(distinct), dtype=np.int64)
@@ -271,7 +274,7 @@ def score(docs: DataFrame, train_on, *, id_col: str = "doc_id", text_col: str =
 
         return step
 
-    made = source.mapInArrow(per_batch(make, 2000), "row long, _id long, held_out boolean, n_tokens long, n_known long, base double, score double, key long, times long, pair_times long")
+    made = source.mapInArrow(per_batch(make, AT_ONCE), "row long, _id long, held_out boolean, n_tokens long, n_known long, base double, score double, key long, times long, pair_times long")
     joined = made.join(counts.union(pairs), "key", "left").withColumn("c", F.when(F.col("times").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0))
     own, after = level_count(F.shiftright("n", 8)), level_count(F.col("n").bitwiseAND(255))
     gain = F.log10(1 + own * float(model.tokens + model.vocabulary + 1) / (F.lit(model.weight) * (after + 1)))
