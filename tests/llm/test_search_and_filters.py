@@ -36,22 +36,35 @@ def test_recall_and_order(spark, monkeypatch):
     assert [i for i, _ in by_query[100]] == [101, 102, 103, 104, 105]
 
 
+def test_huge_tiny_and_clashing(spark):
+    rows = [(50, [1e200, 0.0], "a"), (51, [1e-200, 1e-200], "b"), (52, [-1e300, 1e300], "c")]
+    got = ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string").withColumns({"v": F.lit(1), "d": F.lit("x"), "score": F.lit(0)}), F.col("vec_id") == 50).collect()
+    assert [(r.vec_id, round(r.score, 12)) for r in got] == [(51, round(0.5**0.5, 12)), (52, -round(0.5**0.5, 12))]
+
+
 def test_fewer_candidates_and_empty(spark):
     df = spark.createDataFrame([(50, [1.0, 0.0]), (51, [0.0, 1.0]), (100, [1.0, 1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id, r.score) for r in ann_forest.nearest(df, F.col("vec_id") % 50 == 0).collect()] == [(50, 51, 0.0)]
     assert ann_forest.nearest(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
-def test_url_rules_and_reputation(spark):
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_url_rules_and_reputation(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MAX_RULES", most)
     urls = ["https://A.example.org/es/1?x", "http://example.org/en/12", "https://example.org", "https://x.com/fr/1", "https://x.com/de/1", "no scheme", None, "https://net.io/x#y", "ftp://u@h.org:8/p?q://z", ""]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(0, urls[0], "clash")], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.rules_frame(spark, URL_RULES)).collect()}
-    # page 2 fits no rule, but all labelled pages of its host and domain are blocked
+    # page 2 fits no rule, but all labelled pages of its host and domain are blocked; page 8 has its domain's suffix, whatever the port, and of that no other page is labelled
     assert got == {0: ("a.example.org", "/es/1", "example.org/es/", "block"), 1: ("example.org", "/en/12", "example.org/en/1", "block"), 2: ("example.org", "", None, "block"), 3: ("x.com", "/fr/1", "com/fr/", "allow"), 4: ("x.com", "/de/1", "com/de/", "block"),
-                   5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("net.io", "/x", None, "allow"), 8: ("u@h.org:8", "/p", None, "allow"), 9: ("", "", None, "allow")}
+                   5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("net.io", "/x", None, "allow"), 8: ("u@h.org:8", "/p", None, "block"), 9: ("", "", None, "allow")}
     outcomes = spark.createDataFrame([(f"https://bad{i % 4}.spam.io/{i}", 1) for i in range(80)] + [(f"https://good{i % 9}.fine.io/{i}", 0) for i in range(90)], "url string, bad int")
     judged = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame([(1, "https://bad1.spam.io/z"), (2, "https://good1.fine.io/z"), (3, "https://new.spam.io/"), (4, "https://new.other/")], "page_id long, url string"), url_filter.rules_frame(spark, URL_RULES), outcomes).collect()}
     assert (judged[1], judged[2], judged[4]) == ("block", "allow", "allow")
+    ties = url_filter.rules_frame(spark, [("block", "x.com/b"), ("allow", "y.x.com/"), ("block", "x.com/a"), ("allow", "x.com/")])
+    some = spark.createDataFrame([(1, "http://x.com/" + "a" * 100_000), (2, "http://y.x.com/a/"), (3, "http://x.com:80/a")], "page_id long, url string")
+    assert {r.page_id: r.rule for r in url_filter.judge(some, ties).collect()} == {1: "x.com/a", 2: "y.x.com/", 3: None}
+    hosts = spark.createDataFrame([(h,) for h in ("u@a.co.uk:8", "10.0.0.1", "10.0.0.1:80", "a.b.org")], "host string")
+    assert [tuple(r) for r in hosts.select(url_filter.domain_of(F.col("host")), url_filter.suffix_of(F.col("host"))).collect()] == [("a.co.uk", "co.uk"), ("10.0.0.1", "10.0.0.1"), ("10.0.0.1", "10.0.0.1"), ("b.org", "org")]
     assert url_filter.judge(pages.limit(0), url_filter.rules_frame(spark, URL_RULES)).collect() == []
 
 

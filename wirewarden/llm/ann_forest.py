@@ -3,8 +3,9 @@
 Each tree is a sorted array of long hash strings (the signs of random projections). A query descends every tree to its
 longest prefix match and ascends all trees in step, a bit at a time, until the prefix ranges hold enough candidates; only those
 candidates are compared. Rows are dealt out in blocks by a hash of their id, each with a forest of its own over all of its
-rows; queries in blocks too, and one task searches one block of queries in one block of rows. How many candidates
-are wanted is a share of the block, so that the work does not depend on how rows are spread.
+rows, which one task builds once from the rows that come first and then searches for the queries that stream past it. How many candidates
+are wanted is a share of the block, so that the work does not depend on how rows are spread. Every row is shuffled once; every
+query is shuffled once for each block of rows.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, BITS = 48, 32
-ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 8192, 1024
+#: Rows of a block, and queries that are searched at once.
+ROWS_IN_BLOCK, QUERIES_AT_ONCE = 16384, 512
 #: Entries of the prefix ranges of all trees, as a share of the block's rows, at which the ascent stops.
-QUOTA = 1.0
+QUOTA = 0.75
 _SEED = 20240607
 
 
@@ -63,32 +65,65 @@ class Forest:
             yield np.flatnonzero(seen)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(column), -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, each divided by the power of two of its largest component: no square over- or underflows, and no cosine changes."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
-def _search(k: int):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+class _Block:
+    """The rows of one block: gathered first, then searched."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.forest = k, [], None
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.parts.append((ids, vectors))
+
+    def search(self, query_ids: np.ndarray, asked: np.ndarray):
+        """(query ids, ids, scores) of the k nearest rows found for each query."""
+        if self.forest is None:
+            self.ids, self.vectors = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.parts = []
+            self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+            self.forest = Forest(self.vectors / self.norms[:, None])
+        ids, vectors, norms, k = self.ids, self.vectors, self.norms, self.k
+        asked_norms = np.sqrt((asked * asked).sum(axis=1))
         out: list[list] = [[], [], []]
-        if rows.num_rows and queries.num_rows:
-            vectors, asked = _matrix(rows.column("v")), _matrix(queries.column("v"))
-            ids, query_ids = rows.column("id").to_numpy(), queries.column("id").to_numpy()
-            norms, asked_norms = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((asked * asked).sum(axis=1))
-            for q, found in enumerate(Forest(vectors / norms[:, None]).candidates(asked / asked_norms[:, None])):
-                found = found[ids[found] != query_ids[q]]
-                if len(found) < k:  # too few others shared a prefix: the root holds every row
-                    found = np.flatnonzero(ids != query_ids[q])
-                near = vectors[found] @ asked[q] / (norms[found] * asked_norms[q])
-                if len(found) > 4 * k:  # then exactly, in an order of additions that depends on the vector alone
-                    near_enough = near >= np.partition(near, len(near) - 4 * k)[len(near) - 4 * k] - 1e-9
-                    found = found[near_enough]
-                exact = (vectors[found] * asked[q]).sum(axis=1) / (norms[found] * asked_norms[q])
-                best = np.lexsort((ids[found], -exact))
-                _, first = np.unique(ids[found][best], return_index=True)  # an id that repeats counts once
-                best = best[np.sort(first)][:k]
-                out[0].append(np.full(len(best), query_ids[q])), out[1].append(ids[found][best]), out[2].append(exact[best])
-        return pa.table({name: pa.array(np.concatenate(x) if x else np.zeros(0), kind) for name, x, kind in zip(("query_id", "vec_id", "score"), out, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+        for q, found in enumerate(self.forest.candidates(asked / asked_norms[:, None])):
+            found = found[ids[found] != query_ids[q]]
+            if len(found) < k:  # too few others shared a prefix: the root holds every row
+                found = np.flatnonzero(ids != query_ids[q])
+            near = vectors[found] @ asked[q] / (norms[found] * asked_norms[q])
+            if len(found) > 4 * k:  # then exactly, in an order of additions that depends on the vector alone
+                near_enough = near >= np.partition(near, len(near) - 4 * k)[len(near) - 4 * k] - 1e-9
+                found = found[near_enough]
+            exact = (vectors[found] * asked[q]).sum(axis=1) / (norms[found] * asked_norms[q])
+            best = np.lexsort((ids[found], -exact))
+            _, first = np.unique(ids[found][best], return_index=True)  # an id that repeats counts once
+            best = best[np.sort(first)][:k]
+            out[0].append(np.full(len(best), query_ids[q])), out[1].append(ids[found][best]), out[2].append(exact[best])
+        return map(np.concatenate, out)
+
+
+def _search(k: int):
+    """Rows (d, i, asks, id, v) sorted by block (d, i), in each the rows before the queries -> (query_id, vec_id, score)."""
+    def run(batches):
+        now, block = None, None
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d", "i", "asks")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if now != tuple(keys[lo, :2]):
+                    now, block = tuple(keys[lo, :2]), _Block(k)
+                if not keys[lo, 2]:
+                    block.add(b.column("id")[lo:hi].to_numpy(), _matrix(b.column("v")[lo:hi]))
+                elif block.parts or block.forest:
+                    for at in range(lo, hi, QUERIES_AT_ONCE):
+                        some = slice(at, min(at + QUERIES_AT_ONCE, hi))
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in block.search(b.column("id")[some].to_numpy(), _matrix(b.column("v")[some]))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -105,12 +140,12 @@ def nearest(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
     usable = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("asked")).filter(
         F.col("id").isNotNull() & (F.size(v) > 0)
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)).withColumn("d", F.size(v))
-    sizes = usable.agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).first()
-    row_blocks, query_blocks = -(-sizes.n // ROWS_IN_BLOCK) or 1, -(-sizes.q // QUERIES_IN_BLOCK) or 1
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = usable.select("id", "v", "d", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int").alias("i"), every(query_blocks).alias("j"))
-    right = usable.filter("asked").select("id", "v", "d", every(row_blocks).alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("j"))
-    found = left.groupBy("d", "i", "j").cogroup(right.groupBy("d", "i", "j")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
+    blocks = max(1, -(-usable.count() // ROWS_IN_BLOCK))
+    columns = ["d", "i", "asks", "id", "v"]
+    kept = usable.select("*", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("i"), F.lit(0).alias("asks")).select(columns)
+    asking = usable.filter("asked").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.lit(1).alias("asks")).select(columns)
+    dealt = kept.union(asking).repartition(blocks, "d", "i").sortWithinPartitions("d", "i", "asks")
+    found = dealt.mapInArrow(_search(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,8 +2,10 @@
 
 Labelled page outcomes (bad or not) are summed for each host, registered domain and suffix. Each level is a beta-binomial
 prior for the one below it: its mean is the shrunken mean of the level above, its strength comes from the spread of
-the groups (method of moments), but it never weighs more than the labelled pages that it is made from. A host is blocked if the lower bound of its posterior exceeds a limit. All of it is Spark SQL; only sums by host, a
-much smaller table than the pages, are joined back to them.
+the groups (method of moments), but it never weighs more than the labelled pages that it is made from. A host is blocked if the lower bound of its posterior exceeds a limit.
+
+All of it is Spark SQL. Up to MAX_RULES rules are looked up in a map, by every ending of the page's host, without a shuffle; only more are joined by
+host. Sums by host, a much smaller table than the pages, are joined back to them; hosts with many pages are broadcast (`hot_join`).
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wirewarden.llm.common import hot_join
+
+#: Rules that are sent to every task as a map.
+MAX_RULES = 20_000
 #: Suffixes of two labels under which domains are registered (a parameter; every other last label is a suffix).
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "com.br", "com.cn", "co.in", "co.za", "com.mx")
 Z, LIMIT = 1.645, 0.5
@@ -26,13 +32,25 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+_BESIDE, _ADDRESS = r"^.*@|:[0-9]*$", r"^[0-9.]+$|^\["
+
+
+def _name(host: Column) -> Column:
+    """A host without user information and port."""
+    return F.regexp_replace(host, _BESIDE, "")
+
+
 def suffix_of(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*two_label), two).otherwise(F.substring_index(host, ".", -1))
+    """What domains are registered under; an IP address is its own."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(_ADDRESS), name).when(two.isin(*two_label), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*two_label), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(_ADDRESS), name).when(two.isin(*two_label), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rules_frame(spark, rules: list[tuple[str, str]]) -> DataFrame:
@@ -82,26 +100,27 @@ def judge(pages: DataFrame, rules: DataFrame, outcomes: DataFrame | None = None,
     url = F.col(url_col)
     own = pages.select(F.col(id_col), url_host(url).alias("host"), url_path(url).alias("path"))
 
-    def with_rules(hosts: DataFrame) -> DataFrame:
-        """Each host with the rules that may fit it, longest first."""
-        labels = F.split("host", r"\.")
-        ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-        met = hosts.select("host", F.explode(ends).alias("rule_host")).join(F.broadcast(rules), "rule_host")
-        by_host = met.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.length("rule")).alias("order"), "rule", "rule_path", "action"))).alias("rules"))
-        return hosts.join(by_host, "host", "left")
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    one = F.struct((-F.length("rule")).alias("order"), "rule", "rule_path", "action")
+    of_host = rules.groupBy("rule_host").agg(F.collect_list(one).alias("own"))
 
     def fitting(frame: DataFrame) -> DataFrame:
-        hosts = with_rules(frame.select("host").distinct())
-        fits = F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"]))
-        return frame.join(hosts, "host").withColumn("fit", F.when(F.size(fits) > 0, fits[0])).drop("rules")
+        if rules.count() <= MAX_RULES:
+            table = of_host.agg(F.map_from_entries(F.collect_list(F.struct("rule_host", "own"))).alias("table"))  # one row
+            joined = frame.join(F.broadcast(table)).withColumn("rules", F.flatten(F.filter(F.transform(ends, lambda e: F.try_element_at("table", e)), lambda x: x.isNotNull()))).drop("table")
+        else:
+            met = frame.select("host").distinct().select("host", F.explode(ends).alias("rule_host")).join(of_host, "rule_host")
+            joined = frame.join(met.groupBy("host").agg(F.flatten(F.collect_list("own")).alias("rules")), "host", "left")
+        return joined.withColumn("fit", F.array_min(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])))).drop("rules")  # the longest one
 
     fitted = fitting(own)
     if outcomes is None:
         labelled = fitted.select("host", F.col("fit.action").alias("action")).withColumn("bad", (F.col("action") == "block").cast("int"))
     else:
         labelled = own.select("host").withColumn("bad", F.lit(None).cast("int")).unionByName(outcomes.select(url_host(F.col("url")).alias("host"), F.col("bad").cast("int")))
-    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    judged = fitted.join(host_reputation(hosts), "host")
+    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("*").alias("_rows"))
+    judged = hot_join(fitted, host_reputation(hosts.drop("_rows")).join(hosts.select("host", "_rows"), "host"), "host", pages.count())
     verdict = F.coalesce(F.col("fit.action"), F.when(F.col("bad_lower") > limit, "block").otherwise("allow"))
     return judged.select(id_col, "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "bad_mean", "bad_lower")
 
@@ -110,7 +129,9 @@ def oracle(rules: list[tuple[str, str]]) -> str:
     """The same in DuckDB SQL, over the view pages."""
     values = ", ".join(f"('{a}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for a, r in rules)
     two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
-    last = lambda n: f"array_to_string(list_reverse(list_reverse(string_split(host, '.'))[1:{n}]), '.')"
+    name = f"regexp_replace(host, '{_BESIDE}', '', 'g')"
+    last = lambda n: f"array_to_string(list_reverse(list_reverse(string_split({name}, '.'))[1:{n}]), '.')"
+    address = f"WHEN regexp_matches({name}, '{_ADDRESS}') THEN {name}"
 
     def strength(table: str, n: str, b: str) -> str:
         p = "(b / t)"
@@ -122,7 +143,7 @@ def oracle(rules: list[tuple[str, str]]) -> str:
 WITH rules(action, rule, rule_host, rule_path) AS (VALUES {values}),
 own AS (SELECT page_id, coalesce(translate(regexp_extract(url, '{_URL}', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(url, '{_URL}', 2), '') AS path FROM pages),
 fitted AS (SELECT own.*, (SELECT struct_pack(rule := rule, action := action) FROM rules WHERE (own.host = rule_host OR ends_with(own.host, '.' || rule_host)) AND starts_with(own.path, rule_path) ORDER BY length(rule) DESC, rule LIMIT 1) AS fit FROM own),
-hosts AS (SELECT host, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix,
+hosts AS (SELECT host, CASE {address} WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE {address} WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix,
   count(fit.action) AS n, count(*) FILTER (WHERE fit.action = 'block') AS bad FROM fitted GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) dn, sum(bad) db FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(dn) sn, sum(db) sb FROM domains GROUP BY suffix),
