@@ -24,11 +24,13 @@ from pyspark.sql import types as T
 REPORT_ORDER = ("PAN", "EMAIL", "IBAN", "SSN", "PHONE", "CVV", "TOKEN", "IP")
 TOKEN = re.compile("⟦REDACTED:[A-Z0-9_]+⟧")
 #: Characters of an IBAN by country.
-IBAN_LENGTHS = dict(pair.split() for pair in (
-    "AD 24,AE 23,AL 28,AT 20,AZ 28,BA 20,BE 16,BG 22,BH 22,BR 29,BY 28,CH 21,CR 22,CY 28,CZ 24,DE 22,DK 18,DO 28,EE 20,EG 29,ES 24,FI 18,FO 18,FR 27,"
-    "GB 22,GE 22,GI 23,GL 18,GR 27,GT 28,HR 21,HU 28,IE 22,IL 23,IQ 23,IR 26,IS 26,IT 27,JO 30,KW 30,KZ 20,LB 28,LC 32,LI 21,LT 20,LU 20,LV 21,MC 27,"
-    "MD 24,ME 22,MK 19,MR 27,MT 31,MU 30,MZ 25,NL 18,NO 15,PK 24,PL 28,PS 29,PT 25,QA 29,RO 24,RS 22,SA 24,SC 31,SE 24,SI 19,SK 24,SM 27,SV 28,TL 23,"
-    "TN 24,TR 26,UA 29,VA 22,VG 24,XK 20").split(","))
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IR": 26, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "MZ": 25, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22,
+    "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _CVV_NAME = r"(?:card[_-]?)?(?:cvv2?|cvc2?|csc|security[_-]?code)"
 _CVV_KEY = re.compile(rf"{_CVV_NAME}", re.I | re.A)
 _SPACE = r"[\s ﻿]"
@@ -42,11 +44,13 @@ IP_ANCHOR = r"[0-9]+\.[0-9]+\.|[0-9a-fA-F]*:[0-9a-fA-F]*:|" + _ESCAPE
 
 @dataclass(frozen=True)
 class Recognizer:
-    """A pattern id, a regular expression, and what of a match is sensitive: its span, or None."""
+    """A pattern id, a regular expression, and what of a match is sensitive: its span, or None. `others`: more expressions of the same id; of spans
+    that overlap the one that starts first counts, of those with one start the longest."""
 
     id: str
     pattern: re.Pattern
     check: Callable[[re.Match], tuple[int, int] | None] = lambda m: m.span()
+    others: tuple[tuple[re.Pattern, Callable[[re.Match], tuple[int, int] | None]], ...] = ()
 
 
 def luhn(digits: str) -> bool:
@@ -69,7 +73,7 @@ def _pan(m: re.Match):
 
 def is_iban(s: str) -> bool:
     s = s.replace(" ", "").upper()
-    if str(len(s)) != IBAN_LENGTHS.get(s[:2]):
+    if len(s) != IBAN_LENGTHS.get(s[:2]):
         return False
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
@@ -78,13 +82,14 @@ def _iban(m: re.Match):
     return _longest(m, " ", 34, is_iban)
 
 
-#: Country calling codes by length; numbers of other codes are no phone numbers.
-CALLING_CODES = frozenset((
-    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
-    "212 213 216 218 220 221 222 223 224 225 226 227 228 229 230 231 232 233 234 235 236 237 238 239 240 241 242 243 244 245 248 249 250 251 252 253 254 255 256 257 258 260 261 262 263 264 265 266 267 268 269 "
-    "297 298 299 350 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 378 380 381 382 383 385 386 387 389 420 421 423 "
-    "500 501 502 503 504 505 506 507 508 509 590 591 592 593 594 595 596 597 598 599 670 673 674 675 676 677 678 679 680 682 685 686 687 688 689 691 692 "
-    "850 852 853 855 856 880 886 960 961 962 963 964 965 966 967 968 970 971 972 973 974 975 976 977 992 993 994 995 996 998").split())
+#: Ranges of country calling codes; numbers of other codes are no phone numbers.
+CALLING_CODE_RANGES = (
+    (1, 1), (7, 7), (20, 20), (27, 27), (30, 34), (36, 36), (39, 41), (43, 49), (51, 58), (60, 66), (81, 82), (84, 84),
+    (86, 86), (90, 95), (98, 98), (212, 213), (216, 216), (218, 218), (220, 245), (248, 258), (260, 269), (297, 299), (350, 359), (370, 378),
+    (380, 383), (385, 387), (389, 389), (420, 421), (423, 423), (500, 509), (590, 599), (670, 670), (673, 680), (682, 682), (685, 689), (691, 692),
+    (850, 850), (852, 853), (855, 856), (880, 880), (886, 886), (960, 968), (970, 977), (992, 996), (998, 998),
+)
+CALLING_CODES = frozenset(str(c) for low, high in CALLING_CODE_RANGES for c in range(low, high + 1))
 
 
 def is_phone(s: str) -> bool:
@@ -132,10 +137,12 @@ def _ip(m: re.Match):
 
 
 _A = re.A
-RECOGNIZERS = (  # in the order of application: each sees what the ones before it have left
-    Recognizer("TOKEN", re.compile(r"\b[a-z]{2}_(?:live|test)_[A-Za-z0-9]{6,}", _A)),
-    Recognizer("TOKEN", re.compile(r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}", _A), _jwt),
-    Recognizer("TOKEN", re.compile(rf"\b(?i:bearer){_SPACE}+([A-Za-z0-9._~+/=-]{{8,}})"), lambda m: m.span(1)),
+#: The shapes of secrets (prefixed keys, signed web tokens, bearer values), card codes, account numbers, addresses and social security numbers,
+#: in the order of application: each sees what the ones before it have left.
+RECOGNIZERS = (
+    Recognizer("TOKEN", re.compile(r"\b[a-z]{2}_(?:live|test)_[A-Za-z0-9]{6,}", _A), others=(
+        (re.compile(r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}", _A), _jwt),
+        (re.compile(rf"\b(?i:bearer){_SPACE}+([A-Za-z0-9._~+/=-]{{8,}})"), lambda m: m.span(1)))),
     Recognizer("CVV", re.compile(rf"\b(?i:{_CVV_NAME})\"?{_SPACE}*[:=]{_SPACE}*\"?([0-9]{{3,4}})(?![0-9])"), lambda m: m.span(1)),
     Recognizer("IBAN", re.compile(r"(?<!\w)[A-Za-z]{2}[0-9]{2}(?:[A-Za-z0-9]| (?=[A-Za-z0-9])){11,60}(?!\w)", _A), _iban),
     Recognizer("PHONE", re.compile(r"(?<!\w)\+[0-9]+(?:[ .-]?\(?[0-9]+\)?)*", _A), _phone),
@@ -158,6 +165,14 @@ def _plain(text: str, recognizers: Iterable[Recognizer], fired: set[str]) -> str
 
 def _apply(text: str, r: Recognizer, fired: set[str]) -> str:
     out, at = [], 0
+    if r.others:
+        spans = [span for pattern, check in ((r.pattern, r.check), *r.others) for m in pattern.finditer(text) if (span := check(m))]
+        for start, end in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if start >= at:
+                out += [text[at:start], f"⟦REDACTED:{r.id}⟧"]
+                fired.add(r.id)
+                at = end
+        return "".join([*out, text[at:]])
     m = r.pattern.search(text)
     while m:
         span = r.check(m)
@@ -269,13 +284,10 @@ def needs_redaction(column: Column, ip: bool = False) -> Column:
 
 def redact(df: DataFrame, column: str, *, recognizers: Iterable[Recognizer] = RECOGNIZERS, ip: bool = False, patterns: str = "patterns") -> DataFrame:
     """df with the column redacted and the fired pattern ids in a column of their own. Rows without an anchor of any
-    pattern are not sent to Python."""
-    custom = tuple(recognizers) != RECOGNIZERS
-    clean = df if custom else df.filter(~needs_redaction(F.col(column), ip))
-    udf = make_redact(recognizers, ip)
-    told = (df if custom else df.filter(needs_redaction(F.col(column), ip))).withColumn("_redacted", udf(column))
-    told = told.withColumn(column, F.col("_redacted.text")).withColumn(patterns, F.col("_redacted.patterns")).drop("_redacted")
-    return told if custom else told.unionByName(clean.withColumn(patterns, F.array().cast("array<string>")))
+    pattern go to Python as nulls. The table is read once."""
+    own = F.col(column) if tuple(recognizers) != RECOGNIZERS else F.when(needs_redaction(F.col(column), ip), F.col(column))
+    done = df.withColumn("_redacted", make_redact(recognizers, ip)(own))
+    return done.withColumns({column: F.coalesce("_redacted.text", column), patterns: F.col("_redacted.patterns")}).drop("_redacted")
 
 
 def contains_token(column: Column) -> Column:
@@ -304,7 +316,7 @@ def pan_digits(column: Column) -> Column:
 
 def redact_record(df: DataFrame, *columns: str, existing: str | None = None, patterns: str = "patterns", recognizers: Iterable[Recognizer] = RECOGNIZERS, ip: bool = False) -> DataFrame:
     """RED17: all text columns of a record in one pass over Python; the fired ids of all columns, with those in `existing`, as a
-    sorted set. Rows without an anchor in any column stay in the JVM."""
+    sorted set. Columns without an anchor go to Python as nulls."""
     chosen = (*recognizers, IP_RECOGNIZER) if ip else tuple(recognizers)
     result = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))] + [T.StructField("p", T.ArrayType(T.StringType()))])
 
@@ -316,14 +328,49 @@ def redact_record(df: DataFrame, *columns: str, existing: str | None = None, pat
             out.append([*[t for t, _ in done], sorted({x for _, fired in done for x in fired})])
         return pd.DataFrame(out, columns=[f.name for f in result])
 
-    anchored = F.lit(False)
-    for c in columns:
-        anchored = anchored | needs_redaction(F.col(c), ip)
     none = F.array().cast("array<string>")
     before = F.coalesce(F.col(existing), none) if existing else none
-    told = df.filter(anchored).withColumn("_r", run(*columns)).withColumn("_all", F.array_sort(F.array_union(before, F.col("_r.p"))))
-    told = told.withColumns({c: F.col(f"_r.c{i}") for i, c in enumerate(columns)}).withColumn(patterns, F.col("_all")).drop("_r", "_all")
-    return told.unionByName(df.filter(~anchored).withColumn(patterns, F.array_sort(before)))
+    done = df.withColumn("_r", run(*[F.when(needs_redaction(F.col(c), ip), F.col(c)) for c in columns])).withColumn("_all", F.array_sort(F.array_union(before, F.col("_r.p"))))
+    return done.withColumns({c: F.coalesce(f"_r.c{i}", c) for i, c in enumerate(columns)}).withColumn(patterns, F.col("_all")).drop("_r", "_all")
+
+
+def merge_fields(existing: Column, found: Column) -> Column:
+    """RED17: records (part, path, ...) of both arrays, one for each part and path; an existing one wins."""
+    key = lambda x: F.struct(x["part"].alias("part"), x["path"].alias("path"))
+    have = F.transform(existing, key)
+    return F.concat(existing, F.filter(found, lambda x: ~F.array_contains(have, key(x))))
+
+
+def redact_call_records(df: DataFrame, parts: dict[str, str], *, patterns: str = "patterns", fields: str = "fields", recognizers: Iterable[Recognizer] = RECOGNIZERS) -> DataFrame:
+    """RED17: the record pass. parts: the name of each text column's part; `patterns` (array<string>) and `fields` (array<struct<part, path, pattern,
+    ...>>), which the record has, are added to and never lose an entry."""
+    raw = {c: f"_raw_{c}" for c in parts}
+    done = redact_record(df.withColumns({raw[c]: F.col(c) for c in parts}), *parts, existing=patterns, patterns=patterns, recognizers=recognizers)
+    kind = df.schema[fields].dataType.elementType
+    found = F.flatten(F.array(*[F.transform(redacted_fields(F.when(F.col(raw[c]) != F.col(c), F.col(raw[c])), c), lambda x, part=part: F.struct(
+        *[(F.lit(part) if name == "part" else x[name] if name in FIELD.elementType.names else F.lit(None)).cast(kind[name].dataType).alias(name) for name in kind.names])) for c, part in parts.items()]))
+    return done.withColumn(fields, merge_fields(F.coalesce(F.col(fields), F.array().cast(done.schema[fields].dataType)), found)).drop(*raw.values())
+
+
+def redact_snapshots(df: DataFrame, document: str = "snapshot_json", command: str = "server_command", recognizers: Iterable[Recognizer] = RECOGNIZERS) -> DataFrame:
+    """RED18: the listing as JSON text, and each element of the command (a JSON array of strings) on its own; a command that is no such array is text."""
+    parsed = F.from_json(command, "array<string>")
+    out = redact_record(df, document, patterns="_p", recognizers=recognizers).withColumn("_c", parsed)
+    out = redact_elements(out, "_c", recognizers)
+    out = redact_record(out.withColumn("_t", F.when(F.col("_c").isNull(), F.col(command))), "_t", patterns="_p", recognizers=recognizers)
+    return out.withColumn(command, F.coalesce(F.to_json("_c"), "_t")).drop("_p", "_c", "_t")
+
+
+def redact_nested(df: DataFrame, column: str, recognizers: Iterable[Recognizer] = RECOGNIZERS) -> DataFrame:
+    """RED15: keys and values of a map, struct or array column, by way of its JSON text. A field of another type than string whose value became a token is null."""
+    kind = df.schema[column].dataType
+    out = redact_record(df.withColumn("_j", F.to_json(column)), "_j", patterns="_p", recognizers=recognizers)
+    return out.withColumn(column, F.from_json("_j", kind)).drop("_j", "_p")
+
+
+def redact_findings(findings: DataFrame, columns: tuple[str, ...] = ("expected", "actual", "detail"), recognizers: Iterable[Recognizer] = RECOGNIZERS) -> DataFrame:
+    """PRJ4: what a finding says is redacted again on its way out."""
+    return redact_record(findings, *columns, patterns="_p", recognizers=recognizers).drop("_p")
 
 
 def redact_elements(df: DataFrame, column: str, recognizers: Iterable[Recognizer] = RECOGNIZERS) -> DataFrame:

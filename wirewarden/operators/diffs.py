@@ -21,7 +21,6 @@ GRADES = (
     ("output-enum-value-added", "output", "WARNING"), ("output-enum-value-replaced", "output", "BREAKING"), ("output-schema-removed", "output", "BREAKING"), ("output-schema-declared", "output", None),
     ("description-changed", "wording", "WARNING"),
 )
-MAX_DEPTH = 24
 _NODE = "array<struct<path:string,parent:string,name:string,required:boolean,types:array<string>,enum:array<string>>>"
 
 
@@ -50,7 +49,7 @@ def _canonical_text(text: str | None) -> str | None:
     """DIF4: a schema that does not decode is blank."""
     try:
         return None if text is None else json.dumps(canonical_schema(json.loads(text)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
@@ -62,20 +61,18 @@ def canonical(schemas: pd.Series) -> pd.Series:
 
 def _nodes(text: str | None, root: str) -> list[dict]:
     out: list[dict] = []
-
-    def walk(node, path: str, parent: str, name: str, required: bool, depth: int) -> None:
-        if not isinstance(node, dict) or depth > MAX_DEPTH:
-            return
+    ahead = [] if text is None else [(json.loads(text), root, "", root, True)]
+    while ahead:  # whatever the depth
+        node, path, parent, name, required = ahead.pop()
+        if not isinstance(node, dict):
+            continue
         kind = node.get("type", [])
         out.append({"path": path, "parent": parent, "name": name, "required": required, "types": sorted([kind] if isinstance(kind, str) else kind), "enum": sorted(json.dumps(x, ensure_ascii=False) for x in node.get("enum", []))})
         needed = node.get("required") or []
         for key, own in (node.get("properties") or {}).items():
-            walk(own, f"{path}.{key}", path, key, key in needed, depth + 1)
+            ahead.append((own, f"{path}.{key}", path, key, key in needed))
         if isinstance(node.get("items"), dict):
-            walk(node["items"], f"{path}.items", path, "items", True, depth + 1)
-
-    if text is not None:
-        walk(json.loads(text), root, "", root, True, 0)
+            ahead.append((node["items"], f"{path}.items", path, "items", True))
     return out
 
 

@@ -145,7 +145,7 @@ def agg_service_slices(spark, sf):
        "learned AS (SELECT peer_host, substr(route, 2) AS tool, at, seq, 'd' || (value > 50) AS hash FROM calls WHERE is_mcp)")
 def win_learned_catalog(spark, sf):
     """WIN3: what search results teach of each tool: its latest definition and how often it changed; absence teaches nothing."""
-    learned = A.calls(spark, sf).filter("is_mcp").select("peer_host", F.substring("route", 2, 99).alias("tool"), "at", "seq", F.concat(F.lit("d"), (F.col("value") > 50).cast("string")).alias("hash"))
+    learned = A.calls(spark, sf).filter("is_mcp").select("peer_host", F.expr("substring(route, 2)").alias("tool"), "at", "seq", F.concat(F.lit("d"), (F.col("value") > 50).cast("string")).alias("hash"))
     v = history.versions(learned, "peer_host", "tool")
     return v.groupBy("peer_host", "tool").agg(F.max_by("hash", "version").alias("hash"), F.max("version").alias("changes"))
 

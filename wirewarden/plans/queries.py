@@ -1,4 +1,4 @@
-"""Registered queries of the reference's own operators, each with DuckDB SQL for the same rows where SQL can express it."""
+"""Registered queries of the library's operators on API traffic, each with DuckDB SQL for the same rows where SQL can express it."""
 
 from __future__ import annotations
 
@@ -247,7 +247,7 @@ _TIER = "CASE WHEN kind IN ('live-vs-spec', 'output_mismatch') AND severity = 'b
 
 @query("agg_tiers", f"SELECT {_TIER} AS tier, count(*) AS n FROM signatures GROUP BY 1", A.CALLS, A.FINDINGS, A.SIGNATURES)
 def agg_tiers(spark, sf):
-    """AGG8, AGG18."""
+    """AGG8."""
     s = facts.findings_by_signature(A.findings(spark, sf))
     tier = F.when(F.col("kind").isin(*facts.PER_CALL_KINDS) & (F.col("severity") == "breaking"), "breaking-now").when(F.col("severity") == "breaking", "would-break").otherwise("worth-knowing")
     return s.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
@@ -271,7 +271,7 @@ def agg_roll_call(spark, sf):
 @query("agg_edge_status", """SELECT peer_host, direction, CASE WHEN bool_or(drifted) THEN 'drift' WHEN bool_and(is_mcp) THEN 'mcp' WHEN bool_or(has) THEN 'checked' ELSE 'not-checked' END AS state
  FROM (SELECT c.*, c.id IN (SELECT source_call_id FROM findings WHERE source_call_id IS NOT NULL AND kind = 'live-vs-spec' AND severity = 'breaking' AND rule = 'rule0') AS drifted, c.peer_host IN (SELECT peer_host FROM contracts) AS has FROM calls c) GROUP BY ALL""", A.CALLS, A.FINDINGS, A.CONTRACTS)
 def agg_edge_status(spark, sf):
-    """AGG13, AGG14, JN1: drift before tool edge before checked before not checked."""
+    """AGG14, JN1: drift before tool edge before checked before not checked."""
     bad = A.findings(spark, sf).filter("source_call_id is not null and kind = 'live-vs-spec' and severity = 'breaking' and rule = 'rule0'")
     c = facts.marked_calls(A.calls(spark, sf), bad).join(F.broadcast(A.contracts(spark, sf).select("peer_host", F.lit(True).alias("has"))), "peer_host", "left")
     state = F.when(F.max("drifted"), "drift").when(F.min("is_mcp"), "mcp").when(F.max("has"), "checked").otherwise("not-checked")
@@ -306,7 +306,7 @@ def val_tally(spark, sf):
 @query("jn_names", """SELECT h.peer_host, coalesce(CASE WHEN k.version % 2 = 0 THEN 'renamed ' || k.version END, k.title, CASE WHEN h.peer_host LIKE 'u1%' THEN 'directory' END, h.peer_host) AS name,
  CASE WHEN k.version % 2 = 0 THEN 'user' WHEN k.title IS NOT NULL THEN 'contract' WHEN h.peer_host LIKE 'u1%' THEN 'directory' ELSE 'auto' END AS source FROM (SELECT DISTINCT peer_host FROM calls WHERE direction = 'client') h LEFT JOIN contracts k USING (peer_host)""", A.CALLS, A.CONTRACTS)
 def jn_names(spark, sf):
-    """JN12, SET4: a name by the user, the contract, the directory, or the host itself."""
+    """JN12: a name by the user, the contract, the directory, or the host itself."""
     k = A.contracts(spark, sf)
     h = A.calls(spark, sf).filter("direction = 'client'").select("peer_host").distinct()
     user = k.filter("version % 2 = 0").select("peer_host", F.concat(F.lit("renamed "), F.col("version").cast("string")).alias("user_name"))
@@ -381,7 +381,7 @@ def win_last_two(spark, sf):
 
 @query("win_loaded_since", "SELECT peer_host, direction, arg_max(hash, version) AS hash, arg_max(at, version) AS loaded_at FROM versions GROUP BY ALL", A.CALLS, A.SNAPSHOTS, _VERSIONS)
 def win_loaded_since(spark, sf):
-    """WIN9, WIN11."""
+    """WIN9."""
     return history.loaded_since(A.snapshots(spark, sf), "peer_host", "direction").select("peer_host", "direction", "hash", "loaded_at")
 
 
@@ -407,10 +407,9 @@ def win_argument_shape(spark, sf):
 
 def argument_shape(df: DataFrame, key: str, column: str) -> DataFrame:
     """Sorted `key:type` of a JSON object's top-level keys; '' for anything else."""
-    df.select(F.col(key), F.expr(f"try_parse_json(`{column}`)").alias("_v")).createOrReplaceTempView("_shaped")
-    rows = df.sparkSession.sql(f"SELECT s.`{key}`, s._v, v.* FROM _shaped s LEFT JOIN LATERAL variant_explode(s._v) v")
-    entry = F.when(F.col("key").isNotNull() & F.expr("schema_of_variant(_v)").startswith("OBJECT"), F.concat("key", F.lit(":"), json_type_of(F.col("value"))))
-    return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("shape"))
+    members = F.expr(f"try_variant_get(try_parse_json(`{column}`), '$', 'map<string, variant>')")
+    entries = F.transform(F.map_entries(members), lambda e: F.concat(e["key"], F.lit(":"), json_type_of(e["value"])))
+    return df.withColumn("shape", F.coalesce(F.array_join(F.array_sort(entries), ","), F.lit("")))
 
 
 def json_type_of(value):
@@ -439,7 +438,7 @@ def win_transitions(spark, sf):
 @query("set_enum_values", """SELECT k, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS gone, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS arrived FROM
  (SELECT p_size % 10 AS k, coalesce(list(DISTINCT p_type) FILTER (WHERE p_partkey % 2 = 0), []) AS b, coalesce(list(DISTINCT p_type) FILTER (WHERE p_partkey % 2 = 1), []) AS a FROM part GROUP BY 1)""")
 def set_enum_values(spark, sf):
-    """SET5, SET3, DIF8."""
+    """SET5."""
     p = A.table(spark, sf, "part").groupBy((F.col("p_size") % 10).alias("k")).agg(F.collect_set(F.when(F.col("p_partkey") % 2 == 0, F.col("p_type"))).alias("b"), F.collect_set(F.when(F.col("p_partkey") % 2 == 1, F.col("p_type"))).alias("a"))
     return p.select("k", F.array_sort(F.array_except("b", "a")).alias("gone"), F.array_sort(F.array_except("a", "b")).alias("arrived"))
 

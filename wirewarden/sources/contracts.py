@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirewarden.operators.diffs import MAX_DEPTH
-
 try:
     import yaml
 except ImportError:
@@ -47,9 +45,9 @@ def resolve(node, document: dict):
 
 
 def plain_schema(node, document: dict, above: tuple[str, ...] = ()) -> dict:
-    """A schema with references inlined (a cycle is opaque: {}), `nullable` as a null type, and only known keywords."""
+    """A schema with references inlined (a cycle is opaque: {}; a schema too deep for the interpreter makes an error row), `nullable` as a null type, and only known keywords."""
     ref = node.get("$ref") if isinstance(node, dict) else None
-    if ref in above or len(above) > MAX_DEPTH:
+    if ref in above:
         return {}
     node = resolve(node, document)
     if not isinstance(node, dict):
