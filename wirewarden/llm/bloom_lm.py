@@ -3,8 +3,9 @@
 Training documents are counted by Spark: words, then all pairs of a word and the one that follows it. A count c is quantised to
 level 1 + floor(log_BASE(c)). The filter holds (pair, j) for j up to the pair's level: a count is read back by probing
 j = 1, 2, ... until a probe fails. It is broadcast and never larger than a documented number of bytes, and holds the pairs from the
-least level up with which it fits. Nothing is left out of the model for that: a pair below that level, and every pair whose second word's
-count is not broadcast, is read from the table of counts by a join on its hash, as is every such word.
+least level up with which it fits, those seen once never. Nothing is left out of the model for that. A training text's pair that is not in a filter of
+all others was seen once; any other pair below the filter's least level is read from the table of counts by a join on its hash, as is
+every word whose count is not broadcast.
 
 Score of a word w after h: (c(h w) + k p(w)) / (c(h) + k), at a text's start p(w), with p(w) = (c(w) + 1) / (N + V + 1), counts
 quantised. k, the weight of the shorter n-gram, is the candidate with the greatest likelihood of the training texts,
@@ -76,12 +77,12 @@ def _pairs(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, mix(tokens[at - 1] * _PAIR + tokens[at])
 
 
-def _per_row(owner: np.ndarray, keys: np.ndarray):
-    """(row, key, times) of each distinct key of a row."""
-    order = np.lexsort((keys, owner))
-    key, own = keys[order], owner[order]
-    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
-    return own[at], key[at], np.diff(np.append(at, len(key)))
+def _per_row(owner: np.ndarray, keys: np.ndarray, levels: np.ndarray):
+    """(row, key, level, times) of each distinct key and level of a row."""
+    order = np.lexsort((levels, keys, owner))
+    own, key, level = owner[order], keys[order], levels[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (level[1:] != level[:-1])]))
+    return own[at], key[at], level[at], np.diff(np.append(at, len(key)))
 
 
 def quantise(counts):
@@ -123,16 +124,15 @@ def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 class Model:
-    """What the workers get: the filter, the counts that are exact, and the totals. `least` is the least level that the filter holds; `whole`
-    says that it holds all pairs whose second word has an exact count here."""
+    """What the workers get: the filter with the least level that it holds, the counts that are exact, and the totals."""
 
-    def __init__(self, tokens, vocabulary, words, counts, bits, least, whole, weight):
+    def __init__(self, tokens, vocabulary, words, counts, bits, least, weight):
         self.tokens, self.vocabulary, self.words, self.counts = tokens, vocabulary, words, counts
-        self.bits, self.least, self.whole, self.weight = bits, least, whole, weight
+        self.bits, self.least, self.weight = bits, least, weight
 
-    def parts(self, tokens: np.ndarray, bounds: np.ndarray):
-        """(exact count of each token or 0, what is known here of each token's log10 score, indices of the tokens whose pair is to be joined, those
-        pairs). Each distinct n-gram is probed once."""
+    def parts(self, tokens: np.ndarray, bounds: np.ndarray, trained: np.ndarray):
+        """(exact count of each token or 0, what is known here of each token's log10 score, the level of its pair where that is known but not
+        its own count, else 0, indices of the tokens whose pair is to be joined, those pairs). Each distinct n-gram is probed once."""
         code, values = pd.factorize(tokens)
         exact = _look_up(self.words, self.counts, values, 0)
         count = LEVEL_COUNT[level_of(exact)]
@@ -143,17 +143,17 @@ class Model:
         at, pair = _pairs(tokens, bounds)
         before, after = code[at - 1], code[at]
         out[at] += np.where(known, context, 0.0)[before]
-        here = known[after]
         pair_code, pairs = pd.factorize(pair)
-        probed = np.zeros(len(pairs), dtype=bool)
-        probed[pair_code[here]] = True
-        levels = np.zeros(len(pairs), dtype=np.int64)
-        levels[probed] = self.bits.levels(pairs[probed], MAX_LEVEL)
-        held = (levels >= self.least)[pair_code] & here
-        both = LEVEL_COUNT[levels[pair_code[held]]]
-        out[at[held]] += np.log10(1 + both / (self.weight * p[after[held]]))
-        rest = ~held & ~here if self.whole else ~held
-        return exact[code], out, at[rest], pair[rest]
+        level = self.bits.levels(pairs, MAX_LEVEL)[pair_code]
+        level[level < self.least] = 0
+        if self.least <= 2:  # the filter holds all pairs but those seen once
+            level[(level == 0) & trained[at]] = 1
+        here = (level > 0) & known[after]
+        out[at[here]] += np.log10(1 + LEVEL_COUNT[level[here]] / (self.weight * p[after[here]]))
+        beside = np.zeros(len(tokens), dtype=np.int64)
+        beside[at[~known[after]]] = level[~known[after]]
+        rest = level == 0
+        return exact[code], out, beside, at[rest], pair[rest]
 
 
 def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame, DataFrame]:
@@ -199,8 +199,9 @@ def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BY
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n", "lw", "w"])
 
     both = source.mapInArrow(pairs, "key long, n long, lw int, w long").groupBy("key").agg(F.sum("n").alias("n"), F.max("lw").alias("lw"), F.max("w").alias("w"))
-    both = _stored(spark, both)
     spark.sparkContext._jvm.System.gc()  # the shuffle files of what is stored are deleted
+    both = _stored(spark, both)
+    spark.sparkContext._jvm.System.gc()
     level = quantise(F.col("n")).alias("level")
     known, rare = both.filter(F.col("w").isNull()).select("key", "n", level, "lw"), None
     if held > MAX_EXACT:
@@ -210,23 +211,23 @@ def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BY
     shapes = []
     for table in [known] if rare is None else [known, rare]:
         shapes.append(table.groupBy("level", "lw").agg(F.sum("n").alias("n"), F.count("*").alias("k")).toPandas())
-    room, events, least, whole = filter_bytes * 8 / BITS, 0, MAX_LEVEL + 1, True
-    sums = shapes[0].groupby("level")["k"].sum()
+    every = pd.concat(shapes)
+    room, events, least = filter_bytes * 8 / BITS, 0, MAX_LEVEL + 1
+    sums = every.groupby("level")["k"].sum()
     for level in sorted(sums.index, reverse=True):
-        if events + level * sums[level] > room:
-            whole = False
+        if level < 2 or events + level * sums[level] > room:
             break
         events, least = events + level * sums[level], level
-    bits = build_filter(known.filter(F.col("level") >= int(least)).select("key", "level"), int(events), bits_per_event=BITS, probes=PROBES, max_bytes=filter_bytes)
-    every = pd.concat(shapes)
+    whole = not (sums.index >= 2).any() or least == min(x for x in sums.index if x >= 2)
+    bits = build_filter(both.select("key", quantise(F.col("n")).alias("level")).filter(F.col("level") >= int(least)), int(events), bits_per_event=BITS, probes=PROBES, max_bytes=filter_bytes)
     own, p = np.maximum(LEVEL_COUNT[every["level"].to_numpy(int)] - 1, 0), (LEVEL_COUNT[every["lw"].to_numpy(int)] + 1) / (n + v + 1)
     first = counts.filter(F.col("key") != int(_END.view(np.int64))).groupBy(quantise(F.col("n")).alias("level")).agg(F.sum("n").alias("n")).toPandas()  # each is followed by a token
     less = np.maximum(LEVEL_COUNT[first["level"].to_numpy(int)] - 1, 0)
     best = [float((every["n"].to_numpy(float) * np.log10(own + k * p)).sum() - (first["n"].to_numpy(float) * np.log10(less + k)).sum()) for k in WEIGHTS]
-    model = Model(n, v, keys, c, bits, 1 if whole else int(least), whole, WEIGHTS[int(np.argmax(best))])
-    rest = known.filter(F.lit(not whole) & (F.col("level") < int(least)))
+    model = Model(n, v, keys, c, bits, 2 if whole else int(least), WEIGHTS[int(np.argmax(best))])
+    rest = (known if rare is None else known.union(rare)).filter(F.col("level") < model.least)
     spark.sparkContext._jvm.System.gc()
-    return model, counts.filter(quantise(F.col("n")) < exact_level), (rest if rare is None else rest.union(rare)).select("key", (F.col("level") * 256 + F.col("lw")).cast("long").alias("levels"))
+    return model, counts.filter(quantise(F.col("n")) < exact_level), rest.select("key", (F.col("level") * 256 + F.col("lw")).cast("long").alias("levels"))
 
 
 def score(docs: DataFrame, train_on, *, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -243,7 +244,7 @@ def score(docs: DataFrame, train_on, *, id_col: str = "doc_id", text_col: str =
     known = spark.sparkContext.broadcast(model)
     denominator = float(np.log10(model.tokens + model.vocabulary + 1))
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.coalesce(~train_on, F.lit(True)).alias("held_out"))
-    names = ["row", "_id", "held_out", "n_tokens", "n_known", "base", "score", "key", "times", "pair_times"]
+    names = ["row", "_id", "held_out", "n_tokens", "n_known", "base", "score", "key", "times", "level", "pair_times"]
 
     def make():
         made = [TaskContext.get().partitionId() << 36]
@@ -255,32 +256,33 @@ def score(docs: DataFrame, train_on, *, id_col: str = "doc_id", text_col: str =
             row = made[0] + np.arange(n)
             made[0] += n
             owner = np.repeat(np.arange(n), np.diff(bounds))
-            c, scores, at, pair = m.parts(tokens, bounds)
+            trained = np.repeat(~b.column("held_out").to_numpy(zero_copy_only=False), np.diff(bounds))
+            c, scores, beside, at, pair = m.parts(tokens, bounds, trained)
             total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every row has its end token
             exact = c > 0
             base = total(np.where(exact, np.log10(c + 1.0) - denominator, 0.0))
             rest = np.flatnonzero(~exact)
-            own, key, times = _per_row(owner[rest], tokens[rest])
-            own_pair, key_pair, times_pair = _per_row(owner[at], pair)
+            own, key, level, times = _per_row(owner[rest], tokens[rest], beside[rest])
+            own_pair, key_pair, _, times_pair = _per_row(owner[at], pair, np.zeros(len(at), dtype=np.int64))
             k, k_pair = len(key), len(key_pair)
             pad = lambda a: pa.concat_arrays([a, pa.nulls(k + k_pair, a.type)])
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([row, row[own], row[own_pair]])), pad(b.column("_id")), pad(b.column("held_out")), pad(pa.array(np.diff(bounds))),
                 pad(pa.array(total(exact.astype(np.int64)))), pad(pa.array(base)), pad(pa.array(total(scores))),
                 pa.concat_arrays([signed(mix(row.astype(U64) + U64(1))), signed(key), signed(key_pair)]),
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64)), pa.nulls(k_pair, pa.int64())]),
+                *(pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x.astype(np.int64)), pa.nulls(k_pair, pa.int64())]) for x in (times, level)),
                 pa.concat_arrays([pa.nulls(n + k, pa.int64()), pa.array(times_pair.astype(np.int64))]),
             ], names)
 
         return step
 
-    made = source.mapInArrow(per_batch(make, AT_ONCE), "row long, _id long, held_out boolean, n_tokens long, n_known long, base double, score double, key long, times long, pair_times long")
+    made = source.mapInArrow(per_batch(make, AT_ONCE), "row long, _id long, held_out boolean, n_tokens long, n_known long, base double, score double, key long, times long, level long, pair_times long")
     joined = made.join(counts.union(pairs), "key", "left").withColumn("c", F.when(F.col("times").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0))
-    own, after = level_count(F.shiftright("n", 8)), level_count(F.col("n").bitwiseAND(255))
-    gain = F.log10(1 + own * float(model.tokens + model.vocabulary + 1) / (F.lit(model.weight) * (after + 1)))
+    gain_of = lambda own, after: F.log10(1 + level_count(own) * float(model.tokens + model.vocabulary + 1) / (F.lit(model.weight) * (level_count(after) + 1)))
+    gain = gain_of(F.shiftright("n", 8), F.col("n").bitwiseAND(255))
     level = F.when(F.col("c") > 0, quantise(F.col("c"))).otherwise(0)
     context = F.when(F.col("key") == int(_END.view(np.int64)), 0.0).otherwise(F.log10(F.lit(model.weight) / (level_count(level) + F.lit(model.weight))))
-    word = F.log10(level_count(level) + 1) - F.lit(denominator) + context
+    word = F.log10(level_count(level) + 1) - F.lit(denominator) + context + F.when(F.col("level") > 0, gain_of(F.col("level"), level)).otherwise(0.0)
     whole = joined.groupBy("row").agg(
         F.max("_id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("times"))), F.lit(0))).alias("n_known"),
