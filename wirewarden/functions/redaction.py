@@ -347,8 +347,12 @@ def redact_call_records(df: DataFrame, parts: dict[str, str], *, patterns: str =
     raw = {c: f"_raw_{c}" for c in parts}
     done = redact_record(df.withColumns({raw[c]: F.col(c) for c in parts}), *parts, existing=patterns, patterns=patterns, recognizers=recognizers)
     kind = df.schema[fields].dataType.elementType
-    found = F.flatten(F.array(*[F.transform(redacted_fields(F.when(F.col(raw[c]) != F.col(c), F.col(raw[c])), c), lambda x, part=part: F.struct(
-        *[(F.lit(part) if name == "part" else x[name] if name in FIELD.elementType.names else F.lit(None)).cast(kind[name].dataType).alias(name) for name in kind.names])) for c, part in parts.items()]))
+
+    def of_part(column: str, part: str) -> Column:
+        record = lambda x: F.struct(*[(F.lit(part) if name == "part" else x[name] if name in FIELD.elementType.names else F.lit(None)).cast(kind[name].dataType).alias(name) for name in kind.names])
+        return F.transform(redacted_fields(F.when(F.col(raw[column]) != F.col(column), F.col(raw[column])), F.col(column)), lambda x: record(x))
+
+    found = F.flatten(F.array(*[of_part(c, part) for c, part in parts.items()]))
     return done.withColumn(fields, merge_fields(F.coalesce(F.col(fields), F.array().cast(done.schema[fields].dataType)), found)).drop(*raw.values())
 
 
