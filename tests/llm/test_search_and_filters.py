@@ -106,4 +106,31 @@ def test_pipeline(spark):
     cut = spans(second)
     assert kept(third) == sorted((i, cut[i][2] if cut[i][1] else t) for i, t in second) and tuple(third.columns) == P.COLUMNS
     assert all(r.n_chars == len(r.text) for r in third.collect())
+    unlabelled = P.identify_language(spark, docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx")), FOLDER).collect()
+    assert {r.lang for r in unlabelled} == {"xx"}  # the others get the only language that was learned
     assert [name for name, _ in P.STAGES] == ["language_id", "ngram_jaccard_join", "substring_dedup", "benchmark_decontamination", "bpe_encode_decode"]
+
+
+def test_pipeline_run(spark, tmp_path):
+    """All stages on written tables, with rows that lack an id or a text, and on empty tables."""
+    import corpus_pipeline as P
+    import public_tokenizers
+    import tokenizers
+    from tests.llm.test_decontaminate import ITEM
+    from tests.llm.test_jaccard_join import brute as components
+    from tests.llm.test_substring_dedup import brute as spans
+
+    rows = [(i, t) for i, t in dict(texts()).items() if i is not None] + [(900, "So it goes. " + ITEM), (None, "a text without an id")]
+    frame(spark, rows).select(*P.COLUMNS).withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
+    groups = components(kept)
+    kept = [(i, t) for i, t in kept if i is None or groups[i][1] == i]
+    cut = spans(kept)
+    kept = [(i, t if i is None or not cut[i][1] else cut[i][2]) for i, t in kept if i != 900]
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in P.run(spark, str(tmp_path)).collect())
+    assert got == sorted((i is None, i or 0, len(library.encode(t, add_special_tokens=False).ids)) for i, t in kept)
+    frame(spark, []).select(*P.COLUMNS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert P.run(spark, f"{tmp_path}/none").collect() == []

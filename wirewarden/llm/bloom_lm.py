@@ -22,7 +22,6 @@ broadcast.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirewarden.llm.common import U64, Words, build_filter, mix, per_batch, remainder, signed
+from wirewarden.llm.common import U64, Words, build_filter, mix, per_batch, remainder, shared_folder, signed
 
 #: Quantisation base, bits for each event, probes for each, and the bound of the filter.
 BASE, BITS, PROBES, FILTER_BYTES = 1.5, 9.0, 5, 64 << 20
@@ -115,10 +114,7 @@ def _rows(keys: str):
 
 def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df from Parquet files in the cluster's shared folder: columns take a fifth of the space of a checkpoint's rows."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    path = f"{context.getCheckpointDir()}/bloom-lm-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/bloom-lm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
