@@ -1,13 +1,13 @@
 """A training-corpus pipeline: language ID, near duplicates, repeated passages, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which has the columns of `documents`; all but the
-last return these columns. `run` writes each stage's rows as Parquet in the cluster's shared folder and reads them
+last return these columns. Rows without an id are neither compared nor cut, but filtered and tokenised like others; rows that repeat an id are kept or dropped
+together; null and empty texts go in the first stage; an empty table passes every stage. `run` writes each stage's rows as Parquet in the cluster's shared folder and reads them
 again, so that a lost executor costs one stage at most.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wirewarden.llm import language_id
 from wirewarden.llm.bpe import encode_decode
-from wirewarden.llm.common import exclude, read
+from wirewarden.llm.common import exclude, read, shared_folder
 from wirewarden.llm.decontaminate import without_leaks
 from wirewarden.llm.jaccard_join import jaccard_components
 from wirewarden.llm.substring_dedup import remove_duplicates
@@ -26,12 +26,13 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and those without a letter, also where no row has a label to learn from."""
+    """Drops documents that have no language for the network: null texts and those without a letter. Documents without `lang` get the predicted one.
+    Where no row has a label there is nothing to predict from, and `lang` stays null."""
     network = language_id.train(docs)
     if network is None:
         return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    kept = language_id.predict(docs, network, keep=COLUMNS[1:])
-    return kept.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+    kept = language_id.predict(docs, network, keep=COLUMNS[1:]).filter(F.col("lang_pred") != language_id.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
+    folder = shared_folder(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{folder}/{name}-{uuid.uuid4().hex}"
