@@ -216,3 +216,47 @@ def change_findings(changes: DataFrame, versions: DataFrame) -> DataFrame:
     return out.select("pair", "integration", F.col("op").alias("endpoint"), F.lit("definition_change").alias("kind"), F.col("kind").alias("change_kind"), F.lower("severity").alias("severity"), "rule", "field_path",
                       F.col("before").alias("expected"), F.col("after").alias("actual"), F.substring("previous", 1, 12).alias("version_from"), F.substring("hash", 1, 12).alias("version_to"), F.col("at").alias("detected_at"),
                       finding_signature(F.col("integration"), F.col("op"), F.lit("definition_change"), F.col("rule"), F.col("field_path")).alias("signature"))
+
+
+#: Rules of a contract version diff by rule of the definition diff; all of them break callers.
+VERSION_RULES = {
+    "operation-removed": "api-removed-without-deprecation",
+    "input-required-property-added": "new-required-request-property",
+    "input-type-narrowed": "request-property-type-changed",
+    "input-type-changed": "request-property-type-changed",
+    "input-enum-value-removed": "request-property-enum-value-removed",
+    "input-enum-value-replaced": "request-property-enum-value-removed",
+    "output-required-property-removed": "response-required-property-removed",
+    "output-property-type-widened": "response-property-type-changed",
+    "output-property-type-narrowed": "response-property-type-changed",
+    "output-property-type-changed": "response-property-type-changed",
+    "output-enum-value-removed": "response-property-enum-value-removed",
+    "output-enum-value-replaced": "response-property-enum-value-removed",
+}
+MAX_FIELD_PATH = 256
+
+
+def capped_path(path: Column) -> Column:
+    """At most MAX_FIELD_PATH characters; the tail of a longer one is a digest of the whole."""
+    return F.when(F.length(path) <= MAX_FIELD_PATH, path).otherwise(F.concat(F.substring(path, 1, MAX_FIELD_PATH - 13), F.lit("…"), F.substring(F.sha2(path, 256), 1, 12)))
+
+
+def version_findings(operations: DataFrame) -> DataFrame:
+    """DIF14: what two versions of an OpenAPI document change for their callers: breaking changes (kind version-diff) and deprecations that the newer one announces
+    (kind deprecation, warning, with the sunset date). operations: as for `classify`, with deprecated, sunset, deprecated_parameters (array) and document_version."""
+    table = F.create_map(*[F.lit(x) for pair in VERSION_RULES.items() for x in pair])
+    changes = classify(operations.select("pair", "version", "op", "description", "input_schema", "output_schema"))
+    told = changes.withColumn("to", F.try_element_at(table, F.col("rule"))).filter("to is not null")
+    numbers = operations.groupBy("pair").agg(*[F.concat(F.lit("spec "), F.max(F.when(F.col("version") == v, F.col("document_version")))).alias(c) for v, c in (("before", "expected"), ("after", "actual"))])
+    breaking = told.select("pair", "op", F.lit("version-diff").alias("kind"), F.lit("breaking").alias("severity"), F.col("to").alias("rule"), F.concat_ws(" ", "field_path", "before", "after").alias("field_path")).join(numbers, "pair", "left")
+
+    state = lambda v: operations.filter(F.col("version") == v).select("pair", "op", *[F.col(c).alias(f"{v}_{c}") for c in ("deprecated", "sunset", "deprecated_parameters")])
+    both = state("before").join(state("after"), ["pair", "op"])
+    sunset = F.when(F.col("after_sunset").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col("after_sunset"))
+    announced = F.concat(F.lit("sunset="), sunset)
+    endpoint = both.filter("after_deprecated and not before_deprecated").select(
+        "pair", "op", F.when(sunset.isNull(), "endpoint-deprecated").otherwise("endpoint-deprecated-with-sunset").alias("rule"), F.coalesce(sunset, F.lit("")).alias("field_path"), F.coalesce(announced, F.lit("deprecated")).alias("actual"))
+    empty = F.array().cast("array<string>")
+    parameters = both.select("pair", "op", F.lit("request-parameter-deprecated").alias("rule"), F.explode(F.array_except(F.coalesce("after_deprecated_parameters", empty), F.coalesce("before_deprecated_parameters", empty))).alias("field_path"), F.lit("deprecated").alias("actual"))
+    deprecations = endpoint.union(parameters).select("pair", "op", F.lit("deprecation").alias("kind"), F.lit("warning").alias("severity"), "rule", "field_path", F.lit("not deprecated").alias("expected"), "actual")
+    return breaking.select("pair", "op", "kind", "severity", "rule", "field_path", "expected", "actual").union(deprecations).withColumn("field_path", capped_path(F.col("field_path")))

@@ -96,28 +96,22 @@ def value_format(number: Column, text: Column) -> Column:
     return F.coalesce(*out)
 
 
-def json_leaves(df: DataFrame, column: str, depth: int = 16) -> DataFrame:
-    """WIN7: a row for each scalar of a JSON column: the other columns, path (objects dotted, arrays `.items`), number and text (one of them null).
-    Text that is no JSON has no rows. One pass for each level; what lies deeper than `depth` levels is told by a row with kind `deeper`."""
+def json_leaves(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
+    """WIN7: a row for each scalar of a JSON column: the other columns, path (objects dotted, arrays `.items`), number and text (one of them null, both for
+    true, false and null). Text that is no JSON has no rows. Each level is one explode, scalars pass through; an object or array below `depth` levels is a row of
+    its own with kind `deeper`."""
     rest = [c for c in df.columns if c != column]
-    level = df.select(*rest, F.lit("").alias("path"), F.expr(f"try_parse_json(`{column}`)").alias("_v")).filter("_v is not null")
-    out = None
-    for d in range(depth + 1):
-        kind = F.schema_of_variant("_v")
-        level = level.withColumn("_k", F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind.isin("BOOLEAN", "VOID"), "none").otherwise("number"))
-        scalar = level.filter("_k in ('string', 'number')" + (" or _k in ('object', 'array')" if d == depth else ""))
-        rows = scalar.select(*rest, "path", F.when(F.col("_k") == "number", F.expr("try_variant_get(_v, '$', 'double')")).alias("number"), F.when(F.col("_k") == "string", F.expr("try_variant_get(_v, '$', 'string')")).alias("text"),
-                             F.when(F.col("_k").isin("object", "array"), "deeper").otherwise(F.col("_k")).alias("kind"))
-        out = rows if out is None else out.unionByName(rows)
-        if d == depth:
-            break
-        members = F.when(F.col("_k") == "object", F.expr("try_variant_get(_v, '$', 'map<string, variant>')"))
-        items = F.when(F.col("_k") == "array", F.expr("try_variant_get(_v, '$', 'array<variant>')"))
-        step = F.concat(F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(""), "_key")
-        objects = level.filter("_k = 'object'").select(*rest, "path", F.explode(members).alias("_key", "_w")).select(*rest, step.alias("path"), F.col("_w").alias("_v"))
-        arrays = level.filter("_k = 'array'").select(*rest, F.concat(F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(""), F.lit("items")).alias("path"), F.explode(items).alias("_v"))
-        level = objects.unionByName(arrays)
-    return out
+    rows = df.select(*rest, F.lit("").alias("path"), F.expr(f"try_parse_json(`{column}`)").alias("_v")).filter("_v is not null")
+    kind = F.schema_of_variant("_v")
+    below = F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise("")
+    entry = lambda path, value: F.struct(path.alias("path"), value.alias("_v"))
+    for _ in range(depth):
+        members = F.transform(F.map_entries(F.try_variant_get("_v", "$", "map<string, variant>")), lambda e: entry(F.concat(below, e["key"]), e["value"]))
+        items = F.transform(F.try_variant_get("_v", "$", "array<variant>"), lambda x: entry(F.concat(below, F.lit("items")), x))
+        step = F.when(kind.startswith("OBJECT"), members).when(kind.startswith("ARRAY"), items).otherwise(F.array(entry(F.col("path"), F.col("_v"))))
+        rows = rows.select(*rest, F.explode(step).alias("_e")).select(*rest, "_e.path", "_e._v")
+    name = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), "deeper").when(kind == "STRING", "string").when(kind.isin("BOOLEAN", "VOID"), "none").otherwise("number")
+    return rows.select(*rest, "path", F.when(name == "number", F.try_variant_get("_v", "$", "double")).alias("number"), F.when(name == "string", F.try_variant_get("_v", "$", "string")).alias("text"), name.alias("kind"))
 
 
 def value_changes(leaves: DataFrame, *by: str, stable: int = 5, change: int = 3) -> DataFrame:

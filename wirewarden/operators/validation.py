@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,24 @@ def type_name(value) -> str:
     return next((k for k in ("boolean", "null", "string", "array", "object", "integer") if _is(value, k)), "number")
 
 
+def same(a, b) -> bool:
+    """Equal as JSON: numbers by value, and no boolean is a number."""
+    if isinstance(a, bool) or isinstance(b, bool) or a is None or b is None:
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
+    return a == b
+
+
+#: Formats that are checked; text of another format is not judged.
+_FORMATS = {
+    "date": re.compile(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])"), "date-time": re.compile(r"\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})"),
+    "uuid": re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), "email": re.compile(r"[^@\s]+@[^@\s]+"), "ipv4": re.compile(r"(\d{1,3}\.){3}\d{1,3}"),
+}
+
+
 def violations(value, schema, pointer: str = "") -> list[tuple[str, str, str, str]]:
     """All violations (pointer, keyword, expected, actual), in the order of the document."""
     if schema is False or not isinstance(schema, dict):
@@ -39,31 +58,44 @@ def violations(value, schema, pointer: str = "") -> list[tuple[str, str, str, st
         return [(pointer, "type", "|".join(kinds), type_name(value))]
     out = []
     fail = lambda keyword, expected, actual="": out.append((pointer, keyword, str(expected), str(actual)))
-    if "enum" in schema and value not in schema["enum"]:
+    if isinstance(schema.get("enum"), list) and not any(same(value, x) for x in schema["enum"]):
         fail("enum", json.dumps(schema["enum"], ensure_ascii=False), json.dumps(value, ensure_ascii=False))
+    if "const" in schema and not same(value, schema["const"]):
+        fail("const", json.dumps(schema["const"], ensure_ascii=False), json.dumps(value, ensure_ascii=False))
+    step_of = schema.get("multipleOf")
+    if _is(step_of, "number") and step_of > 0 and _is(value, "number") and Decimal(str(value)) % Decimal(str(step_of)) != 0:
+        fail("multipleOf", step_of, value)
+    if isinstance(value, str) and (form := _FORMATS.get(schema.get("format"))) and not form.fullmatch(value):
+        fail("format", schema["format"], value)
+    if schema.get("uniqueItems") is True and isinstance(value, list) and any(same(a, b) for k, a in enumerate(value) for b in value[:k]):
+        fail("uniqueItems", "unique", len(value))
     limits = {"minimum": lambda v, m: v >= m, "maximum": lambda v, m: v <= m, "exclusiveMinimum": lambda v, m: v > m, "exclusiveMaximum": lambda v, m: v < m}
-    sizes = {"minLength": (str, lambda n, m: n >= m), "maxLength": (str, lambda n, m: n <= m), "minItems": (list, lambda n, m: n >= m), "maxItems": (list, lambda n, m: n <= m)}
+    sizes = {"minLength": (str, lambda n, m: n >= m), "maxLength": (str, lambda n, m: n <= m), "minItems": (list, lambda n, m: n >= m), "maxItems": (list, lambda n, m: n <= m),
+             "minProperties": (dict, lambda n, m: n >= m), "maxProperties": (dict, lambda n, m: n <= m)}
     for keyword, ok in limits.items():
-        if keyword in schema and _is(value, "number") and not isinstance(schema[keyword], bool) and not ok(value, schema[keyword]):
+        if _is(schema.get(keyword), "number") and _is(value, "number") and not ok(value, schema[keyword]):
             fail(keyword, schema[keyword], value)
     for keyword, (kind, ok) in sizes.items():
-        if keyword in schema and isinstance(value, kind) and not ok(len(value), schema[keyword]):
+        if _is(schema.get(keyword), "number") and isinstance(value, kind) and not ok(len(value), schema[keyword]):
             fail(keyword, schema[keyword], len(value))
     if "pattern" in schema and isinstance(value, str) and not re.search(schema["pattern"], value):
         fail("pattern", schema["pattern"], value)
     for keyword, good in (("oneOf", lambda n, _: n == 1), ("anyOf", lambda n, _: n > 0), ("allOf", lambda n, m: n == m)):
-        if keyword in schema:
+        if isinstance(schema.get(keyword), list):
             fitting = sum(not violations(value, own, pointer) for own in schema[keyword])
             if not good(fitting, len(schema[keyword])):
                 fail(keyword, len(schema[keyword]), fitting)
     if "not" in schema and not violations(value, schema["not"], pointer):
         fail("not", "no match")
     if isinstance(value, dict):
-        known = schema.get("properties") or {}
+        known, patterns = schema.get("properties") or {}, {p: own for p, own in (schema.get("patternProperties") or {}).items()}
         step = lambda name: f"{pointer}/{name.replace('~', '~0').replace('/', '~1')}"
         out += [(step(name), "required", "present", "missing") for name in schema.get("required") or [] if name not in value]
         for name, own in value.items():
-            rule = known.get(name, schema.get("additionalProperties", True))
+            matching = [r for p, r in patterns.items() if re.search(p, name)]
+            for r in matching:
+                out += violations(own, r, step(name))
+            rule = known.get(name, True if matching else schema.get("additionalProperties", True))
             if name not in known and rule is False:
                 out.append((step(name), "additionalProperties", "absent", type_name(own)))
             else:
@@ -74,23 +106,50 @@ def violations(value, schema, pointer: str = "") -> list[tuple[str, str, str, st
     return out
 
 
+def _read_schema(text: str):
+    """A schema, or None if it is no JSON, no schema, or holds a pattern that is no regular expression here."""
+    try:
+        schema = json.loads(text)
+        ahead = [schema]
+        while ahead:
+            node = ahead.pop()
+            if isinstance(node, dict):
+                for p in [*([node["pattern"]] if isinstance(node.get("pattern"), str) else []), *(node.get("patternProperties") or {})]:
+                    re.compile(p)
+                ahead += node.values()
+            elif isinstance(node, list):
+                ahead += node
+    except (ValueError, RecursionError, re.error, TypeError):
+        return None
+    return schema if isinstance(schema, (dict, bool)) else None
+
+
 @F.pandas_udf(VIOLATIONS)
 def validate(bodies: pd.Series, schemas: pd.Series) -> pd.Series:
-    """VAL1: all violations of a JSON body; null if it is no JSON or there is no schema. A schema is parsed once a batch."""
-    parsed = {text: json.loads(text) for text in schemas.dropna().unique()}
+    """VAL1: all violations of a JSON body; null if it is no JSON, or there is no schema or none that can be applied. A schema is read, and a body
+    judged by it, once a batch."""
+    parsed = {text: own for text in schemas.dropna().unique() if (own := _read_schema(text)) is not None}
+    known: dict = {}
 
     def one(body, schema):
         if body is None or schema not in parsed:
             return None
-        try:
-            value = json.loads(body)
-        except ValueError:
-            return None
-        return [dict(zip(("pointer", "keyword", "expected", "actual"), v, strict=True)) for v in violations(value, parsed[schema])]
+        if (body, schema) not in known:
+            try:
+                known[body, schema] = [dict(zip(("pointer", "keyword", "expected", "actual"), v, strict=True)) for v in violations(json.loads(body), parsed[schema])]
+            except (ValueError, RecursionError, TypeError, ArithmeticError):
+                known[body, schema] = None
+        return known[body, schema]
 
     return pd.Series([one(b, s) for b, s in zip(bodies, schemas, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.BooleanType())
+def is_schema(schemas: pd.Series) -> pd.Series:
+    """Whether a text is a schema that can be applied (null: no text)."""
+    return schemas.map({text: _read_schema(text) is not None for text in schemas.dropna().unique()}).astype(object)
+
+
 def template_pattern(template: Column) -> Column:
     """A path template as an anchored regular expression; `{name}` stands for one segment."""
     quoted = F.regexp_replace(template, r"([.^$*+?()\[\]|\\])", r"\\$1")
@@ -107,6 +166,24 @@ def route(calls: DataFrame, operations: DataFrame) -> DataFrame:
     return calls.join(best, "id", "left").select(*calls.columns, F.col("_o.template").alias("template"), F.col("_o.schema").alias("schema"))
 
 
+def bound_contracts(contracts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JN1, JN2: (provider contracts one a host, the self contract, at most one row). contracts: integration, role, format, peer_host, ...; only OpenAPI contracts
+    count; of several the one later in listing order, which goes by integration."""
+    rest = [c for c in contracts.columns if c != "peer_host"]
+    rows = contracts.filter("format = 'openapi'")
+    providers = rows.filter("role = 'provider' and coalesce(peer_host, '') <> ''").groupBy("peer_host").agg(F.max_by(F.struct(*rest), "integration").alias("_c")).select("peer_host", *[F.col("_c")[c].alias(c) for c in rest])
+    own = rows.filter("role = 'self'").agg(F.max_by(F.struct(*rest), "integration").alias("_c")).filter("_c is not null").select(*[F.col("_c")[c].alias(c) for c in rest])
+    return providers, own
+
+
+def bind(calls: DataFrame, contracts: DataFrame) -> DataFrame:
+    """JN1, JN2: calls with `contract` (an integration or null): inbound ones by the self contract, others by that of exactly their host."""
+    providers, own = bound_contracts(contracts)
+    known = calls.join(providers.select("peer_host", F.col("integration").alias("_provider")), "peer_host", "left")
+    one = own.agg(F.max("integration").alias("_self"))  # one row, also without a self contract
+    return known.join(F.broadcast(one)).withColumn("contract", F.when(F.col("direction") == "server", F.col("_self")).otherwise(F.col("_provider"))).select(*calls.columns, "contract")
+
+
 def response_key(declared: Column, status: Column) -> Column:
     """VAL3: the exact status, its class (4XX), or default; null if none is declared. declared: map<string, ...>."""
     key = status.cast("string")
@@ -135,6 +212,56 @@ def judge(calls: DataFrame) -> DataFrame:
     return judged.withColumn("reason", reason).withColumn("verdict", verdict)
 
 
+RESPONSES = "map<string, struct<content:map<string,string>,required_headers:array<string>>>"
+#: Statuses of which no body is judged, whatever is declared.
+UNJUDGED_STATUSES = (301, 304, 307, 308)
+
+
+def judge_responses(calls: DataFrame) -> DataFrame:
+    """VAL2 to VAL5, VAL7 for bound and routed calls: adds reason (the first gate that kept it from being judged), verdict, violations and media_finding.
+
+    calls: contract and template (null: none), method, status, content_type ('' if the wire had none), body, headers (map), responses (`RESPONSES`: by
+    status, class or default; content by media type with its schema, '' for none; header names in lower case).
+    """
+    key = response_key(F.col("responses"), F.col("status"))
+    c = calls.withColumn("_response", F.try_element_at("responses", key))
+    absent = F.coalesce(F.col("content_type"), F.lit("")) == ""
+    wire = F.when(absent, "application/json").otherwise(F.col("content_type"))
+    c = c.withColumn("_names", F.coalesce(F.array_sort(F.map_keys("_response.content")), F.array().cast("array<string>")))
+    c = c.withColumn("_type", declared_media_type(F.col("_names"), wire))
+    unjudged = (F.upper("method") == "HEAD") | F.col("status").isin(*UNJUDGED_STATUSES)
+    exact = F.array_contains(F.map_keys("responses"), F.col("status").cast("string"))
+    foreign = ~unjudged & (F.size("_names") > 0) & F.col("_type").isNull()
+    has = F.transform(F.map_keys(F.coalesce("headers", F.create_map().cast("map<string,string>"))), F.lower)
+    missing = F.size(F.array_except(F.coalesce("_response.required_headers", F.array().cast("array<string>")), has)) > 0
+    c = c.withColumn("_schema", F.nullif(F.try_element_at("_response.content", F.col("_type")), F.lit("")))
+    c = c.withColumn("_mismatch", F.coalesce(F.col("template").isNotNull() & foreign & exact & ~absent, F.lit(False)))
+    gate = (F.when(F.col("contract").isNull(), "no-contract").when(F.col("template").isNull(), "not-routable").when(F.col("_mismatch"), None).when(unjudged, "no-schema")
+            .when(F.col("_response").isNull(), F.when(F.size("responses") > 0, "status-undeclared").otherwise("no-schema")).when(missing, "response-header-missing")
+            .when(F.size("_names") == 0, "no-schema").when(F.col("_type").isNull(), "media-type-undeclared").when(F.col("_schema").isNull(), "no-schema").when(~is_schema("_schema"), "validator-error"))
+    c = c.withColumn("_gate", gate)
+    c = c.withColumn("violations", F.when(F.col("_gate").isNull() & ~F.col("_mismatch"), validate(F.coalesce("body", F.lit("")), "_schema")))
+    reason = F.coalesce("_gate", F.when(~F.col("_mismatch") & F.col("violations").isNull(), "body-not-decodable"))
+    verdict = F.when(reason.isNotNull(), "not-validated").when(F.col("_mismatch") | (F.size("violations") > 0), "drifted").otherwise("clean")
+    finding = F.when(F.col("_mismatch"), F.struct(F.lit("content-type-mismatch").alias("rule"), F.lit("$.response.headers.content-type").alias("location"),
+                                                  F.concat(F.lit("content-type="), F.array_join("_names", "|")).alias("expected"), F.concat(F.lit("content-type="), "content_type").alias("actual")))
+    return c.withColumns({"reason": reason, "verdict": verdict, "media_finding": finding}).drop("_response", "_names", "_type", "_schema", "_mismatch", "_gate")
+
+
+def coverage(calls: DataFrame, contracts: DataFrame) -> DataFrame:
+    """VAL13: calls (edge_class, direction, peer_host, is_mcp, verdict, reason) with `coverage` (internal, checked, not-checked) and `cause`; a call that found no
+    contract although one is bound to its edge has the cause contract-not-reached. contracts: role, format, peer_host."""
+    tool = contracts.filter("format = 'mcp' and peer_host <> ''").select("peer_host", F.lit(True).alias("_tool")).distinct()
+    rest = contracts.filter("format <> 'mcp' and role <> 'self' and peer_host <> ''").select("peer_host", F.lit(True).alias("_rest")).distinct()
+    own = contracts.agg(F.coalesce(F.max(F.col("role") == "self"), F.lit(False)).alias("_own"))  # one row
+    j = calls.join(tool, "peer_host", "left").join(rest, "peer_host", "left").join(F.broadcast(own))
+    bound = F.coalesce(F.when(F.col("is_mcp"), F.col("_tool")).when(F.col("direction") == "server", F.col("_own")).otherwise(F.col("_rest")), F.lit(False))
+    state = F.when(F.col("edge_class") == "internal", "internal").when(F.col("verdict").isin("clean", "drifted"), "checked").otherwise("not-checked")
+    told = F.coalesce("reason", F.lit(""))
+    cause = F.when(F.col("verdict") == "unknown", "no-verdict").when(F.col("verdict") != "not-validated", "unspecified").when(told.isin("", "no-contract"), F.when(bound, "contract-not-reached").otherwise("no-contract")).otherwise(told)
+    return j.withColumn("coverage", state).withColumn("cause", F.when(F.col("coverage") == "not-checked", cause)).select(*calls.columns, "coverage", "cause")
+
+
 #: The rule of a violation by its keyword; others are `<keyword>-mismatch`.
 _RULES = {"type": "type-mismatch", "enum": "undocumented-enum", "required": "missing-required"}
 
@@ -164,14 +291,45 @@ def drift_findings(judged: DataFrame, kind: str = "live-vs-spec") -> DataFrame:
     out = judged.filter("verdict = 'drifted'").withColumn("v", F.explode("violations"))
     path = F.regexp_replace(F.regexp_replace("v.pointer", "^/", ""), "/", ".")
     endpoint = K.endpoint_label(F.col("method"), F.col("template"))
-    return out.select("id", "peer_host", endpoint.alias("endpoint"), F.lit(kind).alias("kind"), rule_of(F.col("v.keyword")).alias("rule"), path.alias("field_path"),
+    location = F.concat(F.lit("$.response.body"), F.when(path != "", F.concat(F.lit("."), path)).otherwise(""))
+    return out.select("id", "peer_host", endpoint.alias("endpoint"), F.lit(kind).alias("kind"), rule_of(F.col("v.keyword")).alias("rule"), path.alias("field_path"), location.alias("location"),
                       F.concat_ws("=", "v.keyword", "v.expected").alias("expected"), F.col("v.actual").alias("actual"))
 
 
-def deprecated_usage(calls: DataFrame, operations: DataFrame) -> DataFrame:
-    """VAL11: routed calls of deprecated operations, or that send a deprecated query parameter (operations: peer_host, template, deprecated, parameters array)."""
-    sent = F.map_keys(F.str_to_map(F.regexp_extract(F.coalesce("url", F.lit("")), r"\?([^#]*)", 1), F.lit("&"), F.lit("=")))
-    met = calls.filter("template is not null").join(F.broadcast(operations.select("peer_host", "template", "deprecated", "parameters")), ["peer_host", "template"])
-    met = met.withColumn("used", F.array_intersect(sent, F.coalesce("parameters", F.array().cast("array<string>"))))
-    return met.filter(F.col("deprecated") | (F.size("used") > 0)).select("id", "peer_host", "template", F.when(F.col("deprecated"), "operation").otherwise("parameter").alias("what"), "used")
+def _carried(value, path: list[str]) -> bool:
+    if not path:
+        return True
+    if path[0] == "[]":
+        return isinstance(value, list) and any(_carried(x, path[1:]) for x in value[:64])  # fixed value: elements that are looked at
+    return isinstance(value, dict) and path[0] in value and _carried(value[path[0]], path[1:])
+
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def carried_fields(bodies: pd.Series, paths: pd.Series) -> pd.Series:
+    """Those of the paths (dotted, `[]` for the elements of an array) that a JSON body carries."""
+    def one(body, wanted):
+        try:
+            value = json.loads(body)
+        except (TypeError, ValueError, RecursionError):
+            return []
+        return [p for p in wanted if _carried(value, p.replace("[]", ".[]").strip(".").split("."))] if wanted is not None else []
+
+    return pd.Series([one(b, w) for b, w in zip(bodies, paths, strict=True)], dtype=object)
+
+
+def deprecated_usage(calls: DataFrame, operations: DataFrame) -> DataFrame:
+    """VAL11: routed calls that use what is deprecated: a row for the operation, each parameter that was sent and each body field that is carried.
+
+    calls: id, peer_host, method, template, url, path_parameters (array), request_headers (map), request_body. operations: peer_host, method, template, deprecated,
+    sunset, parameters (array<struct<name, place>>, place query, path or header), fields (array of body paths). actual names the sunset date, if there is one.
+    """
+    names = lambda place: F.transform(F.filter(F.coalesce("parameters", F.array().cast("array<struct<name:string,place:string>>")), lambda p: p["place"] == place), lambda p: p["name"])
+    query = F.map_keys(F.str_to_map(F.regexp_extract(F.coalesce("url", F.lit("")), r"\?([^#]*)", 1), F.lit("&"), F.lit("=")))
+    headers = F.transform(F.map_keys(F.coalesce("request_headers", F.create_map().cast("map<string,string>"))), F.lower)
+    met = calls.filter("template is not null").join(operations, ["peer_host", "method", "template"])
+    use = lambda what, found: F.transform(found, lambda n: F.struct(F.lit(what).alias("what"), n.alias("name")))
+    used = F.concat(F.when(F.col("deprecated"), F.array(F.struct(F.lit("operation").alias("what"), F.lit("").alias("name")))).otherwise(F.array().cast("array<struct<what:string,name:string>>")),
+                    use("query", F.array_intersect(names("query"), query)), use("path", F.array_intersect(names("path"), F.coalesce("path_parameters", F.array().cast("array<string>")))),
+                    use("header", F.filter(names("header"), lambda n: F.array_contains(headers, F.lower(n)))), use("field", F.coalesce(carried_fields("request_body", "fields"), F.array().cast("array<string>"))))
+    return met.withColumn("u", F.explode(used)).select("id", "peer_host", "method", "template", F.col("u.what").alias("what"), F.col("u.name").alias("name"),
+                                                       F.when(F.col("sunset").isNotNull(), F.concat(F.lit("sunset="), "sunset")).otherwise("deprecated").alias("actual"))

@@ -81,7 +81,7 @@ def val_verdicts(spark, sf):
     return _judged(spark, sf).select("id", "template", "reason", "verdict")
 
 
-@query("val_findings", "SELECT id, peer_host, method || ' ' || template AS endpoint, 'live-vs-spec' AS kind, 'maximum-mismatch' AS rule, 'k' AS field_path, 'maximum=50' AS expected, CAST(json_extract(body, '$.k') AS VARCHAR) AS actual FROM judged WHERE verdict = 'drifted'", A.CALLS, A.CONTRACTS, _ROUTED, _JUDGED)
+@query("val_findings", "SELECT id, peer_host, method || ' ' || template AS endpoint, 'live-vs-spec' AS kind, 'maximum-mismatch' AS rule, 'k' AS field_path, '$.response.body.k' AS location, 'maximum=50' AS expected, CAST(json_extract(body, '$.k') AS VARCHAR) AS actual FROM judged WHERE verdict = 'drifted'", A.CALLS, A.CONTRACTS, _ROUTED, _JUDGED)
 def val_findings(spark, sf):
     """VAL9: a finding for each violation."""
     return validation.drift_findings(_judged(spark, sf))

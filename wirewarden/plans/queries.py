@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None, *given: str):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = re.sub(r"\bat\b", '"at"', (f"WITH {', '.join(given)} " if given else "") + sql)  # a keyword there
+            ORACLE_SQL[name] = re.sub(r"\bat\b", '"at"', (f"WITH RECURSIVE {', '.join(given)} " if given else "") + sql)  # a keyword there
         return f
     return add
 
@@ -182,9 +182,12 @@ def agg_edge_drift(spark, sf):
     return facts.edge_drift(facts.findings_by_signature(A.findings(spark, sf)), A.calls(spark, sf))
 
 
-@query("agg_evidence_refresh")
+@query("agg_evidence_refresh", "SELECT signature, evidence, evidence_at, arrivals FROM folded WHERE k = arrivals", A.CALLS, A.FINDINGS,
+       """numbered AS (SELECT signature, 'h' || (id % 3) AS evidence, detected_at - id % 13 * 3600000000 AS evidence_at, row_number() OVER (PARTITION BY signature ORDER BY seq) AS k, count(*) OVER (PARTITION BY signature) AS arrivals FROM findings WHERE kind = 'definition_change'),
+folded AS (SELECT * FROM numbered WHERE k = 1 UNION ALL SELECT n.signature, CASE WHEN n.evidence <> f.evidence AND n.evidence_at >= f.evidence_at THEN n.evidence ELSE f.evidence END, CASE WHEN n.evidence <> f.evidence AND n.evidence_at >= f.evidence_at THEN n.evidence_at ELSE f.evidence_at END, n.k, n.arrivals
+ FROM folded f JOIN numbered n ON n.signature = f.signature AND n.k = f.k + 1)""")
 def agg_evidence_refresh(spark, sf):
-    """AGG4: an ordered fold, tested on literals."""
+    """AGG4: an ordered fold."""
     f = A.findings(spark, sf).filter("kind = 'definition_change'")
     return facts.refreshed_evidence(f.select("signature", "seq", F.concat(F.lit("h"), (F.col("id") % 3).cast("string")).alias("evidence"), (F.col("detected_at") - F.col("id") % 13 * 3_600_000_000).alias("evidence_at")))
 
@@ -417,9 +420,16 @@ def json_type_of(value):
     return (F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number"))
 
 
-@query("win_value_changes")
+@query("win_value_changes", "SELECT peer_host, route, before, after, call FROM told", A.CALLS,
+       """told_formats AS (SELECT peer_host, route, id AS call, row_number() OVER (PARTITION BY peer_host, route ORDER BY at, seq, id) AS k, CASE WHEN value > 30 THEN 'timestamp:epoch-seconds' ELSE 'timestamp:epoch-milliseconds' END AS format FROM calls),
+state AS (SELECT peer_host, route, k, call, format AS run, 1 AS n, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS VARCHAR) AS before, CAST(NULL AS VARCHAR) AS after FROM told_formats WHERE k = 1
+ UNION ALL SELECT f.peer_host, f.route, f.k, f.call, f.format, CASE WHEN f.format = s.run THEN s.n + 1 ELSE 1 END,
+  CASE WHEN s.held IS NULL AND (CASE WHEN f.format = s.run THEN s.n + 1 ELSE 1 END) >= 5 THEN f.format WHEN s.held <> f.format AND (CASE WHEN f.format = s.run THEN s.n + 1 ELSE 1 END) = 3 THEN f.format ELSE s.held END,
+  CASE WHEN s.held <> f.format AND (CASE WHEN f.format = s.run THEN s.n + 1 ELSE 1 END) = 3 THEN s.held END, CASE WHEN s.held <> f.format AND (CASE WHEN f.format = s.run THEN s.n + 1 ELSE 1 END) = 3 THEN f.format END
+  FROM state s JOIN told_formats f ON f.peer_host = s.peer_host AND f.route = s.route AND f.k = s.k + 1),
+told AS (SELECT * FROM state WHERE after IS NOT NULL)""")
 def win_value_changes(spark, sf):
-    """WIN6, WIN7: formats of a field by (host, route), tested against a sequential fold."""
+    """WIN6, WIN7: formats of a field by (host, route)."""
     c = A.calls(spark, sf)
     number = F.when(F.col("value") > 30, F.floor(F.col("value")) + 1_000_000_000).otherwise(F.floor(F.col("value")) + 1_000_000_000_000).cast("double")
     leaves = c.select("peer_host", "route", F.col("id").alias("call"), "at", "seq", history.value_format(number, F.lit(None).cast("string")).alias("format"))

@@ -97,6 +97,14 @@ def findings(rows: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter(good).select("f.*"), rows.filter(~good).select("payload")
 
 
+def spec_infos(rows: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """SRC4: (contract rows, rejected payloads): no JSON object or no integration is rejected."""
+    schema = "integration string, role string, format string, peer_host string, title string, version string, loaded_at string, document string"
+    rows = rows.filter(record_kind(prefix) == "spec_info").withColumn("s", F.from_json("payload", schema))
+    good = F.coalesce(F.length("s.integration") > 0, F.lit(False))
+    return rows.filter(good).select("s.*"), rows.filter(~good).select("payload")
+
+
 def tools(snapshots: DataFrame, column: str = "snapshot_json") -> DataFrame:
     """SRC7, PRJ5: a row for each tool of a listing ({"tools": [...]} or a bare array); a malformed document has no rows."""
     doc = F.try_parse_json(column)
