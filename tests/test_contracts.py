@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -109,3 +110,19 @@ def test_otlp(spark, tmp_path):
     assert (good.count(), bad.count()) == (0, 1)
     tool = otlp.tools(otlp.contract_snapshots(rows, "cap")).collect()
     assert [(t.name, json.loads(t.input_schema), t.output_schema) for t in tool] == [("x", {"type": "object"}, None)]
+
+
+@pytest.mark.parametrize("schema,value,keywords", [
+    ({"enum": [1]}, True, ["enum"]), ({"enum": [1]}, 1.0, []), ({"const": {"a": [1]}}, {"a": [1.0]}, []), ({"const": None}, False, ["const"]), ({"multipleOf": 0.1}, 0.3, []), ({"multipleOf": 2}, 3, ["multipleOf"]),
+    ({"uniqueItems": True}, [1, True, "1"], []), ({"uniqueItems": True}, [{"a": 1}, {"a": 1.0}], ["uniqueItems"]), ({"minProperties": 1}, {}, ["minProperties"]), ({"maxProperties": 1}, {"a": 1, "b": 2}, ["maxProperties"]),
+    ({"format": "date"}, "2024-13-01", ["format"]), ({"format": "date"}, "2024-12-01", []), ({"format": "made-up"}, "x", []), ({"patternProperties": {"^n": {"type": "integer"}}, "additionalProperties": False}, {"n1": "x", "m": 1}, ["type", "additionalProperties"]),
+    ({"minimum": "x", "maxLength": None, "enum": 7, "oneOf": {}}, "x", []),
+])
+def test_keywords(schema, value, keywords):
+    assert [v[1] for v in validation.violations(value, schema)] == keywords
+
+
+def test_a_schema_that_cannot_be_applied_stops_nothing(spark):
+    rows = [("{}", "{oops"), ("{}", '{"pattern":"("}'), ("{}", "7"), ("{oops", "{}"), ('{"a":1}', '{"properties":{"a":{"type":"string"}}}'), (None, "{}"), ("{}", None)]
+    got = [r.v for r in spark.createDataFrame(rows, "b string, s string").select(validation.validate("b", "s").alias("v")).collect()]
+    assert got[:4] == [None] * 4 and [v.keyword for v in got[4]] == ["type"] and got[5:] == [None, None]

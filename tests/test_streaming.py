@@ -38,3 +38,26 @@ def test_stateful_rejections_equal_the_batch(spark, tmp_path):
     q = jobs.streamed_rejections(jobs.table_stream(spark, source, SCHEMA, files=100).dropDuplicates(["id"]), "route").writeStream.format("memory").queryName("told").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.id for r in spark.table("told").collect()) == sorted(r.id for r in batch.collect())
+
+
+def test_append_by_partition(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *ids: spark.createDataFrame([(i, i, i // 10) for i in ids], "id long, seq long, day int")
+    for batch in (rows(1, 2, 2), rows(2, 11), rows(1, 11, 12)):
+        jobs.append_new(batch, path, "id", by="day")
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 11, 12]
+
+
+def test_tool_calls_in_a_batch(spark, tmp_path):
+    listings = spark.createDataFrame([("h", "client", 1, 1, "v1"), ("h", "client", 50, 50, "v2")], "peer_host string, direction string, at long, seq long, hash string")
+    tools = spark.createDataFrame([("v1", "t", None, '{"type":"object"}'), ("v2", "t", None, '{"type":"array"}')], "hash string, tool string, input_schema string, output_schema string")
+    learned = spark.createDataFrame([], "peer_host string, direction string, tool string, at long, seq long, input_schema string, output_schema string")
+    for name, table in (("listings", listings), ("tools", tools), ("learned", learned)):
+        table.write.parquet(str(tmp_path / name))
+    call = lambda i, at, tool: (i, i, at, "GET", "/" + tool, "h", "client", tool, "", False, "{}", False, "application/json", False, None, "")
+    schema = "id long, seq long, at long, method string, route string, peer_host string, direction string, tool string, request_body string, request_truncated boolean, response_body string, response_truncated boolean, content_type string, is_error boolean, result_type string, task_id string"
+    spark.createDataFrame([call(1, 0, "t"), call(2, 10, "t"), call(3, 60, "t"), call(4, 60, "gone")], schema).write.parquet(str(tmp_path / "in"))
+    judge = jobs.tool_judge(*(str(tmp_path / name) for name in ("listings", "tools", "learned")))
+    jobs.ingest(jobs.table_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "c"), judge).awaitTermination()
+    assert {r.id: (r.verdict, r.reason) for r in spark.read.parquet(str(tmp_path / "out" / "calls")).collect()} == {1: ("not-validated", "no-contract"), 2: ("clean", None), 3: ("drifted", None), 4: ("not-validated", "tool-not-listed")}
+    assert {(r.source_call_id, r.kind) for r in spark.read.parquet(str(tmp_path / "out" / "findings")).collect()} == {(3, "output_mismatch"), (4, "stale_client")}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wirewarden.functions import redaction as R
 from wirewarden.operators import diffs, facts, history, validation
@@ -158,15 +157,49 @@ def red_records(spark, sf):
     return out.select("doc_id", "patterns", R.redacted_fields("before", "after").alias("fields"))
 
 
+def _stream_folder(spark, name: str) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+
+
 @query("str_call_rate", "SELECT peer_host, direction, at - at % 60000000 AS minute, count(*) AS n_calls FROM calls GROUP BY ALL", A.CALLS)
 def str_call_rate(spark, sf):
-    """STR1, STR2: the table of events as a stream, each id once, counted by edge and minute; complete when the stream has ended."""
-    schema = T.StructType([f for f in A.calls(spark, sf).schema])
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/rate-{uuid.uuid4().hex}"
-    A.calls(spark, sf).write.parquet(f"{folder}/in")
-    stream = jobs.table_stream(spark, f"{folder}/in", schema, files=1000).withColumn("captured_at", F.timestamp_micros("at"))
-    counted = stream.groupBy(F.window("captured_at", "1 minute").alias("w"), "peer_host", "direction").agg(F.count("*").alias("n_calls"))
-    jobs_done = counted.select("peer_host", "direction", F.unix_micros("w.start").alias("minute"), "n_calls").writeStream.outputMode("complete").foreachBatch(
-        lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    jobs_done.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    """STR1, STR2: calls that are delivered twice as a stream, each id once, counted by edge and minute; complete when the stream has ended."""
+    folder, c = _stream_folder(spark, "rate"), A.calls(spark, sf)
+    c.unionByName(c.filter("is_error")).write.parquet(f"{folder}/in")
+    arrived = jobs.table_stream(spark, f"{folder}/in", c.schema, files=1000).withColumn("ingest_ts", F.current_timestamp())
+    jobs.once(arrived, "id").writeStream.format("parquet").option("path", f"{folder}/once").option("checkpointLocation", f"{folder}/c1").trigger(availableNow=True).start().awaitTermination()
+    counted = jobs.call_rate(jobs.table_stream(spark, f"{folder}/once", c.schema, files=1000).withColumn("captured_at", F.timestamp_micros("at")))
+    rows = counted.select("peer_host", "direction", F.unix_micros("window.start").alias("minute"), "n_calls")
+    rows.writeStream.outputMode("update").foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")).option("checkpointLocation", f"{folder}/c2").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("peer_host", "direction", "minute").agg(F.max("n_calls").alias("n_calls"))  # each update of a window is greater than the last
+
+
+@query("str_ingest", """SELECT 'verdict ' || verdict AS what, count(*) AS n FROM judged WHERE id % 50 <> 0 GROUP BY 1 UNION ALL SELECT 'findings', count(*) FROM judged WHERE verdict = 'drifted' AND id % 50 <> 0 UNION ALL SELECT 'quarantine', count(*) FROM judged WHERE id % 50 = 0""", A.CALLS, A.CONTRACTS, _ROUTED, _JUDGED)
+def str_ingest(spark, sf):
+    """STR3, STR6, STR7, STR8: the stream's calls judged once each in their micro-batch and stored with their findings, twice delivered; calls without a method are kept apart."""
+    folder, c = _stream_folder(spark, "ingest"), A.calls(spark, sf)
+    c = c.withColumn("method", F.when(F.col("id") % 50 == 0, "").otherwise(F.col("method"))).withColumn("day", (F.col("at") / 86_400_000_000).cast("int"))
+    c.unionByName(c.filter("is_error")).write.parquet(f"{folder}/in")
+
+    def judge(batch):
+        routed = validation.route(batch, _operations(spark, sf))
+        bound = A.contracts(spark, sf).select("peer_host", F.lit(True).alias("has"))
+        j = validation.judge(routed.join(bound, "peer_host", "left").withColumn("has_contract", F.coalesce("has", F.lit(False))))
+        return j.select("id", "seq", "verdict", "reason"), validation.drift_findings(j)
+
+    for run in (1, 2):
+        jobs.ingest(jobs.table_stream(spark, f"{folder}/in", c.schema, files=1000), folder, f"{folder}/c{run}", judge).awaitTermination()
+    n = lambda name, what: spark.read.parquet(f"{folder}/{name}").groupBy(what.alias("what")).agg(F.count("*").alias("n"))
+    return n("calls", F.concat(F.lit("verdict "), "verdict")).union(n("findings", F.lit("findings"))).union(n("quarantine", F.lit("quarantine")))
+
+
+@query("str_rejections", """SELECT c.id FROM shaped c JOIN (SELECT peer_host, route, shape, min((at, seq)) AS f FROM shaped WHERE NOT is_error AND value <= 60 GROUP BY ALL) a USING (peer_host, route, shape) WHERE c.value > 60 AND (c.at, c.seq) > a.f""",
+       A.CALLS, "shaped AS (SELECT *, 'k:' || (length(body) % 3) AS shape FROM calls)")
+def str_rejections(spark, sf):
+    """STR5: newly rejected arguments from the state of a stream."""
+    folder, c = _stream_folder(spark, "shapes"), A.calls(spark, sf)
+    c = c.select("id", "peer_host", "route", "at", "seq", F.concat(F.lit("k:"), (F.length("body") % 3).cast("string")).alias("shape"), (~F.col("is_error") & (F.col("value") <= 60)).alias("accepted"), (F.col("value") > 60).alias("rejected"))
+    c.write.parquet(f"{folder}/in")
+    told = jobs.streamed_rejections(jobs.table_stream(spark, f"{folder}/in", c.schema, files=1000), "peer_host", "route")
+    told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id long").parquet(f"{folder}/out")

@@ -23,9 +23,10 @@ def call_rate(stream: DataFrame, at: str = "captured_at", late: str = "1 minute"
     return stream.withWatermark(at, late).groupBy(F.window(at, "1 minute"), "peer_host", "direction").agg(F.count("*").alias("n_calls"))
 
 
-def append_new(batch: DataFrame, path: str, *key: str, order: str = "seq") -> None:
+def append_new(batch: DataFrame, path: str, *key: str, order: str = "seq", by: str | None = None) -> None:
     """SNK1 in a micro-batch: rows whose key the table does not have yet, of several the first in `order`. A batch that is run
-    again adds nothing."""
+    again adds nothing. by: a column, such as the day of arrival, by which the table is partitioned and which a row that is delivered again has
+    again: only the partitions of the batch's own values are read, so that the cost of a batch does not grow with the history."""
     spark = batch.sparkSession
     rows = first_arrival(batch, *key, order=order if order in batch.columns else key[0])
     try:
@@ -34,8 +35,11 @@ def append_new(batch: DataFrame, path: str, *key: str, order: str = "seq") -> No
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
     else:
+        if by is not None:
+            stored = stored.join(F.broadcast(batch.select(by).distinct()), by, "left_semi")  # prunes partitions when it runs
         rows = rows.join(stored.select(*key), list(key), "left_anti").select(batch.columns)
-    rows.write.mode("append").parquet(path)
+    writer = rows.write.mode("append")
+    (writer if by is None else writer.partitionBy(by)).parquet(path)
 
 
 def ingest(stream: DataFrame, folder: str, checkpoint: str, judge: Callable[[DataFrame], tuple[DataFrame, DataFrame]], accept=valid_calls) -> StreamingQuery:
@@ -51,17 +55,35 @@ def ingest(stream: DataFrame, folder: str, checkpoint: str, judge: Callable[[Dat
         calls, findings = judge(good)
         append_new(calls, f"{folder}/calls", "id")
         append_new(findings, f"{folder}/findings", "id")
-        batch.join(good.select("id"), "id", "left_anti").write.mode("append").parquet(f"{folder}/quarantine")
+        append_new(batch.join(good.select("id"), "id", "left_anti"), f"{folder}/quarantine", "id")
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def tool_judge(listings: str, tools: str, learned: str, adapters: DataFrame | None = None) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """STR4, STR6: a `judge` for `ingest`: tool calls of a batch against the tables of listings, their tools and what searches taught (Parquet folders, read anew for
+    each batch), as of the calls' own times."""
+    from wirewarden.operators import tools as T
+
+    def judge(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        read = batch.sparkSession.read.parquet
+        judged = T.judge_calls(batch, read(listings), read(tools), read(learned), adapters)
+        found = T.findings(judged)
+        call = F.col("id").alias("source_call_id")
+        return judged.drop("argument_violations", "result_violations"), found.select(F.concat_ws("|", F.col("id").cast("string"), "signature").alias("finding_id"), call, "kind", "rule", "signature").withColumnRenamed("finding_id", "id")
+
+    return judge
+
+
 class ShapeProcessor(StatefulProcessor):
-    """STR5: for each key the argument shapes that have been accepted; a rejected call of an accepted shape is told."""
+    """STR5: for each key the argument shapes that have been accepted; a rejected call of an accepted shape is told. A shape that has not been accepted
+    again for `keep_ms` milliseconds of processing time is forgotten (None: never)."""
+
+    keep_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.shapes = handle.getMapState("shapes", "shape string", "seq long")
+        self.shapes = handle.getMapState("shapes", "shape string", "seq long", ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         calls = pd.concat(list(rows)).sort_values(["at", "seq"])
@@ -69,7 +91,7 @@ class ShapeProcessor(StatefulProcessor):
         for call in calls.itertuples():
             if call.rejected and self.shapes.containsKey((call.shape,)):
                 told.append(call.id)
-            if call.accepted and not self.shapes.containsKey((call.shape,)):
+            if call.accepted and (self.keep_ms is not None or not self.shapes.containsKey((call.shape,))):
                 self.shapes.updateValue((call.shape,), (int(call.seq),))
         if told:
             yield pd.DataFrame({"id": told})
@@ -78,9 +100,11 @@ class ShapeProcessor(StatefulProcessor):
         pass
 
 
-def streamed_rejections(stream: DataFrame, *by: str) -> DataFrame:
+def streamed_rejections(stream: DataFrame, *by: str, keep_ms: int | None = None) -> DataFrame:
     """WIN4 as a stateful operator; columns id, at, seq, shape, accepted, rejected."""
-    return stream.groupBy(*by).transformWithStateInPandas(statefulProcessor=ShapeProcessor(), outputStructType="id long", outputMode="Append", timeMode="None")
+    processor = ShapeProcessor()
+    processor.keep_ms = keep_ms
+    return stream.groupBy(*by).transformWithStateInPandas(statefulProcessor=processor, outputStructType="id long", outputMode="Append", timeMode="None" if keep_ms is None else "ProcessingTime")
 
 
 def table_stream(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:
