@@ -1,6 +1,10 @@
 """Language ID and quality: held-out accuracy and edge cases."""
 
 import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
@@ -76,3 +80,67 @@ def test_every_language_is_learned_in_any_order(spark, monkeypatch):
     monkeypatch.setattr(language_id.Network, "fit", lambda self, windows, labels: seen.append([len(windows), *[int((labels == j).sum()) for j in range(len(self.languages))]]))
     assert language_id.train(docs).languages == names
     assert seen == [[48, *[6] * 8]]  # 60 // (3 * 8) = 2 distinct texts of each, 3 windows a text
+
+
+def test_network_equals_plain_loops(spark):
+    """Convolution, maximum, softmax and the mean over windows, computed one filter and position at a time."""
+    L = language_id
+    net = L.Network(["a", "b", "c"], seed=5)
+    p = net.p
+
+    def window_log_probabilities(window):
+        pooled = []
+        for f in range(L.FILTERS * len(L.WIDTHS)):
+            width = L.WIDTHS[f // L.FILTERS]
+            best = max(sum(float(p["embedding"][window[at + k]] @ p["filters"][k * L.EMBEDDING : (k + 1) * L.EMBEDDING, f]) for k in range(width)) for at in range(L.WINDOW - max(L.WIDTHS) + 1))
+            pooled.append(max(best + float(p["bias"][f]), 0.0))
+        logits = np.array(pooled) @ p["out"] + p["out_bias"]
+        return logits - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+
+    rows = [(1, "héllo wörld"), (2, "x" * 255), (3, "some words " * 40), (4, "ä" * 300)]
+    got = {r.doc_id: r for r in language_id.predict(frame(spark, rows), net).collect()}
+    step = L.WINDOW - max(L.WIDTHS) + 1
+    for i, text in rows:
+        raw, total, at = text.encode(), np.zeros(3), 0
+        while True:
+            part = raw[at : at + L.WINDOW]
+            total += window_log_probabilities(part.ljust(L.WINDOW, b"\0")) * len(part)
+            if at + L.WINDOW >= len(raw):
+                break
+            at += step
+        shares = np.exp(total / total.size * 0 + (total - total.max()) / sum(len(raw[a : a + L.WINDOW]) for a in range(0, at + 1, step)))
+        shares /= shares.sum()
+        assert got[i].lang_pred == net.languages[int(shares.argmax())] and abs(got[i].score - shares.max()) < 1e-4
+
+
+def test_language_edges(spark, monkeypatch):
+    """Repeated rows, a very long text, columns with clashing names."""
+    monkeypatch.setattr(language_id, "STEPS", 60)
+    docs = spark.createDataFrame(documents(60), "doc_id long, text string, lang string")
+    network = language_id.train(docs)
+    rows = [(1, "der und " * 50_000, "x"), (2, "the and", "y"), (2, "the and", "y")]
+    got = language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang_pred string").withColumns({"_id": F.lit(1), "score": F.lit("z")}), network).collect()
+    assert sorted((r.doc_id, r.lang_pred in network.languages) for r in got) == [(1, True), (2, True), (2, True)]
+
+
+def test_quality_equals_closed_form(spark):
+    """Means, shrunken covariances and Gaussian densities from all labelled rows in numpy."""
+    Q = quality
+    rng = random.Random(8)
+    rows = [(i, t if rng.random() < 0.6 else t.upper() + " !!! 12" * rng.randint(1, 9)) for i, t, _ in documents(150)] + [(200, None), (201, ""), (202, "word " * 30_000), (7, "a repeated id")]
+    labels = [(i, int(t == t.lower())) for i, t in rows[:140]] + [(202, 1), (3, None), (None, 1), (5, 7)]
+    got = Counter((r.doc_id, round(r.score, 6)) for r in Q.score(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), F.col("doc_id") % 3 != 0).collect())
+    x = Q.statistics(pa.array([t for _, t in rows], pa.string()))
+    pairs = [(k, y) for k, (i, _) in enumerate(rows) for j, y in labels if i == j and i % 3 != 0 and y in (0, 1)]
+    own = {y: x[[k for k, z in pairs if z == y]] for y in (0, 1)}
+    cov = {y: np.cov(own[y], rowvar=False, bias=True) for y in own}
+    shrink = lambda c: (1 - Q.DIAGONAL) * c + Q.DIAGONAL * np.diag(np.diag(c))
+    pooled = shrink(sum(len(own[y]) * cov[y] for y in own) / len(pairs)) + 1e-6 * np.eye(len(Q.FEATURES))
+    log_density = []
+    for y in (0, 1):
+        w = len(own[y]) / (len(own[y]) + Q.PRIOR_ROWS)
+        c = shrink(w * cov[y] + (1 - w) * pooled) + 1e-4 * np.eye(len(Q.FEATURES))
+        d = x - own[y].mean(axis=0)
+        log_density.append(np.log(len(own[y]) / len(pairs)) - 0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1])
+    expected = Counter((i, round(float(s), 6)) for (i, _), s in zip(rows, 1 / (1 + np.exp(np.clip(log_density[0] - log_density[1], -700, 700))), strict=True))
+    assert sum((got - expected).values()) <= 2 and sum(got.values()) == len(rows)  # a last digit may round the other way

@@ -65,12 +65,11 @@ def _features(source: DataFrame) -> DataFrame:
     return source.mapInArrow(per_batch(make, 2000), "_id long, " + ", ".join(f"{x} double" for x in FEATURES))
 
 
-def fit(rows: DataFrame) -> list[tuple[float, np.ndarray, np.ndarray, float]] | float:
+def fit(rows: DataFrame, centre: list[float]) -> list[tuple[float, np.ndarray, np.ndarray, float]] | float:
     """From labelled features: for class 0 and 1 (log prior, mean, inverse Cholesky factor, log determinant); or the score
-    of every text, if only one class has rows (0 or 1) or none (0.5)."""
+    of every text, if only one class has rows (0 or 1) or none (0.5). centre: numbers near the means, by which the sums lose no digits."""
     d = len(FEATURES)
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    centre = [r or 0.0 for r in rows.agg(*[F.avg(x) for x in FEATURES]).first()]
     moved = rows.select("label", *[(F.col(x) - F.lit(float(c))).alias(x) for x, c in zip(FEATURES, centre, strict=True)])
     sums = {r.label: r for r in moved.groupBy("label").agg(
         F.count("*").alias("n"), *[F.sum(x).alias(f"s{j}") for j, x in enumerate(FEATURES)],
@@ -107,7 +106,8 @@ def score(docs: DataFrame, labels: DataFrame, train_on: Column, *, id_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     features = checkpoint(_features(source))
     marked = labels.filter(train_on).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
-    model = docs.sparkSession.sparkContext.broadcast(fit(features.join(marked, "_id")))
+    centre = [r or 0.0 for r in features.agg(*[F.avg(x) for x in FEATURES]).first()]
+    model = docs.sparkSession.sparkContext.broadcast(fit(features.join(marked, "_id"), centre))
 
     def apply(batches):
         for b in batches:
