@@ -1,4 +1,5 @@
-"""Versions, runs and detectors over ordered observations. All windows are partitioned by a key of the data."""
+"""Versions, runs and detectors over ordered observations. Where a key may hold a large part of the rows, its history is cut into ranges of time: a window
+works inside a range, and what passes from one range to the next is a row for each key and range."""
 
 from __future__ import annotations
 
@@ -6,12 +7,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def time_ranges(df: DataFrame, column: str) -> Column:
+    """The range (as many as there are shuffle partitions, about equally filled) that a number falls into."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(df.stat.approxQuantile(column, [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
+    return sum(((F.col(column) > F.lit(b)).cast("int") for b in bounds), F.lit(0))
+
+
 def versions(snapshots: DataFrame, *by: str, order: tuple[str, ...] = ("at", "seq"), content: str = "hash") -> DataFrame:
-    """WIN2: one row for each change of content, with its predecessor's; `version` counts from 1."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = F.lag(content).over(w)
-    changed = snapshots.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col(content)))
-    return changed.withColumn("previous", F.col("_before")).withColumn("version", F.row_number().over(w)).drop("_before")
+    """WIN2: one row for each change of content, with its predecessor's; `version` counts from 1. A hot key's rows are compared in ranges of time; the last
+    content of a range is carried to the first row of the key's next one."""
+    ranged = snapshots.withColumn("_range", time_ranges(snapshots, order[0]))
+    inside = Window.partitionBy(*by, "_range").orderBy(*order)
+    before = F.lag(content).over(inside)
+    near = ranged.withColumn("_before", before).withColumn("_first", F.row_number().over(inside) == 1).filter(F.col("_first") | (F.col("_before") != F.col(content)))
+    last = ranged.groupBy(*by, "_range").agg(F.max_by(content, F.struct(*order)).alias("_last"))
+    over = Window.partitionBy(*by).orderBy("_range")  # a row for each range
+    carried = last.withColumn("_carried", F.lag("_last").over(over)).select(*by, "_range", "_carried")
+    on = [near[c].eqNullSafe(carried[c]) for c in (*by, "_range")]
+    joined = near.join(carried, on, "left").select(*[near[c] for c in near.columns], carried["_carried"])
+    changed = joined.withColumn("_before", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))).filter(F.col("_before").isNull() | (F.col("_before") != F.col(content)))
+    w = Window.partitionBy(*by).orderBy(*order)  # changes only
+    return changed.withColumn("previous", F.col("_before")).withColumn("version", F.row_number().over(w)).drop("_before", "_carried", "_first", "_range")
 
 
 def valid_ranges(changes: DataFrame, *by: str, at: str = "at") -> DataFrame:
@@ -30,11 +47,16 @@ def as_of(calls: DataFrame, ranges: DataFrame, *by: str, at: str = "at", columns
 
 
 def session_listings(listings: DataFrame, enables: DataFrame, *by: str, within: int = 120_000_000) -> DataFrame:
-    """JN7: listings with the flag `session`: an enabling call on the same edge came at most `within` before (in the unit of `at`)."""
-    both = listings.select(*by, "at", "seq", F.lit(None).cast("long").alias("enabled"), F.lit(True).alias("listing")).unionByName(
-        enables.select(*by, "at", "seq", F.col("at").alias("enabled"), F.lit(False).alias("listing")))
-    last = F.last("enabled", ignorenulls=True).over(Window.partitionBy(*by).orderBy("at", "seq"))
-    return both.withColumn("last_enable", last).filter("listing").select(*by, "at", "seq", F.coalesce(F.col("at") - F.col("last_enable") <= within, F.lit(False)).alias("session"))
+    """JN7: listings with the flag `session`: an enabling call on the same edge came at most `within` before (in the unit of `at`).
+    Both sides meet by edge and slot of time, so that no edge's history is sorted."""
+    slot = lambda c: F.floor(F.col(c) / within)
+    near = enables.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("at").alias("_at"), F.col("seq").alias("_seq"), F.explode(F.array(slot("at"), slot("at") + 1)).alias("_slot"))
+    rows = listings.withColumn("_own", slot("at"))
+    earlier = (F.col("_at") < F.col("at")) | ((F.col("_at") == F.col("at")) & (F.col("_seq") <= F.col("seq")))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.col("_own") == F.col("_slot"), earlier, F.col("at") - F.col("_at") <= within]
+    session = rows.join(near, on, "left_semi").select(*by, "at", "seq").withColumn("session", F.lit(True))
+    other = rows.join(near, on, "left_anti").select(*by, "at", "seq").withColumn("session", F.lit(False))
+    return session.union(other)
 
 
 def latest(df: DataFrame, *by: str, order: str) -> DataFrame:

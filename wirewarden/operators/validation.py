@@ -156,14 +156,21 @@ def template_pattern(template: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\{[^/}]*\}", "[^/]+"), F.lit("/?$"))
 
 
+#: Bytes of operations, schemas included, up to which they are broadcast.
+MAX_BROADCAST = 64 << 20
+
+
 def route(calls: DataFrame, operations: DataFrame) -> DataFrame:
-    """JN1, JN3: each call with the operation (template) of the contract on its host that fits: an equi-join on host, method and number of
-    segments, then the pattern; fewest parameters first, then the template. No operation: null."""
+    """JN3: each call with the operation (template) of the contract on its host that fits: the host's operations of the method come as one array by
+    an equi-join, of those with as many segments and a pattern that fits the one with the fewest parameters, then the first template. No operation: null."""
     count = lambda c: F.size(F.split(F.regexp_replace(c, "/$", ""), "/"))
-    ops = operations.select("peer_host", "method", "template", "schema", count(F.col("template")).alias("_n"), template_pattern(F.col("template")).alias("_p"), F.regexp_count("template", F.lit(r"\{")).alias("_params"))
-    met = calls.select("id", "peer_host", "method", "route", count(F.col("route")).alias("_n")).join(F.broadcast(ops), ["peer_host", "method", "_n"]).filter(F.regexp_like("route", F.col("_p")))
-    best = met.groupBy("id").agg(F.min(F.struct("_params", "template", "schema")).alias("_o"))
-    return calls.join(best, "id", "left").select(*calls.columns, F.col("_o.template").alias("template"), F.col("_o.schema").alias("schema"))
+    one = F.struct(F.regexp_count("template", F.lit(r"\{")).alias("params"), "template", "schema", count(F.col("template")).alias("n"), template_pattern(F.col("template")).alias("p"))
+    ops = operations.groupBy("peer_host", "method").agg(F.collect_list(one).alias("_ops"))
+    size = operations.agg(F.sum(F.coalesce(F.octet_length("schema"), F.lit(0)) + F.octet_length("template") + 64)).first()[0] or 0
+    met = calls.join(F.broadcast(ops) if size <= MAX_BROADCAST else ops, ["peer_host", "method"], "left")
+    fitting = F.filter("_ops", lambda o: (o["n"] == count(F.col("route"))) & F.regexp_like("route", o["p"]))
+    best = F.array_min(F.transform(fitting, lambda o: F.struct(o["params"].alias("params"), o["template"].alias("template"), o["schema"].alias("schema"))))
+    return met.withColumn("_o", best).select(*calls.columns, F.col("_o.template").alias("template"), F.col("_o.schema").alias("schema"))
 
 
 def bound_contracts(contracts: DataFrame) -> tuple[DataFrame, DataFrame]:
