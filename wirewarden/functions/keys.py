@@ -12,7 +12,9 @@ _IPV4 = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
 INTERNAL_SUFFIXES = (".svc.cluster.local", ".internal", ".local")
 INTERNAL_IPV4 = r"^(10\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|192\.168\..*|127\..*|169\.254\..*|224\.0\.0\..*|0\.0\.0\.0)$"
 INTERNAL_IPV6 = r"^(::|::1|fe[89ab][0-9a-f]:.*|ff02:.*|f[cd][0-9a-f]{2}:.*)$"
-#: Default parameter: suffixes of two labels; any other last label is a suffix. The full public list can be passed instead.
+#: Default parameters: suffixes of two labels (any other last label is a suffix), suffixes under which every label is one, and names that are none although
+#: such a rule covers them. The full public list can be passed instead.
+WILDCARD_SUFFIXES, SUFFIX_EXCEPTIONS = ("bd", "ck", "er", "fk", "kh", "mm", "np", "pg"), ("www.ck",)
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "com.cn", "co.in", "co.za")
 
 
@@ -74,10 +76,18 @@ def edge_class(host: Column) -> Column:
     return F.when(internal, "internal").otherwise("external")
 
 
-def registrable_domain(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    """KEY6: the suffix and one label more; addresses and bare suffixes stay as they are."""
+def registrable_domain(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES, wildcards: tuple[str, ...] = WILDCARD_SUFFIXES, exceptions: tuple[str, ...] = SUFFIX_EXCEPTIONS) -> Column:
+    """KEY6: the longest suffix that a rule covers and one label more; an exception is a domain itself. Addresses and bare suffixes stay as they are."""
     h = F.regexp_replace(ascii_lower(host_without_port(or_empty(host))), r"\.$", "")
-    return F.when(h.rlike(_IPV4) | h.contains(":"), h).when(F.substring_index(h, ".", -2).isin(*two_label), F.substring_index(h, ".", -3)).otherwise(F.substring_index(h, ".", -2))
+    labels = F.split(h, r"\.")
+    n = F.size(labels)
+    ending = lambda i: F.array_join(F.slice(labels, i, n), ".")  # noqa: E731  from label i on, counted from 1
+    among = lambda x, names: x.isin(*names) if names else F.lit(False)
+    starts = F.sequence(F.lit(1), n)
+    excepted = F.get(F.filter(starts, lambda i: among(ending(i), exceptions)), 0)
+    covered = F.get(F.filter(starts, lambda i: among(ending(i), suffixes) | ((i < n) & among(ending(i + 1), wildcards)) | (i == n)), 0)
+    domain = F.when(excepted.isNotNull(), ending(excepted)).when(covered > 1, ending(covered - 1)).otherwise(h)
+    return F.when(h.rlike(_IPV4) | h.contains(":"), h).otherwise(domain)
 
 
 def role(direction: Column) -> Column:

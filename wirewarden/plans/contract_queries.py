@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from wirewarden.functions import redaction as R
-from wirewarden.operators import diffs, facts, history, validation
+from wirewarden.operators import diffs, facts, history, readmodels, validation
 from wirewarden.plans import adapters as A
 from wirewarden.plans.queries import query
 from wirewarden.sources import otlp
@@ -86,11 +86,11 @@ def val_findings(spark, sf):
     return validation.drift_findings(_judged(spark, sf))
 
 
-@query("agg_not_validated", "SELECT peer_host, count(*) AS n, arg_max(reason, c * 100 - length(reason)) AS dominant FROM (SELECT peer_host, reason, count(*) OVER (PARTITION BY peer_host, reason) AS c FROM judged WHERE reason IS NOT NULL) GROUP BY 1", A.CALLS, A.CONTRACTS, _ROUTED, _JUDGED)
+@query("agg_not_validated", """SELECT peer_host, place, sum(c) FILTER (WHERE reason IS NOT NULL)::BIGINT AS n, arg_max(reason, c * 100 - rank) FILTER (WHERE reason IS NOT NULL) AS dominant, bool_or(reason IS NULL) AS anything_checked
+ FROM (SELECT peer_host, CASE WHEN is_mcp THEN 'tool-server' WHEN direction = 'server' THEN 'inbound' ELSE 'host' END AS place, reason, count(*) AS c, CASE reason WHEN 'body-not-decodable' THEN 4 WHEN 'not-routable' THEN 6 WHEN 'no-schema' THEN 7 ELSE 8 END AS rank FROM judged GROUP BY ALL) GROUP BY ALL HAVING n IS NOT NULL""", A.CALLS, A.CONTRACTS, _ROUTED, _JUDGED)
 def agg_not_validated(spark, sf):
-    """AGG11: the dominant cause of each host's calls that were not judged."""
-    n = _judged(spark, sf).filter("reason is not null").groupBy("peer_host", "reason").agg(F.count("*").alias("c"))
-    return n.groupBy("peer_host").agg(F.sum("c").alias("n"), F.max_by("reason", F.col("c") * 100 - F.length("reason")).alias("dominant"))
+    """AGG11: per place what was not judged, the dominant cause, and whether anything else was checked."""
+    return readmodels.not_validated(_judged(spark, sf))
 
 
 @query("agg_validated_since_bound", "SELECT peer_host, count(*) AS validated FROM judged JOIN contracts USING (peer_host) WHERE verdict <> 'not-validated' AND seq >= version GROUP BY 1", A.CALLS, A.CONTRACTS, _ROUTED, _JUDGED)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wirewarden.functions import keys as K
 from wirewarden.functions import redaction as R
 from wirewarden.operators import facts, history
+from wirewarden.operators import readmodels as M
 from wirewarden.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,34 +71,29 @@ _HAY = "lower(concat_ws(' ', method, route, peer_host, direction, service_name,
 @query("flt_traffic_search", f"SELECT id FROM calls WHERE contains({_HAY}, 'example') AND contains({_HAY}, 'get') AND NOT contains({_HAY}, 'view')", A.CALLS)
 def flt_traffic_search(spark, sf):
     """FLT1: every word must occur, `-word` must not."""
-    return search(A.calls(spark, sf), "example get -view").select("id")
-
-
-def search(calls: DataFrame, text: str, columns: tuple[str, ...] = ("method", "route", "peer_host", "direction", "service_name", "status")) -> DataFrame:
-    hay = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
-    for word in text.lower().split():
-        calls = calls.filter(~hay.contains(word[1:]) if word.startswith("-") and len(word) > 1 else hay.contains(word))
-    return calls
+    return M.search(A.calls(spark, sf), "example get -view").select("id")
 
 
 @query("flt_facets", """SELECT method_facet, status_facet, direction, count(*) AS n FROM (SELECT CASE WHEN is_mcp THEN 'TOOL' ELSE method END AS method_facet,
  CASE WHEN is_mcp THEN CASE WHEN is_error THEN 'err' ELSE 'ok' END ELSE (status // 100) || 'xx' END AS status_facet, direction FROM calls WHERE NOT regexp_matches(route, '^/(health|healthz|ready|live|ping)')) GROUP BY ALL""", A.CALLS)
 def flt_facets(spark, sf):
     """FLT2, FLT3: facet values with their counts, health checks hidden."""
-    c = A.calls(spark, sf).filter(~F.col("route").rlike("^/(health|healthz|ready|live|ping)"))
-    method = F.when(F.col("is_mcp"), "TOOL").otherwise(F.col("method"))
-    status = F.when(F.col("is_mcp"), F.when(F.col("is_error"), "err").otherwise("ok")).otherwise(F.concat(F.expr("status div 100").cast("string"), F.lit("xx")))
-    return c.groupBy(method.alias("method_facet"), status.alias("status_facet"), "direction").agg(F.count("*").alias("n"))
+    return M.facets(M.without_health_checks(A.calls(spark, sf))).groupBy("method_facet", "status_facet", "direction").agg(F.count("*").alias("n"))
 
 
 @query("flt_findings", """SELECT count(*) AS in_scope, count(*) FILTER (WHERE acked) AS excluded, count(*) FILTER (WHERE NOT acked AND kind <> 'stale_client' AND severity <> 'info') AS flaggable
  FROM (SELECT *, severity = 'info' AND kind = 'definition_change' AND id % 2 = 0 AS acked FROM findings WHERE peer_host = 'u5.Example.com')""", A.CALLS, A.FINDINGS)
 def flt_findings(spark, sf):
     """FLT4, FLT5, FLT6: the scope's filters come before the acknowledged ones are left out."""
-    f = A.findings(spark, sf).filter("peer_host = 'u5.Example.com'")
-    ackable = (F.col("kind") == "definition_change") & ((F.col("rule") == "description-changed") | (F.col("severity") == "info"))
-    acked = ackable & (F.col("id") % 2 == 0)
-    return f.agg(F.count("*").alias("in_scope"), F.count_if(acked).alias("excluded"), F.count_if(~acked & (F.col("kind") != "stale_client") & (F.col("severity") != "info")).alias("flaggable"))
+    f = A.findings(spark, sf).withColumns({"acknowledged": F.col("id") % 2 == 0, "last_seen": F.col("detected_at")})
+    return M.finding_list(f, host="u5.Example.com")[1]
+
+
+@query("flt_finding_page", """SELECT id FROM findings WHERE peer_host = 'u5.Example.com' AND kind = 'definition_change' AND severity = 'info' AND id % 2 <> 0 ORDER BY detected_at DESC, signature LIMIT 20""", A.CALLS, A.FINDINGS)
+def flt_finding_page(spark, sf):
+    """FLT4, SRT1: a page of a host's findings of one kind and severity, acknowledged ones left out (the limit is the page)."""
+    f = A.findings(spark, sf).withColumns({"acknowledged": F.col("id") % 2 == 0, "last_seen": F.col("detected_at")})
+    return M.finding_list(f, host="u5.Example.com", kind="definition_change", severity="info", limit=20)[0].select("id")
 
 
 @query("flt_oversized", "SELECT doc_id, strlen(text) AS n_bytes FROM documents WHERE strlen(text) > 8192")
@@ -238,62 +234,72 @@ def snk_import(spark, sf):
 # --- read models -----------------------------------------------------------------------------------------------------
 
 
-@query("agg_drift_summary", "SELECT peer_host, severity, count(*) AS n, count(DISTINCT signature) AS signatures FROM findings GROUP BY GROUPING SETS ((peer_host, severity), (peer_host), ())", A.CALLS, A.FINDINGS)
+@query("agg_drift_summary", """SELECT f.peer_host, f.severity, f.open, f.acknowledged, CASE WHEN f.severity IS NULL THEN e.in_window END AS in_window, CASE WHEN f.severity IS NULL THEN e.validated END AS validated
+ FROM (SELECT peer_host, severity, count(*) FILTER (WHERE NOT acked) AS open, count(*) FILTER (WHERE acked) AS acknowledged FROM (SELECT coalesce(CASE WHEN id % 11 <> 0 THEN peer_host END, '') AS peer_host, severity, id % 5 = 0 AS acked FROM findings) GROUP BY ROLLUP (peer_host, severity)) f
+ LEFT JOIN (SELECT peer_host, count(*) AS in_window, count(*) FILTER (WHERE status < 500) AS validated FROM calls GROUP BY ROLLUP (peer_host)) e ON f.peer_host IS NOT DISTINCT FROM e.peer_host""", A.CALLS, A.FINDINGS)
 def agg_drift_summary(spark, sf):
-    """AGG7: per edge and severity, per edge, and in total."""
-    f = A.findings(spark, sf)
-    return f.rollup("peer_host", "severity").agg(F.count("*").alias("n"), F.count_distinct("signature").alias("signatures"))
+    """AGG7, VAL12: per host and severity, per host, and in total; findings without a host; acknowledged ones; the evidence."""
+    f = A.findings(spark, sf).withColumns({"acknowledged": F.col("id") % 5 == 0, "peer_host": F.when(F.col("id") % 11 != 0, F.col("peer_host"))})
+    evidence = M.tally(A.calls(spark, sf).select("peer_host", F.when(F.col("status") >= 500, "status-undeclared").alias("reason")))
+    return M.drift_summary(f, evidence)
+
 
+@query("key_domains", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'b.co.uk' WHEN 1 THEN 'www.ck' WHEN 2 THEN 'y.z.ck' WHEN 3 THEN 'com' WHEN 4 THEN '10.0.0.1' ELSE 'p' || page_id || '.org' END AS domain FROM pages")
+def key_domains(spark, sf):
+    """KEY6: two-label suffixes, wildcard and exception rules, bare suffixes, addresses, ports."""
+    host = F.element_at(F.array(F.lit("a.B.co.uk:8080"), F.lit("x.www.ck"), F.lit("x.y.z.ck."), F.lit("com"), F.lit("10.0.0.1:80"), F.concat(F.lit("q.p"), F.col("page_id").cast("string"), F.lit(".org"))), (F.col("page_id") % 6 + 1).cast("int"))
+    return A.table(spark, sf, "pages").select("page_id", K.registrable_domain(host).alias("domain"))
 
-_TIER = "CASE WHEN kind IN ('live-vs-spec', 'output_mismatch') AND severity = 'breaking' THEN 'breaking-now' WHEN severity = 'breaking' THEN 'would-break' ELSE 'worth-knowing' END"
+
+@query("set_ordered_listing", "SELECT kind, role, integration, CASE WHEN kind = 'catalogue' THEN 2 WHEN role = 'self' THEN 0 ELSE 1 END AS section FROM (SELECT 'contract' AS kind, CASE WHEN s_suppkey % 7 = 0 THEN 'self' ELSE 'provider' END AS role, s_name AS integration FROM supplier UNION ALL SELECT 'catalogue', NULL, 'm' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)")
+def set_ordered_listing(spark, sf):
+    """SET1, SRT4."""
+    s = A.table(spark, sf, "supplier")
+    return M.listing(s.select(F.when(F.col("s_suppkey") % 7 == 0, "self").otherwise("provider").alias("role"), F.col("s_name").alias("integration")), s.filter("s_suppkey % 3 = 0").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("integration")))
+
+
+_TIER = "CASE WHEN severity = 'info' THEN 'acknowledged' WHEN kind IN ('live-vs-spec', 'output_mismatch') AND severity = 'breaking' THEN 'breaking-now' WHEN severity = 'breaking' THEN 'would-break' ELSE 'worth-knowing' END"
 
 
 @query("agg_tiers", f"SELECT {_TIER} AS tier, count(*) AS n FROM signatures GROUP BY 1", A.CALLS, A.FINDINGS, A.SIGNATURES)
 def agg_tiers(spark, sf):
     """AGG8."""
-    s = facts.findings_by_signature(A.findings(spark, sf))
-    tier = F.when(F.col("kind").isin(*facts.PER_CALL_KINDS) & (F.col("severity") == "breaking"), "breaking-now").when(F.col("severity") == "breaking", "would-break").otherwise("worth-knowing")
-    return s.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+    s = facts.findings_by_signature(A.findings(spark, sf)).withColumn("acknowledged", F.col("severity") == "info")
+    return s.groupBy(M.tier().alias("tier")).agg(F.count("*").alias("n"))
 
 
 @query("agg_drift_lines", "SELECT peer_host, count(*) AS n_findings, count(DISTINCT s.endpoint) AS endpoints, sum(occurrence_count)::BIGINT AS occurrences, min(first_seen) AS earliest FROM signatures s JOIN calls c ON c.id = s.first_call GROUP BY 1", A.CALLS, A.FINDINGS, A.SIGNATURES)
 def agg_drift_lines(spark, sf):
     """AGG9, JN8: findings at the host of their source call."""
-    s = facts.findings_by_signature(A.findings(spark, sf))
-    at = A.calls(spark, sf).select(F.col("id").alias("source_call_id"), "peer_host")
-    return s.join(at, "source_call_id").groupBy("peer_host").agg(F.count("*").alias("n_findings"), F.count_distinct("endpoint").alias("endpoints"), F.sum("occurrence_count").alias("occurrences"), F.min("first_seen").alias("earliest"))
+    return M.drift_lines(facts.findings_by_signature(A.findings(spark, sf)), A.calls(spark, sf))
 
 
 @query("agg_roll_call", "SELECT count(DISTINCT peer_host) AS providers, count(DISTINCT peer_host) FILTER (WHERE peer_host IN (SELECT peer_host FROM contracts)) AS covered, count(DISTINCT peer_host) FILTER (WHERE is_mcp) AS mcp_servers FROM calls WHERE direction = 'client'", A.CALLS, A.CONTRACTS)
 def agg_roll_call(spark, sf):
     """AGG12."""
-    c = A.calls(spark, sf).filter("direction = 'client'").join(F.broadcast(A.contracts(spark, sf).select("peer_host", F.lit(True).alias("has"))), "peer_host", "left")
-    return c.agg(F.count_distinct("peer_host").alias("providers"), F.count_distinct(F.when(F.col("has"), F.col("peer_host"))).alias("covered"), F.count_distinct(F.when(F.col("is_mcp"), F.col("peer_host"))).alias("mcp_servers"))
+    return M.roll_call(A.calls(spark, sf), A.contracts(spark, sf))
 
 
-@query("agg_edge_status", """SELECT peer_host, direction, CASE WHEN bool_or(drifted) THEN 'drift' WHEN bool_and(is_mcp) THEN 'mcp' WHEN bool_or(has) THEN 'checked' ELSE 'not-checked' END AS state
+@query("agg_edge_status", """SELECT peer_host, direction, CASE WHEN bool_or(drifted) THEN 'drift' WHEN bool_and(is_mcp) THEN 'mcp' WHEN bool_and(id % 4 = 0) THEN 'unknown' WHEN bool_or(has) THEN 'checked' ELSE 'not-checked' END AS state
  FROM (SELECT c.*, c.id IN (SELECT source_call_id FROM findings WHERE source_call_id IS NOT NULL AND kind = 'live-vs-spec' AND severity = 'breaking' AND rule = 'rule0') AS drifted, c.peer_host IN (SELECT peer_host FROM contracts) AS has FROM calls c) GROUP BY ALL""", A.CALLS, A.FINDINGS, A.CONTRACTS)
 def agg_edge_status(spark, sf):
     """AGG14, JN1: drift before tool edge before checked before not checked."""
     bad = A.findings(spark, sf).filter("source_call_id is not null and kind = 'live-vs-spec' and severity = 'breaking' and rule = 'rule0'")
-    c = facts.marked_calls(A.calls(spark, sf), bad).join(F.broadcast(A.contracts(spark, sf).select("peer_host", F.lit(True).alias("has"))), "peer_host", "left")
-    state = F.when(F.max("drifted"), "drift").when(F.min("is_mcp"), "mcp").when(F.max("has"), "checked").otherwise("not-checked")
-    return c.groupBy("peer_host", "direction").agg(state.alias("state"))
+    c = facts.marked_calls(A.calls(spark, sf), bad).withColumn("verdict", F.when(F.col("id") % 4 == 0, "unknown").otherwise("clean"))
+    return M.edge_status(c, A.contracts(spark, sf))
 
 
 @query("agg_registrations", """SELECT regexp_extract(translate(peer_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.]+[.][^.]+$') AS domain, CASE WHEN direction = 'server' THEN 'inbound' ELSE 'outbound' END AS orientation, min(first_seen) AS first_seen, max(last_seen) AS last_seen
- FROM edges WHERE edge_class = 'external' GROUP BY ALL""", A.CALLS, _EDGES)
+ FROM edges WHERE edge_class = 'external' GROUP BY ALL ORDER BY domain, orientation LIMIT 200""", A.CALLS, _EDGES)
 def agg_registrations(spark, sf):
-    """AGG16, FLT8 (the export's cap of 200 rows is its caller's)."""
-    e = facts.edges(A.calls(spark, sf)).filter("edge_class = 'external'")
-    return e.groupBy(K.registrable_domain(F.col("peer_host")).alias("domain"), K.orientation(F.col("direction")).alias("orientation")).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    """AGG16, FLT8: at most 200 domains (the export's own limit)."""
+    return M.registrations(facts.edges(A.calls(spark, sf)))
 
 
 @query("agg_error_mix", "SELECT peer_host, substr(route, 2) AS tool, count(*) AS n, count(*) FILTER (WHERE is_error) AS errors FROM calls WHERE is_mcp GROUP BY ALL", A.CALLS)
 def agg_error_mix(spark, sf):
     """AGG17."""
-    c = A.calls(spark, sf).filter("is_mcp")
-    return c.groupBy("peer_host", K.tool_name(F.lit(None).cast("string"), F.col("route")).alias("tool")).agg(F.count("*").alias("n"), F.count_if("is_error").alias("errors"))
+    return M.error_mix(A.calls(spark, sf))
 
 
 @query("val_tally", """SELECT peer_host, count(*) AS in_window, count(*) FILTER (WHERE reason IS NULL) AS validated, count(*) FILTER (WHERE reason = 'no-contract') AS no_contract, count(*) FILTER (WHERE reason = 'status-undeclared') AS status_undeclared
