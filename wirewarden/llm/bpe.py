@@ -180,6 +180,14 @@ def encode_words(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
     return np.split(symbol[alive], np.cumsum(counts)[:-1])
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -210,7 +218,7 @@ class Encoder:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if text.isascii():
+        if text.isascii() or _is_latin(text):  # nothing here to compose, and no letter of a newer version
             return self.pattern.findall(text.lower())
         text = "".join(unicodedata.normalize("NFC", part) for part in _NEW_MARK.split(text)) if _NEW_MARK.search(text) else unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower().translate(_SMALL)  # lower case letter by letter
