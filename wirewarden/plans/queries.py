@@ -152,7 +152,8 @@ def red_ssn_sql(spark, sf):
  lambda r: list_sum(list_transform(range(1, length(r) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(r), i, 1) AS INT) ELSE CAST(substr(reverse(r), i, 1) AS INT) * 2 - CASE WHEN CAST(substr(reverse(r), i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0) AS pans FROM documents) WHERE len(pans) > 0""")
 def red_pan_sql(spark, sf):
     """RED3 for bare runs: Luhn with higher-order functions."""
-    return A.table(spark, sf, "documents").select("doc_id", F.size(R.pan_digits(F.col("text"))).alias("n_pans")).filter("n_pans > 0")
+    d = A.table(spark, sf, "documents").filter(F.col("text").rlike("[0-9]{13}"))
+    return d.select("doc_id", F.size(R.pan_digits(F.col("text"))).alias("n_pans")).filter("n_pans > 0")
 
 
 # --- facts -----------------------------------------------------------------------------------------------------------
