@@ -2,8 +2,8 @@
 
 The distinct new words of a batch are laid out one after the other. An index maps each pair of neighbouring symbols that has
 a merge rank to all its positions; the active ranks are applied in ascending order, each to all of its positions at
-once, and only the lists of the pairs to the left and right of a merge are updated. A worker keeps a bounded table of the words it has
-encoded, so that a text costs one look-up a word. Texts are never shuffled.
+once, and only the lists of the pairs to the left and right of a merge are updated. A worker keeps the ids of the chunks it has met in a
+bounded table (`WordTable`), so that only chunks that are new to it reach the index. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirewarden.llm.common import per_batch
+from wirewarden.llm.word_table import WordTable, gather, portions
 
 #: A worker forgets its words beyond this many.
 MAX_CACHED_WORDS = 250_000
@@ -188,11 +188,23 @@ def _is_latin(text: str) -> bool:
     return True
 
 
+class _Decoded(dict):
+    """The decoding of each word, made when it is asked for."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> str:
+        self[word] = self.encoder._decode(np.frombuffer(self.encoder.ids[word], dtype="<u4").tolist())
+        return self[word]
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, str] = {}
+        self.decoded = _Decoded(self)
         self.pattern = regex.compile(_pattern(r"\p{L}", r"\p{N}"))
         #: Code points about which `regex` and the tokenizer disagree: texts that hold one go by a slower pattern.
         self.other = re.compile(f"[{vocabulary.other}]") if vocabulary.other else None
@@ -202,7 +214,7 @@ class Encoder:
 
     def _remember_special(self) -> None:
         for token, i in self.vocabulary.special.items():
-            self.ids["\0" + token], self.decoded["\0" + token] = i.to_bytes(4, "little"), self._decode([i])
+            self.ids["\0" + token] = i.to_bytes(4, "little")
 
     def _decode(self, ids) -> str:
         """Tokens joined by a space: the tokenizer has no decoder of its own."""
@@ -235,7 +247,30 @@ class Encoder:
         if new:
             for w, ids in zip(new, encode_words([w.encode() for w in new], self.vocabulary), strict=True):
                 self.ids[w] = ids.astype("<u4").tobytes()
-                self.decoded[w] = self._decode(ids.tolist())
+
+    def chunk_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of chunks one after the other, and how many each has."""
+        pieces = [self.pieces(c.decode()) for c in chunks]
+        self.learn(set().union(*pieces))
+        ids = [b"".join([self.ids[w] for w in own]) for own in pieces]
+        return np.frombuffer(b"".join(ids), dtype="<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
+
+
+class _Worker:
+    """What a Python worker keeps from task to task."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.table = WordTable(Encoder(vocabulary).chunk_ids)
+        text = [vocabulary.token.get(i, "").encode() + b" " for i in range(max(vocabulary.token) + 1)]
+        self.text, self.length = np.frombuffer(b"".join(text), dtype=np.uint8), np.array([len(t) for t in text])
+        self.start = np.cumsum(self.length) - self.length
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The tokens joined by a space: the tokenizer has no decoder of its own."""
+        return gather(self.text, self.start[ids], self.length[ids])[:-1].tobytes()
+
+
+_workers: dict[str, _Worker] = {}
 
 
 def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", with_values: bool = False) -> DataFrame:
@@ -249,25 +284,24 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
-    def make():
-        encoder = Encoder(vocabulary.value)
-
-        def step(b):
-            for lo in range(0, b.num_rows, 1500):
-                part = b.slice(lo, 1500)
-                texts = [encoder.pieces(t) if t else [] for t in part.column("_text").to_pylist()]
-                encoder.learn(set().union(*texts))
-                ids = [b"".join([encoder.ids[w] for w in words]) for words in texts]
-                decoded = [" ".join([encoder.decoded[w] for w in words]) for words in texts]
+    def run(batches):
+        if path not in _workers:
+            _workers.clear()
+            _workers[path] = _Worker(vocabulary.value)
+        worker = _workers[path]
+        for batch in batches:
+            for lo, hi in portions(batch.column("_text")):
+                part = batch.slice(lo, hi - lo)
+                every, bounds = worker.table.encode(part.column("_text"))
+                ids = [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                decoded = [worker.decoded(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
-                    pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) if with_values else None for x in ids], pa.list_(pa.int32())),
-                    pa.array(decoded if with_values else [None] * len(ids), pa.string()),
+                    part.column("_id"), pa.array(np.diff(bounds), pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+                    pa.array([x.astype(np.int32) if with_values else None for x in ids], pa.list_(pa.int32())),
+                    pa.array([x.decode() if with_values else None for x in decoded], pa.string()),
                 ], ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
-        return step
-
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    out = source.mapInArrow(per_batch(make), "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
+    out = source.mapInArrow(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
     return out.withColumnRenamed("_id", id_col)

@@ -81,6 +81,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 PIECE = 1 << 17
 _IS_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_CUTS = np.array([0 if b >= 128 or _IS_SPACE[b] else 1 if chr(b).isalpha() else 3 if b == 0x27 else 2 for b in range(256)], dtype=np.uint8)
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
@@ -90,10 +91,11 @@ class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a string column: 64-bit hashes and byte positions of all rows one after the other.
 
     Row r has words bounds[r] .. bounds[r + 1]; a null row has none. With lower, A-Z count as a-z; with bare
-    accented Latin letters do not differ by case either, and ASCII punctuation parts words too.
+    accented Latin letters do not differ by case either, and ASCII punctuation parts words too. With cut a new word also starts where ASCII
+    letters and other ASCII characters meet, but not after an apostrophe.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False, bare: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, bare: bool = False, cut: bool = False):
         column = column.cast(pa.large_binary())
         n = len(column)
         _, offsets, data = column.buffers()
@@ -110,6 +112,10 @@ class Words:
             space = self.parts[part]
             word = np.concatenate([[False], ~space, [False]])
             first, last = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
+            if cut:
+                kind = _CUTS[part]
+                at = np.flatnonzero(((kind[:-1] == 1) & (kind[1:] >= 2)) | ((kind[:-1] == 2) & (kind[1:] == 1)))
+                first[at + 1], last[at] = True, True
             inner = breaks[np.searchsorted(breaks, lo, side="right") : np.searchsorted(breaks, hi)] - lo
             first[inner] = ~space[inner]
             last[inner - 1] = ~space[inner - 1]

@@ -13,6 +13,7 @@ from wirewarden.llm.bpe import encode_decode
 from wirewarden.llm.common import read, remainder
 from wirewarden.llm.decontaminate import find_leaks
 from wirewarden.llm.jaccard_join import jaccard_components
+from wirewarden.llm.packing import pack_documents
 from wirewarden.llm.substring_dedup import remove_duplicates
 
 
@@ -65,6 +66,10 @@ def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_genetic_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -76,5 +81,6 @@ QUERIES = {
     "op8_hash_prefix_forest": op8_hash_prefix_forest,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_genetic_packing": op11_genetic_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle(URL_RULES), "op4_license_scan": license_scan.oracle()}
