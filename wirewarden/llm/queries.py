@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirewarden.llm import language_id, license_scan, quality, url_filter
+from wirewarden.llm import language_id, license_scan, manifest, quality, url_filter
 from wirewarden.llm.ann_forest import nearest
 from wirewarden.llm.bloom_lm import score, split
 from wirewarden.llm.bpe import encode_decode
@@ -15,6 +15,7 @@ from wirewarden.llm.decontaminate import find_leaks
 from wirewarden.llm.jaccard_join import jaccard_components
 from wirewarden.llm.packing import pack_documents
 from wirewarden.llm.substring_dedup import remove_duplicates
+from wirewarden.llm.whitening import whiten
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,14 @@ def op11_genetic_packing(spark: SparkSession, sf_dir: str, path: str | None = No
     return pack_documents(read(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(read(spark, sf_dir, "documents"))
+
+
+def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -82,5 +91,7 @@ QUERIES = {
     "op9_bloom_lm": op9_bloom_lm,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_genetic_packing": op11_genetic_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lanczos_whitening": op13_lanczos_whitening,
 }
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle(URL_RULES), "op4_license_scan": license_scan.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle(URL_RULES), "op4_license_scan": license_scan.oracle(), "op12_merkle_manifest": manifest.oracle()}
