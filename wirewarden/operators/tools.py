@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from wirewarden.functions.keys import finding_signature
 from wirewarden.operators.history import as_of, valid_ranges, versions
-from wirewarden.operators.validation import rule_of, validate
+from wirewarden.operators.validation import assess, rule_of, validate
 
 #: Argument names of a dispatcher call that are tried in this order where the adapter names none.
 NAME_ARGUMENTS, VALUE_ARGUMENTS = ("name", "tool"), ("arguments", "args")
@@ -132,8 +132,8 @@ def judge_calls(calls: DataFrame, listings: DataFrame, tools: DataFrame, learned
     gates = (F.when(~inner & F.col("hash").isNull(), "no-contract").when(~found | (text("judged_tool") == ""), "tool-not-listed").when(waiting, "input-required")
              .when(F.col("output_schema").isNull(), "no-output-contract").when(F.col("is_error"), "error-result").when(text("task_id") != "", "task-handle")
              .when((text("response_body") == "") | F.col("response_truncated") | ~is_json, "result-not-json"))
-    j = j.withColumn("_gate", gates).withColumn("result_violations", F.when(F.col("_gate").isNull(), validate("response_body", "output_schema")))
-    reason = F.coalesce("_gate", F.when(F.col("result_violations").isNull(), "result-not-json"))
+    j = j.withColumn("_gate", gates).withColumn("_found", assess(F.when(F.col("_gate").isNull(), F.col("response_body")), "output_schema")).withColumn("result_violations", F.col("_found.violations"))
+    reason = F.coalesce("_gate", F.when(~F.col("_found.applicable"), "validator-error").when(F.col("result_violations").isNull(), "result-not-json"))
     verdict = F.when(reason.isNotNull(), "not-validated").when(F.size("result_violations") > 0, "drifted").otherwise("clean")
     return j.withColumns({"reason": reason, "verdict": verdict}).select(
         *[c for c in calls.columns if c not in ("_inner", "_asked", "request_body")], "judged_tool", "via", "source", "reason", "verdict", "argument_violations", "result_violations")

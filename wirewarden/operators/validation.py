@@ -3,151 +3,49 @@
 from __future__ import annotations
 
 import json
-import re
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wirewarden.functions.schemas import read_schema, violations  # noqa: F401  part of this module's interface
+
 VIOLATIONS = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("pointer", "keyword", "expected", "actual")]))
-_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-
-
-def _is(value, kind: str) -> bool:
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kind == "number":
-        return number
-    if kind == "integer":
-        return number and float(value).is_integer()
-    return isinstance(value, _TYPES.get(kind, ())) and not (kind != "boolean" and isinstance(value, bool))
-
-
-def type_name(value) -> str:
-    return next((k for k in ("boolean", "null", "string", "array", "object", "integer") if _is(value, k)), "number")
-
-
-def same(a, b) -> bool:
-    """Equal as JSON: numbers by value, and no boolean is a number."""
-    if isinstance(a, bool) or isinstance(b, bool) or a is None or b is None:
-        return a is b
-    if isinstance(a, list) and isinstance(b, list):
-        return len(a) == len(b) and all(map(same, a, b))
-    if isinstance(a, dict) and isinstance(b, dict):
-        return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
-    return a == b
-
-
-#: Formats that are checked; text of another format is not judged.
-_FORMATS = {
-    "date": re.compile(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])"), "date-time": re.compile(r"\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})"),
-    "uuid": re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), "email": re.compile(r"[^@\s]+@[^@\s]+"), "ipv4": re.compile(r"(\d{1,3}\.){3}\d{1,3}"),
-}
-
-
-def violations(value, schema, pointer: str = "") -> list[tuple[str, str, str, str]]:
-    """All violations (pointer, keyword, expected, actual), in the order of the document."""
-    if schema is False or not isinstance(schema, dict):
-        return [(pointer, "not", "nothing", type_name(value))] if schema is False else []
-    kinds = schema.get("type")
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    if schema.get("nullable") and kinds:
-        kinds = [*kinds, "null"]
-    if kinds and not any(_is(value, k) for k in kinds):
-        return [(pointer, "type", "|".join(kinds), type_name(value))]
-    out = []
-    fail = lambda keyword, expected, actual="": out.append((pointer, keyword, str(expected), str(actual)))
-    if isinstance(schema.get("enum"), list) and not any(same(value, x) for x in schema["enum"]):
-        fail("enum", json.dumps(schema["enum"], ensure_ascii=False), json.dumps(value, ensure_ascii=False))
-    if "const" in schema and not same(value, schema["const"]):
-        fail("const", json.dumps(schema["const"], ensure_ascii=False), json.dumps(value, ensure_ascii=False))
-    step_of = schema.get("multipleOf")
-    if _is(step_of, "number") and step_of > 0 and _is(value, "number") and Decimal(str(value)) % Decimal(str(step_of)) != 0:
-        fail("multipleOf", step_of, value)
-    if isinstance(value, str) and (form := _FORMATS.get(schema.get("format"))) and not form.fullmatch(value):
-        fail("format", schema["format"], value)
-    if schema.get("uniqueItems") is True and isinstance(value, list) and any(same(a, b) for k, a in enumerate(value) for b in value[:k]):
-        fail("uniqueItems", "unique", len(value))
-    limits = {"minimum": lambda v, m: v >= m, "maximum": lambda v, m: v <= m, "exclusiveMinimum": lambda v, m: v > m, "exclusiveMaximum": lambda v, m: v < m}
-    sizes = {"minLength": (str, lambda n, m: n >= m), "maxLength": (str, lambda n, m: n <= m), "minItems": (list, lambda n, m: n >= m), "maxItems": (list, lambda n, m: n <= m),
-             "minProperties": (dict, lambda n, m: n >= m), "maxProperties": (dict, lambda n, m: n <= m)}
-    for keyword, ok in limits.items():
-        if _is(schema.get(keyword), "number") and _is(value, "number") and not ok(value, schema[keyword]):
-            fail(keyword, schema[keyword], value)
-    for keyword, (kind, ok) in sizes.items():
-        if _is(schema.get(keyword), "number") and isinstance(value, kind) and not ok(len(value), schema[keyword]):
-            fail(keyword, schema[keyword], len(value))
-    if "pattern" in schema and isinstance(value, str) and not re.search(schema["pattern"], value):
-        fail("pattern", schema["pattern"], value)
-    for keyword, good in (("oneOf", lambda n, _: n == 1), ("anyOf", lambda n, _: n > 0), ("allOf", lambda n, m: n == m)):
-        if isinstance(schema.get(keyword), list):
-            fitting = sum(not violations(value, own, pointer) for own in schema[keyword])
-            if not good(fitting, len(schema[keyword])):
-                fail(keyword, len(schema[keyword]), fitting)
-    if "not" in schema and not violations(value, schema["not"], pointer):
-        fail("not", "no match")
-    if isinstance(value, dict):
-        known, patterns = schema.get("properties") or {}, {p: own for p, own in (schema.get("patternProperties") or {}).items()}
-        step = lambda name: f"{pointer}/{name.replace('~', '~0').replace('/', '~1')}"
-        out += [(step(name), "required", "present", "missing") for name in schema.get("required") or [] if name not in value]
-        for name, own in value.items():
-            matching = [r for p, r in patterns.items() if re.search(p, name)]
-            for r in matching:
-                out += violations(own, r, step(name))
-            rule = known.get(name, True if matching else schema.get("additionalProperties", True))
-            if name not in known and rule is False:
-                out.append((step(name), "additionalProperties", "absent", type_name(own)))
-            else:
-                out += violations(own, rule, step(name))
-    if isinstance(value, list) and isinstance(schema.get("items"), (dict, bool)):
-        for k, own in enumerate(value):
-            out += violations(own, schema["items"], f"{pointer}/{k}")
-    return out
-
-
-def _read_schema(text: str):
-    """A schema, or None if it is no JSON, no schema, or holds a pattern that is no regular expression here."""
-    try:
-        schema = json.loads(text)
-        ahead = [schema]
-        while ahead:
-            node = ahead.pop()
-            if isinstance(node, dict):
-                for p in [*([node["pattern"]] if isinstance(node.get("pattern"), str) else []), *(node.get("patternProperties") or {})]:
-                    re.compile(p)
-                ahead += node.values()
-            elif isinstance(node, list):
-                ahead += node
-    except (ValueError, RecursionError, re.error, TypeError):
-        return None
-    return schema if isinstance(schema, (dict, bool)) else None
-
-
-@F.pandas_udf(VIOLATIONS)
-def validate(bodies: pd.Series, schemas: pd.Series) -> pd.Series:
-    """VAL1: all violations of a JSON body; null if it is no JSON, or there is no schema or none that can be applied. A schema is read, and a body
-    judged by it, once a batch."""
-    parsed = {text: own for text in schemas.dropna().unique() if (own := _read_schema(text)) is not None}
+ASSESSED = T.StructType([T.StructField("applicable", T.BooleanType()), T.StructField("violations", VIOLATIONS)])
+
+
+@F.pandas_udf(ASSESSED)
+def assess(bodies: pd.Series, schemas: pd.Series) -> pd.DataFrame:
+    """VAL1: applicable (null: no schema or no body; false: the schema cannot be applied, or not to this body) and all violations of a JSON body (null if it is no
+    JSON or the schema is not applicable). A schema is read, and a body judged by it, once a batch."""
+    parsed = {text: read_schema(text) for text in schemas.dropna().unique()}
     known: dict = {}
 
     def one(body, schema):
-        if body is None or schema not in parsed:
-            return None
+        if body is None or schema is None:
+            return None, None
+        if parsed[schema] is None:
+            return False, None
         if (body, schema) not in known:
             try:
-                known[body, schema] = [dict(zip(("pointer", "keyword", "expected", "actual"), v, strict=True)) for v in violations(json.loads(body), parsed[schema])]
-            except (ValueError, RecursionError, TypeError, ArithmeticError):
-                known[body, schema] = None
+                value = json.loads(body)
+            except (ValueError, RecursionError):
+                known[body, schema] = True, None
+            else:
+                try:
+                    known[body, schema] = True, [dict(zip(("pointer", "keyword", "expected", "actual"), v, strict=True)) for v in parsed[schema].violations(value)]
+                except (ValueError, RecursionError, TypeError, ArithmeticError):
+                    known[body, schema] = False, None
         return known[body, schema]
 
-    return pd.Series([one(b, s) for b, s in zip(bodies, schemas, strict=True)], dtype=object)
+    found = [one(b, s) for b, s in zip(bodies, schemas, strict=True)]
+    return pd.DataFrame({"applicable": pd.Series([x for x, _ in found], dtype=object), "violations": pd.Series([x for _, x in found], dtype=object)})
 
 
-@F.pandas_udf(T.BooleanType())
-def is_schema(schemas: pd.Series) -> pd.Series:
-    """Whether a text is a schema that can be applied (null: no text)."""
-    return schemas.map({text: _read_schema(text) is not None for text in schemas.dropna().unique()}).astype(object)
+def validate(body: Column | str, schema: Column | str) -> Column:
+    """VAL1: all violations of a JSON body; null if it is no JSON, or there is no schema or none that can be applied."""
+    return assess(body, schema)["violations"]
 
 
 def template_pattern(template: Column) -> Column:
@@ -211,12 +109,12 @@ def declared_media_type(declared: Column, content_type: Column) -> Column:
 def judge(calls: DataFrame) -> DataFrame:
     """VAL5, VAL7 for routed calls (columns has_contract, template, schema, body): violations, verdict and the first gate that
     kept the call from being judged."""
-    needed = F.col("has_contract") & F.col("template").isNotNull() & F.col("schema").isNotNull() & F.col("body").isNotNull()
-    judged = calls.withColumn("violations", F.when(needed, validate("body", "schema")))
+    needed = F.col("has_contract") & F.col("template").isNotNull()
+    judged = calls.withColumn("_found", assess(F.when(needed, F.col("body")), "schema")).withColumn("violations", F.col("_found.violations"))
     reason = (F.when(~F.col("has_contract"), "no-contract").when(F.col("template").isNull(), "not-routable").when(F.col("schema").isNull(), "no-schema")
-              .when(F.col("body").isNull() | F.col("violations").isNull(), "body-not-decodable"))
+              .when(F.col("body").isNull(), "body-not-decodable").when(~F.col("_found.applicable"), "validator-error").when(F.col("violations").isNull(), "body-not-decodable"))
     verdict = F.when(reason.isNotNull(), "not-validated").when(F.size("violations") > 0, "drifted").otherwise("clean")
-    return judged.withColumn("reason", reason).withColumn("verdict", verdict)
+    return judged.withColumn("reason", reason).withColumn("verdict", verdict).drop("_found")
 
 
 RESPONSES = "map<string, struct<content:map<string,string>,required_headers:array<string>>>"
@@ -245,14 +143,15 @@ def judge_responses(calls: DataFrame) -> DataFrame:
     c = c.withColumn("_mismatch", F.coalesce(F.col("template").isNotNull() & foreign & exact & ~absent, F.lit(False)))
     gate = (F.when(F.col("contract").isNull(), "no-contract").when(F.col("template").isNull(), "not-routable").when(F.col("_mismatch"), None).when(unjudged, "no-schema")
             .when(F.col("_response").isNull(), F.when(F.size("responses") > 0, "status-undeclared").otherwise("no-schema")).when(missing, "response-header-missing")
-            .when(F.size("_names") == 0, "no-schema").when(F.col("_type").isNull(), "media-type-undeclared").when(F.col("_schema").isNull(), "no-schema").when(~is_schema("_schema"), "validator-error"))
+            .when(F.size("_names") == 0, "no-schema").when(F.col("_type").isNull(), "media-type-undeclared").when(F.col("_schema").isNull(), "no-schema"))
     c = c.withColumn("_gate", gate)
-    c = c.withColumn("violations", F.when(F.col("_gate").isNull() & ~F.col("_mismatch"), validate(F.coalesce("body", F.lit("")), "_schema")))
-    reason = F.coalesce("_gate", F.when(~F.col("_mismatch") & F.col("violations").isNull(), "body-not-decodable"))
+    c = c.withColumn("_found", assess(F.when(F.col("_gate").isNull() & ~F.col("_mismatch"), F.coalesce("body", F.lit(""))), "_schema")).withColumn("violations", F.col("_found.violations"))
+    unknown = F.when(~F.col("_found.applicable"), "validator-error").when(F.col("violations").isNull(), "body-not-decodable")
+    reason = F.coalesce("_gate", F.when(~F.col("_mismatch"), unknown))
     verdict = F.when(reason.isNotNull(), "not-validated").when(F.col("_mismatch") | (F.size("violations") > 0), "drifted").otherwise("clean")
     finding = F.when(F.col("_mismatch"), F.struct(F.lit("content-type-mismatch").alias("rule"), F.lit("$.response.headers.content-type").alias("location"),
                                                   F.concat(F.lit("content-type="), F.array_join("_names", "|")).alias("expected"), F.concat(F.lit("content-type="), "content_type").alias("actual")))
-    return c.withColumns({"reason": reason, "verdict": verdict, "media_finding": finding}).drop("_response", "_names", "_type", "_schema", "_mismatch", "_gate")
+    return c.withColumns({"reason": reason, "verdict": verdict, "media_finding": finding}).drop("_response", "_names", "_type", "_schema", "_mismatch", "_gate", "_found")
 
 
 def coverage(calls: DataFrame, contracts: DataFrame) -> DataFrame:
