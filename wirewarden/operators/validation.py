@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirewarden.functions.schemas import read_schema, violations  # noqa: F401  part of this module's interface
+from wirewarden.operators.routing import MAX_BROADCAST, route, template_pattern  # noqa: F401
 
 VIOLATIONS = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("pointer", "keyword", "expected", "actual")]))
 ASSESSED = T.StructType([T.StructField("applicable", T.BooleanType()), T.StructField("violations", VIOLATIONS)])
@@ -48,29 +49,6 @@ def validate(body: Column | str, schema: Column | str) -> Column:
     return assess(body, schema)["violations"]
 
 
-def template_pattern(template: Column) -> Column:
-    """A path template as an anchored regular expression; `{name}` stands for one segment."""
-    quoted = F.regexp_replace(template, r"([.^$*+?()\[\]|\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\{[^/}]*\}", "[^/]+"), F.lit("/?$"))
-
-
-#: Bytes of operations, schemas included, up to which they are broadcast.
-MAX_BROADCAST = 64 << 20
-
-
-def route(calls: DataFrame, operations: DataFrame) -> DataFrame:
-    """JN3: each call with the operation (template) of the contract on its host that fits: the host's operations of the method come as one array by
-    an equi-join, of those with as many segments and a pattern that fits the one with the fewest parameters, then the first template. No operation: null."""
-    count = lambda c: F.size(F.split(F.regexp_replace(c, "/$", ""), "/"))
-    one = F.struct(F.regexp_count("template", F.lit(r"\{")).alias("params"), "template", "schema", count(F.col("template")).alias("n"), template_pattern(F.col("template")).alias("p"))
-    ops = operations.groupBy("peer_host", "method").agg(F.collect_list(one).alias("_ops"))
-    size = operations.agg(F.sum(F.coalesce(F.octet_length("schema"), F.lit(0)) + F.octet_length("template") + 64)).first()[0] or 0
-    met = calls.join(F.broadcast(ops) if size <= MAX_BROADCAST else ops, ["peer_host", "method"], "left")
-    fitting = F.filter("_ops", lambda o: (o["n"] == count(F.col("route"))) & F.regexp_like("route", o["p"]))
-    best = F.array_min(F.transform(fitting, lambda o: F.struct(o["params"].alias("params"), o["template"].alias("template"), o["schema"].alias("schema"))))
-    return met.withColumn("_o", best).select(*calls.columns, F.col("_o.template").alias("template"), F.col("_o.schema").alias("schema"))
-
-
 def bound_contracts(contracts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JN1, JN2: (provider contracts one a host, the self contract, at most one row). contracts: integration, role, format, peer_host, ...; only OpenAPI contracts
     count; of several the one later in listing order, which goes by integration."""
@@ -101,9 +79,14 @@ def media_type(content_type: Column) -> Column:
 
 
 def declared_media_type(declared: Column, content_type: Column) -> Column:
-    """VAL2: verbatim, then type/subtype, then the structured base (+json); null if none is declared. declared: array<string>."""
-    base = F.regexp_replace(media_type(content_type), r"/[^+/]+\+", "/")
-    return F.get(F.filter(F.array(content_type, media_type(content_type), base), lambda t: F.array_contains(declared, t)), 0)
+    """VAL2: the declared name that a media type answers to: verbatim, type/subtype, any subtype, anything, the structured base (+json), then a
+    name that says the same with parameters of its own; null if there is none. declared: array<string>."""
+    bare = media_type(content_type)
+    base = F.regexp_replace(bare, r"/[^+/]+\+", "/")
+    options = F.array(content_type, bare, F.concat(F.substring_index(bare, "/", 1), F.lit("/*")), F.lit("*/*"), base)
+    listed = F.get(F.filter(options, lambda t: F.array_contains(declared, t)), 0)
+    spelled = F.get(F.filter(F.array_sort(declared), lambda d: F.lower(F.trim(F.substring_index(d, ";", 1))).isin(bare, base)), 0)
+    return F.coalesce(listed, spelled)
 
 
 def judge(calls: DataFrame) -> DataFrame:
@@ -202,40 +185,63 @@ def drift_findings(judged: DataFrame, kind: str = "live-vs-spec") -> DataFrame:
                       F.concat_ws("=", "v.keyword", "v.expected").alias("expected"), F.col("v.actual").alias("actual"))
 
 
-def _carried(value, path: list[str]) -> bool:
+#: Fixed value: elements of an array that are looked at for a deprecated field.
+ELEMENTS = 64
+
+
+def _carried(value, path: list[str], elements: int) -> bool:
     if not path:
         return True
     if path[0] == "[]":
-        return isinstance(value, list) and any(_carried(x, path[1:]) for x in value[:64])  # fixed value: elements that are looked at
-    return isinstance(value, dict) and path[0] in value and _carried(value[path[0]], path[1:])
+        return isinstance(value, list) and any(_carried(x, path[1:], elements) for x in value[:elements])
+    return isinstance(value, dict) and path[0] in value and _carried(value[path[0]], path[1:], elements)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def carried_fields(bodies: pd.Series, paths: pd.Series) -> pd.Series:
-    """Those of the paths (dotted, `[]` for the elements of an array) that a JSON body carries."""
+def carried_fields(bodies: Column | str, paths: Column | str, elements: int = ELEMENTS) -> Column:
+    """Those of the paths (dotted, `[]` for the elements of an array, of which the first `elements` are looked at) that a JSON body carries."""
     def one(body, wanted):
+        if wanted is None or not len(wanted):
+            return []
         try:
             value = json.loads(body)
         except (TypeError, ValueError, RecursionError):
             return []
-        return [p for p in wanted if _carried(value, p.replace("[]", ".[]").strip(".").split("."))] if wanted is not None else []
+        return [p for p in wanted if _carried(value, p.replace("[]", ".[]").strip(".").split("."), elements)]
 
-    return pd.Series([one(b, w) for b, w in zip(bodies, paths, strict=True)], dtype=object)
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(bodies_: pd.Series, paths_: pd.Series) -> pd.Series:
+        return pd.Series([one(b, w) for b, w in zip(bodies_, paths_, strict=True)], dtype=object)
 
+    return run(bodies, paths)
 
-def deprecated_usage(calls: DataFrame, operations: DataFrame) -> DataFrame:
-    """VAL11: routed calls that use what is deprecated: a row for the operation, each parameter that was sent and each body field that is carried.
 
-    calls: id, peer_host, method, template, url, path_parameters (array), request_headers (map), request_body. operations: peer_host, method, template, deprecated,
-    sunset, parameters (array<struct<name, place>>, place query, path or header), fields (array of body paths). actual names the sunset date, if there is one.
+def used_deprecations(calls: DataFrame) -> DataFrame:
+    """VAL11: a row (id, method, template, what, name, actual, and peer_host where there is one) for each deprecated thing that a routed call uses: its operation, a parameter that was sent, a
+    field that the request's body carries, or the response's (what: operation, query, path, header, field, response).
+
+    calls: id, method, template, url, request_headers (map), request_body, deprecated, sunset, parameters (array of structs with name, place and perhaps deprecated: of
+    those with the flag only the deprecated ones count), fields (array of body paths); perhaps path_parameters (by default those of the template), and response_fields (by
+    declared status), responses, status and body. actual names the sunset date, if there is one.
     """
-    names = lambda place: F.transform(F.filter(F.coalesce("parameters", F.array().cast("array<struct<name:string,place:string>>")), lambda p: p["place"] == place), lambda p: p["name"])
+    has = set(calls.columns)
+    none = F.array().cast("array<string>")
+    flagged = "deprecated" in calls.schema["parameters"].dataType.elementType.names
+    own = F.coalesce("parameters", F.array().cast(calls.schema["parameters"].dataType))
+    names = lambda place: F.transform(F.filter(own, lambda p: (p["place"] == place) & (p["deprecated"] if flagged else F.lit(True))), lambda p: p["name"])
     query = F.map_keys(F.str_to_map(F.regexp_extract(F.coalesce("url", F.lit("")), r"\?([^#]*)", 1), F.lit("&"), F.lit("=")))
     headers = F.transform(F.map_keys(F.coalesce("request_headers", F.create_map().cast("map<string,string>"))), F.lower)
-    met = calls.filter("template is not null").join(operations, ["peer_host", "method", "template"])
+    on_path = F.coalesce("path_parameters", none) if "path_parameters" in has else F.regexp_extract_all("template", F.lit(r"\{([^/}]*)\}"), 1)
     use = lambda what, found: F.transform(found, lambda n: F.struct(F.lit(what).alias("what"), n.alias("name")))
-    used = F.concat(F.when(F.col("deprecated"), F.array(F.struct(F.lit("operation").alias("what"), F.lit("").alias("name")))).otherwise(F.array().cast("array<struct<what:string,name:string>>")),
-                    use("query", F.array_intersect(names("query"), query)), use("path", F.array_intersect(names("path"), F.coalesce("path_parameters", F.array().cast("array<string>")))),
-                    use("header", F.filter(names("header"), lambda n: F.array_contains(headers, F.lower(n)))), use("field", F.coalesce(carried_fields("request_body", "fields"), F.array().cast("array<string>"))))
-    return met.withColumn("u", F.explode(used)).select("id", "peer_host", "method", "template", F.col("u.what").alias("what"), F.col("u.name").alias("name"),
-                                                       F.when(F.col("sunset").isNotNull(), F.concat(F.lit("sunset="), "sunset")).otherwise("deprecated").alias("actual"))
+    parts = [F.when(F.col("deprecated"), F.array(F.struct(F.lit("operation").alias("what"), F.lit("").alias("name")))).otherwise(F.array().cast("array<struct<what:string,name:string>>")),
+             use("query", F.array_intersect(names("query"), query)), use("path", F.array_intersect(names("path"), on_path)),
+             use("header", F.filter(names("header"), lambda n: F.array_contains(headers, F.lower(n)))), use("field", F.coalesce(carried_fields("request_body", "fields"), none))]
+    if {"response_fields", "responses", "status", "body"} <= has:
+        declared = F.try_element_at("response_fields", response_key(F.col("responses"), F.col("status")))
+        parts.append(use("response", F.coalesce(carried_fields("body", declared), none)))
+    return calls.withColumn("u", F.explode(F.concat(*parts))).select("id", *[c for c in ("peer_host",) if c in has], "method", "template", F.col("u.what").alias("what"), F.col("u.name").alias("name"),
+                                                                     F.when(F.col("sunset").isNotNull(), F.concat(F.lit("sunset="), "sunset")).otherwise("deprecated").alias("actual"))
+
+
+def deprecated_usage(calls: DataFrame, operations: DataFrame) -> DataFrame:
+    """VAL11: `used_deprecations` of calls (peer_host, method, template, ...) that meet their operations (peer_host, method, template, deprecated, sunset, parameters, fields) by a join."""
+    return used_deprecations(calls.filter("template is not null").join(operations, ["peer_host", "method", "template"]))
