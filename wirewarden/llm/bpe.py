@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from wirewarden.llm.word_table import WordTable, gather, portions
 
-#: A worker forgets its words beyond this many.
-MAX_CACHED_WORDS = 250_000
+#: A worker forgets its words beyond this many, and its chunks.
+MAX_CACHED_WORDS, MAX_CHUNKS = 250_000, 1 << 19
 #: What the pre-tokenizer's regular-expression engine means by \\s.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The letters and numbers that Unicode 16.0 has beyond 15.1, and the capitals that Unicode 16.0 and 17.0 have beyond it with their
@@ -253,6 +253,8 @@ class Encoder:
         pieces = [self.pieces(c.decode()) for c in chunks]
         self.learn(set().union(*pieces))
         ids = [b"".join([self.ids[w] for w in own]) for own in pieces]
+        self.ids.clear()  # the table of chunks is what remembers
+        self._remember_special()
         return np.frombuffer(b"".join(ids), dtype="<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
 
 
@@ -260,7 +262,7 @@ class _Worker:
     """What a Python worker keeps from task to task."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.table = WordTable(Encoder(vocabulary).chunk_ids)
+        self.table = WordTable(Encoder(vocabulary).chunk_ids, MAX_CHUNKS)
         text = [vocabulary.token.get(i, "").encode() + b" " for i in range(max(vocabulary.token) + 1)]
         self.text, self.length = np.frombuffer(b"".join(text), dtype=np.uint8), np.array([len(t) for t in text])
         self.start = np.cumsum(self.length) - self.length

@@ -15,7 +15,7 @@ MAX_TOKENS = 1 << 24
 #: Chunks of more bytes are looked up by their bytes and not kept.
 LONG = 64
 #: Bytes of text that are tokenised at once (one text at least).
-TEXT_AT_ONCE = 8 << 20
+TEXT_AT_ONCE = 4 << 20
 
 #: Gives the token ids of distinct chunks one after the other, and how many each has.
 Learn = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -46,7 +46,7 @@ class WordTable:
         self.slots = 1 << 12
         self.keys, self.entry = np.zeros(self.slots, dtype=U64), np.zeros(self.slots, dtype=np.int32)
         self.size, self.used = 0, 0
-        self.start, self.count, self.length = (np.zeros(1 << 11, dtype=np.int64) for _ in range(3))
+        self.start, self.count, self.length = (np.zeros(1 << 11, dtype=np.int32) for _ in range(3))
         self.tokens = np.zeros(1 << 13, dtype=np.uint32)
 
     def _entries(self, key: np.ndarray) -> np.ndarray:
@@ -78,14 +78,14 @@ class WordTable:
         size, used = self.size + len(words), self.used + len(ids)
         grown = lambda a, n: a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
         self.start, self.count, self.length, self.tokens = grown(self.start, size), grown(self.count, size), grown(self.length, size), grown(self.tokens, used)
-        self.start[entries], self.count[entries] = self.used + np.cumsum(counts) - counts, counts
+        self.start[entries], self.count[entries] = self.used + np.cumsum(counts) - counts, counts  # a table is reset long before 2^31 tokens
         self.length[entries] = [len(w) for w in words]
         self.tokens[self.used : used] = ids
         self.size, self.used = size, used
         if 2 * size > self.slots:
             held = np.flatnonzero(self.keys)
             keys, entry = self.keys[held], self.entry[held]
-            self.slots = 1 << (4 * size - 1).bit_length()
+            self.slots = 1 << (3 * size - 1).bit_length()
             self.keys, self.entry = np.zeros(self.slots, dtype=U64), np.zeros(self.slots, dtype=np.int32)
             self._insert(keys, entry)
         self._insert(key[key != 0], entries[key != 0])
@@ -132,8 +132,8 @@ class WordTable:
             entries = self._by_bytes([words.data[words.offsets[r] : words.offsets[r + 1]].tobytes() for r in rows.tolist()])
             places = np.searchsorted(row, rows)
             at, row = np.insert(at, places, entries), np.insert(row, places, rows)
-        counts = self.count[at]
-        ids = gather(self.tokens, self.start[at], counts)
+        counts = self.count[at].astype(np.int64)
+        ids = gather(self.tokens, self.start[at].astype(np.int64), counts)
         ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(counts)])
         return ids, ends[np.searchsorted(row, np.arange(len(column) + 1))]
 
