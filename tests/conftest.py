@@ -14,8 +14,7 @@ def spark(tmp_path_factory):
 
     folder = tmp_path_factory.mktemp("spark")
     session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-               .config("spark.checkpoint.dir", str(folder / "checkpoints")).config("spark.sql.warehouse.dir", str(folder / "warehouse")).config("spark.driver.memory", "2g")
-               .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider").getOrCreate())
+               .config("spark.checkpoint.dir", str(folder / "checkpoints")).config("spark.sql.warehouse.dir", str(folder / "warehouse")).config("spark.driver.memory", "2g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

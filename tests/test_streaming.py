@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from wirewarden.operators import history
@@ -31,7 +34,35 @@ def test_once(spark, tmp_path):
     assert spark.table("once").count() == 30
 
 
+def test_keyed_state_asks_for_its_store(spark, tmp_path):
+    """No setting is needed but the one that the library makes; without it the error says so."""
+    before = spark.conf.get(jobs.STATE_STORE)
+    write(spark, str(tmp_path / "in"))
+    spark.conf.unset(jobs.STATE_STORE)
+    for start in (lambda s: jobs.streamed_rejections(s, "route"), lambda s: jobs.streamed_value_changes(s, "route")):
+        with pytest.raises(ValueError, match="use_state_store"):
+            start(jobs.table_stream(spark, str(tmp_path / "in"), SCHEMA))
+    spark.conf.set(jobs.STATE_STORE, before)
+
+
+def test_streamed_formats_equal_the_batch(spark, tmp_path):
+    rng, rows = random.Random(4), []
+    for i in range(240):
+        for _ in range(rng.choice([1, 1, 1, 2])):
+            rows.append((rng.choice(["a", "b"]), i, i // 3, i, rng.choice(["id:uuid"] * 6 + ["id:numeric"] * 5 + ["enum:lower_case"]) if i % 40 > 9 else "id:uuid"))
+    schema = "path string, call long, at long, seq long, format string"
+    batch = history.value_changes(spark.createDataFrame(rows, schema), "path", stable=3, change=2)
+    jobs.use_state_store(spark)
+    for k in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 80 == k], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        told = jobs.streamed_value_changes(jobs.table_stream(spark, str(tmp_path / "in"), schema, files=100), "path", stable=3, change=2)
+        told.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == sorted(map(tuple, batch.collect())) and len(got) > 3
+
+
 def test_stateful_rejections_equal_the_batch(spark, tmp_path):
+    jobs.use_state_store(spark)
     source = str(tmp_path / "in")
     write(spark, source)
     batch = history.input_rejections(spark.read.schema(SCHEMA).parquet(source).dropDuplicates(["id"]), "route").select("id")

@@ -3,19 +3,42 @@ works inside a range, and what passes from one range to the next is a row for ea
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Cells of equal width in which the range of a time is looked up.
+CELLS = 2048
+#: A key with more rows than this, and than a 10,000th of all, is split by time where it meets versions. There can't be 10,000 such keys.
+HOT_ROWS = 1_000_000
+
+
+def time_slots(df: DataFrame, column: str, parts: int | None = None) -> tuple[Callable[[Column], Column], int]:
+    """(a function that gives the range of a number, how many ranges there are): as many as there are shuffle partitions, about equally filled by the column's numbers, in their
+    order. A range is looked up by the cell that a number lies in, whatever the number of ranges."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = df.stat.approxQuantile(column, [i / parts for i in range(parts + 1)], 0.001) if parts > 1 else []
+    low, high = (found[0], found[-1]) if found else (0.0, 0.0)
+    if not low < high:
+        return lambda c: F.lit(0), 1
+    inner = sorted(set(found[1:-1]))
+    table = [0, *(bisect_left(inner, low + k * (high - low) / CELLS) for k in range(CELLS)), len(inner)]
+    return lambda c: F.coalesce(F.get(F.lit(table), F.width_bucket(c.cast("double"), F.lit(low), F.lit(high), F.lit(CELLS)).cast("int")), F.lit(0)), len(inner) + 1
 
 
 def time_ranges(df: DataFrame, column: str) -> Column:
     """The range (as many as there are shuffle partitions, about equally filled) that a number falls into."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(df.stat.approxQuantile(column, [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
-    return sum(((F.col(column) > F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    return time_slots(df, column)[0](F.col(column))
 
 
-def versions(snapshots: DataFrame, *by: str, order: tuple[str, ...] = ("at", "seq"), content: str = "hash") -> DataFrame:
-    """WIN2: one row for each change of content, with its predecessor's; `version` counts from 1. A hot key's rows are compared in ranges of time; the last
+def versions(snapshots: DataFrame, *by: str, order: tuple[str, ...] = ("at", "seq"), content: str = "hash", numbered: bool = True) -> DataFrame:
+    """WIN2: one row for each change of content, with its predecessor's; `version` counts from 1 (only if numbered). A hot key's rows are compared in ranges of time; the last
     content of a range is carried to the first row of the key's next one."""
     ranged = snapshots.withColumn("_range", time_ranges(snapshots, order[0]))
     inside = Window.partitionBy(*by, "_range").orderBy(*order)
@@ -28,7 +51,8 @@ def versions(snapshots: DataFrame, *by: str, order: tuple[str, ...] = ("at", "se
     joined = near.join(carried, on, "left").select(*[near[c] for c in near.columns], carried["_carried"])
     changed = joined.withColumn("_before", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))).filter(F.col("_before").isNull() | (F.col("_before") != F.col(content)))
     w = Window.partitionBy(*by).orderBy(*order)  # changes only
-    return changed.withColumn("previous", F.col("_before")).withColumn("version", F.row_number().over(w)).drop("_before", "_carried", "_first", "_range")
+    told = changed.withColumn("previous", F.col("_before"))
+    return (told.withColumn("version", F.row_number().over(w)) if numbered else told).drop("_before", "_carried", "_first", "_range")
 
 
 def valid_ranges(changes: DataFrame, *by: str, at: str = "at") -> DataFrame:
@@ -36,14 +60,28 @@ def valid_ranges(changes: DataFrame, *by: str, at: str = "at") -> DataFrame:
     return changes.withColumn("until", F.lead(at).over(Window.partitionBy(*by).orderBy(at, "version")))
 
 
-def as_of(calls: DataFrame, ranges: DataFrame, *by: str, at: str = "at", columns: tuple[str, ...] = ("version",)) -> DataFrame:
+def as_of(calls: DataFrame, ranges: DataFrame, *by: str, at: str = "at", columns: tuple[str, ...] = ("version",), hot_rows: int = HOT_ROWS) -> DataFrame:
     """JN4: each call with the version that held at its time, null before the first. The versions are collapsed first, so this is an
-    equi-join on the key with a range condition; calls are not sorted."""
-    right = ranges.select(*by, F.col("at").alias("_from"), F.col("until").alias("_until"), *columns)
+    equi-join on the key with a range condition; calls are not sorted. The calls of a hot key meet its versions by slot of time too: a version is in each slot
+    that it holds in, so that the key is as many tasks as there are slots, and a call meets the versions of its slot only."""
+    right = ranges.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("at").alias("_from"), F.col("until").alias("_until"), *[F.col(c).alias(f"_v_{c}") for c in columns])
     held = (F.col(at) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
-    keys = [calls[c].eqNullSafe(right[c]) for c in by]
-    joined = calls.join(right, [*keys, held], "left")
-    return joined.select(*[calls[c] for c in calls.columns], *[right[c] for c in columns])
+    keys = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    counts = calls.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    hot = counts.filter(F.col("_rows") > max(hot_rows, total // 10_000)).drop("_rows") if total > hot_rows else None
+    left = calls
+    if hot is not None and hot.head(1):
+        slot, slots = time_slots(calls, at)
+        named = hot.select(*[F.col(f"_by_{c}").alias(f"_hot_{c}") for c in by], F.lit(True).alias("_hot"))
+        left = calls.join(F.broadcast(named), [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in by], "left").withColumn("_slot", F.when(F.col("_hot"), slot(F.col(at))).otherwise(-1))
+        split = right.join(F.broadcast(named), [F.col(f"_by_{c}").eqNullSafe(F.col(f"_hot_{c}")) for c in by], "left")
+        until = F.when(F.col("_until").isNull(), F.lit(slots - 1)).otherwise(slot(F.col("_until")))
+        held_in = F.when(F.col("_hot"), F.sequence(slot(F.col("_from")), until)).otherwise(F.array(F.lit(-1)))
+        right = split.withColumn("_in", F.explode(held_in)).drop("_hot", *[f"_hot_{c}" for c in by])
+        keys.append(F.col("_slot") == F.col("_in"))
+    joined = left.join(right, [*keys, held], "left")
+    return joined.select(*calls.columns, *[F.col(f"_v_{c}").alias(c) for c in columns])
 
 
 def session_listings(listings: DataFrame, enables: DataFrame, *by: str, within: int = 120_000_000) -> DataFrame:
@@ -114,16 +152,60 @@ def value_format(number: Column, text: Column) -> Column:
     for name, least, below, whole in NUMBER_FORMATS:
         fits = (number >= F.lit(least if least is not None else float("-inf"))) & ((number < F.lit(below)) if below is not None else (number <= inf))
         out.append(F.when(fits & ((number == F.floor(number)) if whole else F.lit(True)), name))
-    out += [F.when(text.rlike(f"^(?:{pattern})$"), name) for name, pattern in TEXT_FORMATS]
+    for name, pattern in TEXT_FORMATS:
+        fits = text.rlike(f"^(?:{pattern})$")
+        out.append(F.when(fits & F.try_to_timestamp(text).isNotNull() if name == "timestamp:iso-8601" else fits, name))  # a time that there is
     return F.coalesce(*out)
 
 
+_LEAVES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("number", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("kind", T.StringType())]))
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a name twice")
+    return out
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _leaves(text: str) -> list[dict]:
+    try:
+        ahead = [("", json.loads(text, object_pairs_hook=_once, parse_constant=_no_constant))]
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while ahead:
+        path, value = ahead.pop()
+        below = path + "." if path else ""
+        if isinstance(value, dict):
+            ahead += [(below + name, own) for name, own in value.items()]
+        elif isinstance(value, list):
+            ahead += [(below + "items", own) for own in value]
+        else:
+            kind = "string" if isinstance(value, str) else "none" if value is None or isinstance(value, bool) else "number"
+            out.append({"path": path, "number": float(value) if kind == "number" else None, "text": value if kind == "string" else None, "kind": kind})
+    return out
+
+
+@F.pandas_udf(_LEAVES)
+def _walked(texts: pd.Series) -> pd.Series:
+    return texts.map(_leaves, na_action="ignore")
+
+
 def json_leaves(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
     """WIN7: a row for each scalar of a JSON column: the other columns, path (objects dotted, arrays `.items`), number and text (one of them null, both for
-    true, false and null). Text that is no JSON has no rows. Each level is one explode, scalars pass through; an object or array below `depth` levels is a row of
-    its own with kind `deeper`."""
+    true, false and null) and kind. Text that is no JSON has no rows, nor has an object that names a member twice.
+
+    Texts with at most `depth` opening brackets cannot be deeper and are exploded in the JVM, level by level; the others are walked, whatever their depth.
+    """
     rest = [c for c in df.columns if c != column]
-    rows = df.select(*rest, F.lit("").alias("path"), F.expr(f"try_parse_json(`{column}`)").alias("_v")).filter("_v is not null")
+    openings = F.length(column) - F.length(F.translate(column, "[{", ""))
+    walked = df.filter(openings > depth).select(*rest, F.explode(_walked(column)).alias("_l")).select(*rest, "_l.path", "_l.number", "_l.text", "_l.kind")
+    rows = df.filter(openings <= depth).select(*rest, F.lit("").alias("path"), F.expr(f"try_parse_json(`{column}`)").alias("_v")).filter("_v is not null")
     kind = F.schema_of_variant("_v")
     below = F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise("")
     entry = lambda path, value: F.struct(path.alias("path"), value.alias("_v"))
@@ -132,28 +214,41 @@ def json_leaves(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
         items = F.transform(F.try_variant_get("_v", "$", "array<variant>"), lambda x: entry(F.concat(below, F.lit("items")), x))
         step = F.when(kind.startswith("OBJECT"), members).when(kind.startswith("ARRAY"), items).otherwise(F.array(entry(F.col("path"), F.col("_v"))))
         rows = rows.select(*rest, F.explode(step).alias("_e")).select(*rest, "_e.path", "_e._v")
-    name = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), "deeper").when(kind == "STRING", "string").when(kind.isin("BOOLEAN", "VOID"), "none").otherwise("number")
-    return rows.select(*rest, "path", F.when(name == "number", F.try_variant_get("_v", "$", "double")).alias("number"), F.when(name == "string", F.try_variant_get("_v", "$", "string")).alias("text"), name.alias("kind"))
+    name = F.when(kind == "STRING", "string").when(kind.isin("BOOLEAN", "VOID"), "none").otherwise("number")
+    flat = rows.select(*rest, "path", F.when(name == "number", F.try_variant_get("_v", "$", "double")).alias("number"), F.when(name == "string", F.try_variant_get("_v", "$", "string")).alias("text"), name.alias("kind"))
+    return flat.union(walked)
 
 
 def value_changes(leaves: DataFrame, *by: str, stable: int = 5, change: int = 3) -> DataFrame:
     """WIN6: a format that held for `stable` observations and then gives way to another one of its family for `change` in a row.
 
-    leaves: the key columns, call, at, seq, format (not null). Rows of one call and key with different formats reset the run. Runs
-    are found with two windows over the key (gaps and islands); the source call is the one that completes the run.
+    leaves: the key columns, call, at, seq, format (not null). Rows of one call and key with different formats reset the run; the source call is the one
+    that completes the run. A key's history is cut into ranges of time. Runs are found inside a range; the first and the last run of each
+    range are what is joined up over ranges, and after that only runs long enough to count are looked at, in ranges again.
     """
     per_call = leaves.groupBy(*by, "call", "at", "seq").agg(F.min("format").alias("format"), (F.count_distinct("format") > 1).alias("mixed"))
-    w = Window.partitionBy(*by).orderBy("at", "seq", "call")
-    breaks = F.lag("format").over(w).isNull() | (F.col("format") != F.lag("format").over(w)) | F.col("mixed") | F.lag("mixed").over(w)
-    runs = per_call.withColumn("island", F.sum(breaks.cast("int")).over(w)).filter("not mixed")
-    inside = Window.partitionBy(*by, "island").orderBy("at", "seq", "call")
-    islands = runs.withColumn("_n", F.row_number().over(inside)).groupBy(*by, "island").agg(
-        F.count("*").alias("len"), F.min("format").alias("format"), F.max(F.when(F.col("_n") == change, F.col("call"))).alias("call"))
-    islands = islands.withColumn("family", F.substring_index("format", ":", 1))
-    start = F.min(F.when(F.col("len") >= stable, F.struct("island", "family"))).over(Window.partitionBy(*by))
-    counted = islands.withColumn("_start", start).filter((F.col("island") >= F.col("_start.island")) & (F.col("family") == F.col("_start.family")) & ((F.col("len") >= change) | (F.col("island") == F.col("_start.island"))))
-    before = F.lag("format").over(Window.partitionBy(*by).orderBy("island"))
-    return counted.withColumn("before", before).filter(F.col("before") != F.col("format")).select(*by, "before", F.col("format").alias("after"), "call")
+    ranged = per_call.withColumn("_range", time_ranges(per_call, "at"))
+    inside = Window.partitionBy(*by, "_range").orderBy("at", "seq", "call")
+    breaks = F.lag("format").over(inside).isNull() | (F.col("format") != F.lag("format").over(inside)) | F.col("mixed") | F.lag("mixed").over(inside)
+    rows = ranged.withColumn("_run", F.sum(breaks.cast("int")).over(inside))
+    first = F.row_number().over(Window.partitionBy(*by, "_range", "_run").orderBy("at", "seq", "call"))
+    runs = rows.withColumn("_n", first).groupBy(*by, "_range", "_run").agg(
+        F.count("*").alias("len"), F.min("format").alias("format"), F.max("mixed").alias("mixed"), F.min(F.struct("at", "seq", "call")).alias("start"),
+        F.sort_array(F.collect_list(F.when(F.col("_n") <= change, F.struct("_n", "call")))).alias("_calls"))  # `change` calls at most
+    runs = runs.withColumn("_last", F.col("_run") == F.max("_run").over(Window.partitionBy(*by, "_range"))).withColumn("_calls", F.col("_calls.call"))
+    outer = (F.col("_run") == 1) | F.col("_last")
+    along = Window.partitionBy(*by).orderBy("_range", "_run")  # two rows a range at most
+    follows = F.coalesce((F.col("_run") == 1) & (F.lag("format").over(along) == F.col("format")) & ~F.col("mixed") & ~F.lag("mixed").over(along), F.lit(False))
+    chained = runs.filter(outer).withColumn("_follows", follows).withColumn("_chain", F.sum((~F.col("_follows")).cast("int")).over(along))
+    whole = chained.groupBy(*by, "_chain").agg(
+        F.sum("len").alias("len"), F.min("format").alias("format"), F.max("mixed").alias("mixed"), F.min("start").alias("start"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_range", "_calls"))), lambda x: x["_calls"])).alias("_calls"))
+    columns = [*by, "len", "format", "mixed", "start", F.get("_calls", change - 1).alias("call")]
+    found = runs.filter(~outer).select(*columns).union(whole.select(*columns)).filter(~F.col("mixed") & (F.col("len") >= min(stable, change))).withColumn("family", F.substring_index("format", ":", 1))
+    starts = found.filter(F.col("len") >= stable).groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min(F.struct("start", "family")).alias("_start"))
+    joined = found.join(starts, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    counted = joined.filter((F.col("start") >= F.col("_start.start")) & (F.col("family") == F.col("_start.family")) & ((F.col("len") >= change) | (F.col("start") == F.col("_start.start"))))
+    changes = versions(counted.select(*by, "format", "call", F.col("start.at").alias("at"), F.col("start.seq").alias("seq"), F.col("start.call").alias("_first_call")), *by, order=("at", "seq", "_first_call"), content="format", numbered=False)
+    return changes.filter("previous is not null").select(*by, F.col("previous").alias("before"), F.col("format").alias("after"), "call")
 
 
 def transitions(sweeps: DataFrame, key: str = "key", detail: str = "detail", sweep: str = "sweep") -> DataFrame:

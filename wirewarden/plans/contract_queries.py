@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wirewarden.functions import redaction as R
 from wirewarden.operators import diffs, facts, history, readmodels, validation
 from wirewarden.plans import adapters as A
-from wirewarden.plans.queries import query
+from wirewarden.plans.queries import SQL, query, value_leaves
 from wirewarden.sources import otlp
 from wirewarden.streaming import jobs
 
@@ -158,7 +158,11 @@ def red_records(spark, sf):
 
 
 def _stream_folder(spark, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the one that the cluster names; only a local session may go without that."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("str_call_rate", "SELECT peer_host, direction, at - at % 60000000 AS minute, count(*) AS n_calls FROM calls GROUP BY ALL", A.CALLS)
@@ -185,10 +189,10 @@ def str_ingest(spark, sf):
         routed = validation.route(batch, _operations(spark, sf))
         bound = A.contracts(spark, sf).select("peer_host", F.lit(True).alias("has"))
         j = validation.judge(routed.join(bound, "peer_host", "left").withColumn("has_contract", F.coalesce("has", F.lit(False))))
-        return j.select("id", "seq", "verdict", "reason"), validation.drift_findings(j)
+        return j.select("id", "seq", "day", "verdict", "reason"), validation.drift_findings(j).join(j.select("id", "day"), "id")
 
     for run in (1, 2):
-        jobs.ingest(jobs.table_stream(spark, f"{folder}/in", c.schema, files=1000), folder, f"{folder}/c{run}", judge).awaitTermination()
+        jobs.ingest(jobs.table_stream(spark, f"{folder}/in", c.schema, files=1000), folder, f"{folder}/c{run}", judge, by="day").awaitTermination()
     n = lambda name, what: spark.read.parquet(f"{folder}/{name}").groupBy(what.alias("what")).agg(F.count("*").alias("n"))
     return n("calls", F.concat(F.lit("verdict "), "verdict")).union(n("findings", F.lit("findings"))).union(n("quarantine", F.lit("quarantine")))
 
@@ -197,9 +201,23 @@ def str_ingest(spark, sf):
        A.CALLS, "shaped AS (SELECT *, 'k:' || (length(body) % 3) AS shape FROM calls)")
 def str_rejections(spark, sf):
     """STR5: newly rejected arguments from the state of a stream."""
+    jobs.use_state_store(spark)
     folder, c = _stream_folder(spark, "shapes"), A.calls(spark, sf)
     c = c.select("id", "peer_host", "route", "at", "seq", F.concat(F.lit("k:"), (F.length("body") % 3).cast("string")).alias("shape"), (~F.col("is_error") & (F.col("value") <= 60)).alias("accepted"), (F.col("value") > 60).alias("rejected"))
     c.write.parquet(f"{folder}/in")
     told = jobs.streamed_rejections(jobs.table_stream(spark, f"{folder}/in", c.schema, files=1000), "peer_host", "route")
     told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("id long").parquet(f"{folder}/out")
+
+
+@query("str_value_changes", *SQL["win_value_changes"])
+def str_value_changes(spark, sf):
+    """STR5, WIN6: changed value formats from the state of a stream, which three deliveries in the order of time pass on."""
+    jobs.use_state_store(spark)
+    folder, leaves = _stream_folder(spark, "formats"), value_leaves(spark, sf)
+    slot, slots = history.time_slots(leaves, "at", 3)
+    for k in range(slots):
+        leaves.filter(slot(F.col("at")) == k).write.mode("append").parquet(f"{folder}/in")
+        told = jobs.streamed_value_changes(jobs.table_stream(spark, f"{folder}/in", leaves.schema, files=100_000), "peer_host", "route")
+        told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{folder}/out")

@@ -16,12 +16,15 @@ from wirewarden.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: What each query was registered with, for another query with the same result.
+SQL: dict[str, tuple] = {}
 
 
 def query(name: str, sql: str | None = None, *given: str):
     """Register a query; `given` are the adapters that its SQL starts from."""
     def add(f):
         QUERIES[name] = f
+        SQL[name] = (sql, *given)
         if sql:
             ORACLE_SQL[name] = re.sub(r"\bat\b", '"at"', (f"WITH RECURSIVE {', '.join(given)} " if given else "") + sql)  # a keyword there
         return f
@@ -437,10 +440,13 @@ state AS (SELECT peer_host, route, k, call, format AS run, 1 AS n, CAST(NULL AS
 told AS (SELECT * FROM state WHERE after IS NOT NULL)""")
 def win_value_changes(spark, sf):
     """WIN6, WIN7: formats of a field by (host, route)."""
+    return history.value_changes(value_leaves(spark, sf), "peer_host", "route")
+
+
+def value_leaves(spark, sf):
     c = A.calls(spark, sf)
     number = F.when(F.col("value") > 30, F.floor(F.col("value")) + 1_000_000_000).otherwise(F.floor(F.col("value")) + 1_000_000_000_000).cast("double")
-    leaves = c.select("peer_host", "route", F.col("id").alias("call"), "at", "seq", history.value_format(number, F.lit(None).cast("string")).alias("format"))
-    return history.value_changes(leaves, "peer_host", "route")
+    return c.select("peer_host", "route", F.col("id").alias("call"), "at", "seq", history.value_format(number, F.lit(None).cast("string")).alias("format"))
 
 
 @query("win_transitions", """SELECT coalesce(a.key, b.key) AS key, coalesce(a.sweep, b.sweep + 1) AS sweep, CASE WHEN a.key IS NULL THEN 'cleared' ELSE 'raised' END AS change FROM s a FULL JOIN s b ON a.key = b.key AND a.sweep = b.sweep + 1

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from wirewarden.functions import keys as K
 from wirewarden.operators import diffs, facts, history, status, tools, validation
 from wirewarden.plans import adapters as A
-from wirewarden.plans.queries import query
+from wirewarden.plans.contract_queries import _stream_folder
+from wirewarden.plans.queries import SQL, query
 from wirewarden.sources import otlp
+from wirewarden.streaming import jobs
 
 _VERSIONS = "versions AS (SELECT *, row_number() OVER (PARTITION BY peer_host, direction ORDER BY at, seq) AS version FROM (SELECT *, lag(hash) OVER (PARTITION BY peer_host, direction ORDER BY at, seq) AS previous FROM snapshots) WHERE previous IS NULL OR previous <> hash)"
 
@@ -34,12 +36,19 @@ def _listed(spark, sf):
     return h.join(F.broadcast(rows)).filter((F.col("tool") != "click") | (F.expr("cast(substring(hash, 2) as int)") % 2 == 1))
 
 
+def _adapters(spark):
+    return spark.createDataFrame([("", "run", "dispatch", "", ""), ("", "view", "search", "", "")], "peer_host string, tool string, role string, name_arg string, args_arg string")
+
+
+def _learned(spark, c):
+    taught = F.concat(F.lit('{"found":{"tools":[{"name":"signup","input_schema":{},"output_schema":'), F.lit(_most(70)), F.lit('}]}}'))
+    searches = tools.with_roles(c, _adapters(spark)).withColumn("response_body", F.when(F.col("value") > 60, taught).otherwise(F.lit("[]")))
+    return tools.learned_tools(searches)
+
+
 def _judged(spark, sf):
     c = _tool_calls(spark, sf)
-    adapters = spark.createDataFrame([("", "run", "dispatch", "", ""), ("", "view", "search", "", "")], "peer_host string, tool string, role string, name_arg string, args_arg string")
-    taught = F.concat(F.lit('{"found":{"tools":[{"name":"signup","input_schema":{},"output_schema":'), F.lit(_most(70)), F.lit('}]}}'))
-    searches = tools.with_roles(c, adapters).withColumn("response_body", F.when(F.col("value") > 60, taught).otherwise(F.lit("[]")))
-    return tools.judge_calls(c, A.snapshots(spark, sf), _listed(spark, sf), tools.learned_tools(searches), adapters)
+    return tools.judge_calls(c, A.snapshots(spark, sf), _listed(spark, sf), _learned(spark, c), _adapters(spark))
 
 
 _TOOL_CALLS = """tool_calls AS (SELECT *, substr(route, 2) = 'click' AND id % 3 = 0 AS dispatched, substr(route, 2) AS own, CAST(json_extract(body, '$.k') AS BIGINT) AS k FROM calls WHERE is_mcp),
@@ -57,6 +66,24 @@ def tool_verdicts(spark, sf):
     return _judged(spark, sf).select("id", "judged_tool", "via", "source", "reason", "verdict")
 
 
+@query("str_tool_verdicts", *SQL["tool_verdicts"])
+def str_tool_verdicts(spark, sf):
+    """STR4, STR6, STR7: the same from a stream: calls come in two deliveries, by time, each after the listings and search results of its own time have been added to the tables that a
+    batch reads; both deliveries come twice."""
+    folder, c = _stream_folder(spark, "tools"), _tool_calls(spark, sf)
+    slot, slots = history.time_slots(c, "at", 2)
+    judge = jobs.tool_judge(*(f"{folder}/{t}" for t in ("listings", "tools", "learned")), _adapters(spark))
+    for k in range(slots):
+        own = lambda df: df.filter(slot(F.col("at")) == k)  # noqa: E731, B023
+        for name, rows in (("listings", own(A.snapshots(spark, sf))), ("learned", own(_learned(spark, c))), ("in", own(c))):
+            rows.write.mode("append").parquet(f"{folder}/{name}")
+        if k == 0:
+            _listed(spark, sf).write.parquet(f"{folder}/tools")
+        for run in (1, 2):
+            jobs.ingest(jobs.table_stream(spark, f"{folder}/in", c.schema, files=100_000), folder, f"{folder}/c{run}", judge, accept=lambda batch: batch).awaitTermination()
+    return spark.read.parquet(f"{folder}/calls").select("id", "judged_tool", "via", "source", "reason", "verdict")
+
+
 @query("tool_findings", """SELECT id, judged_tool AS endpoint, 'stale_client' AS kind, 'tool-not-listed' AS rule, '' AS field_path, '$.request' AS location FROM gated WHERE reason = 'tool-not-listed'
  UNION ALL SELECT id, judged_tool, 'stale_client', 'maximum-mismatch', 'k', '$.request.arguments.k' FROM gated WHERE source = 'listing' AND judged_tool = 'view' AND k > 80 AND id % 13 <> 0 AND id % 23 <> 0
  UNION ALL SELECT id, judged_tool, 'output_mismatch', 'maximum-mismatch', 'k', '$.response.structuredContent.k' FROM gated WHERE reason IS NULL AND k > most""", A.CALLS, A.SNAPSHOTS, _VERSIONS, _TOOL_CALLS)

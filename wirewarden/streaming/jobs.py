@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -12,6 +13,21 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from wirewarden.operators.facts import first_arrival, valid_calls
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Streams that this session starts from now on keep their state in RocksDB, which comes with Spark: keyed state of several kinds
+    (`streamed_rejections`, `streamed_value_changes`) needs it, and the default store does not have it."""
+    spark.conf.set(STATE_STORE, ROCKSDB)
+
+
+def _needs_state_store(stream: DataFrame) -> None:
+    if "RocksDB" not in (own := stream.sparkSession.conf.get(STATE_STORE)):
+        raise ValueError(f"{STATE_STORE} is {own}, which cannot hold keyed state of several kinds: call use_state_store(spark), or set a RocksDB provider")
+
+
 def once(stream: DataFrame, *key: str, ingest: str = "ingest_ts", horizon: str = "1 hour") -> DataFrame:
     """STR1: each key once within the re-delivery horizon, on the clock of the ingest column. A batch never forgets; the results are
     the same if nothing is delivered again later than the horizon."""
@@ -31,8 +47,8 @@ def append_new(batch: DataFrame, path: str, *key: str, order: str = "seq", by: s
     rows = first_arrival(batch, *key, order=order if order in batch.columns else key[0])
     try:
         stored = spark.read.parquet(path)
-    except Exception as e:  # the first batch: there is no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:  # the first batch: there is no table yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     else:
         if by is not None:
@@ -42,20 +58,21 @@ def append_new(batch: DataFrame, path: str, *key: str, order: str = "seq", by: s
     (writer if by is None else writer.partitionBy(by)).parquet(path)
 
 
-def ingest(stream: DataFrame, folder: str, checkpoint: str, judge: Callable[[DataFrame], tuple[DataFrame, DataFrame]], accept=valid_calls) -> StreamingQuery:
+def ingest(stream: DataFrame, folder: str, checkpoint: str, judge: Callable[[DataFrame], tuple[DataFrame, DataFrame]], accept=valid_calls, by: str | None = None) -> StreamingQuery:
     """STR3, STR6, STR7, STR8: valid calls are judged once, in the micro-batch that they arrive in, and stored with their findings in
     two tables that can each be appended to again; the rest goes to a quarantine table and blocks nothing.
 
     `judge` gives (calls with verdicts, findings) of a batch; what it reads, such as contracts, is read anew for every
-    batch. Pins, drift flags and counts are joins of the two tables, so the order of arrival does not matter.
+    batch. Pins, drift flags and counts are joins of the two tables, so the order of arrival does not matter. by: see `append_new`; the
+    calls and the findings of `judge` must have the column too, then a batch reads the partitions of its own values only.
     """
     def step(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
         good = accept(batch)
         calls, findings = judge(good)
-        append_new(calls, f"{folder}/calls", "id")
-        append_new(findings, f"{folder}/findings", "id")
-        append_new(batch.join(good.select("id"), "id", "left_anti"), f"{folder}/quarantine", "id")
+        append_new(calls, f"{folder}/calls", "id", by=by)
+        append_new(findings, f"{folder}/findings", "id", by=by)
+        append_new(batch.join(good.select("id"), "id", "left_anti"), f"{folder}/quarantine", "id", by=by)
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -101,11 +118,58 @@ class ShapeProcessor(StatefulProcessor):
 
 
 def streamed_rejections(stream: DataFrame, *by: str, keep_ms: int | None = None) -> DataFrame:
-    """WIN4 as a stateful operator; columns id, at, seq, shape, accepted, rejected."""
+    """WIN4 as a stateful operator; columns id, at, seq, shape, accepted, rejected. See `use_state_store`."""
+    _needs_state_store(stream)
     processor = ShapeProcessor()
     processor.keep_ms = keep_ms
     return stream.groupBy(*by).transformWithStateInPandas(statefulProcessor=processor, outputStructType="id long", outputMode="Append", timeMode="None" if keep_ms is None else "ProcessingTime")
 
 
+class FormatProcessor(StatefulProcessor):
+    """STR5: for a path of a tool's results the run of equal formats that the last call is in, and the format that is established. A key that has not been seen
+    for `keep_ms` milliseconds of processing time starts anew (None: never)."""
+
+    keep_ms: int | None = None
+    stable, change = 5, 3
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "format string, length long", ttlDurationMs=self.keep_ms)
+        self.held = handle.getValueState("held", "format string", ttlDurationMs=self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = pd.concat(list(rows)).sort_values(["at", "seq", "call"])
+        now, length = self.run.get() if self.run.exists() else (None, 0)
+        held = self.held.get()[0] if self.held.exists() else None
+        told = []
+        for (_, _, call), formats in seen.groupby(["at", "seq", "call"], sort=False)["format"].unique().items():
+            if len(formats) > 1:
+                now, length = None, 0
+                continue
+            now, length = (now, length + 1) if formats[0] == now else (formats[0], 1)
+            if held is None:
+                held = now if length >= self.stable else None
+            elif length == self.change and now != held and now.partition(":")[0] == held.partition(":")[0]:
+                told.append((held, now, int(call)))
+                held = now
+        self.run.update((now, length))
+        if held is not None:
+            self.held.update((held,))
+        if told:
+            yield pd.DataFrame([(*key, *t) for t in told], columns=[*self.by, "before", "after", "call"])
+
+    def close(self) -> None:
+        pass
+
+
+def streamed_value_changes(stream: DataFrame, *by: str, stable: int = 5, change: int = 3, keep_ms: int | None = None) -> DataFrame:
+    """WIN6 as a stateful operator: columns by, call, at, seq, format (not null), as `value_changes` takes them; gives by, before, after, call. State is kept for each key of `by`, which
+    should name the path too; what arrives in the order of time gives what the batch gives. See `use_state_store`."""
+    _needs_state_store(stream)
+    processor = FormatProcessor()
+    processor.keep_ms, processor.stable, processor.change, processor.by = keep_ms, stable, change, by
+    schema = ", ".join([*(f"{c} {stream.schema[c].dataType.simpleString()}" for c in by), "before string, after string, call long"])
+    return stream.groupBy(*by).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None" if keep_ms is None else "ProcessingTime")
+
+
 def table_stream(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
