@@ -2,7 +2,7 @@
 
 The distinct new words of a batch are laid out one after the other. An index maps each pair of neighbouring symbols that has
 a merge rank to all its positions; the active ranks are applied in ascending order, each to all of its positions at
-once, and only the lists of the pairs to the left and right of a merge are updated. A worker keeps the ids of the chunks it has met in a
+once, and only the lists of the pairs to the left and right of a merge are updated. A task keeps the ids of the chunks it has met in a
 bounded table (`WordTable`), so that only chunks that are new to it reach the index. Texts are never shuffled.
 """
 
@@ -25,6 +25,8 @@ from wirewarden.llm.word_table import WordTable, gather, portions
 
 #: A worker forgets its words beyond this many, and its chunks.
 MAX_CACHED_WORDS, MAX_CHUNKS = 250_000, 1 << 19
+#: Bytes of text that are tokenised at once (one text at least).
+TEXT_AT_ONCE = 2 << 20
 #: What the pre-tokenizer's regular-expression engine means by \\s.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The letters and numbers that Unicode 16.0 has beyond 15.1, and the capitals that Unicode 16.0 and 17.0 have beyond it with their
@@ -259,7 +261,7 @@ class Encoder:
 
 
 class _Worker:
-    """What a Python worker keeps from task to task."""
+    """What a Python worker keeps from task to task; the table is emptied after each."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.table = WordTable(Encoder(vocabulary).chunk_ids, MAX_CHUNKS)
@@ -292,7 +294,7 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
             _workers[path] = _Worker(vocabulary.value)
         worker = _workers[path]
         for batch in batches:
-            for lo, hi in portions(batch.column("_text")):
+            for lo, hi in portions(batch.column("_text"), TEXT_AT_ONCE):
                 part = batch.slice(lo, hi - lo)
                 every, bounds = worker.table.encode(part.column("_text"))
                 ids = [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -303,6 +305,7 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
                     pa.array([x.astype(np.int32) if with_values else None for x in ids], pa.list_(pa.int32())),
                     pa.array([x.decode() if with_values else None for x in decoded], pa.string()),
                 ], ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+        worker.table.forget()  # a worker that is kept for another stage holds no chunks of this one
 
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     out = source.mapInArrow(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")

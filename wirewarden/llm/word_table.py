@@ -40,9 +40,9 @@ class WordTable:
 
     def __init__(self, learn: Learn, max_chunks: int = MAX_CHUNKS, max_tokens: int = MAX_TOKENS):
         self.learn, self.max_chunks, self.max_tokens = learn, max_chunks, max_tokens
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.slots = 1 << 12
         self.keys, self.entry = np.zeros(self.slots, dtype=U64), np.zeros(self.slots, dtype=np.int32)
         self.size, self.used = 0, 0
@@ -100,7 +100,7 @@ class WordTable:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all rows one after the other, bounds: row r has those from bounds[r] up to bounds[r + 1])."""
         if self.size > self.max_chunks or self.used > self.max_tokens:
-            self._forget()
+            self.forget()
         words = Words(column, lower=True, cut=True)
         marked = np.flatnonzero((words.data[:-1] == 0x3C) & (words.data[1:] == 0x7C)) if len(words.data) > 1 else np.zeros(0, dtype=np.int64)
         rows = np.unique(np.searchsorted(words.offsets, marked, side="right") - 1)
