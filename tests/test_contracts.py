@@ -47,12 +47,26 @@ def test_field_renames_and_enums(spark):
     assert run(obj(branchId=S, k=obj(x=S)), obj(branch_id=S, k=obj(x=I))) == {("input-property-renamed", "input.branchId"), ("input-type-changed", "input.k.x")}
     assert run(obj(chargeId=S), obj(["charge_id"], charge_id=I)) == {("input-optional-property-removed", "input.chargeId"), ("input-required-property-added", "input.charge_id")}
     assert run(obj(itemList=obj(x=S)), obj(item_list=obj(x=I))) == {("input-property-renamed", "input.itemList"), ("input-type-changed", "input.item_list.x")}
+    # a rename inside a renamed field, and one inside that; names that differ by more than case, _ and -; fields without a type
+    assert run(obj(itemList=obj(subItem=obj(colourName=S))), obj(item_list=obj(sub_item=obj(colour_name=I)))) == {
+        ("input-property-renamed", "input.itemList"), ("input-property-renamed", "input.item_list.subItem"), ("input-optional-property-removed", "input.item_list.sub_item.colourName"), ("input-optional-property-added", "input.item_list.sub_item.colour_name")}
+    assert run(obj(itemList=obj(subItem=obj(colourName=S, k=S))), obj(item_list=obj(sub_item=obj(colour_name=S, k=I)))) == {
+        ("input-property-renamed", "input.itemList"), ("input-property-renamed", "input.item_list.subItem"), ("input-property-renamed", "input.item_list.sub_item.colourName"), ("input-type-changed", "input.item_list.sub_item.k")}
+    assert run(obj(list={"type": "array", "items": obj(oneName=S)}), obj(list={"type": "array", "items": obj(one_name=S)})) == {("input-property-renamed", "input.list.items.oneName")}
+    assert run(obj(**{"a.b": S}), obj(ab=S)) == {("input-optional-property-removed", "input.a.b"), ("input-optional-property-added", "input.ab")}
+    assert run(obj(oneName={}), obj(one_name={})) == {("input-optional-property-removed", "input.oneName"), ("input-optional-property-added", "input.one_name")}
     enum = lambda *v: obj(e={"type": "string", "enum": list(v)})
     assert run(enum("a", "b"), enum("a")) == {("input-enum-value-removed", "input.e")}
     assert run(enum("a"), enum("b")) == {("input-enum-value-replaced", "input.e")}
     assert run(obj(t={"type": ["number", "integer"]}), obj(t=N)) == set()
 
 
+def test_what_the_removal_of_an_argument_means(spark):
+    rows = [(pair, v, "o", "", json.dumps(s), None) for pair, later in (("open", obj()), ("closed", obj() | {"additionalProperties": False})) for v, s in (("before", obj(a=S)), ("after", later))]
+    got = {r.pair: r.detail for r in diffs.classify(spark.createDataFrame(rows, "pair string, version string, op string, description string, input_schema string, output_schema string")).collect()}
+    assert "fail validation" in got["closed"] and "not rejected" in got["open"]
+
+
 def test_grades_and_hash(spark):
     assert len({r for r, _, _ in diffs.GRADES}) == 29
     df = spark.createDataFrame([("x", "a", "d", '{"required":["b","a"]}', None), ("y", "a", "d", '{"required":["a","b"]}', None), ("z", "a", "e", '{"required":["a","b"]}', None)], "k string, name string, description string, input_schema string, output_schema string")

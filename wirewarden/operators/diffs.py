@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wirewarden.functions.stored import stored
+
 #: Rule, kind, severity (none: additive, not reported).
 GRADES = (
     ("operation-removed", "catalog", "BREAKING"), ("operation-renamed", "catalog", "BREAKING"), ("catalog-moved-behind-meta-tools", "catalog", "INFO"), ("operation-added", "catalog", None),
@@ -21,7 +23,8 @@ GRADES = (
     ("output-enum-value-added", "output", "WARNING"), ("output-enum-value-replaced", "output", "BREAKING"), ("output-schema-removed", "output", "BREAKING"), ("output-schema-declared", "output", None),
     ("description-changed", "wording", "WARNING"),
 )
-_NODE = "array<struct<path:string,parent:string,name:string,required:boolean,types:array<string>,enum:array<string>>>"
+_NODE = "array<struct<path:string,parent:string,name:string,required:boolean,types:array<string>,enum:array<string>,closed:boolean>>"
+_KEY = ["pair", "op", "side", "path"]
 
 
 def canonical_schema(schema):
@@ -67,7 +70,7 @@ def _nodes(text: str | None, root: str) -> list[dict]:
         if not isinstance(node, dict):
             continue
         kind = node.get("type", [])
-        out.append({"path": path, "parent": parent, "name": name, "required": required, "types": sorted([kind] if isinstance(kind, str) else kind), "enum": sorted(json.dumps(x, ensure_ascii=False) for x in node.get("enum", []))})
+        out.append({"path": path, "parent": parent, "name": name, "required": required, "types": sorted([kind] if isinstance(kind, str) else kind), "enum": sorted(json.dumps(x, ensure_ascii=False) for x in node.get("enum", [])), "closed": node.get("additionalProperties") is False})
         needed = node.get("required") or []
         for key, own in (node.get("properties") or {}).items():
             ahead.append((own, f"{path}.{key}", path, key, key in needed))
@@ -92,7 +95,8 @@ def content_hash(operations: DataFrame, *by: str) -> DataFrame:
 
 
 def normalised_name(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, "[^A-Za-z0-9]", ""))
+    """One name for camel, snake and kebab spellings."""
+    return F.lower(F.regexp_replace(name, "[_-]", ""))
 
 
 def trivial_wording(before: Column, after: Column) -> Column:
@@ -128,16 +132,36 @@ def _paired(rows: DataFrame, keys: list[str], *equal: str) -> DataFrame:
 
 
 def renamed_fields(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Fields that only one side has, matched under one parent by normalised name and types."""
+    """(pair, op, side, parent, old, new): fields that only one side has, of a parent that both have, matched by normalised name and types, of which there must be some."""
     keys = ["pair", "op", "side", "parent"]
-    gone = before.join(after, ["pair", "op", "side", "path"], "left_anti").withColumn("gone", F.lit(True))
-    come = after.join(before, ["pair", "op", "side", "path"], "left_anti").withColumn("gone", F.lit(False))
+    typed = lambda d: d.filter("parent <> '' and size(types) > 0").select(*_KEY, "parent", "name", "types")
+    gone = typed(before).join(after.select(*_KEY), _KEY, "left_anti").withColumn("gone", F.lit(True))
+    come = typed(after).join(before.select(*_KEY), _KEY, "left_anti").withColumn("gone", F.lit(False))
     rows = gone.unionByName(come).withColumn("spelling", normalised_name(F.col("name")))
     return _paired(rows, keys, "spelling", "types")
 
 
+def with_new_names(before: DataFrame, after: DataFrame) -> DataFrame:
+    """DIF6: the older version's nodes at their places in the newer one, with `renamed_from` (the place under the old name, its parents' new ones). Renames are matched level by level:
+    those inside a renamed field are found in the next round, until a round finds none. A round moves what lies under its renames by a join on the renamed place."""
+    older = before.withColumn("renamed_from", F.lit(None).cast("string"))
+    while True:
+        renames = stored(renamed_fields(older, after).select("pair", "op", "side", F.concat_ws(".", "parent", "old").alias("from"), F.concat_ws(".", "parent", "new").alias("to"), F.col("new").alias("_new")))
+        if not renames.head(1):
+            return older
+        # a node meets the renames of its own and its parents' places: at most as many as it is deep
+        places = F.expr("transform(sequence(1, size(split(path, '[.]'))), k -> substring_index(path, '.', k))")
+        at = older.withColumn("_at", F.explode(places))
+        met = at.join(renames.withColumnRenamed("from", "_at"), ["pair", "op", "side", "_at"]).groupBy(*_KEY).agg(F.max_by(F.struct("_at", "to", "_new"), F.length("_at")).alias("_r"))
+        joined = older.join(met, _KEY, "left")
+        moved = lambda c: F.when(F.col("_r").isNull() | ~((F.col(c) == F.col("_r._at")) | F.col(c).startswith(F.concat("_r._at", F.lit(".")))), F.col(c)).otherwise(F.concat("_r.to", F.expr(f"substring({c}, length(_r._at) + 1)")))
+        itself = F.col("path") == F.col("_r._at")
+        older = stored(joined.select("pair", "op", "side", moved("path").alias("path"), moved("parent").alias("parent"), F.when(itself, F.col("_r._new")).otherwise(F.col("name")).alias("name"), "required", "types", "enum", "closed",
+                                     F.when(itself, F.col("path")).otherwise(F.col("renamed_from")).alias("renamed_from")))
+
+
 def classify(operations: DataFrame) -> DataFrame:
-    """DIF5 to DIF10: the graded changes (pair, op, rule, field_path, before, after, kind, severity, reported) between two versions.
+    """DIF5 to DIF10: the graded changes (pair, op, rule, field_path, before, after, detail, kind, severity, reported) between two versions.
 
     operations: pair, version ('before' or 'after'), op, description, input_schema, output_schema (JSON text or null).
     `op` of a change to a renamed operation is its old name. What lies under an added or removed field is not reported;
@@ -166,20 +190,14 @@ def classify(operations: DataFrame) -> DataFrame:
         out = [both.filter(F.col(f"b_{c}_schema").isNotNull() & F.col(f"a_{c}_schema").isNotNull()).select("pair", "op", F.lit(c).alias("side"), F.explode(flattened(c)(f"{s}_{c}_schema")).alias("n")) for c in ("input", "output")]
         return out[0].union(out[1]).select("pair", "op", "side", "n.*")
 
-    before, after = nodes("b"), nodes("a")
-    renames = renamed_fields(before, after).withColumns({"from": F.concat_ws(".", "parent", "old"), "to": F.concat_ws(".", "parent", "new")}).select("pair", "op", "side", "from", "to", "old", "new")
-    # the fields of the older version under their new names
-    fields_of = renames.select(*[F.col(c).alias(f"r_{c}") for c in ("pair", "op", "side")], "from", "to")
-    inside = (F.col("path") == F.col("from")) | F.col("path").startswith(F.concat("from", F.lit(".")))
-    moved = before.join(fields_of, (F.col("pair") == F.col("r_pair")) & (F.col("op") == F.col("r_op")) & (F.col("side") == F.col("r_side")) & inside, "left")
-    onto = lambda c: F.when(F.col(c).startswith(F.col("from")), F.concat(F.col("to"), F.expr(f"substring({c}, length(from) + 1)"))).otherwise(F.col(c))
-    older = moved.select("pair", "op", "side", F.when(F.col("from").isNull(), F.col("path")).otherwise(onto("path")).alias("path"), F.when(F.col("from").isNull() | (F.col("path") == F.col("from")), F.col("parent")).otherwise(onto("parent")).alias("parent"),
-                         "required", "types", "enum", F.when(F.col("path") == F.col("from"), F.col("path")).alias("renamed_from"))
-    key = ["pair", "op", "side", "path"]
+    every = stored(nodes("b").withColumn("_of", F.lit("b")).union(nodes("a").withColumn("_of", F.lit("a"))))  # schemas are flattened once
+    before, after = (every.filter(F.col("_of") == v).drop("_of") for v in "ba")
+    older = with_new_names(before, after)
+    key = _KEY
     o = older.select(*key, F.col("parent").alias("o_parent"), F.col("required").alias("o_required"), F.col("types").alias("o_types"), F.col("enum").alias("o_enum"), "renamed_from", F.lit(True).alias("in_old"))
-    n = after.select(*key, F.col("parent").alias("n_parent"), F.col("required").alias("n_required"), F.col("types").alias("n_types"), F.col("enum").alias("n_enum"), F.lit(True).alias("in_new"))
+    n = after.select(*key, F.col("parent").alias("n_parent"), F.col("required").alias("n_required"), F.col("types").alias("n_types"), F.col("enum").alias("n_enum"), F.col("closed").alias("n_closed"), F.lit(True).alias("in_new"))
     joined = o.join(n, key, "full_outer").withColumn("parent", F.coalesce("o_parent", "n_parent"))
-    shared = joined.filter("in_old and in_new").select("pair", "op", "side", F.col("path").alias("parent")).withColumn("_under", F.lit(True))
+    shared = joined.filter("in_old and in_new").select("pair", "op", "side", F.col("path").alias("parent"), F.col("n_closed").alias("_closed")).withColumn("_under", F.lit(True))
     joined = joined.join(shared, ["pair", "op", "side", "parent"], "left").filter("parent = '' or _under")
     s, is_output = F.col("side"), F.col("side") == "output"
     word = lambda c: F.when(c, "required").otherwise("optional")
@@ -192,8 +210,9 @@ def classify(operations: DataFrame) -> DataFrame:
     fields = joined.withColumn("rule", F.explode(rules)).select(
         "pair", "op", "rule", F.when(F.col("rule").endswith("-renamed"), F.col("renamed_from")).otherwise(F.col("path")).alias("field_path"),
         F.when(F.col("rule").contains("-enum-"), F.to_json(F.array_except("o_enum", "n_enum"))).when(F.col("rule").contains("-type-"), F.to_json("o_types")).when(F.col("rule").endswith("-renamed"), F.col("renamed_from")).alias("before"),
-        F.when(F.col("rule").contains("-enum-"), F.to_json(F.array_except("n_enum", "o_enum"))).when(F.col("rule").contains("-type-"), F.to_json("n_types")).when(F.col("rule").endswith("-renamed"), F.col("path")).alias("after"))
-    return grade(catalog.union(wording).union(declared).union(fields))
+        F.when(F.col("rule").contains("-enum-"), F.to_json(F.array_except("n_enum", "o_enum"))).when(F.col("rule").contains("-type-"), F.to_json("n_types")).when(F.col("rule").endswith("-renamed"), F.col("path")).alias("after"),
+        F.when(F.col("rule") == "input-optional-property-removed", F.when(F.col("_closed"), "callers that still send it fail validation: undeclared properties are forbidden now").otherwise("callers that still send it are not rejected, but it has no declared effect")).alias("detail"))
+    return grade(catalog.union(wording).union(declared).unionByName(fields, allowMissingColumns=True))
 
 
 def moved_behind_meta_tools(changes: DataFrame, listings: DataFrame) -> DataFrame:
@@ -204,7 +223,7 @@ def moved_behind_meta_tools(changes: DataFrame, listings: DataFrame) -> DataFram
     rest = changes.join(hidden, "pair", "left_anti").unionByName(changes.filter("kind <> 'catalog'").join(hidden, "pair", "left_semi"))
     told = changes.filter("kind = 'catalog'").join(hidden, "pair", "left_semi").select("pair").distinct()
     one = grade(told.select("pair", F.lit("").alias("op"), F.lit("catalog-moved-behind-meta-tools").alias("rule"), F.lit("").alias("field_path"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after")))
-    return rest.unionByName(one)
+    return rest.unionByName(one, allowMissingColumns=True)
 
 
 def change_findings(changes: DataFrame, versions: DataFrame) -> DataFrame:

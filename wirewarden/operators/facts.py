@@ -59,11 +59,18 @@ def edge_drift(signatures: DataFrame, calls: DataFrame) -> DataFrame:
 
 def refreshed_evidence(findings: DataFrame) -> DataFrame:
     """AGG4: the evidence that stands after all arrivals of a definition change: it moves on when its hash differs and it is
-    not strictly older than what stands. A fold in order of arrival over the few rows of a signature: columns
-    signature, seq, evidence, evidence_at."""
-    rows = findings.groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("seq", "evidence", "evidence_at"))).alias("r"))
+    not strictly older than what stands. Columns signature, seq, evidence, evidence_at.
+
+    Arrivals that repeat the one before them change nothing: they are dropped in ranges of arrival first, so that a change that is told a hundred million times is
+    a few rows, and only those are folded in order."""
+    from wirewarden.operators.history import versions
+
+    told = findings.withColumn("_told", F.struct("evidence", "evidence_at"))
+    moves = versions(told.select("signature", "seq", "evidence", "evidence_at", "_told"), "signature", order=("seq",), content="_told", numbered=False)
+    rows = moves.groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("seq", "evidence", "evidence_at"))).alias("r"))
     last = F.aggregate("r", F.element_at("r", 1), lambda a, x: F.when((x["evidence"] != a["evidence"]) & (x["evidence_at"] >= a["evidence_at"]), x).otherwise(a))
-    return rows.withColumn("_l", last).select("signature", F.col("_l.evidence").alias("evidence"), F.col("_l.evidence_at").alias("evidence_at"), F.size("r").alias("arrivals"))
+    arrivals = findings.groupBy("signature").agg(F.count("*").cast("int").alias("arrivals"))
+    return rows.withColumn("_l", last).join(arrivals, "signature").select("signature", F.col("_l.evidence").alias("evidence"), F.col("_l.evidence_at").alias("evidence_at"), "arrivals")
 
 
 def calls_since(calls: DataFrame, since: Column) -> DataFrame:
@@ -82,11 +89,12 @@ def rolling_window(calls: DataFrame, max_rows: int, max_bytes: int) -> DataFrame
     A global running sum in two phases: rows are dealt out by ranges of seq, each range is summed, the ranges' sums
     (as many as partitions) are turned into offsets, and the running sum inside a range is added to its offset.
     """
-    parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pinned = calls.filter("pinned").agg(F.count("*").alias("p_rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("p_bytes"), F.max("seq").alias("p_last"))
     newest = calls.agg(F.max("seq").alias("newest"))
-    bounds = calls.filter("not pinned").stat.approxQuantile("seq", [i / parts for i in range(1, parts)], 0.001)
-    ranged = calls.filter("not pinned").withColumn("part", sum((F.col("seq") > F.lit(b)).cast("int") for b in sorted(set(bounds))) if bounds else F.lit(0))
+    from wirewarden.operators.history import time_ranges
+
+    loose = calls.filter("not pinned")
+    ranged = loose.withColumn("part", time_ranges(loose, "seq"))
     totals = ranged.groupBy("part").agg(F.count("*").alias("rows"), F.sum("bytes").alias("size"))
     later = totals.alias("a").join(F.broadcast(totals.alias("b")), F.col("b.part") > F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(
         F.coalesce(F.sum("b.rows"), F.lit(0)).alias("rows_later"), F.coalesce(F.sum("b.size"), F.lit(0)).alias("bytes_later"))

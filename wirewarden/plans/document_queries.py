@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wirewarden.operators import documents
+from wirewarden.operators import documents, version_diff
 from wirewarden.plans import adapters as A
 from wirewarden.plans.queries import query
-from wirewarden.sources.contracts import document_summaries
+from wirewarden.sources.contracts import document_summaries, openapi_operations
 
 
 def _contracts(spark, sf):
@@ -70,3 +70,22 @@ def src_operations(spark, sf):
     ops = documents.openapi_operations(_contracts(spark, sf).select("peer_host", "doc"))
     required = F.array_join(F.flatten(F.transform(F.map_values("responses"), lambda r: r["required_headers"])), ",")
     return ops.select("peer_host", "method", "template", F.array_join("base_paths", ",").alias("bases"), F.array_join(F.array_sort(F.map_keys("responses")), ",").alias("statuses"), required.alias("required"), F.get_json_object("output_schema", "$.properties.k.maximum").cast("long").alias("most"))
+
+
+@query("dif_documents", """SELECT 'p' || p_partkey AS pair, c.kind, c.rule, c.place, c.field_path, c.actual FROM part JOIN (VALUES (1, 'version-diff', 'response-property-type-changed', '200 application/json', 'rows[].size', 'string'), (2, 'version-diff', 'response-property-enum-value-removed', '200 application/json', 'state', '"on"'),
+ (3, 'version-diff', 'request-property-became-required', 'application/json', 'note', ''), (4, 'version-diff', 'response-success-status-removed', '200', '', ''), (5, 'deprecation', 'request-parameter-deprecated', 'header', 'X-Old', 'deprecated'),
+ (6, 'deprecation', 'response-property-deprecated-with-sunset', '200 application/json', 'rows[].size', 'sunset=2031-05-01'), (7, 'version-diff', 'request-property-one-of-removed', 'application/json', 'by/oneOf(Card)', ''), (8, 'version-diff', 'api-removed-without-deprecation', '', '', '')) c(n, kind, rule, place, field_path, actual) ON c.n = p_partkey % 10""")
+def dif_documents(spark, sf):
+    """DIF14: a contract for each part, whose newer version changes one thing by the part's number: breaking ones by direction, announcements, or nothing that counts."""
+    n = F.col("n") % 10
+    both = A.table(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.explode(F.array(F.lit("before"), F.lit("after"))).alias("version_"))
+    now = F.col("version_") == "after"
+    of = lambda k, new, old="": F.when(now & (n == k), new).otherwise(old)
+    size = F.concat(F.lit('{"type":"'), of(1, "string", "integer"), F.lit('"'), of(6, ',"deprecated":true,"x-sunset":"2031-05-01"'), F.lit("}"))
+    doc = F.concat(
+        F.lit('{"paths":{"/x":{"'), of(8, "patch", "put"), F.lit('":{"parameters":[{"name":"X-Old","in":"header"'), of(5, ',"deprecated":true'), F.lit('}],"requestBody":{"content":{"application/json":{"schema":{"type":"object","required":["by"'), of(3, ',"note"'),
+        F.lit('],"properties":{"note":{"type":"string"},"by":{"oneOf":['), of(7, "", '{"$ref":"#/components/schemas/Card"},'), F.lit('{"$ref":"#/components/schemas/Cash"}]}}}}}},"responses":{"'), of(4, "202", "200"),
+        F.lit('":{"content":{"application/json":{"schema":{"$ref":"#/components/schemas/Out"}}}}}}}},"components":{"schemas":{"Card":{"type":"object"},"Cash":{"type":"string"},"Out":{"properties":{"state":{"enum":["on"'), of(2, "", ',"off"'),
+        F.lit(']},"rows":{"type":"array","items":{"properties":{"size":'), size, F.lit('},"note":{"type":"'), of(9, "boolean", "string"), F.lit('"}}}}}}}}'))
+    operations = openapi_operations(both.select(F.concat(F.lit("p"), F.col("n").cast("string")).alias("pair"), "version_", doc.alias("doc"))).drop("version").withColumnRenamed("version_", "version")
+    return version_diff.document_changes(operations).select("pair", "kind", "rule", "place", "field_path", "actual")

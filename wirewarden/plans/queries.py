@@ -12,6 +12,7 @@ from wirewarden.functions import keys as K
 from wirewarden.functions import redaction as R
 from wirewarden.operators import facts, history
 from wirewarden.operators import readmodels as M
+from wirewarden.operators.hosts import registrable_domains
 from wirewarden.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,6 +256,16 @@ def key_domains(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", K.registrable_domain(host).alias("domain"))
 
 
+@query("key_suffix_domains", """SELECT h.page_id, CASE WHEN NOT contains(host, '.') THEN host ELSE (SELECT arg_max(list_aggregate(list_slice(l, greatest(len(l) - k, 1), len(l)), 'string_agg', '.'), k) FROM (SELECT unnest(range(1, len(l) + 1)) AS k) e
+ WHERE k = 1 OR list_aggregate(list_slice(l, len(l) - k + 1, len(l)), 'string_agg', '.') IN (SELECT rule FROM rules)) END AS domain FROM (SELECT page_id, lower(host) AS host, string_split(lower(host), '.') AS l FROM hosts) h""", A.HOSTS,
+       "rules AS (SELECT DISTINCT substr(lower(host), strpos(host, '.') + 1) AS rule FROM hosts WHERE page_id % 3 = 0 AND contains(host, '.'))")
+def key_suffix_domains(spark, sf):
+    """KEY6 by a table of rules: what follows the first label of every third page's host is a suffix."""
+    h = A.hosts(spark, sf)
+    rules = h.filter("page_id % 3 = 0 and contains(host, '.')").select(F.expr("substring(lower(host), instr(host, '.') + 1)").alias("rule")).distinct()
+    return registrable_domains(h.select("page_id", "host"), rules).select("page_id", "domain")
+
+
 @query("set_ordered_listing", "SELECT kind, role, integration, CASE WHEN kind = 'catalogue' THEN 2 WHEN role = 'self' THEN 0 ELSE 1 END AS section FROM (SELECT 'contract' AS kind, CASE WHEN s_suppkey % 7 = 0 THEN 'self' ELSE 'provider' END AS role, s_name AS integration FROM supplier UNION ALL SELECT 'catalogue', NULL, 'm' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)")
 def set_ordered_listing(spark, sf):
     """SET1, SRT4."""
