@@ -52,3 +52,17 @@ def test_exclude(spark):
     kept = C.exclude(docs, spark.range(10, 60).withColumnRenamed("id", "doc_id"), "doc_id")
     assert sorted(r.text for r in kept.collect()) == sorted(f"t{i}" for i in range(200) if not 10 <= i < 60)
     assert C.exclude(docs, spark.range(0).withColumnRenamed("id", "doc_id"), "doc_id").count() == 200
+
+
+def test_released_sets_the_session_back(spark):
+    before = spark.conf.get(C.RELEASE)
+    with pytest.raises(ZeroDivisionError), C.released(spark):
+        assert spark.conf.get(C.RELEASE) == "true"
+        1 / 0  # noqa: B018
+    assert spark.conf.get(C.RELEASE) == before
+
+
+def test_what_is_stored_within_stays_whole(spark):
+    with C.released(spark):
+        kept = C.checkpoint(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    assert kept.agg(F.sum("count")).first()[0] == 1000 and sorted(r.k for r in kept.collect()) == list(range(10))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirewarden.llm.common import U64, Words, build_filter, mix, per_batch, remainder, shared_folder, signed
+from wirewarden.llm.common import U64, Words, build_filter, mix, per_batch, released, remainder, shared_folder, signed
 
 #: Quantisation base, bits for each event, probes for each, and the bound of the filter.
 BASE, BITS, PROBES, FILTER_BYTES = 1.5, 9.0, 5, 64 << 20
@@ -115,7 +115,8 @@ def _rows(keys: str):
 def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df from Parquet files in the cluster's shared folder: columns take a fifth of the space of a checkpoint's rows."""
     path = f"{shared_folder(spark)}/bloom-lm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with released(spark):
+        df.write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -195,15 +196,12 @@ def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BY
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n", "lw", "w"])
 
     both = source.mapInArrow(pairs, "key long, n long, lw int, w long").groupBy("key").agg(F.sum("n").alias("n"), F.max("lw").alias("lw"), F.max("w").alias("w"))
-    spark.sparkContext._jvm.System.gc()  # the shuffle files of what is stored are deleted
     both = _stored(spark, both)
-    spark.sparkContext._jvm.System.gc()
     level = quantise(F.col("n")).alias("level")
     known, rare = both.filter(F.col("w").isNull()).select("key", "n", level, "lw"), None
     if held > MAX_EXACT:
         found = counts.filter(quantise(F.col("n")) < exact_level).select(F.col("key").alias("w"), quantise(F.col("n")).alias("lw"))
         rare = _stored(spark, both.filter(F.col("w").isNotNull()).select("key", "n", level, "w").join(found, "w").select("key", "n", "level", "lw"))
-        spark.sparkContext._jvm.System.gc()
     shapes = []
     for table in [known] if rare is None else [known, rare]:
         shapes.append(table.groupBy("level", "lw").agg(F.sum("n").alias("n"), F.count("*").alias("k")).toPandas())
@@ -222,7 +220,6 @@ def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BY
     best = [float((every["n"].to_numpy(float) * np.log10(own + k * p)).sum() - (first["n"].to_numpy(float) * np.log10(less + k)).sum()) for k in WEIGHTS]
     model = Model(n, v, keys, c, bits, 2 if whole else int(least), WEIGHTS[int(np.argmax(best))])
     rest = (known if rare is None else known.union(rare)).filter(F.col("level") < model.least)
-    spark.sparkContext._jvm.System.gc()
     return model, counts.filter(quantise(F.col("n")) < exact_level), rest.select("key", (F.col("level") * 256 + F.col("lw")).cast("long").alias("levels"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Spark's own setting, off by default: an action's shuffle files are deleted when it has ended.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is planned and run within are deleted as each action ends. For actions that write into the shared folder: what reads their
+    files needs the shuffle no more, whatever executor is lost."""
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
 def remainder(column: str, by: int) -> Column:
     """crc32 of the column as text, modulo `by`."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirewarden.llm.common import (
-    U64, Words, binary, build_filter, checkpoint, distinct, hot_join, id_filter, key_array, mix, per_batch, rolling, signed,
+    U64, Words, binary, build_filter, checkpoint, distinct, hot_join, id_filter, key_array, mix, per_batch, released, rolling, signed,
 )
 
 #: Words of a gram by which windows are represented.
@@ -208,7 +208,8 @@ def duplicate_factors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     grams = source.mapInArrow(_grams(span), "key long, low long, high long")
-    keys = checkpoint(grams.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("key"))
+    with released(spark):
+        keys = checkpoint(grams.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("key"))
     turn, parts = 0, []
     while True:
         shared = spark.sparkContext.broadcast(build_filter(keys, keys.count(), bits_per_event=12, probes=4, max_bytes=filter_bytes))
@@ -218,10 +219,8 @@ def duplicate_factors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                  .select("key", "id", "pos", F.coalesce("ref_id", "first.id").alias("ref_id"), F.coalesce("ref_pos", "first.pos").alias("ref_pos"))
                  .filter("ref_id < id"))
         runs = known.repartition("id").sortWithinPartitions("id", "pos").mapInArrow(_runs(span), "id long, start long, length long, ref_id long, ref_start long")
-        runs = checkpoint(runs.withColumn("place", F.xxhash64("ref_id", "ref_start", "length")))
-        del windows, known, first
-        spark.sparkContext._jvm.System.gc()  # the windows' shuffle files are deleted
-
+        with released(spark):
+            runs = checkpoint(runs.withColumn("place", F.xxhash64("ref_id", "ref_start", "length")))
         places = runs.groupBy("ref_id", "ref_start", "length", "place").agg(F.count("*").alias("_rows"))
         asked = places.groupBy(F.col("ref_id").alias("_id")).agg(F.collect_list(F.struct("place", F.col("ref_start").alias("start"), "length")).alias("places"))
         wanted = spark.sparkContext.broadcast(id_filter(asked, "_id"))
