@@ -89,6 +89,38 @@ def drift_lines(signatures: DataFrame, calls: DataFrame) -> DataFrame:
     return signatures.join(at, "source_call_id").groupBy("peer_host").agg(F.count("*").alias("n_findings"), F.count_distinct("endpoint").alias("endpoints"), F.sum("occurrence_count").alias("occurrences"), F.min("first_seen").alias("earliest"))
 
 
+def service_slices(findings: DataFrame, calls: DataFrame) -> DataFrame:
+    """AGG10: for each tool server and calling service: its calls, the validated ones, and the findings on its line, of which `placed` are output mismatches of a tool that the service
+    had a drifted call of. A mismatch that no call in view places, and every finding of another kind, is on all lines of its server; a server without calls has one
+    line, of the service ''. Findings: peer_host, kind, endpoint (the tool), one row each. calls: peer_host, service_name, tool, drifted, validated.
+
+    Calls are summed up by (server, service, tool) first; findings are counted by (server, tool) and meet only these sums, so that no finding is copied for each service."""
+    used = calls.groupBy("peer_host", F.coalesce("service_name", F.lit("")).alias("service_name"), "tool").agg(
+        F.count("*").alias("n_calls"), F.count_if("validated").alias("validated_calls"), F.coalesce(F.max("drifted"), F.lit(False)).alias("drifted"))
+    lines = used.groupBy("peer_host", "service_name").agg(F.sum("n_calls").alias("n_calls"), F.sum("validated_calls").alias("validated_calls"))
+    told = findings.groupBy("peer_host", "endpoint", (F.col("kind") == "output_mismatch").alias("_mismatch")).agg(F.count("*").alias("_n"))
+    hit = used.filter("drifted").select("peer_host", F.col("tool").alias("endpoint"), "service_name")
+    placed = told.filter("_mismatch").join(hit, ["peer_host", "endpoint"]).groupBy("peer_host", "service_name").agg(F.sum("_n").alias("placed"))
+    known = hit.select("peer_host", "endpoint").distinct().withColumn("_mismatch", F.lit(True))
+    shared = told.join(known, ["peer_host", "endpoint", "_mismatch"], "left_anti").groupBy("peer_host").agg(F.sum("_n").alias("_shared"))
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = lines.join(placed, ["peer_host", "service_name"], "left").join(shared, "peer_host", "full")
+    return out.select("peer_host", F.coalesce("service_name", F.lit("")).alias("service_name"), count("n_calls"), count("validated_calls"), count("placed"), (F.coalesce("placed", F.lit(0)) + F.coalesce("_shared", F.lit(0))).alias("n_findings"))
+
+
+def tool_headlines(findings: DataFrame) -> DataFrame:
+    """AGG19: for each tool server what its line says: output mismatches (their tools, calls and earliest time), else breaking definition changes (their tools; no call is affected yet). A server
+    with neither has no row. A finding without a count is one call. findings: peer_host, kind, rule, severity, endpoint, occurrence_count, first_seen."""
+    breaking = (F.col("kind") == "definition_change") & (F.col("severity") == "breaking") & ~F.col("rule").eqNullSafe("description-changed")
+    says = F.when(F.col("kind") == "output_mismatch", "output-mismatch").when(breaking, "definition-change")
+    calls = F.when(F.coalesce("occurrence_count", F.lit(0)) == 0, 1).otherwise(F.col("occurrence_count"))
+    lines = findings.withColumn("headline", says).filter("headline is not null").groupBy("peer_host", "headline").agg(
+        F.array_sort(F.collect_set("endpoint")).alias("tools"), F.sum(calls).alias("calls"), F.min("first_seen").alias("since"))
+    mismatch = F.col("headline") == "output-mismatch"
+    line = F.struct(mismatch, "headline", "tools", F.when(mismatch, F.col("calls")).alias("calls"), F.when(mismatch, F.col("since")).alias("since"))
+    return lines.groupBy("peer_host").agg(F.max(line).alias("_l")).select("peer_host", "_l.headline", "_l.tools", "_l.calls", "_l.since")
+
+
 def roll_call(calls: DataFrame, contracts: DataFrame) -> DataFrame:
     """AGG12: outbound hosts, those with a contract, tool servers."""
     has = contracts.select("peer_host").distinct().withColumn("has", F.lit(True))

@@ -92,6 +92,15 @@ def search_catalog(learned: DataFrame, most: int = 500) -> DataFrame:
     return latest.groupBy(*EDGE).agg(F.count("*").alias("tools"), F.max("changed_at").alias("changed_at"), F.least(F.count("*"), F.lit(most)).alias("listed")).withColumn("catalogue", F.concat("peer_host", F.lit(":search")))
 
 
+def catalog_tools(learned: DataFrame) -> DataFrame:
+    """WIN3: the tools of the `<key>:search` catalogue of an edge, each with its latest definition and when that last changed; no search that leaves a tool out removes it. All tools are
+    given, `search_catalog` says how many of them a listing holds."""
+    both = F.concat_ws("|", F.coalesce("input_schema", F.lit("")), F.coalesce("output_schema", F.lit("")))
+    runs = versions(learned.withColumn("hash", F.sha2(both, 256)), *EDGE, "tool")
+    last = runs.groupBy(*EDGE, "tool").agg(F.max_by(F.struct("at", "input_schema", "output_schema"), "version").alias("_d"), F.max("version").alias("changes"))
+    return last.select(F.concat("peer_host", F.lit(":search")).alias("catalogue"), *EDGE, "tool", F.col("_d.input_schema").alias("input_schema"), F.col("_d.output_schema").alias("output_schema"), F.col("_d.at").alias("changed_at"), "changes")
+
+
 def judge_calls(calls: DataFrame, listings: DataFrame, tools: DataFrame, learned: DataFrame, adapters: DataFrame | None = None) -> DataFrame:
     """JN4, JN5, JN6, VAL6, VAL7: each tool call with its verdict.
 

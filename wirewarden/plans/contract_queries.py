@@ -140,6 +140,34 @@ def agg_service_slices(spark, sf):
     return A.calls(spark, sf).filter("is_mcp").join(bad, "id", "left").groupBy("peer_host", "service_name").agg(F.count("*").alias("n_calls"), F.count_if("bad").alias("drifted"))
 
 
+_SERVED = """served AS (SELECT s.*, c.peer_host AS host FROM signatures s JOIN calls c ON c.id = s.first_call WHERE c.is_mcp)"""
+_USED = """used AS (SELECT peer_host, service_name, method || ' ' || route AS tool, count(*) AS n, count(*) FILTER (WHERE status = 200) AS ok, bool_or(NOT is_error AND id IN (SELECT source_call_id FROM findings WHERE kind = 'output_mismatch' AND source_call_id IS NOT NULL)) AS drifted
+ FROM calls WHERE is_mcp GROUP BY ALL), placed AS (SELECT signature, service_name FROM served JOIN used ON peer_host = host AND tool = endpoint WHERE drifted AND kind = 'output_mismatch')"""
+
+
+def _served(spark, sf):
+    """Findings of tool servers, one row a signature, with the host of the first call."""
+    at = A.calls(spark, sf).filter("is_mcp").select(F.col("id").alias("source_call_id"), "peer_host")
+    return facts.findings_by_signature(A.findings(spark, sf)).join(at, "source_call_id")
+
+
+@query("agg_service_findings", """SELECT peer_host, service_name, sum(n)::BIGINT AS n_calls, sum(ok)::BIGINT AS validated_calls, (SELECT count(*) FROM placed p JOIN served s USING (signature) WHERE s.host = u.peer_host AND p.service_name = u.service_name) AS placed,
+ (SELECT count(*) FROM served s WHERE s.host = u.peer_host AND (signature NOT IN (SELECT signature FROM placed) OR (signature, u.service_name) IN (SELECT (signature, service_name) FROM placed))) AS n_findings FROM used u GROUP BY ALL""", A.CALLS, A.FINDINGS, A.SIGNATURES, _SERVED, _USED)
+def agg_service_findings(spark, sf):
+    """AGG10: findings on the lines of each tool server's callers; mismatches of failed calls are placed by no call."""
+    bad = A.findings(spark, sf).filter("kind = 'output_mismatch' and source_call_id is not null").select(F.col("source_call_id").alias("id")).distinct().withColumn("bad", F.lit(True))
+    c = A.calls(spark, sf).filter("is_mcp").join(bad, "id", "left")
+    calls = c.select("peer_host", "service_name", F.concat_ws(" ", "method", "route").alias("tool"), (~F.col("is_error") & F.coalesce("bad", F.lit(False))).alias("drifted"), (F.col("status") == 200).alias("validated"))
+    return readmodels.service_slices(_served(spark, sf), calls)
+
+
+@query("agg_tool_headlines", """SELECT host AS peer_host, CASE WHEN bool_or(m) THEN 'output-mismatch' ELSE 'definition-change' END AS headline, CASE WHEN bool_or(m) THEN array_to_string(list_sort(list(DISTINCT endpoint) FILTER (WHERE m)), ',') ELSE array_to_string(list_sort(list(DISTINCT endpoint)), ',') END AS tools,
+ sum(occurrence_count) FILTER (WHERE m)::BIGINT AS calls, min(first_seen) FILTER (WHERE m) AS since FROM (SELECT *, kind = 'output_mismatch' AS m FROM served WHERE kind = 'output_mismatch' OR (kind = 'definition_change' AND severity = 'breaking')) GROUP BY host""", A.CALLS, A.FINDINGS, A.SIGNATURES, _SERVED)
+def agg_tool_headlines(spark, sf):
+    """AGG19: what each tool server's line says."""
+    return readmodels.tool_headlines(_served(spark, sf)).withColumn("tools", F.array_join("tools", ","))
+
+
 @query("win_learned_catalog", "SELECT peer_host, tool, arg_max(hash, version) AS hash, max(version) AS changes FROM (SELECT *, row_number() OVER (PARTITION BY peer_host, tool ORDER BY at, seq) AS version FROM (SELECT *, lag(hash) OVER (PARTITION BY peer_host, tool ORDER BY at, seq) AS previous FROM learned) WHERE previous IS NULL OR previous <> hash) GROUP BY ALL", A.CALLS,
        "learned AS (SELECT peer_host, substr(route, 2) AS tool, at, seq, 'd' || (value > 50) AS hash FROM calls WHERE is_mcp)")
 def win_learned_catalog(spark, sf):

@@ -108,6 +108,15 @@ def win_search_catalog(spark, sf):
     return tools.search_catalog(c.select("peer_host", "direction", F.expr("substring(route, 2)").alias("tool"), "at", "seq", (F.col("value") > 50).cast("string").alias("input_schema"), F.lit(None).cast("string").alias("output_schema")))
 
 
+@query("win_search_tools", """SELECT peer_host || ':search' AS catalogue, peer_host, direction, tool, arg_max(h, (at, seq)) AS input_schema, CAST(NULL AS VARCHAR) AS output_schema, max(at) AS changed_at, count(*) AS changes FROM (SELECT *, lag(h) OVER (PARTITION BY peer_host, direction, tool ORDER BY at, seq) AS previous FROM learned)
+ WHERE previous IS NULL OR previous <> h GROUP BY ALL""", A.CALLS, "learned AS (SELECT peer_host, direction, substr(route, 2) AS tool, at, seq, '{\"maximum\":' || CAST(floor(value / 50) AS BIGINT) || '}' AS h FROM calls WHERE is_mcp)")
+def win_search_tools(spark, sf):
+    """WIN3: the tools of the catalogue that search results teach."""
+    schema = F.concat(F.lit('{"maximum":'), F.floor(F.col("value") / 50).cast("string"), F.lit("}"))
+    learned = A.calls(spark, sf).filter("is_mcp").select("peer_host", "direction", F.expr("substring(route, 2)").alias("tool"), "at", "seq", schema.alias("input_schema"), F.lit(None).cast("string").alias("output_schema"))
+    return tools.catalog_tools(learned)
+
+
 # --- bindings and responses ------------------------------------------------------------------------------------------
 
 
