@@ -92,3 +92,14 @@ def test_tool_calls_in_a_batch(spark, tmp_path):
     jobs.ingest(jobs.table_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "c"), judge).awaitTermination()
     assert {r.id: (r.verdict, r.reason) for r in spark.read.parquet(str(tmp_path / "out" / "calls")).collect()} == {1: ("not-validated", "no-contract"), 2: ("clean", None), 3: ("drifted", None), 4: ("not-validated", "tool-not-listed")}
     assert {(r.source_call_id, r.kind) for r in spark.read.parquet(str(tmp_path / "out" / "findings")).collect()} == {(3, "output_mismatch"), (4, "stale_client")}
+
+
+def test_append_to_a_table_that_an_empty_batch_made(spark, tmp_path):
+    """The first batch makes the table, also an empty one, and a column that comes later is null in what was stored."""
+    rows = lambda *ids: spark.createDataFrame([(i, i, i // 10) for i in ids], "id long, seq long, day int")
+    for by in (None, "day"):
+        path = str(tmp_path / f"t{by}")
+        for batch in (rows(), rows(3, 3), rows(), rows(3, 14), rows(14, 15).withColumn("note", F.lit("n"))):
+            jobs.append_new(batch, path, "id", by=by)
+        stored = spark.read.option("mergeSchema", True).parquet(path)
+        assert sorted((r.id, r.day, r.note) for r in stored.collect()) == [(3, 0, None), (14, 1, None), (15, 1, "n")]

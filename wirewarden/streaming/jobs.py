@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -45,17 +44,12 @@ def append_new(batch: DataFrame, path: str, *key: str, order: str = "seq", by: s
     again: only the partitions of the batch's own values are read, so that the cost of a batch does not grow with the history."""
     spark = batch.sparkSession
     rows = first_arrival(batch, *key, order=order if order in batch.columns else key[0])
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as e:  # the first batch: there is no table yet
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    else:
-        if by is not None:
-            stored = stored.join(F.broadcast(batch.select(by).distinct()), by, "left_semi")  # prunes partitions when it runs
-        rows = rows.join(stored.select(*key), list(key), "left_anti").select(batch.columns)
-    writer = rows.write.mode("append")
-    (writer if by is None else writer.partitionBy(by)).parquet(path)
+    target = lambda df, mode: (df.write.mode(mode) if by is None else df.write.mode(mode).partitionBy(by)).parquet(path)
+    target(batch.limit(0), "ignore")  # the first batch makes the table
+    stored = spark.read.schema(batch.schema).parquet(path)
+    if by is not None:
+        stored = stored.join(F.broadcast(batch.select(by).distinct()), by, "left_semi")  # prunes partitions when it runs
+    target(rows.join(stored.select(*key), list(key), "left_anti").select(batch.columns), "append")
 
 
 def ingest(stream: DataFrame, folder: str, checkpoint: str, judge: Callable[[DataFrame], tuple[DataFrame, DataFrame]], accept=valid_calls, by: str | None = None) -> StreamingQuery:
