@@ -95,3 +95,10 @@ def test_a_time_has_to_be_one(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.f for r in df.select(history.value_format(history.F.lit(None).cast("double"), df["t"]).alias("f")).collect()]
     assert got == ["timestamp:iso-8601", "timestamp:iso-8601", None, None, "timestamp:date"]
+
+
+def test_as_of_compares_no_call_with_every_version(spark):
+    ranges = spark.createDataFrame([("a", 0, 5, 1)], "edge string, at long, until long, version long")
+    got = history.as_of(spark.createDataFrame([(1, "a", 0), (2, "a", 5), (3, "a", None)], "id long, edge string, at long"), ranges, "edge")
+    assert {r.id: r.version for r in got.collect()} == {1: 1, 2: None, 3: None}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 #: Cells of equal width in which the range of a time is looked up.
 CELLS = 2048
-#: A key with more rows than this, and than a 10,000th of all, is split by time where it meets versions. There can't be 10,000 such keys.
+#: Where more calls than this meet versions, they do so in slots of time.
 HOT_ROWS = 1_000_000
 
 
@@ -61,27 +61,23 @@ def valid_ranges(changes: DataFrame, *by: str, at: str = "at") -> DataFrame:
 
 
 def as_of(calls: DataFrame, ranges: DataFrame, *by: str, at: str = "at", columns: tuple[str, ...] = ("version",), hot_rows: int = HOT_ROWS) -> DataFrame:
-    """JN4: each call with the version that held at its time, null before the first. The versions are collapsed first, so this is an
-    equi-join on the key with a range condition; calls are not sorted. The calls of a hot key meet its versions by slot of time too: a version is in each slot
-    that it holds in, so that the key is as many tasks as there are slots, and a call meets the versions of its slot only."""
-    right = ranges.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("at").alias("_from"), F.col("until").alias("_until"), *[F.col(c).alias(f"_v_{c}") for c in columns])
-    held = (F.col(at) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
-    keys = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    counts = calls.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count("*").alias("_rows"))
-    total = counts.agg(F.sum("_rows")).first()[0] or 0
-    hot = counts.filter(F.col("_rows") > max(hot_rows, total // 10_000)).drop("_rows") if total > hot_rows else None
-    left = calls
-    if hot is not None and hot.head(1):
-        slot, slots = time_slots(calls, at)
-        named = hot.select(*[F.col(f"_by_{c}").alias(f"_hot_{c}") for c in by], F.lit(True).alias("_hot"))
-        left = calls.join(F.broadcast(named), [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in by], "left").withColumn("_slot", F.when(F.col("_hot"), slot(F.col(at))).otherwise(-1))
-        split = right.join(F.broadcast(named), [F.col(f"_by_{c}").eqNullSafe(F.col(f"_hot_{c}")) for c in by], "left")
-        until = F.when(F.col("_until").isNull(), F.lit(slots - 1)).otherwise(slot(F.col("_until")))
-        held_in = F.when(F.col("_hot"), F.sequence(slot(F.col("_from")), until)).otherwise(F.array(F.lit(-1)))
-        right = split.withColumn("_in", F.explode(held_in)).drop("_hot", *[f"_hot_{c}" for c in by])
-        keys.append(F.col("_slot") == F.col("_in"))
-    joined = left.join(right, [*keys, held], "left")
-    return joined.select(*calls.columns, *[F.col(f"_v_{c}").alias(c) for c in columns])
+    """JN4: each call with the version that held at its time, null before the first. ranges: as `valid_ranges` gives them, so that those of a key do not overlap. Calls and the
+    beginnings of versions are put in one order of time, in which the last beginning passes down to the calls: the work is that of a sort, however many versions a key has. If there are
+    more than `hot_rows` calls, a key's time is cut into slots, as many tasks; what holds at the end of a slot begins the key's next ones, a row for each key and slot."""
+    slot, slots = time_slots(calls, at) if calls.count() > hot_rows else (lambda c: F.lit(0), 1)
+    begun = ranges.filter("at is not null and (until is null or at < until)").select(*by, F.col("at").alias("_at"), slot(F.col("at")).alias("_slot"), F.struct("until", *columns).alias("_held"))
+    if slots > 1:
+        last = begun.groupBy(*by, "_slot").agg(F.max_by("_held", "_at").alias("_held"))
+        until = F.coalesce(F.lead("_slot").over(Window.partitionBy(*by).orderBy("_slot")), F.lit(slots - 1))
+        later = last.withColumn("_until", until).filter("_until > _slot").withColumn("_slot", F.explode(F.sequence(F.col("_slot") + 1, F.col("_until"))))
+        begun = begun.union(later.select(*by, F.lit(None).alias("_at"), "_slot", "_held"))  # no time: ahead of the slot's own
+    rest = [c for c in calls.columns if c not in by]
+    rows = calls.select(*by, F.col(at).alias("_at"), slot(F.col(at)).alias("_slot"), F.lit(None).cast(begun.schema["_held"].dataType).alias("_held"), F.lit(1).alias("_is_call"), *rest).union(
+        begun.select(*by, "_at", "_slot", "_held", F.lit(0), *[F.lit(None).cast(calls.schema[c].dataType) for c in rest]))
+    order = Window.partitionBy(*by, "_slot").orderBy("_at", "_is_call").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = rows.withColumn("_held", F.last("_held", ignorenulls=True).over(order)).filter("_is_call = 1")
+    stands = F.col("_held.until").isNull() | (F.col("_at") < F.col("_held.until"))
+    return held.select(*calls.columns, *[F.when(stands, F.col("_held")[c]).alias(c) for c in columns])
 
 
 def session_listings(listings: DataFrame, enables: DataFrame, *by: str, within: int = 120_000_000) -> DataFrame:
