@@ -108,3 +108,16 @@ def test_every_rule_has_a_case():
 def test_empty(spark):
     none = openapi_operations(spark.createDataFrame([], "pair string, version_ string, doc string")).drop("version").withColumnRenamed("version_", "version")
     assert document_changes(none).collect() == []
+
+
+def test_equal_operations_are_walked_and_compared_once(spark, monkeypatch):
+    from wirewarden.operators import version_diff
+
+    kept = []
+    monkeypatch.setattr(version_diff, "stored", lambda df: kept.append(df.persist()) or df)
+    doc = lambda kind: '{"paths":{"/x":{"get":{"responses":{"200":{"content":{"application/json":{"schema":{"properties":{"k":{"type":"%s"}}}}}}}}}}}' % kind
+    rows = [(f"p{k}", v, doc("string" if v == "after" and k % 2 else "integer")) for k in range(40) for v in ("before", "after")]
+    found = document_changes(openapi_operations(spark.createDataFrame(rows, "pair string, version_ string, doc string")).drop("version").withColumnRenamed("version_", "version"))
+    assert sorted(r.pair for r in found.collect()) == sorted(f"p{k}" for k in range(1, 40, 2))
+    assert kept[0].count() == 10  # five rows of each of the two texts
+    kept[0].unpersist()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wirewarden.functions.stored import stored
 from wirewarden.operators.diffs import capped_path, enum_change, type_change
 
 #: Rules by what happened; the first three columns say where (side), what, and whether at the body itself.
@@ -144,18 +145,25 @@ def document_changes(operations: DataFrame) -> DataFrame:
     """
     fields = F.to_json(F.struct("deprecated", "sunset", "parameters", "request", "responses"), {"ignoreNullFields": "false"})
     op = F.concat_ws(" ", "method", F.regexp_replace("template", r"\{[^/}]*\}", "{}"))
-    rows = operations.filter("method is not null").select("pair", "version", op.alias("op"), F.explode(surface(fields)).alias("r")).select("pair", "version", "op", "r.*")
-    key = ["pair", "op", "side", "place", "node_", "path"]
-    rows = rows.withColumn("node_", F.when(F.col("node").isin("oneOf", "anyOf"), "field").otherwise(F.col("node")))
-    of = lambda v, p: rows.filter(F.col("version") == v).select(*key, F.lit(True).alias(f"{p}_in"), *[F.col(c).alias(f"{p}_{c}") for c in ("parent", "node", "required", "types", "enum", "deprecated", "sunset")])
+    ops = operations.filter("method is not null").select("pair", "version", op.alias("op"), fields.alias("_text")).withColumn("_digest", F.sha2("_text", 256))
+    # an operation's text is walked once, and two texts are compared once, however many pairs have them
+    walked = stored(ops.groupBy("_digest").agg(F.first("_text").alias("_text")).select("_digest", F.explode(surface("_text")).alias("r")).select("_digest", "r.*"))
+    digests = lambda v: F.sort_array(F.collect_list(F.when(F.col("version") == v, F.col("_digest"))))
+    met = ops.groupBy("pair", "op").agg(digests("before").alias("_before"), digests("after").alias("_after"))
+    met = met.filter((F.size("_before") > 0) & ~((F.size("_before") == 1) & (F.col("_before") == F.col("_after"))))
+    met = met.withColumn("_change", F.sha2(F.concat_ws("|", F.array_join("_before", ","), F.array_join("_after", ",")), 256))
+    contents = met.groupBy("_change").agg(F.first("_before").alias("_before"), F.first("_after").alias("_after"))
+    key = ["_change", "side", "place", "node_", "path"]
+    walked = walked.withColumn("node_", F.when(F.col("node").isin("oneOf", "anyOf"), "field").otherwise(F.col("node")))
+    of = lambda v, p: contents.select("_change", F.explode(f"_{v}").alias("_digest")).join(walked, "_digest").select(*key, F.lit(True).alias(f"{p}_in"), *[F.col(c).alias(f"{p}_{c}") for c in ("parent", "node", "required", "types", "enum", "deprecated", "sunset")])
     j = of("before", "b").join(of("after", "a"), key, "full_outer").withColumns({"parent": F.coalesce("b_parent", "a_parent"), "node": F.coalesce("b_node", "a_node")})
     # what a row lies under: its parent node, its media type, its status, its operation
     above = (F.when(F.col("node") == "operation", F.lit(None)).when((F.col("side") == "parameter") | (F.col("node") == "status") | ((F.col("node") == "media") & (F.col("side") == "request")), F.struct(F.lit("operation").alias("s"), F.lit("").alias("p"), F.lit("operation").alias("n"), F.lit("").alias("f")))
              .when(F.col("node") == "media", F.struct(F.col("side").alias("s"), F.substring_index("place", " ", 1).alias("p"), F.lit("status").alias("n"), F.lit("").alias("f")))
              .when(F.col("path") == "", F.struct(F.col("side").alias("s"), F.col("place").alias("p"), F.lit("media").alias("n"), F.lit("").alias("f"))).otherwise(F.struct(F.col("side").alias("s"), F.col("place").alias("p"), F.lit("field").alias("n"), F.col("parent").alias("f"))))
-    shared = j.filter("b_in and a_in").select("pair", "op", F.struct(F.col("side").alias("s"), F.col("place").alias("p"), F.col("node_").alias("n"), F.col("path").alias("f")).alias("_above"))
+    shared = j.filter("b_in and a_in").select("_change", F.struct(F.col("side").alias("s"), F.col("place").alias("p"), F.col("node_").alias("n"), F.col("path").alias("f")).alias("_above"))
     known = j.withColumn("_above", above)
-    j = known.filter("_above is null").unionByName(known.filter("_above is not null").join(shared, ["pair", "op", "_above"], "left_semi")).drop("_above")
+    j = known.filter("_above is null").unionByName(known.filter("_above is not null").join(shared, ["_change", "_above"], "left_semi")).drop("_above")
     both, gone, come = F.col("b_in") & F.col("a_in"), F.col("a_in").isNull(), F.col("b_in").isNull()
     side, is_field, at_body = F.col("side"), F.col("node_") == "field", (F.col("path") == "") & (F.col("node_") == "field")
     typed, values = type_change(F.col("b_types"), F.col("a_types")), enum_change(F.col("b_enum"), F.col("a_enum"))
@@ -176,10 +184,11 @@ def document_changes(operations: DataFrame) -> DataFrame:
         F.when(is_field & both & (F.size("b_enum") == 0) & (F.size("a_enum") > 0) & (side == "request"), "request became enum")))
     text = F.when(F.col("w").endswith("type"), F.struct(F.array_join("b_types", "|").alias("e"), F.array_join("a_types", "|").alias("a"))).when(F.col("w").endswith("enum"), F.struct(F.array_join("b_enum", "|").alias("e"), F.array_join("a_enum", "|").alias("a")))
     broken = j.withColumn("w", F.explode(happened)).withColumn("_t", text)
-    broken = broken.select("pair", "op", F.lit("version-diff").alias("kind"), F.lit("breaking").alias("severity"), _reported(F.col("w")).alias("rule"), "place", F.col("path").alias("field_path"), F.coalesce("_t.e", F.lit("")).alias("expected"), F.coalesce("_t.a", F.lit("")).alias("actual"))
+    broken = broken.select("_change", F.lit("version-diff").alias("kind"), F.lit("breaking").alias("severity"), _reported(F.col("w")).alias("rule"), "place", F.col("path").alias("field_path"), F.coalesce("_t.e", F.lit("")).alias("expected"), F.coalesce("_t.a", F.lit("")).alias("actual"))
     date = F.when(F.col("a_sunset").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & (side != "parameter"), F.col("a_sunset"))
     names = F.create_map(*[F.lit(x) for pair in ANNOUNCED.items() for x in pair])
     told = j.filter(F.col("a_in") & F.col("b_in") & F.col("a_deprecated") & ~F.col("b_deprecated")).withColumn("_date", date)
-    told = told.select("pair", "op", F.lit("deprecation").alias("kind"), F.lit("warning").alias("severity"), F.concat(F.element_at(names, side), F.when(F.col("_date").isNotNull(), "-with-sunset").otherwise("")).alias("rule"), "place", F.col("path").alias("field_path"),
+    told = told.select("_change", F.lit("deprecation").alias("kind"), F.lit("warning").alias("severity"), F.concat(F.element_at(names, side), F.when(F.col("_date").isNotNull(), "-with-sunset").otherwise("")).alias("rule"), "place", F.col("path").alias("field_path"),
                        F.lit("not deprecated").alias("expected"), F.coalesce(F.concat(F.lit("sunset="), "_date"), F.lit("deprecated")).alias("actual"))
-    return broken.filter("rule is not null").union(told).withColumn("field_path", capped_path(F.col("field_path")))
+    found = broken.filter("rule is not null").union(told).withColumn("field_path", capped_path(F.col("field_path")))
+    return met.select("pair", "op", "_change").join(found, "_change").drop("_change")
