@@ -63,3 +63,18 @@ def test_escaped_values_reach_the_redactor(spark):
     assert {r.i: (r.t, r.patterns) for r in R.redact(df, "t").collect()} == want
     assert {r.i: (r.t, r.patterns) for r in R.redact_record(df, "t").collect()} == want
     assert R.redact(spark.createDataFrame([(r'{"from":"10\u002e1\u002e2\u002e3"}',)], "t string"), "t", ip=True).first().t == '{"from":"⟦REDACTED:IP⟧"}'
+
+
+def test_snapshots_are_redacted_in_one_pass(spark):
+    rows = [('{"d":"a@b.example"}', '["run","--key","sk_live_abcdef12",null]'), (None, "run a@b.example"), ("[]", None), ('{"d":"plain"}', "run")]
+    out = R.redact_snapshots(spark.createDataFrame(rows, "snapshot_json string, server_command string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in out.collect()] == [('{"d":"⟦REDACTED:EMAIL⟧"}', '["run","--key","⟦REDACTED:TOKEN⟧",null]'), (None, "run ⟦REDACTED:EMAIL⟧"), ("[]", None), ('{"d":"plain"}', "run")]
+
+
+def test_a_value_without_an_anchor_meets_no_recogniser(monkeypatch):
+    seen = []
+    plain = R._plain
+    monkeypatch.setattr(R, "_plain", lambda text, *rest: seen.append(text) or plain(text, *rest))
+    assert R.redact_text('{"name":"t","n":[1,"some words"],"mail":"a@b.example"}') == ('{"name":"t","n":[1,"some words"],"mail":"⟦REDACTED:EMAIL⟧"}', ["EMAIL"])
+    assert seen == ["a@b.example"]

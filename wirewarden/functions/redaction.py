@@ -39,6 +39,7 @@ _ESCAPE = r"\\(?:u[0-9a-fA-F]{4}|/)"
 #: The union of what every pattern needs, for the JVM (also valid for RE2).
 ANCHOR = (r"[0-9][0-9 -]{11,}[0-9]|@|[A-Za-z]{2}[0-9]{2}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\+[0-9]|(?i:cvv|cvc|csc|security)|_live_|_test_|eyJ|(?i:bearer)|[A-Za-z0-9+/_-]{20}|" + _ESCAPE)
 #: Same for addresses, which are not looked for unless asked.
+_ANCHOR = re.compile(ANCHOR)
 IP_ANCHOR = r"[0-9]+\.[0-9]+\.|[0-9a-fA-F]*:[0-9a-fA-F]*:|" + _ESCAPE
 
 
@@ -152,12 +153,16 @@ RECOGNIZERS = (
 )
 IP_RECOGNIZER = Recognizer("IP", re.compile(r"(?<![\w.:])(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*)(?![\w:])", _A), _ip)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_DECODER = json.JSONDecoder(strict=False)
 _LEAF = re.compile(r'"((?:[^"\\]|\\.)*)("?)(\s*:)?|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?')
 
 
 def _plain(text: str, recognizers: Iterable[Recognizer], fired: set[str]) -> str:
     """One stretch of text without tokens: every recogniser in turn, then base64 runs that hold something."""
     for r in recognizers:
+        if "⟦" not in text:
+            text = _apply(text, r, fired)
+            continue
         tokens, pieces = TOKEN.findall(text), TOKEN.split(text)  # what an earlier recogniser has replaced is left alone
         text = "".join(_apply(piece, r, fired) + token for piece, token in zip(pieces, [*tokens, ""], strict=True))
     return text
@@ -204,6 +209,8 @@ def redact_scalar(text: str, fired: set[str], recognizers=RECOGNIZERS, key: str
     if key is not None and _CVV_KEY.fullmatch(key) and re.fullmatch("[0-9]{3,4}", text):
         fired.add("CVV")
         return "⟦REDACTED:CVV⟧"
+    if recognizers is RECOGNIZERS and not _ANCHOR.search(text):  # a value without an anchor holds nothing
+        return text
 
     def run(m: re.Match) -> str:
         inner: set[str] = set()
@@ -235,7 +242,7 @@ def _json(text: str, fired: set[str], recognizers) -> str:
             return digits
         raw, closing, colon = m.group(1), m.group(2), m.group(3) or ""
         try:
-            value = json.loads(f'"{raw}"', strict=False)
+            value = _DECODER.decode(f'"{raw}"') if "\\" in raw else raw
         except ValueError:
             value = raw
         inner: set[str] = set()
@@ -249,9 +256,10 @@ def _json(text: str, fired: set[str], recognizers) -> str:
     return _LEAF.sub(leaf, text)
 
 
-def redact_text(text: str, recognizers=RECOGNIZERS) -> tuple[str, list[str]]:
+def redact_text(text: str, recognizers: Iterable[Recognizer] | None = None) -> tuple[str, list[str]]:
     """The text with tokens and the fired pattern ids in report order. Tokens that are there already are left alone, so that
     the result of a second pass is the same."""
+    recognizers = RECOGNIZERS if recognizers is None else recognizers
     fired: set[str] = set()
     if text.lstrip()[:1] in ("{", "["):
         out = _json(text, fired, recognizers)
@@ -263,12 +271,18 @@ def redact_text(text: str, recognizers=RECOGNIZERS) -> tuple[str, list[str]]:
     return out, [x for x in REPORT_ORDER if x in fired]
 
 
+def _chosen(recognizers: Iterable[Recognizer], ip: bool = False) -> tuple[Recognizer, ...] | None:
+    """What a task is sent: null for the recognisers that it has itself, so that it knows what their anchors are."""
+    own = (*recognizers, IP_RECOGNIZER) if ip else tuple(recognizers)
+    return None if own == RECOGNIZERS else own
+
+
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
 
 
 def make_redact(recognizers: Iterable[Recognizer] = RECOGNIZERS, ip: bool = False):
     """A pandas UDF text -> struct<text, patterns>."""
-    chosen = (*recognizers, IP_RECOGNIZER) if ip else tuple(recognizers)
+    chosen = _chosen(recognizers, ip)
 
     @F.pandas_udf(RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -317,7 +331,7 @@ def pan_digits(column: Column) -> Column:
 def redact_record(df: DataFrame, *columns: str, existing: str | None = None, patterns: str = "patterns", recognizers: Iterable[Recognizer] = RECOGNIZERS, ip: bool = False) -> DataFrame:
     """RED17: all text columns of a record in one pass over Python; the fired ids of all columns, with those in `existing`, as a
     sorted set. Columns without an anchor go to Python as nulls."""
-    chosen = (*recognizers, IP_RECOGNIZER) if ip else tuple(recognizers)
+    chosen = _chosen(recognizers, ip)
     result = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))] + [T.StructField("p", T.ArrayType(T.StringType()))])
 
     @F.pandas_udf(result)
@@ -358,11 +372,26 @@ def redact_call_records(df: DataFrame, parts: dict[str, str], *, patterns: str =
 
 def redact_snapshots(df: DataFrame, document: str = "snapshot_json", command: str = "server_command", recognizers: Iterable[Recognizer] = RECOGNIZERS) -> DataFrame:
     """RED18: the listing as JSON text, and each element of the command (a JSON array of strings) on its own; a command that is no such array is text."""
-    parsed = F.from_json(command, "array<string>")
-    out = redact_record(df, document, patterns="_p", recognizers=recognizers).withColumn("_c", parsed)
-    out = redact_elements(out, "_c", recognizers)
-    out = redact_record(out.withColumn("_t", F.when(F.col("_c").isNull(), F.col(command))), "_t", patterns="_p", recognizers=recognizers)
-    return out.withColumn(command, F.coalesce(F.to_json("_c"), "_t")).drop("_p", "_c", "_t")
+    chosen = _chosen(recognizers)
+
+    @F.pandas_udf("document string, elements array<string>, text string")
+    def run(documents: pd.Series, commands: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        known: dict[str, str] = {}  # commands repeat
+
+        def one(text):
+            if text is None:
+                return None
+            if text not in known:
+                known[text] = redact_text(text, chosen)[0]
+            return known[text]
+
+        rows = [(None if d is None else redact_text(d, chosen)[0], None if c is None else [one(x) for x in c], one(t)) for d, c, t in zip(documents, commands, texts, strict=True)]
+        return pd.DataFrame(rows, columns=["document", "elements", "text"])
+
+    wanted = lambda c: F.when(needs_redaction(c), c)
+    out = df.withColumn("_c", F.from_json(command, "array<string>")).withColumn("_t", F.when(F.col("_c").isNull(), F.col(command)))
+    out = out.withColumn("_r", run(wanted(F.col(document)), "_c", wanted(F.col("_t"))))
+    return out.withColumns({document: F.coalesce("_r.document", document), command: F.coalesce(F.to_json("_r.elements"), "_r.text", "_t")}).drop("_c", "_t", "_r")
 
 
 def redact_nested(df: DataFrame, column: str, recognizers: Iterable[Recognizer] = RECOGNIZERS) -> DataFrame:
@@ -379,7 +408,7 @@ def redact_findings(findings: DataFrame, columns: tuple[str, ...] = ("expected",
 
 def redact_elements(df: DataFrame, column: str, recognizers: Iterable[Recognizer] = RECOGNIZERS) -> DataFrame:
     """RED18: each element of an array of strings on its own, in place."""
-    chosen = tuple(recognizers)
+    chosen = _chosen(recognizers)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(arrays: pd.Series) -> pd.Series:
