@@ -79,3 +79,9 @@ def test_boundary_follows_cost():
     for b in range(J.MAX_SMALL + 1):  # a shared subset is a link, whatever the sizes
         for s in range(1, b + 1):
             assert all(100 * J.least_overlap(s, p, 75, 100) >= 75 * (s + p - J.least_overlap(s, p, 75, 100)) for p in J.partners(s, 75, 100))
+
+
+def test_the_result_is_a_small_plan(spark):
+    """The driver plans and keeps each use of a step on its own: what several steps read is stored first."""
+    out = J.jaccard_components(frame(spark, [(1, "a b c"), (2, "a b c"), (3, " ".join(f"w{i}" for i in range(40)))]))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3

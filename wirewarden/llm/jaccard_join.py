@@ -311,9 +311,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     subsets = checkpoint(classes.filter(F.col("n") <= boundary).select("class", "small", "c").mapInArrow(_subsets(boundary, num, den), "key long, class long, c long, factor long, link boolean"))
     counted = subsets.filter("factor is null").groupBy("key").agg(F.min("class").alias("m"), F.sum("c").alias("w"))
     asked = subsets.filter("factor is not null")
-    sizes = asked.groupBy("key").agg(F.count("*").alias("_rows")).join(counted, "key")
-    asked = hot_join(asked.select("key", "class", "factor", "link"), sizes, "key", asked.count())
-    direct = asked.filter(F.col("m").isNotNull()).groupBy("class").agg(F.sum(F.col("factor") * F.col("w")).alias("links"))
+    # What hot_join or several later steps read is stored first: each use of a plan is planned, and kept on the driver, as a plan of its own.
+    sizes = checkpoint(asked.groupBy("key").agg(F.count("*").alias("_rows")).join(counted, "key"))
+    asked = checkpoint(hot_join(asked.select("key", "class", "factor", "link"), sizes, "key", asked.count()).filter("m is not null"))
+    direct = asked.groupBy("class").agg(F.sum(F.col("factor") * F.col("w")).alias("links"))
     of_own = classes.filter(F.col("n") <= boundary).select("class", F.col("c").alias("own"))
     direct = direct.join(of_own, "class").select("class", (F.col("links") - F.col("own")).alias("links"))  # a set is among those of its size
     small_edges = asked.filter("link and m <> class").select(F.col("class").alias("u"), F.col("m").alias("v")).distinct()
@@ -327,7 +328,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     entries = entries.select("key", "class", "long", *[f(c).over(part).alias(name) for name, f, c in facts])
     entries = checkpoint(entries.filter("long or (m < top and most)"))
     long = entries.filter("long")
-    whole = long.groupBy("key").agg(F.min("m").alias("m"), F.max("top").alias("top"), F.max("most").alias("most"), F.count("*").alias("_rows")).filter("m < top and most")
+    whole = checkpoint(long.groupBy("key").agg(F.min("m").alias("m"), F.max("top").alias("top"), F.max("most").alias("most"), F.count("*").alias("_rows")).filter("m < top and most"))
     n_long = long.count()
     long = hot_join(long.select("key", "class"), whole.select("key", "m", "_rows"), "key", n_long).filter("m is not null")
     lists = checkpoint(entries.filter("not long").select("key", "class", "m").union(long.select("key", "class", "m")).distinct())
@@ -360,11 +361,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     both = held.groupBy("id").agg(F.min("class").alias("v"), F.max("class").alias("u")).filter("v < u")
     tied = held.join(both.select("id", "v"), "id").select(F.col("class").alias("u"), "v")
     components = checkpoint(connected_components(small_edges.union(found.select("u", "v")).union(tied)))
-    roots = components.join(classes.select(F.col("class").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_rows"))
+    roots = checkpoint(components.join(classes.select(F.col("class").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_rows")))
     placed = hot_join(components, roots, "component", total.classes).select(F.col("id").alias("class"), "component_id")
     links = found.select(F.col("u").alias("class"), "links").union(direct).groupBy("class").agg(F.sum("links").alias("links"))
-    result = classes.join(placed, "class", "left").join(links, "class", "left").select(
-        "class", F.col("c").alias("_rows"), F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"))
+    result = checkpoint(classes.join(placed, "class", "left").join(links, "class", "left").select(
+        "class", F.col("c").alias("_rows"), F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links")))
     columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links"]
     alone = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"), F.when(F.col("id").isNotNull(), F.lit(0)).cast("long").alias("n_links"))
     return alone.select(columns).union(hot_join(held.select("id", "n", "class"), result, "class", total.rows).select(columns))
