@@ -104,3 +104,14 @@ def test_equals_the_library_on_any_text(encoder, library, text):
 @given(st.text(alphabet=[chr(p) for a, b in bpe.NEW_MARKS for p in range(a, b + 1)] + list("aẹ́́̈́ͅ가"), max_size=12))
 def test_marks_of_newer_versions(encoder, library, text):
     assert both(encoder, text)[0] == library.encode(text, add_special_tokens=False).ids
+
+
+def test_new_words_are_indexed_in_bounded_portions(encoder, monkeypatch):
+    own = bpe.Encoder(encoder.vocabulary)
+    words = {f"w{i}x" for i in range(50)}
+    encoder.learn(words)
+    sizes, index = [], bpe.encode_words
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 16)
+    monkeypatch.setattr(bpe, "encode_words", lambda w, v: (sizes.append(len(w)), index(w, v))[1])
+    own.learn(words)
+    assert sizes == [16, 16, 16, 2] and all(own.ids[w] == encoder.ids[w] for w in words)

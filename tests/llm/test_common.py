@@ -1,5 +1,9 @@
+import os
+import platform
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -66,3 +70,21 @@ def test_what_is_stored_within_stays_whole(spark):
     with C.released(spark):
         kept = C.checkpoint(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
     assert kept.agg(F.sum("count")).first()[0] == 1000 and sorted(r.k for r in kept.collect()) == list(range(10))
+
+
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="another C library")
+def test_freed_arrays_go_back_to_the_system():
+    """Also after a larger one was freed, and with small ones that live on behind them."""
+    code = """
+import numpy as np, resource
+from wirewarden.llm import common
+held = lambda: int(open("/proc/self/statm").read().split()[1]) * resource.getpagesize() >> 20
+x = np.ones(30 << 17); del x
+before = held()
+pairs = [(np.ones(1 << 20), np.ones(1000)) for _ in range(20)]
+pins = [p[1] for p in pairs]
+del pairs
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(C.__file__.rsplit("/", 1)[0])))
+    assert int(out.stdout) < 40

@@ -25,8 +25,10 @@ from wirewarden.llm.word_table import WordTable, gather, portions
 
 #: A worker forgets its words beyond this many, and its chunks.
 MAX_CACHED_WORDS, MAX_CHUNKS = 250_000, 1 << 19
+#: New words that are indexed at once.
+WORDS_AT_ONCE = 1 << 14
 #: Bytes of text that are tokenised at once (one text at least).
-TEXT_AT_ONCE = 2 << 20
+TEXT_AT_ONCE = 1 << 20
 #: What the pre-tokenizer's regular-expression engine means by \\s.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The letters and numbers that Unicode 16.0 has beyond 15.1, and the capitals that Unicode 16.0 and 17.0 have beyond it with their
@@ -246,8 +248,9 @@ class Encoder:
             self.decoded.clear()
             self._remember_special()
             new = [w for w in words if w not in self.ids]
-        if new:
-            for w, ids in zip(new, encode_words([w.encode() for w in new], self.vocabulary), strict=True):
+        for lo in range(0, len(new), WORDS_AT_ONCE):
+            own = new[lo : lo + WORDS_AT_ONCE]
+            for w, ids in zip(own, encode_words([w.encode() for w in own], self.vocabulary), strict=True):
                 self.ids[w] = ids.astype("<u4").tobytes()
 
     def chunk_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +15,17 @@ from pyspark.sql import functions as F
 
 #: Freed batches go back to the system at once: a worker that is kept for the next task holds no memory of the last one.
 pa.set_memory_pool(pa.system_memory_pool())
+#: So do freed arrays of this many bytes and more. The C library would else raise that bound up to 32 MB with what it is given back, and keep what is below.
+FREED_AT_ONCE = 4 << 20
+
+
+def free_at_once() -> bool:
+    """Sets glibc's bounds M_MMAP_THRESHOLD (-3) and M_TRIM_THRESHOLD (-1) for this process; another C library is left as it is."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    return mallopt is not None and bool(mallopt(-3, FREED_AT_ONCE) and mallopt(-1, 2 * FREED_AT_ONCE))
+
+
+free_at_once()
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
