@@ -7,7 +7,7 @@ import json
 from bisect import bisect_left
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,51 +168,53 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is no JSON")
 
 
-def _leaves(text: str) -> list[dict]:
+def _leaves(text: str | None) -> list[tuple]:
+    """(path, number, text, kind) of each scalar of a JSON text; numbers become doubles as they are read, whatever their length."""
     try:
-        ahead = [("", json.loads(text, object_pairs_hook=_once, parse_constant=_no_constant))]
+        ahead = [] if text is None else [("", json.loads(text, object_pairs_hook=_once, parse_constant=_no_constant, parse_int=float))]
     except (ValueError, RecursionError):
         return []
     out = []
     while ahead:
         path, value = ahead.pop()
-        below = path + "." if path else ""
-        if isinstance(value, dict):
+        if isinstance(value, str):
+            out.append((path, None, value, "string"))
+        elif isinstance(value, float):
+            out.append((path, value, None, "number"))
+        elif isinstance(value, dict):
+            below = path + "." if path else ""
             ahead += [(below + name, own) for name, own in value.items()]
         elif isinstance(value, list):
-            ahead += [(below + "items", own) for own in value]
+            below = path + ".items" if path else "items"
+            ahead += [(below, own) for own in value]
         else:
-            kind = "string" if isinstance(value, str) else "none" if value is None or isinstance(value, bool) else "number"
-            out.append({"path": path, "number": float(value) if kind == "number" else None, "text": value if kind == "string" else None, "kind": kind})
+            out.append((path, None, None, "none"))
     return out
 
 
-@F.pandas_udf(_LEAVES)
-def _walked(texts: pd.Series) -> pd.Series:
-    return texts.map(_leaves, na_action="ignore")
+def _strings(values: list) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:  # half of a surrogate pair
+        return pa.array([None if v is None else v.encode("utf-8", "replace") for v in values], pa.binary()).cast(pa.string())
 
 
-def json_leaves(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
-    """WIN7: a row for each scalar of a JSON column: the other columns, path (objects dotted, arrays `.items`), number and text (one of them null, both for
-    true, false and null) and kind. Text that is no JSON has no rows, nor has an object that names a member twice.
+@F.arrow_udf(_LEAVES)
+def _walked(texts: pa.Array) -> pa.Array:
+    found, ends = [], [0]
+    for text in texts:
+        found += _leaves(text.as_py())
+        ends.append(len(found))
+    path, number, own, kind = zip(*found, strict=True) if found else ((), (), (), ())
+    leaves = pa.StructArray.from_arrays([_strings(path), pa.array(number, pa.float64()), _strings(own), pa.array(kind, pa.string())], [f.name for f in _LEAVES.elementType])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), leaves)
 
-    Texts with at most `depth` opening brackets cannot be deeper and are exploded in the JVM, level by level; the others are walked, whatever their depth.
-    """
+
+def json_leaves(df: DataFrame, column: str) -> DataFrame:
+    """WIN7: a row for each scalar of a JSON column: the other columns, path (objects dotted, arrays `.items`), number and text (one of them null, both for
+    true, false and null) and kind. Text that is no JSON has no rows, nor has an object that names a member twice. A text is read once, whatever its depth, and its leaves come back as columns."""
     rest = [c for c in df.columns if c != column]
-    openings = F.length(column) - F.length(F.translate(column, "[{", ""))
-    walked = df.filter(openings > depth).select(*rest, F.explode(_walked(column)).alias("_l")).select(*rest, "_l.path", "_l.number", "_l.text", "_l.kind")
-    rows = df.filter(openings <= depth).select(*rest, F.lit("").alias("path"), F.expr(f"try_parse_json(`{column}`)").alias("_v")).filter("_v is not null")
-    kind = F.schema_of_variant("_v")
-    below = F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise("")
-    entry = lambda path, value: F.struct(path.alias("path"), value.alias("_v"))
-    for _ in range(depth):
-        members = F.transform(F.map_entries(F.try_variant_get("_v", "$", "map<string, variant>")), lambda e: entry(F.concat(below, e["key"]), e["value"]))
-        items = F.transform(F.try_variant_get("_v", "$", "array<variant>"), lambda x: entry(F.concat(below, F.lit("items")), x))
-        step = F.when(kind.startswith("OBJECT"), members).when(kind.startswith("ARRAY"), items).otherwise(F.array(entry(F.col("path"), F.col("_v"))))
-        rows = rows.select(*rest, F.explode(step).alias("_e")).select(*rest, "_e.path", "_e._v")
-    name = F.when(kind == "STRING", "string").when(kind.isin("BOOLEAN", "VOID"), "none").otherwise("number")
-    flat = rows.select(*rest, "path", F.when(name == "number", F.try_variant_get("_v", "$", "double")).alias("number"), F.when(name == "string", F.try_variant_get("_v", "$", "string")).alias("text"), name.alias("kind"))
-    return flat.union(walked)
+    return df.select(*rest, F.explode(_walked(column)).alias("_l")).select(*rest, "_l.path", "_l.number", "_l.text", "_l.kind")
 
 
 def value_changes(leaves: DataFrame, *by: str, stable: int = 5, change: int = 3) -> DataFrame:
