@@ -242,6 +242,23 @@ def used_deprecations(calls: DataFrame) -> DataFrame:
                                                                      F.when(F.col("sunset").isNotNull(), F.concat(F.lit("sunset="), "sunset")).otherwise("deprecated").alias("actual"))
 
 
-def deprecated_usage(calls: DataFrame, operations: DataFrame) -> DataFrame:
+#: Beyond MAX_BROADCAST of operations, keys that more than this share of the calls have meet theirs by a broadcast (there cannot be more than 10,000 such keys).
+HOT_SHARE = 1e-4
+
+
+def with_operations(calls: DataFrame, operations: DataFrame, *on: str, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Calls with the columns of their operations. However few the operations are, no task holds all calls of one: up to a counted size they are broadcast; beyond it those of the keys that
+    many calls have are, and only the calls of other keys are shuffled."""
+    weight = operations.agg(F.sum(F.octet_length(F.to_json(F.struct(*operations.columns))) + 64)).first()[0] or 0
+    if weight <= max_broadcast:
+        return calls.join(F.broadcast(operations), list(on))
+    counted = calls.groupBy(*on).agg(F.count("*").alias("_n"))
+    least = (counted.agg(F.sum("_n")).first()[0] or 0) * HOT_SHARE
+    hot = F.broadcast(counted.filter(F.col("_n") > least).select(*on))
+    many = calls.join(hot, list(on), "left_semi").join(F.broadcast(operations.join(hot, list(on), "left_semi")), list(on))
+    return many.unionByName(calls.join(hot, list(on), "left_anti").join(operations, list(on)))
+
+
+def deprecated_usage(calls: DataFrame, operations: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """VAL11: `used_deprecations` of calls (peer_host, method, template, ...) that meet their operations (peer_host, method, template, deprecated, sunset, parameters, fields) by a join."""
-    return used_deprecations(calls.filter("template is not null").join(operations, ["peer_host", "method", "template"]))
+    return used_deprecations(with_operations(calls.filter("template is not null"), operations, "peer_host", "method", "template", max_broadcast=max_broadcast))
