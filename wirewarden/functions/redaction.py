@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -328,24 +329,45 @@ def pan_digits(column: Column) -> Column:
     return F.filter(runs, check)
 
 
-def redact_record(df: DataFrame, *columns: str, existing: str | None = None, patterns: str = "patterns", recognizers: Iterable[Recognizer] = RECOGNIZERS, ip: bool = False) -> DataFrame:
+#: Fixed value: characters of redacted text that a task holds as Python objects, beside the batch that it has been given.
+PORTION = 1 << 20
+
+
+def redact_record(df: DataFrame, *columns: str, existing: str | None = None, patterns: str = "patterns", recognizers: Iterable[Recognizer] = RECOGNIZERS, ip: bool = False, fields: dict[str, str] | None = None) -> DataFrame:
     """RED17: all text columns of a record in one pass over Python; the fired ids of all columns, with those in `existing`, as a
-    sorted set. Columns without an anchor go to Python as nulls."""
-    chosen = _chosen(recognizers, ip)
-    result = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))] + [T.StructField("p", T.ArrayType(T.StringType()))])
+    sorted set. Columns without an anchor go to Python as nulls, and unchanged ones come back as nulls. fields: for some of the columns, the name of a column with what `redacted_fields` says of them.
 
-    @F.pandas_udf(result)
-    def run(*texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for row in zip(*texts, strict=True):
-            done = [(None, []) if t is None else redact_text(t, chosen) for t in row]
-            out.append([*[t for t, _ in done], sorted({x for _, fired in done for x in fired})])
-        return pd.DataFrame(out, columns=[f.name for f in result])
+    The pass counts as nondeterministic, so that a filter on what it has found does not repeat it."""
+    chosen, fields = _chosen(recognizers, ip), fields or {}
+    told = [c in fields for c in columns]
+    result = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))] + [T.StructField("p", T.ArrayType(T.StringType()))] + [T.StructField(f"f{i}", FIELD) for i, x in enumerate(told) if x])
+    kinds = [*[pa.string()] * len(columns), pa.list_(pa.string()), *[_FIELD_ARROW] * sum(told)]
 
+    def run(*texts: pa.Array) -> pa.Array:
+        chunk = lambda rows: pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], result.names)
+        chunks, rows, held = [], [], 0
+        for row in zip(*texts, strict=True):
+            new, fired, found = [], set(), []
+            for cell, with_fields in zip(row, told, strict=True):
+                old = cell.as_py()
+                text, own = (None, []) if old is None else redact_text(old, chosen)
+                fired.update(own)
+                new.append(None if text == old else text)
+                held += len(new[-1] or "")
+                if with_fields:
+                    found.append(_fields_of(old, new[-1]) if new[-1] is not None else [])
+            rows.append([*new, sorted(fired), *found])
+            if held > PORTION:
+                chunks.append(chunk(rows))
+                rows, held = [], 0
+        return pa.concat_arrays([*chunks, chunk(rows)])
+
+    run.__annotations__ = {"return": pa.Array} | {"texts": pa.Array}
+    once = F.arrow_udf(run, result).asNondeterministic()
     none = F.array().cast("array<string>")
     before = F.coalesce(F.col(existing), none) if existing else none
-    done = df.withColumn("_r", run(*[F.when(needs_redaction(F.col(c), ip), F.col(c)) for c in columns])).withColumn("_all", F.array_sort(F.array_union(before, F.col("_r.p"))))
-    return done.withColumns({c: F.coalesce(f"_r.c{i}", c) for i, c in enumerate(columns)}).withColumn(patterns, F.col("_all")).drop("_r", "_all")
+    done = df.withColumn("_r", once(*[F.when(needs_redaction(F.col(c), ip), F.col(c)) for c in columns])).withColumn("_all", F.array_sort(F.array_union(before, F.col("_r.p"))))
+    return done.withColumns({c: F.coalesce(f"_r.c{i}", c) for i, c in enumerate(columns)} | {fields[c]: F.col(f"_r.f{i}") for i, c in enumerate(columns) if told[i]}).withColumn(patterns, F.col("_all")).drop("_r", "_all")
 
 
 def merge_fields(existing: Column, found: Column) -> Column:
@@ -358,16 +380,16 @@ def merge_fields(existing: Column, found: Column) -> Column:
 def redact_call_records(df: DataFrame, parts: dict[str, str], *, patterns: str = "patterns", fields: str = "fields", recognizers: Iterable[Recognizer] = RECOGNIZERS) -> DataFrame:
     """RED17: the record pass. parts: the name of each text column's part; `patterns` (array<string>) and `fields` (array<struct<part, path, pattern,
     ...>>), which the record has, are added to and never lose an entry."""
-    raw = {c: f"_raw_{c}" for c in parts}
-    done = redact_record(df.withColumns({raw[c]: F.col(c) for c in parts}), *parts, existing=patterns, patterns=patterns, recognizers=recognizers)
+    told = {c: f"_fields_{c}" for c in parts}
+    done = redact_record(df, *parts, existing=patterns, patterns=patterns, recognizers=recognizers, fields=told)
     kind = df.schema[fields].dataType.elementType
 
     def of_part(column: str, part: str) -> Column:
         record = lambda x: F.struct(*[(F.lit(part) if name == "part" else x[name] if name in FIELD.elementType.names else F.lit(None)).cast(kind[name].dataType).alias(name) for name in kind.names])
-        return F.transform(redacted_fields(F.when(F.col(raw[column]) != F.col(column), F.col(raw[column])), F.col(column)), lambda x: record(x))
+        return F.transform(told[column], lambda x: record(x))
 
     found = F.flatten(F.array(*[of_part(c, part) for c, part in parts.items()]))
-    return done.withColumn(fields, merge_fields(F.coalesce(F.col(fields), F.array().cast(done.schema[fields].dataType)), found)).drop(*raw.values())
+    return done.withColumn(fields, merge_fields(F.coalesce(F.col(fields), F.array().cast(done.schema[fields].dataType)), found)).drop(*told.values())
 
 
 def redact_snapshots(df: DataFrame, document: str = "snapshot_json", command: str = "server_command", recognizers: Iterable[Recognizer] = RECOGNIZERS) -> DataFrame:
@@ -433,9 +455,10 @@ FIELD = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.Struc
                                  + [T.StructField(x, T.BooleanType()) for x in list(value_properties(""))[2:]]))
 
 
-@F.pandas_udf(FIELD)
-def redacted_fields(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Records of the JSON scalars that redaction has replaced as a whole: RFC 6901 path, pattern id, properties of the original."""
+_FIELD_ARROW = pa.list_(pa.struct([(f.name, {"string": pa.string(), "integer": pa.int32(), "boolean": pa.bool_()}[f.dataType.typeName()]) for f in FIELD.elementType]))
+
+
+def _fields_of(before: str | None, after: str | None) -> list[dict]:
     def walk(old, new, path, out):
         if isinstance(old, dict) and isinstance(new, dict):
             for key, value in old.items():
@@ -449,13 +472,16 @@ def redacted_fields(before: pd.Series, after: pd.Series) -> pd.Series:
             out.append({"path": path, "pattern": m.group(1)} | own | ({"type": "integer"} if isinstance(old, int) else {}))
         return out
 
-    def one(old, new):
-        try:
-            return walk(json.loads(old), json.loads(new), "", [])
-        except (TypeError, ValueError):
-            return []
+    try:
+        return walk(json.loads(before), json.loads(after), "", [])
+    except (TypeError, ValueError):
+        return []
 
-    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
+
+@F.pandas_udf(FIELD)
+def redacted_fields(before: pd.Series, after: pd.Series) -> pd.Series:
+    """Records of the JSON scalars that redaction has replaced as a whole: RFC 6901 path, pattern id, properties of the original."""
+    return pd.Series([_fields_of(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
 
 
 def enhance(df: DataFrame, column: str, sensitive: list[tuple[str, str]]) -> DataFrame:

@@ -180,9 +180,8 @@ def win_learned_catalog(spark, sf):
 @query("red_records")
 def red_records(spark, sf):
     """RED14, RED17: bodies made of document texts, redacted as records, with what is known of each replaced value."""
-    d = A.table(spark, sf, "documents").select("doc_id", F.to_json(F.struct("source", "text")).alias("before"))
-    out = R.redact_record(d.withColumn("after", F.col("before")), "after").filter(F.size("patterns") > 0)
-    return out.select("doc_id", "patterns", R.redacted_fields("before", "after").alias("fields"))
+    d = A.table(spark, sf, "documents").select("doc_id", F.to_json(F.struct("source", "text")).alias("body"))
+    return R.redact_record(d, "body", fields={"body": "fields"}).filter(F.size("patterns") > 0).select("doc_id", "patterns", "fields")
 
 
 def _stream_folder(spark, name: str) -> str:
