@@ -167,27 +167,33 @@ def classify(operations: DataFrame) -> DataFrame:
     `op` of a change to a renamed operation is its old name. What lies under an added or removed field is not reported;
     what lies under a renamed one is compared under the new name.
     """
-    operations = operations.withColumns({"input_schema": canonical("input_schema"), "output_schema": canonical("output_schema")})
-    side = lambda v: operations.filter(F.col("version") == v).drop("version")
-    was, now = side("before"), side("after")
-    gone = was.join(now, ["pair", "op"], "left_anti").withColumn("gone", F.lit(True))
-    come = now.join(was, ["pair", "op"], "left_anti").withColumn("gone", F.lit(False))
-    alone = gone.unionByName(come).withColumnRenamed("op", "name")
+    columns = ("description", "input_schema", "output_schema")
+    made = operations.withColumns({"input_schema": canonical("input_schema"), "output_schema": canonical("output_schema")})
+    side = lambda v, s: made.filter(F.col("version") == v).select("pair", "op", F.lit(True).alias(f"in_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    met = stored(side("before", "b").join(side("after", "a"), ["pair", "op"], "full_outer"))  # the versions meet once
+    own = lambda s: [F.col(f"{s}_{c}").alias(c) for c in columns]
+    alone = met.filter("in_a is null").select("pair", F.col("op").alias("name"), *own("b"), F.lit(True).alias("gone")).union(met.filter("in_b is null").select("pair", F.col("op").alias("name"), *own("a"), F.lit(False).alias("gone")))
     named = _paired(alone.filter(F.get_json_object("input_schema", "$.properties").isNotNull() & (F.get_json_object("input_schema", "$.properties") != "{}")), ["pair"], "input_schema")
     lone = alone.join(named.select("pair", F.col("old").alias("name"), F.lit(True).alias("gone")).union(named.select("pair", "new", F.lit(False))), ["pair", "name", "gone"], "left_anti")
     text = lambda c: F.lit(c).cast("string")
     catalog = lone.select("pair", F.col("name").alias("op"), F.when(F.col("gone"), "operation-removed").otherwise("operation-added").alias("rule"), text("").alias("field_path"), text(None).alias("before"), text(None).alias("after"))
     catalog = catalog.union(named.select("pair", F.col("old").alias("op"), F.lit("operation-renamed"), text(""), F.col("old"), F.col("new")))
 
-    now = now.join(named.select("pair", F.col("new").alias("op"), "old"), ["pair", "op"], "left").withColumn("op", F.coalesce("old", "op")).drop("old")
-    both = was.alias("b").join(now.alias("a"), ["pair", "op"]).select("pair", "op", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ba" for c in ("description", "input_schema", "output_schema")])
+    texts = [f"{s}_{c}" for s in "ba" for c in columns]
+    renamed = named.join(met.filter("in_a is null").select("pair", F.col("op").alias("old"), *texts[:3]), ["pair", "old"]).join(met.filter("in_b is null").select("pair", F.col("op").alias("new"), *texts[3:]), ["pair", "new"])
+    both = met.filter("in_a and in_b").select("pair", "op", *texts).union(renamed.select("pair", F.col("old"), *texts))
     wording = both.filter(~F.col("b_description").eqNullSafe(F.col("a_description")) & ~((F.coalesce("b_description", F.lit("")) == "") & (F.coalesce("a_description", F.lit("")) == ""))).select(
         "pair", "op", F.lit("description-changed").alias("rule"), F.lit("description").alias("field_path"), F.col("b_description").alias("before"), F.col("a_description").alias("after"))
     declared = both.filter(F.col("b_output_schema").isNull() != F.col("a_output_schema").isNull()).select(
         "pair", "op", F.when(F.col("a_output_schema").isNull(), "output-schema-removed").otherwise("output-schema-declared"), F.lit("output"), text(None), text(None))
 
+    # two schemas are compared once, however many operations have them, and equal ones not at all; `pair` and `op` of this comparison are the digest of both texts and nothing
+    schemas = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(f"b_{c}_schema").alias("b"), F.col(f"a_{c}_schema").alias("a")) for c in ("input", "output")]))
+    differing = both.select("pair", "op", schemas.alias("s")).filter("s.b <> s.a").select("pair", "op", F.sha2(F.concat_ws("|", "s.side", F.sha2("s.b", 256), F.sha2("s.a", 256)), 256).alias("_change"), "s.side", "s.b", "s.a")
+    contents = stored(differing.groupBy("_change").agg(*[F.first(c).alias(c) for c in ("side", "b", "a")])).select(F.col("_change").alias("pair"), F.lit("").alias("op"), "side", "b", "a")
+
     def nodes(s: str) -> DataFrame:
-        out = [both.filter(F.col(f"b_{c}_schema").isNotNull() & F.col(f"a_{c}_schema").isNotNull()).select("pair", "op", F.lit(c).alias("side"), F.explode(flattened(c)(f"{s}_{c}_schema")).alias("n")) for c in ("input", "output")]
+        out = [contents.filter(F.col("side") == c).select("pair", "op", "side", F.explode(flattened(c)(s)).alias("n")) for c in ("input", "output")]
         return out[0].union(out[1]).select("pair", "op", "side", "n.*")
 
     every = stored(nodes("b").withColumn("_of", F.lit("b")).union(nodes("a").withColumn("_of", F.lit("a"))))  # schemas are flattened once
@@ -212,6 +218,7 @@ def classify(operations: DataFrame) -> DataFrame:
         F.when(F.col("rule").contains("-enum-"), F.to_json(F.array_except("o_enum", "n_enum"))).when(F.col("rule").contains("-type-"), F.to_json("o_types")).when(F.col("rule").endswith("-renamed"), F.col("renamed_from")).alias("before"),
         F.when(F.col("rule").contains("-enum-"), F.to_json(F.array_except("n_enum", "o_enum"))).when(F.col("rule").contains("-type-"), F.to_json("n_types")).when(F.col("rule").endswith("-renamed"), F.col("path")).alias("after"),
         F.when(F.col("rule") == "input-optional-property-removed", F.when(F.col("_closed"), "callers that still send it fail validation: undeclared properties are forbidden now").otherwise("callers that still send it are not rejected, but it has no declared effect")).alias("detail"))
+    fields = differing.select(F.col("pair").alias("_pair"), F.col("op").alias("_op"), "_change").join(fields.withColumnRenamed("pair", "_change").drop("op"), "_change").drop("_change").withColumnsRenamed({"_pair": "pair", "_op": "op"})
     return grade(catalog.union(wording).union(declared).unionByName(fields, allowMissingColumns=True))
 
 
