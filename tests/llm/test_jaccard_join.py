@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -85,3 +86,78 @@ def test_the_result_is_a_small_plan(spark):
     """The driver plans and keeps each use of a step on its own: what several steps read is stored first."""
     out = J.jaccard_components(frame(spark, [(1, "a b c"), (2, "a b c"), (3, " ".join(f"w{i}" for i in range(40)))]))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
+
+
+def stored(monkeypatch, columns):
+    """The tables with these columns that the join stores from now on."""
+    found, store = [], J.checkpoint
+
+    def keep(df):
+        out = store(df)
+        if out.columns == columns:
+            found.append(out)
+        return out
+
+    monkeypatch.setattr(J, "checkpoint", keep)
+    return found
+
+
+def passages(pairs, n):
+    """Pairs of documents that share n words and have n words each of their own."""
+    part = lambda name: " ".join(f"{name}.{w}" for w in range(n))
+    return [(2 * i + side, f"{part(f's{i}')} {part(f'o{i}.{side}')}") for i in range(pairs) for side in (0, 1)]
+
+
+def test_a_full_filter_still_tells_rare_shingles(spark, monkeypatch):
+    """More shared shingles than the filter has room for at 12 bits each: none of them is taken for a rare one, or whole sets are sent to be verified."""
+    monkeypatch.setattr(J, "LEVEL_BYTES", 1 << 17)
+    lists = stored(monkeypatch, ["key", "class", "m"])
+    got = J.jaccard_components(frame(spark, passages(60, 3000))).collect()
+    assert [x.count() for x in lists] == [0]
+    assert len(got) == 120 and all(r.component_id == r.doc_id and r.n_links == 0 and r.n_shingles == 5996 for r in got)
+
+
+@pytest.mark.parametrize("size", [0, 40])
+def test_equals_brute_force_with_levels_of_a_share(spark, monkeypatch, size):
+    made, levels = [], J._levels
+    monkeypatch.setattr(J, "LEVEL_BYTES", size)
+    monkeypatch.setattr(J, "_levels", lambda *a: made.append(levels(*a)) or made[-1])
+    rows = texts()
+    got = J.jaccard_components(frame(spark, rows)).collect()
+    assert made[0].share < 1 << 16
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got if r.doc_id is not None} == brute(rows)
+
+
+def test_ranks_of_a_share():
+    """Level 2 is held for half of the shingles: rare ones of that half first, then the others that may be rare, then by level."""
+    class Held:
+        def levels(self, keys, most):
+            return J.np.array([0, 1, 2, 3, 0, 1, 2, 3])
+
+    keys = J.np.array([1, 2, 3, 4, 0x8001, 0x8002, 0x8003, 0x8004], dtype=J.U64)
+    level, rank = J.Levels(Held(), 2, 1 << 15).of(keys)
+    assert level.tolist() == [0, 0, 2, 3, 0, 0, 0, 3]
+    assert rank.tolist() == [0, 0, 4, 6, 1, 1, 1, 6]
+
+
+def test_copies_hold_a_shingle_once(spark, monkeypatch):
+    levels = stored(monkeypatch, ["key", "level"])
+    rows = [(100 * c + i, " ".join(f"{i}.{w}" for w in range(60))) for c in range(12) for i in range(5)]
+    got = J.jaccard_components(frame(spark, rows)).collect()
+    assert {(r.component_id, r.n_links) for r in got} == {(i, 11) for i in range(5)}
+    assert [x.count() for x in levels] == [0]
+
+
+def test_shuffle_files_go_with_each_step(spark):
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(held.size()) if (name := held.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    out = J.jaccard_components(frame(spark, texts()))
+    for _ in range(100):  # they are deleted in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert out.count() == len(texts()) == out.count()

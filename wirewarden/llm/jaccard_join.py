@@ -12,7 +12,9 @@ shared lists. Cells that meet are dealt out in blocks, bounded by sets and by sh
 the inverted lists of its own sets and returns a spanning forest and the number of links of each set. The shuffled data is a
 quarter of the shingles (hashes and classes), the sets of classes that share a list entry, and small tables. Frequent shingles
 come last in the order by which a set's rarest shingles are chosen, so the lists that matter are short; those that stay long
-are salted and aggregated with partial sums. What hangs on a hot class or component is joined by `hot_join`.
+are salted and aggregated with partial sums. How many classes hold a shingle is known from a filter of a bounded size, which
+the input fills more and more: then some rare shingles count as shared, but few shared ones as rare, which would send their sets to be
+verified. What hangs on a hot class or component is joined by `hot_join`. Shuffle files are deleted with each step.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirewarden.llm.common import (
-    U64, Words, build_filter, checkpoint, distinct, hot_join, id_filter, key_array, mix, per_batch, rolling, signed,
+    U64, SegmentedFilter, Words, build_filter, checkpoint, distinct, hot_join, id_filter, key_array, mix, per_batch, released, rolling, signed,
 )
 from wirewarden.llm.components import connected_components
 
@@ -36,7 +38,7 @@ BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 SALTS, SEEN = 64, 1 << 18
 #: Shingles that one task counts, and the bound of the broadcast levels.
 COUNTED_AT_ONCE, LEVEL_BYTES = 1 << 20, 64 << 20
-#: Documents that hold a shingle at each level, from 1 on; beyond level LONG its list is aggregated with partial sums.
+#: Classes that hold a shingle at each level, from 1 on; beyond level LONG its list is aggregated with partial sums.
 LEVELS, LONG = (2, 4, 16, 128, 1024, 1 << 14, 1 << 20), 3
 #: Largest set size for which enumerating subsets is considered at all.
 MAX_SMALL = 12
@@ -148,11 +150,18 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1]]))
 
 
-def _count_in_batch(k: int, parts: int):
+def _of_classes(b: pa.RecordBatch, reps) -> pa.RecordBatch:
+    """The rows that may stand for their class: a copy has nothing to add. Each class's representative is among them."""
+    held = b.column("_id").is_valid().to_numpy(zero_copy_only=False)
+    return b.filter(pa.array(held & reps.value.contains(key_array(b.column("_id")))))
+
+
+def _count_in_batch(k: int, parts: int, reps):
     """(part, packed shingles, packed counts)."""
     def make():
         def step(b):
-            keys = np.sort(_counted(np.concatenate(shingle_sets(b.column("_text"), k)), parts))
+            b = _of_classes(b, reps)
+            keys = np.sort(_counted(np.concatenate([np.empty(0, dtype=U64), *shingle_sets(b.column("_text"), k)]), parts))
             at = _runs(keys)
             counts = np.minimum(np.diff(np.append(at, len(keys))), 255).astype(np.uint8)
             keys = keys[at]
@@ -169,7 +178,7 @@ def _count_in_batch(k: int, parts: int):
 
 
 def _sum_counts(batches):
-    """Shingles that several documents hold, and their level; a task has the rows of a few parts."""
+    """Shingles that several classes hold, and their level; a task has the rows of a few parts."""
     held: dict[int, tuple[list, list]] = {}
     for b in batches:
         for part, x, c in zip(*(column.to_pylist() for column in b.columns), strict=True):
@@ -186,19 +195,41 @@ def _sum_counts(batches):
         yield pa.RecordBatch.from_arrays([signed(U64(part) << U64(32) | values[at][keep].astype(U64)), pa.array(level.astype(np.int32))], ["key", "level"])
 
 
-def _levels(source: DataFrame, k: int, parts: int):
-    """A filter of the shingles that several documents hold: all of them, or the most frequent if they don't fit."""
-    held = source.mapInArrow(_count_in_batch(k, parts), "part int, shingles binary, counts binary")
+class Levels:
+    """In how many classes a shingle is, as far as a filter of LEVEL_BYTES can tell. Level `least` is held for the first `share` of 2^16 hashes
+    only, lower ones for none."""
+
+    def __init__(self, held: SegmentedFilter, least: int, share: int):
+        self.held, self.least, self.share = held, least, share
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels, and ranks by which a set's first shingles are chosen: the rare ones, those that may be, then by level. A shingle
+        has one rank wherever it is."""
+        level = self.held.levels(keys, len(LEVELS))
+        known = keys & U64(0xFFFF) < U64(self.share)
+        level[level < np.where(known, self.least, self.least + 1)] = 0
+        return level, np.where(level > 0, 2 * level, ~known)
+
+
+def _levels(source: DataFrame, k: int, parts: int, reps) -> Levels:
+    """Of the shingles that several classes hold. An event has 12 bits of the filter while there is room and less beyond: a rare shingle is then taken
+    for a shared one more often, but enough are left to choose from. At one bit an event the lowest level is left out for a share of the shingles."""
+    held = source.mapInArrow(_count_in_batch(k, parts, reps), "part int, shingles binary, counts binary")
     rows = checkpoint(held.repartition(min(parts, 4096), "part").mapInArrow(_sum_counts, "key long, level int"))
-    room, least, events = LEVEL_BYTES * 8 // 12, len(LEVELS) + 1, 0
+    room, least, share, events = LEVEL_BYTES * 8, len(LEVELS) + 1, 1 << 16, 0
     for r in sorted(rows.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level):
-        if events + r.n * r.level > room:
+        least, share = r.level, min(1 << 16, ((room - events) << 16) // (r.n * r.level))
+        events += r.n * r.level * share >> 16
+        if share < 1 << 16:
             break
-        least, events = r.level, events + r.n * r.level
-    return build_filter(rows.filter(F.col("level") >= least), events, bits_per_event=12, probes=4, max_bytes=LEVEL_BYTES), least
+    else:
+        least = 1
+    bits = min(12, room / max(1, events))
+    wanted = rows.filter((F.col("level") > least) | (F.col("level") == least) & (F.col("key").bitwiseAND(0xFFFF) < share))
+    return Levels(build_filter(wanted, events, bits_per_event=bits, probes=max(1, min(4, round(bits * 0.7))), max_bytes=LEVEL_BYTES), least, share)
 
 
-def _entries(k: int, num: int, den: int, boundary: int, parts: int, levels):
+def _entries(k: int, num: int, den: int, boundary: int, parts: int, reps, levels):
     """Rows (key, class, first, long) of the inverted lists: of two sets that link, the smaller one has its first shared entry
     among its entries for which `first` holds."""
     def make():
@@ -206,25 +237,20 @@ def _entries(k: int, num: int, den: int, boundary: int, parts: int, levels):
 
         def step(b):
             keys, classes, firsts, long = [], [], [], []
-            sets = shingle_sets(b.column("_text"), k)
-            every = np.concatenate([np.empty(0, dtype=U64), *sets])
-            known, least = levels.value
-            level = known.levels(_counted(every, parts), len(LEVELS))
-            if least > 1:
-                level[level < least] = 0
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            for r, (has_id, s) in enumerate(zip(b.column("_id").is_valid().to_pylist(), sets, strict=True)):
+            sets = shingle_sets(_of_classes(b, reps).column("_text"), k)
+            level, rank = levels.value.of(_counted(np.concatenate([np.empty(0, dtype=U64), *sets]), parts))
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+            for r, s in enumerate(sets):
                 n = len(s)
-                if not n or not has_id or partners(n, num, den)[-1] <= boundary:
+                if not n or partners(n, num, den)[-1] <= boundary:
                     continue
                 own_class = _class_of(s)
                 if seen[own_class % SEEN] == own_class:
                     continue
                 seen[own_class % SEEN] = own_class
-                own = level[ends[r] : ends[r + 1]]
                 p = prefix_length(n, num, den)
-                first = np.argsort(own, kind="stable")[:p]  # the set is sorted by hash
-                keys.append(s[first]), classes.append(np.full(p, own_class, dtype=U64)), long.append(own[first] > LONG)
+                first = np.argsort(rank[ends[r] : ends[r + 1]], kind="stable")[:p]  # the set is sorted by hash
+                keys.append(s[first]), classes.append(np.full(p, own_class, dtype=U64)), long.append(level[ends[r] : ends[r + 1]][first] > LONG)
                 firsts.append(n - np.arange(p) >= least_overlap(n, n, num, den))
             if keys:
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(np.concatenate(classes)), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(long))],
@@ -237,9 +263,7 @@ def _sets(k: int, wanted):
     """(class, set) of the documents that may be wanted."""
     def make():
         def step(b):
-            held = b.column("_id").is_valid().to_numpy(zero_copy_only=False)
-            keep = pa.array(np.flatnonzero(held & wanted.value.contains(key_array(b.column("_id")))))
-            sets = shingle_sets(b.column("_text").take(keep), k)
+            sets = shingle_sets(_of_classes(b, wanted).column("_text"), k)
             yield pa.RecordBatch.from_arrays([signed(np.array([_class_of(s) for s in sets], dtype=U64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"])
         return step
     return per_batch(make, 1000)
@@ -287,22 +311,13 @@ def _verify(num: int, den: int, boundary: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) for each row of docs; two documents link if den * |A and B| >= num * |A or B|.
-
-    The text's A-Z are lower-cased and it is cut into words [^\\x20\\x09-\\x0D]+; a document's set has its distinct k-word
-    shingles, or the whole word sequence if it is shorter. A null or empty text, or one of white space only, has an
-    empty set and is linked with nothing. n_links is the number of other rows with an id that the row's set links with, its copies
-    included. Rows with one id count as one document that holds the links of each of them; each row is returned with the links of
-    its own text. A row with a null id is returned with its n_shingles and a null component and n_links. An empty table gives an
-    empty result. Other columns of docs, whatever their names, are not read.
-    """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+def _classified(source: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (id, n, class, small) of the documents, and (class, _rows, component_id, n_links) of the classes."""
+    spark = source.sparkSession
     rows = checkpoint(source.mapInArrow(_profile(k), "id long, n long, class long, small binary"))
     held = rows.filter("n > 0 and id is not null")
     classes = checkpoint(held.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("small").alias("small")))
-    total = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.sum("n").alias("shingles")).first()
+    n_classes = classes.count()
     small = {r.n: r.c for r in classes.filter(F.col("n") <= 2 * MAX_SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
     boundary = choose_boundary(small, num, den)
     parts = max(16, (rows.agg(F.sum("n")).first()[0] or 0) // COUNTED_AT_ONCE)
@@ -320,8 +335,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     small_edges = asked.filter("link and m <> class").select(F.col("class").alias("u"), F.col("m").alias("v")).distinct()
 
     # Large sets. What meets in a list: its smallest class, if it has two members and one entry is a first one.
-    levels = spark.sparkContext.broadcast(_levels(source, k, parts))
-    entries = source.mapInArrow(_entries(k, num, den, boundary, parts, levels), "key long, class long, first boolean, long boolean")
+    reps = spark.sparkContext.broadcast(id_filter(classes, "rep"))
+    levels = spark.sparkContext.broadcast(_levels(source, k, parts, reps))
+    entries = source.mapInArrow(_entries(k, num, den, boundary, parts, reps, levels), "key long, class long, first boolean, long boolean")
     facts = [("m", F.min, "class"), ("top", F.max, "class"), ("most", F.max, "first")]
     part = Window.partitionBy("key", "salt")
     entries = entries.withColumn("salt", F.when(F.col("long"), F.pmod(F.xxhash64("class"), F.lit(SALTS))).otherwise(0))
@@ -357,15 +373,33 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = source.mapInArrow(_sets(k, wanted), "class long, shingles binary")
     found = checkpoint(sends.join(sets, "class").groupBy("task").applyInArrow(_verify(num, den, boundary), "u long, v long, links long"))
 
-    # Texts of one id belong together; then components of classes, and what each row gets.
+    # Texts of one id belong together; then components of classes, and what each class's rows get.
     both = held.groupBy("id").agg(F.min("class").alias("v"), F.max("class").alias("u")).filter("v < u")
     tied = held.join(both.select("id", "v"), "id").select(F.col("class").alias("u"), "v")
     components = checkpoint(connected_components(small_edges.union(found.select("u", "v")).union(tied)))
     roots = checkpoint(components.join(classes.select(F.col("class").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_rows")))
-    placed = hot_join(components, roots, "component", total.classes).select(F.col("id").alias("class"), "component_id")
+    placed = hot_join(components, roots, "component", n_classes).select(F.col("id").alias("class"), "component_id")
     links = found.select(F.col("u").alias("class"), "links").union(direct).groupBy("class").agg(F.sum("links").alias("links"))
     result = checkpoint(classes.join(placed, "class", "left").join(links, "class", "left").select(
         "class", F.col("c").alias("_rows"), F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links")))
+    return rows, result
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """(id, n_shingles, component_id, n_links) for each row of docs; two documents link if den * |A and B| >= num * |A or B|.
+
+    The text's A-Z are lower-cased and it is cut into words [^\\x20\\x09-\\x0D]+; a document's set has its distinct k-word
+    shingles, or the whole word sequence if it is shorter. A null or empty text, or one of white space only, has an
+    empty set and is linked with nothing. n_links is the number of other rows with an id that the row's set links with, its copies
+    included. Rows with one id count as one document that holds the links of each of them; each row is returned with the links of
+    its own text. A row with a null id is returned with its n_shingles and a null component and n_links. An empty table gives an
+    empty result. Other columns of docs, whatever their names, are not read.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    with released(docs.sparkSession):  # what is run here is stored or counted
+        rows, result = _classified(source, k, num, den)
+        held = rows.filter("n > 0 and id is not null")
+        total = held.count()
     columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links"]
     alone = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"), F.when(F.col("id").isNotNull(), F.lit(0)).cast("long").alias("n_links"))
-    return alone.select(columns).union(hot_join(held.select("id", "n", "class"), result, "class", total.rows).select(columns))
+    return alone.select(columns).union(hot_join(held.select("id", "n", "class"), result, "class", total).select(columns))
