@@ -3,6 +3,7 @@ import time
 from collections import Counter
 from itertools import combinations
 
+import corpus_pipeline
 import pytest
 
 from tests.llm.helpers import frame, texts, words
@@ -161,3 +162,13 @@ def test_shuffle_files_go_with_each_step(spark):
         time.sleep(0.1)
     assert not left
     assert out.count() == len(texts()) == out.count()
+
+
+def test_the_pipeline_sends_no_sets_for_a_full_filter(spark, monkeypatch):
+    """Its second stage, whose filter has more shared shingles than room at 12 bits each, keeps one of two copies and all that share half of their words."""
+    monkeypatch.setattr(J, "LEVEL_BYTES", 1 << 17)
+    lists = stored(monkeypatch, ["key", "class", "m"])
+    rows = passages(60, 3000)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, [*rows, (500, rows[0][1])]), "").select("doc_id").collect()
+    assert [x.count() for x in lists] == [0]
+    assert sorted(r.doc_id for r in kept) == list(range(120))
